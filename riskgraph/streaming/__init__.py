@@ -1,0 +1 @@
+"""No streaming operators: every input of this library is a finite table."""
