@@ -29,8 +29,8 @@ def scored_adjacency(
 ) -> DataFrame:
     """Usable edges ``(keys, tail, dst, edge_id, w)`` with ``w`` the log intensity.
 
-    Zero intensity and targets below ``min_prob`` are dropped; a negative or non-finite intensity
-    fails the job.
+    Zero intensity and targets below ``min_prob`` are dropped (``node_prob`` may be per key or fixed);
+    a negative or non-finite intensity fails the job.
     """
     value = F.col("intensity").cast("double")
     checked = F.when(
@@ -40,8 +40,9 @@ def scored_adjacency(
         F.col("_x") > 0
     )
     if node_prob is not None:
-        targets = node_prob.select(*keys, F.col("node_id").alias("dst"), F.col("prob").alias("_p"))
-        usable = lookup_join(usable, targets, [*keys, "dst"]).filter(F.col("_p") >= min_prob)
+        shared = [k for k in keys if k in node_prob.columns]
+        targets = node_prob.select(*shared, F.col("node_id").alias("dst"), F.col("prob").alias("_p"))
+        usable = lookup_join(usable, targets, [*shared, "dst"]).filter(F.col("_p") >= min_prob)
     return usable.select(*keys, "tail", "dst", "edge_id", F.ln("_x").alias("w"))
 
 
