@@ -58,7 +58,7 @@ def recalls(spark, d):
     return R.recall_rows(accepted)
 
 
-ORDER = ["RECORD_ID", "POTAFF", "RCDATE", "DESC_DEFECT", "CORRECTIVE_ACTION"]
+ORDER = ["raw_record_id", "POTAFF", "RCDATE", "DESC_DEFECT", "CORRECTIVE_ACTION"]
 
 
 @query(using("recalls", select="""
@@ -99,7 +99,7 @@ def decoded_line_encodings(spark, d):
 
 @query(using("recalls", select=f"""
   SELECT campaign_id, arg_min(MFGNAME, k) AS manufacturer, arg_min(COMPNAME, k) AS component, arg_min(RCLTYPECD, k) AS recall_type_code, count(*) AS n_rows
-  FROM (SELECT *, ({", ".join(ORDER)}) AS k FROM recalls) GROUP BY campaign_id"""))
+  FROM (SELECT *, (RECORD_ID, {", ".join(ORDER[1:])}) AS k FROM recalls) GROUP BY campaign_id"""))
 def canonical_recall_events(spark, d):
     return X.canonical_rows(recalls(spark, d), ["campaign_id"], ORDER, ["manufacturer", "component", "recall_type_code"])
 

@@ -25,13 +25,13 @@ def day_to_iso(value) -> Column:
 def parse_iso_prefix(value) -> Column:
     """ISO date in the first ten characters."""
     head = F.substring(_column(value).cast("string"), 1, 10)
-    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(head, F.lit("yyyy-MM-dd")))
+    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(head, "yyyy-MM-dd"))
 
 
 def parse_compact(value) -> Column:
     """Strict ``YYYYMMDD`` date; surrounding whitespace ignored."""
     text = F.regexp_replace(_column(value), r"^\s+|\s+$", "")
-    return F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, F.lit("yyyyMMdd")))
+    return F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
 
 
 def parse_mixed(value) -> Column:
@@ -42,21 +42,21 @@ def parse_mixed(value) -> Column:
         F.try_to_date(
             F.concat(
                 F.substring_index(text, "/", 2),
-                F.when(F.try_cast(F.substring_index(text, "/", -1), "int") >= 69, "/19").otherwise("/20"),
+                F.when(F.substring_index(text, "/", -1).try_cast("int") >= 69, "/19").otherwise("/20"),
                 F.substring_index(text, "/", -1),
             ),
-            F.lit("M/d/yyyy"),
+            "M/d/yyyy",
         ),
     )
     return F.coalesce(
-        F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(text, F.lit("M/d/yyyy"))),
+        F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(text, "M/d/yyyy")),
         two_digit,
-        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, F.lit("yyyy-M-d"))),
+        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "yyyy-M-d")),
     )
 
 
 def parse_day(value) -> Column:
     """Epoch day from an integer or a canonical ISO date; anything else is NULL."""
     text = F.regexp_replace(_column(value), r"^\s+|\s+$", "")
-    parsed = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, F.lit("yyyy-MM-dd")))
-    return F.when(text.rlike(r"^-?\d+$"), F.try_cast(text, "int")).otherwise(F.unix_date(parsed))
+    parsed = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+    return F.when(text.rlike(r"^-?\d+$"), text.try_cast("int")).otherwise(F.unix_date(parsed))

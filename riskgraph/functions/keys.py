@@ -20,7 +20,7 @@ def canonical_key(value, numeric: bool = False) -> Column:
     """Identifier text; empty is NULL. With ``numeric`` an integral number loses its decimals."""
     text = clean(value)
     if numeric:
-        number = F.try_cast(text, "double")
+        number = text.try_cast("double")
         text = F.when(
             number.isNotNull() & (F.abs(number) < 9e15) & (number == F.floor(number)),
             number.cast("decimal(18,0)").cast("string"),
@@ -58,7 +58,7 @@ def canonical_hash(fields: dict[str, Column | str]) -> Column:
 def digits_or_null(value) -> Column:
     """Integer when the trimmed text is all digits, otherwise NULL."""
     text = clean(value)
-    return F.when(text.rlike(r"^[0-9]+$"), F.try_cast(text, "bigint"))
+    return F.when(text.rlike(r"^[0-9]+$"), text.try_cast("bigint"))
 
 
 def sentinel_to_null(value, sentinel: str) -> Column:

@@ -47,6 +47,11 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also when the body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a, b) -> Column:
     return total(F.zip_with(_column(a), _column(b), lambda x, y: x.cast("double") * y.cast("double")))
 
@@ -61,16 +66,23 @@ def cosine(a, b, eps: float = 1e-8) -> Column:
 
 
 def l2_normalize(a, eps: float = 1e-12) -> Column:
-    length = F.greatest(norm(a), F.lit(float(eps)))
-    return F.transform(_column(a), lambda x: x.cast("double") / length)
+    a = _column(a)
+    return bind(
+        F.greatest(norm(a), F.lit(float(eps))), lambda length: F.transform(a, lambda x: x.cast("double") / length)
+    )
 
 
 def layer_norm(a, eps: float = 1e-5) -> Column:
-    a = _column(a)
-    size = F.size(a).cast("double")
-    mean = total(F.transform(a, lambda x: x.cast("double"))) / size
-    var = total(F.transform(a, lambda x: (x - mean) * (x - mean))) / size
-    return F.transform(a, lambda x: (x - mean) / F.sqrt(var + F.lit(eps)))
+    a = F.transform(_column(a), lambda x: x.cast("double"))
+
+    def centered(mean):
+        return F.transform(a, lambda x: x - mean)
+
+    def scaled(c):
+        spread = F.sqrt(total(F.transform(c, lambda x: x * x)) / F.size(c) + F.lit(eps))
+        return bind(spread, lambda sd: F.transform(c, lambda x: x / sd))
+
+    return bind(bind(total(a) / F.size(a), centered), scaled)
 
 
 def affine(a, weights: Sequence[float], bias: float = 0.0) -> Column:

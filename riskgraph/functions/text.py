@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskgraph.functions.numeric import bind
+
 #: Unicode letters, digits and underscore: a word for the hashing features.
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -54,8 +56,10 @@ def signed_hash_dense(df: DataFrame, key: str, text: str, dim: int = 64) -> Data
     )
     raw = sums.select(key, F.array(*[F.col(f"_v{i}") for i in range(dim)]).alias("_raw"))
     square = F.aggregate("_raw", F.lit(0).cast("bigint"), lambda acc, v: acc + v * v)
-    scaled = raw.withColumn("_d", F.greatest(F.sqrt(square.cast("double")), F.lit(1.0)))
-    return scaled.select(key, F.transform("_raw", lambda v: v / F.col("_d")).alias("vector"))
+    length = F.greatest(F.sqrt(square.cast("double")), F.lit(1.0))
+    return raw.select(
+        key, bind(length, lambda size: F.transform("_raw", lambda v: v / size)).alias("vector")
+    )
 
 
 def signed_hash_sparse(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:

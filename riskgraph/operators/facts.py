@@ -58,8 +58,9 @@ def rollup_support(rows: DataFrame, keys: Sequence[str], order: Sequence[str], e
 
     Distinct members are counted through a two-step aggregate, never as a set.
     """
+    carried = [e for e in evidence if e not in order]
     counted = rows.groupBy(*keys, member).agg(
-        F.count("*").alias("_c"), F.min(F.struct(*order, *evidence)).alias("_e")
+        F.count("*").alias("_c"), F.min(F.struct(*order, *carried)).alias("_e")
     )
     return counted.groupBy(*keys).agg(
         F.sum("_c").alias("n_records"), F.count(member).alias("n_members"), F.min("_e").alias("_e")

@@ -111,7 +111,8 @@ def recall_rows(accepted: DataFrame, lineage: tuple[str, ...] = ()) -> DataFrame
         clean("MODELTXT").alias("model"),
         sentinel_to_null("YEARTXT", "9999").alias("model_year"),
         clean("COMPNAME").alias("component"),
-        *FIELDS,
+        F.col("RECORD_ID").alias("raw_record_id"),
+        *FIELDS[1:],
         *lineage,
     )
     return typed

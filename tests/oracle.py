@@ -7,6 +7,7 @@ import os
 import sys
 import time
 import traceback
+from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -15,6 +16,9 @@ TABLES = (
 ).split()
 
 
+TIMES = {}
+
+
 def session():
     from pyspark.sql import SparkSession
 
@@ -45,7 +49,7 @@ def normalize(frame):
     for row in frame.itertuples(index=False, name=None):
         out = []
         for v in row:
-            if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+            if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
                 out.append("NULL")
             elif isinstance(v, bool) or type(v).__name__ == "bool_":
                 out.append(str(bool(v)))
@@ -61,7 +65,9 @@ def compare(spark, con, name, sf_dir):
     """Empty text when equal, else what differs; None without SQL."""
     from __spark_entry__ import oracle_sql, queries
 
+    t0 = time.time()
     got = queries()[name](spark, sf_dir).toPandas()
+    TIMES[name] = time.time() - t0
     sql = oracle_sql().get(name)
     if sql is None:
         return None, len(got)
@@ -70,10 +76,11 @@ def compare(spark, con, name, sf_dir):
     wc, wr = normalize(want)
     if gc != wc:
         return f"columns {gc} != {wc}", len(got)
-    kinds = [(c, str(got[c].dtype), str(want[c].dtype)) for c in gc if str(got[c].dtype) != str(want[c].dtype)]
+    same = lambda a, b: a.lower().rstrip("0123456789") == b.lower().rstrip("0123456789") or got[c].isna().any()
+    kinds = [(c, str(got[c].dtype), str(want[c].dtype)) for c in gc if not same(str(got[c].dtype), str(want[c].dtype))]
     if gr != wr:
-        extra = [r for r in gr if r not in set(wr)][:3]
-        missing = [r for r in wr if r not in set(gr)][:3]
+        extra = list((Counter(gr) - Counter(wr)).elements())[:3]
+        missing = list((Counter(wr) - Counter(gr)).elements())[:3]
         return f"rows {len(gr)} / {len(wr)}; only spark {extra}; only sql {missing} ({gc}) {kinds}", len(got)
     return (f"TYPES {kinds}" if kinds and len(gr) else ""), len(got)
 
@@ -97,7 +104,7 @@ def main():
         if problem is None:
             flag = "rows-only"
         bad += flag == "BAD"
-        print(f"{flag:9s} {name:36s} rows={n:<7d} {time.time() - t0:6.2f}s {problem or ''}", flush=True)
+        print(f"{flag:9s} {name:36s} rows={n:<7d} {TIMES.get(name, 0):6.2f}s / {time.time() - t0:6.2f}s {problem or ''}", flush=True)
     print("bad:", bad)
 
 
