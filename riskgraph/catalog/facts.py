@@ -50,7 +50,7 @@ def raw_lines(spark, d):
     }
     full = [values.get(f, F.lit("")) for f in R.FIELDS]
     short = (F.col("l_linestatus") == "O") & (F.col("l_quantity") > 45)
-    return rows.select(F.when(short, F.concat_ws("\t", *full[:-1])).otherwise(F.concat_ws("\t", *full)).alias("value"))
+    return rows.select(F.concat_ws("\t", *full[:-1], F.when(~short, full[-1])).alias("value"))
 
 
 def recalls(spark, d):

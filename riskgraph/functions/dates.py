@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from riskgraph.functions.keys import clean
+
 
 def _column(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -30,13 +32,13 @@ def parse_iso_prefix(value) -> Column:
 
 def parse_compact(value) -> Column:
     """Strict ``YYYYMMDD`` date; surrounding whitespace ignored."""
-    text = F.regexp_replace(_column(value), r"^\s+|\s+$", "")
+    text = clean(value)
     return F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
 
 
 def parse_mixed(value) -> Column:
     """``m/d/Y``, ``m/d/y`` (69-99 means 1969-1999) or ``Y-m-d``, tried in that order."""
-    text = F.regexp_replace(_column(value), r"^\s+|\s+$", "")
+    text = clean(value)
     two_digit = F.when(
         text.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"),
         F.try_to_date(
@@ -57,6 +59,6 @@ def parse_mixed(value) -> Column:
 
 def parse_day(value) -> Column:
     """Epoch day from an integer or a canonical ISO date; anything else is NULL."""
-    text = F.regexp_replace(_column(value), r"^\s+|\s+$", "")
+    text = clean(value)
     parsed = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
     return F.when(text.rlike(r"^-?\d+$"), text.try_cast("int")).otherwise(F.unix_date(parsed))

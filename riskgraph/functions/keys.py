@@ -11,9 +11,16 @@ def _column(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+# The characters that count as whitespace at the ends of a value.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def clean(value) -> Column:
     """Strip every kind of surrounding whitespace."""
-    return F.regexp_replace(_column(value), r"(?U)^\s+|(?U)\s+$", "")
+    return F.btrim(_column(value), F.lit(WHITESPACE))
 
 
 def canonical_key(value, numeric: bool = False) -> Column:

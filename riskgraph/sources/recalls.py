@@ -67,34 +67,43 @@ def decode_bytes(raw: str | Column) -> tuple[Column, Column]:
 
 
 def split_fields(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Decode each line and split it on tabs; ``fields`` may have any length."""
+    """Decode each line, split it on tabs and parse its received date.
+
+    ``fields`` may have any length; ``received`` is NULL unless the line has 29 fields and a valid
+    date. Both are produced through a one-row generator: a filter on them is then applied to the
+    produced values instead of being pushed down as another copy of the decoding and splitting.
+    """
+    carried = [c for c in lines.columns if c != value]
     text, encoding = decode_bytes(value)
-    return lines.withColumn("encoding", encoding).withColumn(
-        "fields", F.split(F.regexp_replace(text, r"[\r\n]+$", ""), "\t", -1)
+    split = lines.select(
+        *carried,
+        F.inline(F.array(F.struct(
+            encoding.alias("encoding"), F.split(F.rtrim(text, F.lit("\r\n")), "\t", -1).alias("fields")
+        ))),
     )
+    date_text = F.get("fields", F.lit(FIELDS.index("RCDATE")))
+    return split.select("*", F.inline(F.array(F.struct(
+        F.when(F.size("fields") == len(FIELDS), parse_compact(date_text)).alias("received")
+    ))))
 
 
 def accepted_rows(split: DataFrame, first: str = "2018-01-01", last: str = "2025-12-31") -> DataFrame:
     """Well-formed rows received in ``[first, last]``, one column per field plus the received date."""
-    carried = [c for c in split.columns if c not in ("fields", "value")]
-    ok = split.filter(F.size("fields") == len(FIELDS))
-    named = ok.select(*carried, *[F.col("fields")[i].alias(n) for i, n in enumerate(FIELDS)])
-    return named.withColumn("received", parse_compact("RCDATE")).filter(
+    carried = [c for c in split.columns if c != "fields"]
+    return split.filter(
         F.col("received").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-    )
+    ).select(*carried, *[F.col("fields")[i].alias(n) for i, n in enumerate(FIELDS)])
 
 
 def rejected_rows(split: DataFrame) -> DataFrame:
     """Rows with a wrong field count or an unusable received date, with the reason."""
-    carried = [c for c in split.columns if c not in ("fields", "value")]
+    carried = [c for c in split.columns if c not in ("fields", "received")]
     n = F.size("fields")
     date_text = F.get("fields", F.lit(FIELDS.index("RCDATE")))
-    reason = F.when(n != len(FIELDS), "field_count_not_29").when(
-        parse_compact(date_text).isNull(), "invalid_or_missing_report_received_date"
+    return split.filter(F.col("received").isNull()).select(
+        *carried, n.alias("field_count"), F.when(n == len(FIELDS), date_text).alias("RCDATE"),
+        F.when(n != len(FIELDS), "field_count_not_29").otherwise("invalid_or_missing_report_received_date").alias("reason"),
     )
-    return split.select(
-        *carried, n.alias("field_count"), F.when(n == len(FIELDS), date_text).alias("RCDATE"), reason.alias("reason")
-    ).filter(F.col("reason").isNotNull())
 
 
 def recall_rows(accepted: DataFrame, lineage: tuple[str, ...] = ()) -> DataFrame:

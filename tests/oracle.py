@@ -76,8 +76,8 @@ def compare(spark, con, name, sf_dir):
     wc, wr = normalize(want)
     if gc != wc:
         return f"columns {gc} != {wc}", len(got)
-    same = lambda a, b: a.lower().rstrip("0123456789") == b.lower().rstrip("0123456789") or got[c].isna().any()
-    kinds = [(c, str(got[c].dtype), str(want[c].dtype)) for c in gc if not same(str(got[c].dtype), str(want[c].dtype))]
+    same = lambda c, a, b: a.lower().rstrip("0123456789") == b.lower().rstrip("0123456789") or got[c].isna().any()
+    kinds = [(c, str(got[c].dtype), str(want[c].dtype)) for c in gc if not same(c, str(got[c].dtype), str(want[c].dtype))]
     if gr != wr:
         extra = list((Counter(gr) - Counter(wr)).elements())[:3]
         missing = list((Counter(wr) - Counter(gr)).elements())[:3]
