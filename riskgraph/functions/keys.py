@@ -28,10 +28,14 @@ def canonical_key(value, numeric: bool = False) -> Column:
     text = clean(value)
     if numeric:
         number = text.try_cast("double")
-        text = F.when(
-            number.isNotNull() & (F.abs(number) < 9e15) & (number == F.floor(number)),
-            number.cast("decimal(18,0)").cast("string"),
-        ).otherwise(text)
+        text = (
+            F.when(text.rlike(r"^-?[0-9]+\.0*$"), F.substring_index(text, ".", 1))
+            .when(
+                text.rlike(r"^-?[0-9.]+[eE][+-]?[0-9]+$") & (F.abs(number) < 9e15) & (number == F.floor(number)),
+                number.cast("decimal(18,0)").cast("string"),
+            )
+            .otherwise(text)
+        )
     return F.nullif(text, F.lit(""))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from riskgraph.functions.dates import parse_mixed
 from riskgraph.functions.keys import canonical_key, clean, prefixed
@@ -84,64 +84,70 @@ def rows_without_key(rows: DataFrame, key: str) -> DataFrame:
     return rows.filter(empty_key & (F.concat(*others) != ""))
 
 
-def _observe(rows: DataFrame, entity: Column, kind: str, name: Column, at: Sequence[str]) -> DataFrame:
-    return rows.select(
-        entity.alias("entity_id"), F.lit(kind).alias("entity_type"), name.cast("string").alias("name"), *at
-    ).filter(F.col("entity_id").isNotNull())
-
-
-def _relate(rows: DataFrame, head: Column, tail: Column, kind: str, at: Sequence[str], value: Column | None = None) -> DataFrame:
-    return rows.select(
-        head.alias("head"), tail.alias("tail"), F.lit(kind).alias("relation_type"),
-        (F.lit(None).cast("string") if value is None else value.cast("string")).alias("attribute"), *at
-    ).filter(F.col("head").isNotNull() & F.col("tail").isNotNull())
-
-
 def asset_observations(kind: str, rows: DataFrame, prefix: str = "eia", at: Sequence[str] = ("year", "row")) -> tuple[DataFrame, DataFrame]:
     """Entity and relation observations of one survey table.
 
-    ``rows`` has the survey columns as strings plus the locator columns ``at``. Missing columns count
-    as empty.
+    ``rows`` has the survey columns as strings plus the locator columns ``at``; missing columns count
+    as empty. The keys of a row are derived once and its observations fan out from that row, so the
+    table is read once for entities and once for relations.
     """
-    at = [*at]
     have = set(rows.columns)
-    col = lambda c: F.col(f"`{c}`") if c in have else F.lit(None).cast("string")
+    col = lambda c: (F.col(f"`{c}`") if c in have else F.lit(None)).cast("string")
     key = lambda c: canonical_key(col(c), numeric=True)
-    rows = rows.withColumn("_t", F.lit(TABLE_ORDER.index(kind))).filter(key("Utility ID").isNotNull())
-    locate = [*at, "_t"]
-    utility = prefixed(f"{prefix}:utility", key("Utility ID"))
-    plant = prefixed(f"{prefix}:plant", key("Plant Code"))
-    generator = prefixed(f"{prefix}:generator", key("Plant Code"), key("Generator ID"))
-    state = prefixed(f"{prefix}:state", key("State"))
-    entities = [
-        _observe(rows, utility, "utility_reporting_entity", col("Utility Name"), locate),
-        _observe(rows, plant, "plant", col("Plant Name"), locate),
-        _observe(rows, generator, "generator", key("Generator ID"), locate),
-        _observe(rows, state, "region_state_code", key("State"), locate),
-    ]
-    relations = [
-        _relate(rows, generator, plant, "LocatedAtPlant", locate),
-        _relate(rows, F.coalesce(plant, utility), state, "LocatedInState", locate),
-    ]
+    locate = [*at, F.lit(TABLE_ORDER.index(kind)).alias("_t")]
+    derived = F.struct(
+        key("Utility ID").alias("u"), key("Plant Code").alias("p"), key("Generator ID").alias("g"), key("State").alias("s"),
+        key("Primary Purpose (NAICS Code)").alias("n"), key("Ownership ID").alias("o"),
+        F.array_compact(F.array(*[key(c) for c in ENERGY_FIELDS if c in have])).cast("array<string>").alias("fuels"),
+        clean(col("Utility Name")).alias("utility_name"), clean(col("Plant Name")).alias("plant_name"),
+        clean(col("Owner Name")).alias("owner_name"), clean(col("Percent Owned")).alias("percent"),
+    )
+    keyed = rows.select(*locate, F.inline(F.array(derived))).filter(F.col("u").isNotNull())
+    utility, plant = prefixed(f"{prefix}:utility", "u"), prefixed(f"{prefix}:plant", "p")
+    generator, state = prefixed(f"{prefix}:generator", "p", "g"), prefixed(f"{prefix}:state", "s")
+    naics, owner = prefixed(f"{prefix}:naics", "n"), prefixed(f"{prefix}:utility", "o")
+    fuel = lambda f: prefixed(f"{prefix}:fuel", f)
+    none = F.lit(None).cast("string")
+
+    def entity(i, entity_type, name):
+        return F.struct(i.alias("entity_id"), F.lit(entity_type).alias("entity_type"), name.alias("name"))
+
+    def relation(head, tail, relation_type, value=none):
+        return F.struct(
+            head.alias("head"), tail.alias("tail"), F.lit(relation_type).alias("relation_type"), value.alias("attribute")
+        )
+
+    entities = F.array(
+        entity(utility, "utility_reporting_entity", F.col("utility_name")),
+        entity(plant, "plant", F.col("plant_name")),
+        entity(generator, "generator", F.col("g")),
+        entity(state, "region_state_code", F.col("s")),
+    )
+    relations = F.array(
+        relation(generator, plant, "LocatedAtPlant"), relation(F.coalesce(plant, utility), state, "LocatedInState")
+    )
     if kind == "plant":
-        naics = prefixed(f"{prefix}:naics", key("Primary Purpose (NAICS Code)"))
-        entities.append(_observe(rows, naics, "industry_naics_code", key("Primary Purpose (NAICS Code)"), locate))
-        relations += [
-            _relate(rows, plant, utility, "ReportedBy", locate),
-            _relate(rows, plant, naics, "PrimaryPurposeNAICS", locate),
-        ]
+        entities = F.concat(entities, F.array(entity(naics, "industry_naics_code", F.col("n"))))
+        relations = F.concat(relations, F.array(
+            relation(plant, utility, "ReportedBy"), relation(plant, naics, "PrimaryPurposeNAICS")
+        ))
     if kind == "generator":
-        relations.append(_relate(rows, generator, utility, "ReportedBy", locate))
-        fuels = unpivot_repeated(rows.withColumn("_g", generator), ["_g", *locate], ENERGY_FIELDS, "fuel")
-        fuel = prefixed(f"{prefix}:fuel", canonical_key("fuel", numeric=True))
-        entities.append(_observe(fuels, fuel, "fuel_code", F.col("fuel"), locate))
-        relations.append(_relate(fuels, F.col("_g"), fuel, "UsesEnergySource", locate))
+        # Fuels are entities of the row even when the row names no generator.
+        entities = F.concat(entities, F.transform("fuels", lambda f: entity(fuel(f), "fuel_code", f)))
+        relations = F.concat(
+            relations, F.array(relation(generator, utility, "ReportedBy")),
+            F.transform("fuels", lambda f: relation(generator, fuel(f), "UsesEnergySource")),
+        )
     if kind == "ownership":
-        owner = prefixed(f"{prefix}:utility", key("Ownership ID"))
-        with_generator = rows.filter(generator.isNotNull())
-        entities.append(_observe(with_generator, owner, "utility_reporting_entity", col("Owner Name"), locate))
-        relations.append(_relate(rows, owner, generator, "OwnsReportedGenerator", locate, col("Percent Owned")))
-    return reduce(DataFrame.unionByName, entities), reduce(DataFrame.unionByName, relations)
+        owned = F.when(generator.isNotNull(), owner)
+        entities = F.concat(entities, F.array(entity(owned, "utility_reporting_entity", F.col("owner_name"))))
+        relations = F.concat(relations, F.array(relation(owned, generator, "OwnsReportedGenerator", F.col("percent"))))
+    return (
+        keyed.select(*at, "_t", F.inline(F.filter(entities, lambda e: e["entity_id"].isNotNull()))),
+        keyed.select(
+            *at, "_t", F.inline(F.filter(relations, lambda r: r["head"].isNotNull() & r["tail"].isNotNull()))
+        ),
+    )
 
 
 def asset_graph(tables: dict[str, DataFrame], prefix: str = "eia", at: Sequence[str] = ("year", "row")) -> tuple[DataFrame, DataFrame]:
