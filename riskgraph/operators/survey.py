@@ -98,7 +98,7 @@ def asset_observations(kind: str, rows: DataFrame, prefix: str = "eia", at: Sequ
     derived = F.struct(
         key("Utility ID").alias("u"), key("Plant Code").alias("p"), key("Generator ID").alias("g"), key("State").alias("s"),
         key("Primary Purpose (NAICS Code)").alias("n"), key("Ownership ID").alias("o"),
-        F.array_compact(F.array(*[key(c) for c in ENERGY_FIELDS if c in have])).cast("array<string>").alias("fuels"),
+        *[key(c).alias(f"f{i}") for i, c in enumerate(ENERGY_FIELDS)],
         clean(col("Utility Name")).alias("utility_name"), clean(col("Plant Name")).alias("plant_name"),
         clean(col("Owner Name")).alias("owner_name"), clean(col("Percent Owned")).alias("percent"),
     )
@@ -106,7 +106,7 @@ def asset_observations(kind: str, rows: DataFrame, prefix: str = "eia", at: Sequ
     utility, plant = prefixed(f"{prefix}:utility", "u"), prefixed(f"{prefix}:plant", "p")
     generator, state = prefixed(f"{prefix}:generator", "p", "g"), prefixed(f"{prefix}:state", "s")
     naics, owner = prefixed(f"{prefix}:naics", "n"), prefixed(f"{prefix}:utility", "o")
-    fuel = lambda f: prefixed(f"{prefix}:fuel", f)
+    fuels = [f"f{i}" for i, c in enumerate(ENERGY_FIELDS) if c in have]
     none = F.lit(None).cast("string")
 
     def entity(i, entity_type, name):
@@ -117,36 +117,30 @@ def asset_observations(kind: str, rows: DataFrame, prefix: str = "eia", at: Sequ
             head.alias("head"), tail.alias("tail"), F.lit(relation_type).alias("relation_type"), value.alias("attribute")
         )
 
-    entities = F.array(
+    entities = [
         entity(utility, "utility_reporting_entity", F.col("utility_name")),
         entity(plant, "plant", F.col("plant_name")),
         entity(generator, "generator", F.col("g")),
         entity(state, "region_state_code", F.col("s")),
-    )
-    relations = F.array(
+    ]
+    relations = [
         relation(generator, plant, "LocatedAtPlant"), relation(F.coalesce(plant, utility), state, "LocatedInState")
-    )
+    ]
     if kind == "plant":
-        entities = F.concat(entities, F.array(entity(naics, "industry_naics_code", F.col("n"))))
-        relations = F.concat(relations, F.array(
-            relation(plant, utility, "ReportedBy"), relation(plant, naics, "PrimaryPurposeNAICS")
-        ))
+        entities.append(entity(naics, "industry_naics_code", F.col("n")))
+        relations += [relation(plant, utility, "ReportedBy"), relation(plant, naics, "PrimaryPurposeNAICS")]
     if kind == "generator":
         # Fuels are entities of the row even when the row names no generator.
-        entities = F.concat(entities, F.transform("fuels", lambda f: entity(fuel(f), "fuel_code", f)))
-        relations = F.concat(
-            relations, F.array(relation(generator, utility, "ReportedBy")),
-            F.transform("fuels", lambda f: relation(generator, fuel(f), "UsesEnergySource")),
-        )
+        entities += [entity(prefixed(f"{prefix}:fuel", f), "fuel_code", F.col(f)) for f in fuels]
+        relations.append(relation(generator, utility, "ReportedBy"))
+        relations += [relation(generator, prefixed(f"{prefix}:fuel", f), "UsesEnergySource") for f in fuels]
     if kind == "ownership":
         owned = F.when(generator.isNotNull(), owner)
-        entities = F.concat(entities, F.array(entity(owned, "utility_reporting_entity", F.col("owner_name"))))
-        relations = F.concat(relations, F.array(relation(owned, generator, "OwnsReportedGenerator", F.col("percent"))))
+        entities.append(entity(owned, "utility_reporting_entity", F.col("owner_name")))
+        relations.append(relation(owned, generator, "OwnsReportedGenerator", F.col("percent")))
     return (
-        keyed.select(*at, "_t", F.inline(F.filter(entities, lambda e: e["entity_id"].isNotNull()))),
-        keyed.select(
-            *at, "_t", F.inline(F.filter(relations, lambda r: r["head"].isNotNull() & r["tail"].isNotNull()))
-        ),
+        keyed.select(*at, "_t", F.inline(F.array(*entities))).filter(F.col("entity_id").isNotNull()),
+        keyed.select(*at, "_t", F.inline(F.array(*relations))).filter(F.col("head").isNotNull() & F.col("tail").isNotNull()),
     )
 
 
