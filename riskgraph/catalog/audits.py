@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from riskgraph.catalog.base import (
-    calendar, cte, doc_scores, memory, node_labels, nodes, query, scores, signals, static_edges, table, using,
+    calendar, cte, doc_scores, memory, node_labels, nodes, query, scores, signals, static_edges, table, wide_table, using,
 )
 from riskgraph.catalog.metrics import event_split
 from riskgraph.operators import annotate as N
@@ -268,7 +268,7 @@ def annotation_edge_matches(spark, d):
 
 # Extraction answers per document: evidence is the text's beginning, broken in a different way per source.
 def answers(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text", "source")
+    docs = wide_table(spark, d, "documents", "doc_id", "text", "source")
     kind = F.col("doc_id") % 8
     quoted = F.regexp_extract(F.to_json(F.array(F.substring("text", 1, 12))), r"(?s)^\[(.*)\]$", 1)
     number = F.when(kind == 4, "1.5").when(kind == 5, '"0.5"').otherwise("0.5")

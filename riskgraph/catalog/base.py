@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskgraph.functions.dates import epoch_day
+from riskgraph.runtime import spread
 from riskgraph.operators.temporal import horizon_labels, lookback_memory, step_calendar_over
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +57,11 @@ def table(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def wide_table(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """The same for work that is heavy per row: spread over the cores when the file has too few splits."""
+    return spread(table(spark, d, name, *columns))
+
+
 def r6(value: str | Column, name: str | None = None) -> Column:
     """Six decimals; adding zero turns a negative zero into zero."""
     label = name or (value if isinstance(value, str) else None)

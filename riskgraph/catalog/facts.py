@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from riskgraph.catalog.base import cte, query, table, using
+from riskgraph.catalog.base import cte, query, table, wide_table, using
 from riskgraph.functions import dates as D
 from riskgraph.functions import keys as K
 from riskgraph.operators import facts as X
@@ -31,7 +31,7 @@ cte("recalls", """
 
 
 def raw_lines(spark, d):
-    lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus")
+    lines = wide_table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus")
     part, supp = table(spark, d, "part"), table(spark, d, "supplier", "s_suppkey", "s_name", "s_nationkey")
     from riskgraph.operators.joins import lookup_join
 

@@ -6,6 +6,7 @@ from riskgraph.catalog.base import cte, edges, nodes, query, r6, sources, static
 from riskgraph.operators import graph as G
 from riskgraph.operators import propagate as P
 from riskgraph.operators.metrics import path_log_score
+from riskgraph.runtime import durable
 
 WIDTH, HOPS, TOP = 10, 3, 5
 
@@ -18,7 +19,7 @@ cte("path_edges", """
 
 
 def path_edges(spark, d):
-    e = edges(spark, d)
+    e = durable(edges(spark, d), "edges")
     homes = table(spark, d, "customer", "c_custkey", "c_nationkey").select(
         F.concat(F.lit("c:"), "c_custkey").alias("src"), F.concat(F.lit("n:"), "c_nationkey").alias("dst")
     )

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from riskgraph.catalog.base import cte, memory, query, r6, signals, table, using
+from riskgraph.catalog.base import cte, memory, query, r6, signals, table, wide_table, using
 from riskgraph.functions import numeric as N
 from riskgraph.functions.text import signed_hash_dense, signed_hash_sparse
 from riskgraph.operators import memory as V
@@ -22,7 +22,7 @@ cte("hashed", """
 
 @query(using("hashed", select="SELECT doc_id, bucket, round(value, 6) AS value FROM hashed"))
 def hashed_text_features(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text")
+    docs = wide_table(spark, d, "documents", "doc_id", "text")
     return signed_hash_sparse(docs, "doc_id", "text", DIM).select("doc_id", "bucket", r6("value"))
 
 
@@ -34,7 +34,7 @@ cte("cache", """
 
 def cache(spark, d):
     e = table(spark, d, "embeddings", "vec_id", "embedding")
-    texts = table(spark, d, "documents", "doc_id", "text").groupBy("text").agg(F.min("doc_id").alias("i"))
+    texts = wide_table(spark, d, "documents", "doc_id", "text").groupBy("text").agg(F.min("doc_id").alias("i"))
     n = e.agg(F.count("*")).scalar()
     return texts.withColumn("vec_id", F.col("i") % n).join(e, "vec_id").select("text", "embedding", "vec_id")
 
@@ -42,7 +42,7 @@ def cache(spark, d):
 @query(using("cache", select="SELECT d.doc_id, c.vec_id, round(c.embedding[1]::DOUBLE, 6) AS first_value FROM documents d JOIN cache c USING (text)"))
 def cached_text_vectors(spark, d):
     c = cache(spark, d)
-    docs = table(spark, d, "documents", "doc_id", "text")
+    docs = wide_table(spark, d, "documents", "doc_id", "text")
     stored = c.select("text", F.struct("vec_id", "embedding").alias("embedding"))
     found = V.vectors_by_text(docs, stored)
     return found.select("doc_id", "embedding.vec_id", r6(F.col("embedding.embedding")[0].cast("double"), "first_value"))

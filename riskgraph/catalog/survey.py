@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from riskgraph.catalog.base import cte, query, table, using
+from riskgraph.catalog.base import cte, query, table, wide_table, using
 from riskgraph.functions.dates import epoch_day
 from riskgraph.operators import survey as S
 
@@ -80,7 +80,7 @@ cte("relation_obs", """
 
 
 def survey_tables(spark, d):
-    lines = table(spark, d, "lineitem", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag",
+    lines = wide_table(spark, d, "lineitem", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag",
                   "l_linestatus", "l_discount", "l_tax", "l_quantity")
     base = [
         F.year("l_shipdate").alias("year"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("row"),

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from riskgraph.catalog.base import (
     HORIZON, LOOKBACK, SLOTS, calendar, cte, edges, flows, memory, node_labels, query, signals, sources, static_edges,
-    table, using,
+    table, wide_table, using,
 )
 from riskgraph.functions.dates import epoch_day
 from riskgraph.functions.text import phrase_spans
@@ -96,7 +96,7 @@ PHRASES = ["worthless", "license", "password", "the and"]
 
 def contexts(spark, d):
     i = F.col("doc_id")
-    return table(spark, d, "documents", "doc_id", "source", "text").select(
+    return wide_table(spark, d, "documents", "doc_id", "source", "text").select(
         i.alias("context_id"), F.expr("doc_id div 3").alias("doc_id"), F.col("source").alias("node_id"), "text",
         (i % 7).cast("int").alias("char_start"), (i % 30 + 19723).cast("int").alias("event_day"),
     )

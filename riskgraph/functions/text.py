@@ -29,17 +29,25 @@ def word_tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(_column(text)), F.lit(WORD), F.lit(0))
 
 
-def hash_bucket(token, dim: int = 64) -> Column:
-    """Bucket of a token: first four sha256 bytes as a little-endian integer modulo ``dim``."""
-    digest = F.sha2(_column(token), 256)
+def _hex_digit(digest: Column, position: int) -> Column:
+    code = F.ascii(F.substring(digest, position, 1))
+    return code - F.when(code >= 97, 87).otherwise(48)
+
+
+def hash_bucket(digest: Column, dim: int = 64) -> Column:
+    """Bucket of a token's sha256 hex digest: its first four bytes, little-endian, modulo ``dim``.
+
+    A ``dim`` dividing 256 depends on the first byte alone.
+    """
+    if 256 % dim == 0:
+        return F.pmod(_hex_digit(digest, 1) * 16 + _hex_digit(digest, 2), F.lit(dim))
     swapped = F.concat(*[F.substring(digest, p, 2) for p in (7, 5, 3, 1)])
     return F.pmod(F.conv(swapped, 16, 10).cast("bigint"), F.lit(dim)).cast("int")
 
 
-def hash_sign(token) -> Column:
+def hash_sign(digest: Column) -> Column:
     """+1 when the fifth sha256 byte is odd, otherwise -1."""
-    low = F.conv(F.substring(F.sha2(_column(token), 256), 10, 1), 16, 10).cast("int")
-    return F.when(low.bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)
+    return F.when(_hex_digit(digest, 10).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)
 
 
 def signed_hash_dense(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
@@ -48,9 +56,8 @@ def signed_hash_dense(df: DataFrame, key: str, text: str, dim: int = 64) -> Data
     One aggregate per bucket, so the words of a text collapse to a single row in the task that read
     it and only that row is shuffled. A text without words has the zero vector.
     """
-    words = df.select(key, F.explode_outer(word_tokens(text)).alias("_w")).select(
-        key, hash_bucket("_w", dim).alias("_b"), hash_sign("_w").alias("_s")
-    )
+    digests = df.select(key, F.explode_outer(word_tokens(text)).alias("_w")).select(key, F.sha2("_w", 256).alias("_d"))
+    words = digests.select(key, hash_bucket(F.col("_d"), dim).alias("_b"), hash_sign(F.col("_d")).alias("_s"))
     sums = words.groupBy(key).agg(
         *[F.sum(F.when(F.col("_b") == i, F.col("_s")).otherwise(0)).alias(f"_v{i}") for i in range(dim)]
     )

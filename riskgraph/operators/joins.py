@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskgraph import runtime
 
+_SALTS = 4096
+
 
 def lookup_join(
     rows: DataFrame,
@@ -20,23 +22,60 @@ def lookup_join(
 ) -> DataFrame:
     """Join many ``rows`` to a ``lookup`` with a bounded number of rows per key.
 
-    A lookup whose planned size is small is broadcast. Otherwise the keys with more than ``hot_rows``
-    rows are found by a map-side-combined count; their rows meet a broadcast of just their lookup
-    rows (at most ``count(rows) / hot_rows`` keys) and never move, all others shuffle normally.
+    A lookup whose planned size is small is broadcast. Otherwise both sides are shuffled and adaptive
+    execution splits the partitions of hot keys. Where that is switched off, or ``hot_rows`` is given,
+    the keys with more rows than that are found by a map-side-combined count; their rows meet a
+    broadcast of just their lookup rows (at most ``count(rows) / hot_rows`` keys) and never move.
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
     """
     on = list(on)
     broadcast_bytes = runtime.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
-    hot_rows = runtime.HOT_ROWS if hot_rows is None else hot_rows
     if runtime.planned_bytes(lookup) <= broadcast_bytes:
         return rows.join(F.broadcast(lookup), on, how)
-    hot = rows.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*on)
+    if hot_rows is None and runtime.splits_skewed_joins(rows.sparkSession):
+        return rows.join(lookup, on, how)
+    limit = runtime.HOT_ROWS if hot_rows is None else hot_rows
+    hot = rows.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*on)
     hot_lookup = lookup.join(F.broadcast(hot), on, "left_semi")
     near = rows.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_lookup), on, how)
     far = rows.join(F.broadcast(hot), on, "left_anti").join(lookup, on, how)
     return near.unionByName(far)
 
 
+def join_stats(
+    rows: DataFrame,
+    stats: DataFrame,
+    on: Sequence[str],
+    size: str,
+    *,
+    broadcast_bytes: int | None = None,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Join rows back to aggregates of their own groups; ``size`` is the group's row count in ``stats``.
+
+    Adaptive execution cannot split this join, because the aggregate is already partitioned by the
+    key. The statistics of groups with more than ``hot_rows`` rows, at most ``count(rows) / hot_rows``
+    of them, are broadcast instead. Rows that got theirs that way carry a spreading salt through the
+    shuffle of the others, so no partition holds a hot group and ``rows`` is read once.
+    """
+    on = list(on)
+    broadcast_bytes = runtime.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    limit = runtime.HOT_ROWS if hot_rows is None else hot_rows
+    values = [c for c in stats.columns if c not in on and c != size]
+    known = stats.filter(" and ".join(f"`{k}` is not null" for k in on))
+    if runtime.planned_bytes(stats) <= broadcast_bytes:
+        return rows.join(F.broadcast(known.drop(size)), on)
+    packed = F.struct(*values)
+    hot = known.filter(F.col(size) > limit).select(*on, packed.alias("_hot"))
+    cold = known.filter(F.col(size) <= limit).select(*on, F.lit(0).alias("_salt"), packed.alias("_cold"))
+    spread = F.when(
+        F.col("_hot").isNotNull(), (F.pmod(F.xxhash64(*rows.columns), F.lit(_SALTS)) + 1).cast("int")
+    ).otherwise(0)
+    tagged = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", spread)
+    joined = tagged.join(cold, [*on, "_salt"], "left").withColumn("_s", F.coalesce("_hot", "_cold"))
+    return joined.filter(F.col("_s").isNotNull()).select(*rows.columns, "_s.*")
+
+
 def attach_group_stats(
     rows: DataFrame,
     on: Sequence[str],
@@ -46,7 +85,7 @@ def attach_group_stats(
     """Add per-group aggregates to every row of the group.
 
     Equivalent to an unordered window, but the group is never collected in one task: the aggregate is
-    combined map-side and joined back with :func:`lookup_join`.
+    combined map-side and joined back with :func:`join_stats`.
     """
-    grouped = rows.groupBy(*on).agg(*[c.alias(name) for name, c in stats.items()])
-    return lookup_join(rows, grouped, on, "inner", **join_options)
+    grouped = rows.groupBy(*on).agg(*[c.alias(name) for name, c in stats.items()], F.count("*").alias("_size"))
+    return join_stats(rows, grouped, on, "_size", **join_options)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskgraph import runtime
-from riskgraph.operators.joins import lookup_join
+from riskgraph.operators.joins import join_stats
 
 _INDEX_BITS = 33
 _INDEX_MASK = (1 << _INDEX_BITS) - 1
@@ -57,9 +57,9 @@ def ordered_position(
     )
     if not group:
         return placed
-    starts = placed.groupBy(*group).agg(F.min(name).alias("_start"))
+    starts = placed.groupBy(*group).agg(F.min(name).alias("_start"), F.count("*").alias("_size"))
     return (
-        lookup_join(placed, starts, list(group))
+        join_stats(placed, starts, list(group), "_size")
         .withColumn(name, F.col(name) - F.col("_start"))
         .drop("_start")
     )
@@ -90,7 +90,8 @@ def running_totals(
     inner = ranged.select(
         "*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(n) for n, c in sums.items()]
     )
-    joined = lookup_join(inner, offsets, cell)
+    # A cell is one group inside one range partition: bounded, so a plain join is enough.
+    joined = inner.join(offsets, cell)
     for n in sums:
         joined = joined.withColumn(n, F.col(n) + F.col(f"_o_{n}")).drop(f"_o_{n}")
     return joined.drop("_part")

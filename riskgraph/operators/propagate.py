@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from riskgraph.functions.numeric import clamp, relu, sigmoid
-from riskgraph.operators.joins import lookup_join
+from riskgraph.operators.joins import join_stats, lookup_join
 
 MODES = ("full", "no_overload", "no_resgate")
 _BIN = 32.0
@@ -35,9 +35,12 @@ def group_softmax(edges: DataFrame, group: Sequence[str] = ("src", "rel"), logit
     """
     x = F.col(logit).cast("double")
     band = F.floor(x / _BIN)
-    bands = edges.groupBy(*group, band.alias("_b")).agg(F.sum(F.exp(x - F.floor(x / _BIN) * _BIN)).alias("_s"))
+    bands = edges.groupBy(*group, band.alias("_b")).agg(
+        F.sum(F.exp(x - F.floor(x / _BIN) * _BIN)).alias("_s"), F.count("*").alias("_c")
+    )
     tops = bands.groupBy(*group).agg(
-        F.max(F.struct("_b", "_s")).alias("_m"), F.collect_list(F.struct("_b", "_s")).alias("_all")
+        F.max(F.struct("_b", "_s")).alias("_m"), F.collect_list(F.struct("_b", "_s")).alias("_all"),
+        F.sum("_c").alias("_size"),
     )
     top = F.col("_m._b")
     norms = tops.select(
@@ -48,8 +51,9 @@ def group_softmax(edges: DataFrame, group: Sequence[str] = ("src", "rel"), logit
                 F.aggregate("_all", F.lit(0.0), lambda acc, r: acc + r["_s"] * F.exp((r["_b"] - top) * _BIN))
             )
         ).alias("_lse"),
+        "_size",
     )
-    return lookup_join(edges, norms, list(group), **join_options).withColumn(
+    return join_stats(edges, norms, list(group), "_size", **join_options).withColumn(
         name, F.exp(x - F.col("_lse"))
     ).drop("_lse")
 

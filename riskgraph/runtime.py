@@ -52,3 +52,20 @@ def planned_bytes(df: DataFrame) -> int:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def splits_skewed_joins(spark: SparkSession) -> bool:
+    """Whether adaptive execution is on and splits skewed join partitions."""
+    on = lambda key: spark.conf.get(key, "true").lower() == "true"
+    return on("spark.sql.adaptive.enabled") and on("spark.sql.adaptive.skewJoin.enabled")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for work on a scan that has fewer splits than there are cores.
+
+    Only small or unsplittable inputs are redistributed; a scan with enough splits is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
