@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskgraph.functions.dates import epoch_day
-from riskgraph.runtime import spread
-from riskgraph.operators.temporal import horizon_labels, lookback_memory, step_calendar_over
+from riskgraph.operators.joins import attach_group_stats
+from riskgraph.operators.temporal import horizon_labels, lookback_memory, select_sources, step_calendar_over
+from riskgraph.runtime import durable, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -188,14 +189,17 @@ cte("edges", """
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     f = flows(spark, d)
-    pair = lambda a, x, b, y, rel: f.groupBy(
-        "snapshot", F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst")
-    ).agg(F.sum("l_quantity").alias("qty")).withColumn("rel", F.lit(rel))
-    flow = pair("s:", "l_suppkey", "p:", "l_partkey", "supplies").unionByName(
-        pair("p:", "l_partkey", "c:", "o_custkey", "shipped_to")
-    )
-    from riskgraph.operators.joins import attach_group_stats
 
+    def arcs(a, x, b, y, rel):
+        # Grouped by the numeric keys; ids are spelled out on the far fewer pairs.
+        return f.groupBy("snapshot", x, y).agg(F.sum("l_quantity").alias("qty")).select(
+            "snapshot", F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"), F.lit(rel).alias("rel"), "qty"
+        )
+
+    flow = durable(
+        arcs("s:", "l_suppkey", "p:", "l_partkey", "supplies").unionByName(arcs("p:", "l_partkey", "c:", "o_custkey", "shipped_to")),
+        "flow",
+    )
     return attach_group_stats(flow, ["snapshot", "dst", "rel"], {"_q": F.sum("qty")}).select(
         "snapshot", F.concat_ws("|", "src", "dst", "rel").alias("edge_id"), "src", "dst", "rel", "qty",
         (F.col("qty") / F.col("_q")).alias("dependency"),
@@ -257,8 +261,6 @@ cte("sources", """
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
-    from riskgraph.operators.temporal import select_sources
-
     return select_sources(
         flows(spark, d).select(
             "snapshot", F.concat(F.lit("s:"), "l_suppkey").alias("node_id"), F.col("l_extendedprice").alias("strength")
