@@ -183,15 +183,14 @@ def usable_adjacency(spark, d):
 
 cte("reach", """
   WITH RECURSIVE walk AS (
-    SELECT DISTINCT 's:' || s_suppkey AS source, 's:' || s_suppkey AS node_id, 0 AS hop FROM supplier WHERE s_acctbal > 9000
+    SELECT DISTINCT node_id AS source, node_id, 0 AS hop FROM sources
     UNION
     SELECT w.source, e.dst, w.hop + 1 FROM walk w JOIN static_edges e ON e.src = w.node_id WHERE w.hop < 3)
-  SELECT source, node_id, CAST(min(hop) AS INTEGER) AS hop FROM walk GROUP BY source, node_id""", "static_edges")
+  SELECT source, node_id, CAST(min(hop) AS INTEGER) AS hop FROM walk GROUP BY source, node_id""", "static_edges", "sources")
 
 
 def reach(spark, d):
-    rich = table(spark, d, "supplier").filter(F.col("s_acctbal") > 9000)
-    return G.reachability(static_edges(spark, d), rich.select(F.concat(F.lit("s:"), "s_suppkey").alias("source")), HOPS)
+    return G.reachability(static_edges(spark, d), sources(spark, d).select(F.col("node_id").alias("source")), HOPS)
 
 
 @query(using("reach", select="SELECT source, node_id, hop FROM reach"))
@@ -334,13 +333,13 @@ def roots(spark):
          WHEN qid IN (SELECT qid FROM roots) THEN 'root' ELSE 'expanded' END AS status
   FROM (SELECT qid, CAST(min(depth) AS INTEGER) AS depth FROM (
     WITH RECURSIVE walk AS (
-      SELECT 'Q' || p_partkey AS qid, 0 AS depth FROM part WHERE p_partkey % 2 = 1 AND p_partkey > 1000
+      SELECT 'Q' || p_partkey AS qid, 0 AS depth FROM part WHERE p_type <> 'STANDARD'
       UNION SELECT qid, 0 FROM roots
       UNION SELECT a.parent, w.depth + 1 FROM walk w JOIN arcs a ON a.child = w.qid WHERE w.depth < 5)
     SELECT * FROM walk) GROUP BY qid)"""))
 def taxonomy_expansion(spark, d):
-    p = table(spark, d, "part", "p_partkey", "p_size")
-    seeds = p.filter((F.col("p_partkey") % 2 == 1) & (F.col("p_partkey") > 1000)).select(F.concat(F.lit("Q"), "p_partkey").alias("qid"))
+    p = table(spark, d, "part", "p_partkey", "p_size", "p_type")
+    seeds = p.filter(F.col("p_type") != "STANDARD").select(F.concat(F.lit("Q"), "p_partkey").alias("qid"))
     known = p.filter(F.col("p_size") != 7).select(F.concat(F.lit("Q"), "p_partkey").alias("qid"))
     return G.expand_taxonomy(seeds, arcs(spark, d), roots(spark), known, 4)
 
@@ -365,16 +364,15 @@ def subclass_proofs(spark, d):
     )
 
 
-# Entities are suppliers, an instance of the parts they delivered in the line with number 1.
+# Entities are suppliers, each an instance of the part with its number, and parts; parts of size 50 are firms.
 cte("instances", """
-  SELECT DISTINCT 'S' || l_suppkey AS qid, 'Q' || l_partkey AS class_qid FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 49
+  SELECT 'S' || s_suppkey AS qid, 'Q' || s_suppkey AS class_qid FROM supplier
   UNION SELECT DISTINCT 'Q' || p_partkey, 'Q4' FROM part WHERE p_size = 50""")
 
 
 def instances(spark, d):
-    by_supplier = table(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity").filter(
-        (F.col("l_linenumber") == 1) & (F.col("l_quantity") > 49)
-    ).select(F.concat(F.lit("S"), "l_suppkey").alias("qid"), F.concat(F.lit("Q"), "l_partkey").alias("class_qid"))
+    by_supplier = table(spark, d, "supplier", "s_suppkey").select(
+        F.concat(F.lit("S"), "s_suppkey").alias("qid"), F.concat(F.lit("Q"), "s_suppkey").alias("class_qid"))
     by_part = table(spark, d, "part", "p_partkey", "p_size").filter(F.col("p_size") == 50).select(
         F.concat(F.lit("Q"), "p_partkey").alias("qid"), F.lit("Q4").alias("class_qid"))
     return by_supplier.unionByName(by_part).distinct()
