@@ -18,6 +18,7 @@ DIM = 1 << DIM_BITS
 ORDERS = (1, 2, 3)
 #: Documents of each language that the weights are fitted on (the n-gram statistics cover all learning rows).
 SAMPLE_PER_LANGUAGE = 1000
+_SALTS = 32
 _SCALE = 32.0
 _GRAM = keys(31, 8)
 UNKNOWN = "und"
@@ -142,7 +143,10 @@ def train_language_model(docs: DataFrame, *, per_language: int = SAMPLE_PER_LANG
         else:
             df[bucket] = n
     idf = np.log((1 + texts) / (1 + df)) + 1.0
-    ids = top_k_per_key(learn.select("doc_id", "lang").distinct(), ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], per_language).select("doc_id", "lang")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    spread_out = learn.select("doc_id", "lang").distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(_SALTS)))
+    few = top_k_per_key(spread_out, ["lang", "salt"], order, per_language).select("doc_id", "lang")  # at most _SALTS * per_language rows of a language
+    ids = top_k_per_key(few, ["lang"], order, per_language).select("doc_id", "lang")
     picked = learn.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
     sample = picked.mapInArrow(_sample_features, "doc_id long, lang string, buckets binary, counts binary").collect()
     languages = sorted({r.lang for r in sample})
