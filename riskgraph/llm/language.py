@@ -19,6 +19,7 @@ ORDERS = (1, 2, 3)
 #: Documents of each language that the weights are fitted on (the n-gram statistics cover all learning rows).
 SAMPLE_PER_LANGUAGE = 1000
 _SALTS = 32
+_CHUNK = 1 << 18  # bytes of text at a time; their n-grams take some hundred times that
 _SCALE = 32.0
 _GRAM = keys(31, 8)
 UNKNOWN = "und"
@@ -64,7 +65,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     """(bucket, n): texts that hold an n-gram of the bucket, summed over the task; bucket -1 counts the texts."""
     total, texts = np.zeros(DIM, dtype=np.int64), 0
     for batch in batches:
-        for part in chunks(batch):
+        for part in chunks(batch, limit=_CHUNK):
             buckets, offsets = gram_buckets(part.column(0))
             texts += part.num_rows
             for i in range(part.num_rows):
@@ -79,7 +80,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in chunks(batch):
+        for part in chunks(batch, limit=_CHUNK):
             buckets, offsets = gram_buckets(part.column(2))
             rows = [np.unique(buckets[offsets[i] : offsets[i + 1]], return_counts=True) for i in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays(
@@ -171,7 +172,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, *extra: str, keep_te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=_CHUNK):
                 texts = pc.fill_null(part.column(part.num_columns - 1), "")
                 buckets, offsets = gram_buckets(texts)
                 letters = np.asarray(pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False), dtype=bool)

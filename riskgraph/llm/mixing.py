@@ -68,11 +68,12 @@ def permuted(rows: DataFrame, index: str, size: str, salt: str, name: str, seed:
     The rounds are folds inside the row: as plain columns their expressions would multiply when projects merge.
     """
     rows = rows.withColumn("_p", F.floor(F.sqrt(F.col(size))).cast("long")).withColumn("_q", F.expr(f"{size} div _p"))
-    feistel = f"""aggregate(sequence(0, 3), named_struct('l', x div _q, 'r', x % _q), (s, k) -> if(k % 2 = 0,
-        named_struct('l', (s.l + pmod(xxhash64({seed}, {salt}, turn, k, s.r), _p)) % _p, 'r', s.r),
-        named_struct('l', s.l, 'r', (s.r + pmod(xxhash64({seed}, {salt}, turn, k, s.l), _q)) % _q)), s -> s.l * _q + s.r)"""
+    # The names inside the folds start with two underscores, so that no column of ``rows`` is taken for one of them.
+    feistel = f"""aggregate(sequence(0, 3), named_struct('l', __x div _q, 'r', __x % _q), (__s, __k) -> if(__k % 2 = 0,
+        named_struct('l', (__s.l + pmod(xxhash64({seed}, {salt}, __turn, __k, __s.r), _p)) % _p, 'r', __s.r),
+        named_struct('l', __s.l, 'r', (__s.r + pmod(xxhash64({seed}, {salt}, __turn, __k, __s.l), _q)) % _q)), __s -> __s.l * _q + __s.r)"""
     turns = f"""aggregate(array(0, 1), {index},
-        (x, turn) -> (if(x < _p * _q, {feistel}, x) + pmod(xxhash64({seed}, {salt}, turn), {size})) % {size})"""
+        (__x, __turn) -> (if(__x < _p * _q, {feistel}, __x) + pmod(xxhash64({seed}, {salt}, __turn), {size})) % {size})"""
     return rows.withColumn(name, F.expr(turns)).drop("_p", "_q")
 
 
