@@ -140,11 +140,13 @@ def recall_manufacturers(spark, d):
 
 
 @query(using("parts", select="""
-  SELECT event, array_to_string(list_sort(list(DISTINCT product)), ',') AS products FROM parts GROUP BY event"""))
+  SELECT event, CAST(floor((pos - 1) / 1000) AS INTEGER) AS chunk, array_to_string(list(product ORDER BY pos), ',') AS products
+  FROM (SELECT event, product, row_number() OVER (PARTITION BY event ORDER BY product) AS pos FROM (SELECT DISTINCT event, product FROM parts))
+  GROUP BY event, chunk"""))
 def products_of_events(spark, d):
     pairs = parts(spark, d).select("event", "product").distinct()
     nested = chunked_lists(pairs, ["event"], ["product"], "product", "products", 1000)
-    return nested.select("event", F.array_join("products", ",").alias("products"))
+    return nested.select("event", "chunk", F.array_join("products", ",").alias("products"))
 
 
 @query(using("parts", select="SELECT campaign_id, product, min(record_id) AS record_id FROM parts GROUP BY campaign_id, product"))

@@ -66,7 +66,7 @@ cte("gathered", """
 def gathered(spark, d):
     e = table(spark, d, "embeddings", "vec_id", "embedding")
     slots = memory(spark, d).withColumn("vec_id", F.col("signal_id") % e.agg(F.count("*")).scalar())
-    return V.gather_vectors(slots, e, "vec_id", strict=False)
+    return V.gather_vectors(slots, e, "vec_id")
 
 
 @query(using("gathered", select="SELECT snapshot, node_id, slot, vec_id, round(embedding[64]::DOUBLE, 6) AS last_value FROM gathered"))
@@ -76,10 +76,10 @@ def gathered_slot_vectors(spark, d):
 
 @query(using("gathered", select="""
   SELECT snapshot, node_id, i AS dim, round(avg(embedding[i]::DOUBLE), 6) AS value
-  FROM gathered, range(1, 5) r(i) GROUP BY snapshot, node_id, i"""))
+  FROM gathered, range(1, 65) r(i) GROUP BY snapshot, node_id, i"""))
 def pooled_slot_vectors(spark, d):
     pooled = V.mean_pool(gathered(spark, d), ["snapshot", "node_id"], "embedding", DIM)
-    return pooled.select("snapshot", "node_id", F.posexplode("pooled").alias("p", "v")).filter("p < 4").select(
+    return pooled.select("snapshot", "node_id", F.posexplode("pooled").alias("p", "v")).select(
         "snapshot", "node_id", (F.col("p") + 1).cast("bigint").alias("dim"), r6("v", "value")
     )
 
@@ -122,10 +122,13 @@ def attention_weights(spark, d):
 
 
 @query(using("attention", select="""
-  SELECT snapshot, node_id, round(sum(weight * embedding[2]::DOUBLE), 6) AS second FROM attention GROUP BY snapshot, node_id"""))
+  SELECT snapshot, node_id, CAST(p AS INTEGER) AS dim, round(sum(weight * embedding[p]::DOUBLE), 6) + 0.0 AS value
+  FROM attention, range(1, 65) r(p) GROUP BY snapshot, node_id, p"""))
 def attention_pooled(spark, d):
     pooled = V.attention_pool(attention(spark, d), ["snapshot", "node_id"], "embedding", DIM)
-    return pooled.select("snapshot", "node_id", r6(F.col("pooled")[1], "second"))
+    return pooled.select("snapshot", "node_id", F.posexplode("pooled").alias("p", "v")).select(
+        "snapshot", "node_id", (F.col("p") + 1).alias("dim"), r6("v", "value")
+    )
 
 
 @query("""

@@ -54,6 +54,13 @@ def binary_metrics_by_language(spark, d):
     return rounded(M.binary_metrics(doc_scores(spark, d), ["lang"]), *_BINARY_COLUMNS)
 
 
+# Every English document is of an unknown group here: a null group is a group.
+@query(using("doc_scores", select=binary_sql("lang", "(SELECT * REPLACE (nullif(lang, 'en') AS lang) FROM doc_scores)")))
+def binary_metrics_with_null_group(spark, d):
+    unnamed = doc_scores(spark, d).withColumn("lang", F.nullif("lang", F.lit("en")))
+    return rounded(M.binary_metrics(unnamed, ["lang"]), *_BINARY_COLUMNS)
+
+
 @query(using("scores", select=binary_sql("one", "(SELECT 1 AS one, * FROM scores)").replace("SELECT one, ", "SELECT ", 1)))
 def binary_metrics_overall(spark, d):
     return rounded(M.binary_metrics(scores(spark, d)), *_BINARY_COLUMNS)

@@ -24,18 +24,10 @@ def clean(value) -> Column:
 
 
 def canonical_key(value, numeric: bool = False) -> Column:
-    """Identifier text; empty is NULL. With ``numeric`` an integral number loses its decimals."""
+    """Identifier text; empty is NULL. With ``numeric`` an integral number loses its decimals; exponents are text."""
     text = clean(value)
     if numeric:
-        number = text.try_cast("double")
-        text = (
-            F.when(text.rlike(r"^-?[0-9]+\.0*$"), F.substring_index(text, ".", 1))
-            .when(
-                text.rlike(r"^-?[0-9.]+[eE][+-]?[0-9]+$") & (F.abs(number) < 9e15) & (number == F.floor(number)),
-                number.cast("decimal(18,0)").cast("string"),
-            )
-            .otherwise(text)
-        )
+        text = F.when(text.rlike(r"^-?[0-9]+\.0*$"), F.substring_index(text, ".", 1)).otherwise(text)
     return F.nullif(text, F.lit(""))
 
 

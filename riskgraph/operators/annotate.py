@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from riskgraph.functions.keys import clean
 from riskgraph.functions.dates import parse_day
 from riskgraph.operators.audit import AuditError, conflicts, duplicates, require_empty
 from riskgraph.operators.joins import lookup_join
@@ -20,7 +21,7 @@ def cell_violations(rows: DataFrame, required: Sequence[str]) -> DataFrame:
     """Rows breaking a single-row rule, with the first broken rule as ``problem``."""
     problem = F.when(F.lit(False), "")
     for field in required:
-        problem = problem.when(F.coalesce(F.trim(field), F.lit("")) == "", f"blank_{field}")
+        problem = problem.when(F.coalesce(clean(field), F.lit("")) == "", f"blank_{field}")
     problem = (
         problem.when(~F.col("label").isin("0", "1"), "label_not_0_or_1")
         .when(F.col("verified") != "1", "not_verified")
@@ -43,7 +44,7 @@ def node_violations(rows: DataFrame, snapshots: DataFrame, nodes: DataFrame) ->
     marked = lookup_join(rows, windows, ["query_day", "target_day"], "left")
     marked = lookup_join(marked, nodes.select(F.col("node_id").alias("entity_id"), F.lit(True).alias("_n")).distinct(),
                          ["entity_id"], "left")
-    given = F.coalesce(F.trim("event_date"), F.lit("")) != ""
+    given = F.coalesce(clean("event_date"), F.lit("")) != ""
     day = parse_day("event_date")
     problem = (
         F.when(F.col("_n").isNull(), "unknown_entity")

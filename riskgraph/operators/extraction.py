@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskgraph.functions.keys import clean
+
 SIGNAL = "struct<entity_id:string,evidence:string,event:string,category:string,uncertainty:variant,sentiment:variant,confidence:variant>"
 
 
@@ -22,7 +24,7 @@ def _bounded(value: Column, low: float, high: float) -> Column:
 
 
 def _text(value: Column) -> Column:
-    return F.coalesce(F.trim(value) != "", F.lit(False))
+    return F.coalesce(clean(value) != "", F.lit(False))
 
 
 def validate_signals(

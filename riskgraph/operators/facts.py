@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskgraph.functions.keys import json_list_text, surrogate
+from riskgraph.functions.keys import clean, json_list_text, surrogate
 from riskgraph.operators.joins import lookup_join
 
 # Fields whose differing values inside one campaign are reported.
@@ -150,5 +150,5 @@ def distinct_per_year(rows: DataFrame, date: str, member: str) -> DataFrame:
 
 def missing_counts(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Number of blank or NULL values per field in one pass."""
-    aggs = [F.count_if(F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) == "").alias(f) for f in fields]
+    aggs = [F.count_if(F.coalesce(clean(F.col(f).cast("string")), F.lit("")) == "").alias(f) for f in fields]
     return rows.agg(*aggs).unpivot([], list(fields), "field", "n_missing")

@@ -3,43 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from riskgraph import runtime
 
-_SALTS = 4096
 
-
-def lookup_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    *,
-    broadcast_bytes: int | None = None,
-    hot_rows: int | None = None,
-) -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join many ``rows`` to a ``lookup`` with a bounded number of rows per key.
 
-    A lookup whose planned size is small is broadcast. Otherwise both sides are shuffled and adaptive
-    execution splits the partitions of hot keys. Where that is switched off, or ``hot_rows`` is given,
-    the keys with more rows than that are found by a map-side-combined count; their rows meet a
-    broadcast of just their lookup rows (at most ``count(rows) / hot_rows`` keys) and never move.
-    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+    No side is forced: runtime statistics decide on a broadcast, and adaptive execution splits the partitions of hot
+    keys. ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``; null keys meet nothing.
     """
-    on = list(on)
-    broadcast_bytes = runtime.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
-    if runtime.planned_bytes(lookup) <= broadcast_bytes:
-        return rows.join(F.broadcast(lookup), on, how)
-    if hot_rows is None and runtime.splits_skewed_joins(rows.sparkSession):
-        return rows.join(lookup, on, how)
-    limit = runtime.HOT_ROWS if hot_rows is None else hot_rows
-    hot = rows.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*on)
-    hot_lookup = lookup.join(F.broadcast(hot), on, "left_semi")
-    near = rows.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_lookup), on, how)
-    far = rows.join(F.broadcast(hot), on, "left_anti").join(lookup, on, how)
-    return near.unionByName(far)
+    return rows.join(lookup, list(on), how)
+
+
+def null_safe_join(rows: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which a null key equals a null key; the keys of ``other`` are dropped."""
+    named = other.withColumnsRenamed({k: f"_k_{k}" for k in on})
+    match = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(named[f"_k_{k}"]) for k in on])
+    return rows.join(named, match, how).drop(*[f"_k_{k}" for k in on])
 
 
 def join_stats(
@@ -53,27 +37,21 @@ def join_stats(
 ) -> DataFrame:
     """Join rows back to aggregates of their own groups; ``size`` is the group's row count in ``stats``.
 
-    Adaptive execution cannot split this join, because the aggregate is already partitioned by the
-    key. The statistics of groups with more than ``hot_rows`` rows, at most ``count(rows) / hot_rows``
-    of them, are broadcast instead. Rows that got theirs that way carry a spreading salt through the
-    shuffle of the others, so no partition holds a hot group and ``rows`` is read once.
+    A null key is a group like any other. Adaptive execution cannot split this join, because the aggregate is already
+    partitioned by the key. Unless ``stats`` is small, the statistics of groups with more than ``hot_rows`` rows, at most
+    ``count(rows) / hot_rows`` of them, are broadcast; the rows of those groups are joined map-side and never move, whatever
+    their columns are. All other rows are shuffled by the key.
     """
     on = list(on)
     broadcast_bytes = runtime.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     limit = runtime.HOT_ROWS if hot_rows is None else hot_rows
-    values = [c for c in stats.columns if c not in on and c != size]
-    known = stats.filter(" and ".join(f"`{k}` is not null" for k in on))
     if runtime.planned_bytes(stats) <= broadcast_bytes:
-        return rows.join(F.broadcast(known.drop(size)), on)
-    packed = F.struct(*values)
-    hot = known.filter(F.col(size) > limit).select(*on, packed.alias("_hot"))
-    cold = known.filter(F.col(size) <= limit).select(*on, F.lit(0).alias("_salt"), packed.alias("_cold"))
-    spread = F.when(
-        F.col("_hot").isNotNull(), (F.pmod(F.xxhash64(*rows.columns), F.lit(_SALTS)) + 1).cast("int")
-    ).otherwise(0)
-    tagged = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", spread)
-    joined = tagged.join(cold, [*on, "_salt"], "left").withColumn("_s", F.coalesce("_hot", "_cold"))
-    return joined.filter(F.col("_s").isNotNull()).select(*rows.columns, "_s.*")
+        return null_safe_join(rows, F.broadcast(stats.drop(size)), on)
+    hot = stats.filter(F.col(size) > limit).drop(size)
+    cold = stats.filter(F.col(size) <= limit).drop(size)
+    near = null_safe_join(rows, F.broadcast(hot), on)
+    far = null_safe_join(null_safe_join(rows, F.broadcast(hot.select(*on)), on, "left_anti"), cold, on)
+    return near.unionByName(far)
 
 
 def attach_group_stats(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from riskgraph.functions.keys import clean
 from riskgraph.operators.joins import lookup_join
 
 # Kept properties and their predicate names.
@@ -190,7 +191,7 @@ def registry_relations(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
         F.min_by(F.struct("name", "country", "vehicle_types", "page"), F.struct("page", "position")).alias("_r"),
         F.count("*").alias("n_seen"),
     ).select("id", "_r.*", "n_seen")
-    country = firsts.filter(F.coalesce(F.trim("country"), F.lit("")) != "").select(
+    country = firsts.filter(F.coalesce(clean("country"), F.lit("")) != "").select(
         "id", F.lit("registered_country").alias("relation"), F.col("country").alias("target"),
         F.lit(None).cast("boolean").alias("is_primary"),
     )

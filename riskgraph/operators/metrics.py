@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskgraph.functions.numeric import clamp, is_finite
-from riskgraph.operators.joins import attach_group_stats, lookup_join
+from riskgraph.operators.joins import attach_group_stats, lookup_join, null_safe_join
 from riskgraph.operators.ordering import ordered_position, running_totals
 
 
@@ -61,7 +61,7 @@ def binary_metrics(
         F.sum(F.when(hit, neg).otherwise(0)).alias("_fp"),
     )
     if group:
-        sums = scores.select(*group).distinct().join(sums, list(group), "left")
+        sums = null_safe_join(scores.select(*group).distinct(), sums, list(group), "left")
     n_known = F.coalesce("n_known", F.lit(0))
     n_pos = F.coalesce("n_positive", F.lit(0))
     n_neg = n_known - n_pos

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskgraph import runtime
-from riskgraph.operators.joins import join_stats
+from riskgraph.operators.joins import join_stats, null_safe_join
 
 _INDEX_BITS = 33
 _INDEX_MASK = (1 << _INDEX_BITS) - 1
@@ -91,7 +91,7 @@ def running_totals(
         "*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(n) for n, c in sums.items()]
     )
     # A cell is one group inside one range partition: bounded, so a plain join is enough.
-    joined = inner.join(offsets, cell)
+    joined = null_safe_join(inner, offsets, cell)
     for n in sums:
         joined = joined.withColumn(n, F.col(n) + F.col(f"_o_{n}")).drop(f"_o_{n}")
     return joined.drop("_part")
@@ -102,7 +102,8 @@ def top_k_per_key(
 ) -> DataFrame:
     """Keep the ``k`` first rows of each key with their 1-based rank.
 
-    Spark limits each group map-side before the shuffle, so a hot key moves at most ``k`` rows per task.
+    Up to Spark's ``windowGroupLimitThreshold`` (1,000) each group is limited map-side before the shuffle, so a hot key moves
+    at most ``k`` rows per task; a larger ``k`` moves all its rows.
     """
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(
         F.col(name) <= k

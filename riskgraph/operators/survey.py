@@ -162,7 +162,7 @@ def sheet_records(cells: DataFrame, marker: str, sheet: Sequence[str] = ("file",
     header = cells.filter((F.col("row") < search_rows) & F.array_contains("cells", marker)).groupBy(*sheet).agg(
         F.min(F.struct("row", "cells")).alias("_h")
     )
-    trimmed = F.transform("_h.cells", lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    trimmed = F.transform("_h.cells", lambda c: clean(F.coalesce(c, F.lit(""))))
     pairs = F.filter(
         F.arrays_zip(trimmed.alias("k"), F.transform("cells", clean).alias("v")),
         lambda p: (F.coalesce(p["k"], F.lit("")) != "") & p["v"].isNotNull(),

@@ -315,4 +315,4 @@ def spread_sample(df: DataFrame, order: Sequence[str], size: int, group: Sequenc
 
 def numbered_ids(df: DataFrame, key: str, limit: int) -> DataFrame:
     """The ``limit`` smallest ids of the form letter + digits, ordered by their number."""
-    return df.select(key).distinct().orderBy(F.substring(key, 2, 20).cast("bigint")).limit(limit)
+    return df.select(key).distinct().orderBy(F.expr(f"substring(`{key}`, 2)").cast("decimal(38,0)")).limit(limit)

@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, functions as F
 
+from riskgraph.functions.keys import clean
 from riskgraph.functions.dates import epoch_day, parse_iso_prefix
 from riskgraph.functions.numeric import one_hot
 from riskgraph.functions.text import RISK_PHRASES, phrase_spans, signed_hash_dense
@@ -81,7 +82,7 @@ def build(
     ).withColumn("features", one_hot(type_code.cast("int"), 8))
     edges = T.induced_edges(frozen, index).withColumn("dependency", F.lit(1.0))
     usable = lookup_join(
-        linked.filter((F.col("event_day") <= source_end) & (F.trim("text") != "")), index.select("node_id"), ["node_id"], "left_semi"
+        linked.filter((F.col("event_day") <= source_end) & (clean("text") != "")), index.select("node_id"), ["node_id"], "left_semi"
     )
     signals = durable(
         usable.withColumn("signal_id", F.col("context_id")).withColumn("confidence", F.lit(confidence)), "signals"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
@@ -54,12 +55,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def splits_skewed_joins(spark: SparkSession) -> bool:
-    """Whether adaptive execution is on and splits skewed join partitions."""
-    on = lambda key: spark.conf.get(key, "true").lower() == "true"
-    return on("spark.sql.adaptive.enabled") and on("spark.sql.adaptive.skewJoin.enabled")
-
-
 def spread(scan: DataFrame) -> DataFrame:
     """Use all cores for work on a scan that has fewer splits than there are cores.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
+from riskgraph.functions.keys import clean
 from riskgraph.operators.audit import AuditError, require_empty
 
 
@@ -19,7 +20,7 @@ def classify_json_lines(lines: DataFrame, schema: StructType | str, value: str =
     """Add ``code`` (NULL when usable) and ``record`` to every text line."""
     parsed = F.try_parse_json(F.col(value))
     code = (
-        F.when(F.trim(value) == "", "jsonl_blank_line")
+        F.when(clean(value) == "", "jsonl_blank_line")
         .when(parsed.isNull(), "jsonl_parse")
         .when(~F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), "jsonl_record")
     )
@@ -85,8 +86,8 @@ def read_strict_csv(spark: SparkSession, path: str, required: Sequence[str], opt
     )
     require_empty(rows.filter(F.col("_corrupt_record").isNotNull()), f"{path}: malformed CSV row")
     trimmed = rows.select(
-        *[F.coalesce(F.trim(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names]
-    ).filter(F.concat(*[F.col(f"`{n}`") for n in names]) != "") if len(names) > 1 else rows.select(F.trim(names[0]).alias(names[0]))
+        *[F.coalesce(clean(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names]
+    ).filter(F.concat(*[F.col(f"`{n}`") for n in names]) != "") if len(names) > 1 else rows.select(clean(names[0]).alias(names[0]))
     for extra in optional:
         if extra not in names:
             trimmed = trimmed.withColumn(extra, F.lit(""))

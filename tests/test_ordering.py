@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from riskgraph.operators.joins import attach_group_stats, lookup_join
+from riskgraph.operators.joins import attach_group_stats, lookup_join, null_safe_join
 from riskgraph.operators.ordering import chunked_lists, dense_index, ordered_position, running_totals
 
 
@@ -18,23 +18,31 @@ def skewed(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_hot_keys_join_like_any_key(spark, skewed, how):
+def test_lookup_join_is_a_join(spark, skewed, how):
     lookup = spark.createDataFrame([(0, "zero"), (1, "one"), (5, "five"), (9, "nine")], "k int, name string")
-    split = lookup_join(skewed, lookup, ["k"], how, broadcast_bytes=-1, hot_rows=10)
-    assert rows(split) == rows(skewed.join(lookup, ["k"], how))
+    assert rows(lookup_join(skewed, lookup, ["k"], how)) == rows(skewed.join(lookup, ["k"], how))
 
 
-def test_group_stats_equal_a_window(skewed):
-    got = attach_group_stats(skewed.filter("k is not null"), ["k"], {"top": F.max("v")}, broadcast_bytes=-1, hot_rows=10)
-    data = [r for r in skewed.collect() if r.k is not None]
-    want = sorted(((r.k, r.i, r.v, max(x.v for x in data if x.k == r.k)) for r in data), key=repr)
+def test_null_safe_join_meets_null(spark, skewed):
+    lookup = spark.createDataFrame([(0, "zero"), (None, "none")], "k int, name string")
+    got = rows(null_safe_join(skewed, lookup, ["k"]).select("k", "i", "name"))
+    assert got == sorted(((r.k, r.i, "zero" if r.k == 0 else "none") for r in skewed.collect() if r.k in (0, None)), key=repr)
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": -1, "hot_rows": 10}, {"broadcast_bytes": -1}])
+def test_group_stats_equal_a_window(skewed, options):
+    """Null groups, equal rows and map columns give the same rows on both sides of every switch."""
+    doubled = skewed.unionByName(skewed).withColumn("m", F.create_map(F.lit("a"), "v"))
+    got = attach_group_stats(doubled, ["k"], {"top": F.max("v")}, **options).select("k", "i", "top", F.col("m")["a"].alias("v"))
+    data = skewed.collect()
+    want = sorted(((r.k, r.i, max(x.v for x in data if x.k == r.k), r.v) for r in data for _ in range(2)), key=repr)
     assert rows(got) == want
 
 
 @pytest.mark.parametrize("group", [(), ("k",)])
 def test_positions_and_totals(skewed, group):
-    df = skewed.filter("k is not null")
-    data = sorted(df.collect(), key=lambda r: ([r[g] for g in group], r.v, r.i))
+    df = skewed  # with a null group
+    data = sorted(df.collect(), key=lambda r: ([(r[g] is not None, r[g]) for g in group], r.v, r.i))
     seen, before, want_pos, want_sum = {}, {}, [], []
     for r in data:
         g = tuple(r[c] for c in group)
