@@ -187,25 +187,52 @@ cte("edges", """
   FROM flow_edges""", "flow_edges")
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    f = flows(spark, d)
-
-    def arcs(a, x, b, y, rel):
-        # Grouped by the numeric keys; ids are spelled out on the far fewer pairs.
-        return f.groupBy("snapshot", x, y).agg(F.sum("l_quantity").alias("qty")).select(
-            "snapshot", F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"), F.lit(rel).alias("rel"), "qty"
-        )
-
-    flow = durable(
-        arcs("s:", "l_suppkey", "p:", "l_partkey", "supplies").unionByName(arcs("p:", "l_partkey", "c:", "o_custkey", "shipped_to")),
+def edge_flow(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries by pair of nodes with quantity, largest price and known outcome, written once.
+
+    One join and one shuffle serve edges, sources and labels: both relations are grouping sets of the same rows. An outcome
+    is known for every supply and for the shipments of orders that are not open.
+    """
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_suppkey", "l_partkey", "l_quantity", "l_discount", "l_extendedprice", "l_returnflag")
+    orders = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("snapshot", F.year("o_orderdate"))
+    snapshot, supplier, part, customer = (F.col(c) for c in ("snapshot", "l_suppkey", "l_partkey", "o_custkey"))
+    returned = ((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25)).cast("int")
+    discounted = F.when(F.col("o_orderstatus") != "O", (F.col("l_discount") > 0.07).cast("int"))
+    grouped = rows.groupingSets([(snapshot, supplier, part), (snapshot, part, customer)], snapshot, supplier, part, customer).agg(
+        F.grouping("l_suppkey").alias("shipped"), F.sum("l_quantity").alias("qty"), F.max("l_extendedprice").alias("price"),
+        F.max(returned).alias("returned"), F.max(discounted).alias("discounted"),
+    )
+    shipped, to_part = F.col("shipped") == 1, F.concat(F.lit("p:"), "l_partkey")
+    return durable(
+        grouped.select(
+            "snapshot", F.when(shipped, to_part).otherwise(F.concat(F.lit("s:"), "l_suppkey")).alias("src"),
+            F.when(shipped, F.concat(F.lit("c:"), "o_custkey")).otherwise(to_part).alias("dst"),
+            F.when(shipped, "shipped_to").otherwise("supplies").alias("rel"), "qty", "price",
+            F.when(shipped, F.col("discounted")).otherwise(F.col("returned")).alias("label"),
+        ),
         "flow",
     )
+
+
+def edges_of(flow: DataFrame) -> DataFrame:
+    """Edges with their dependency and, where it is known, their outcome ``label``."""
     return attach_group_stats(flow, ["snapshot", "dst", "rel"], {"_q": F.sum("qty")}).select(
         "snapshot", F.concat_ws("|", "src", "dst", "rel").alias("edge_id"), "src", "dst", "rel", "qty",
-        (F.col("qty") / F.col("_q")).alias("dependency"),
+        (F.col("qty") / F.col("_q")).alias("dependency"), "label",
     )
 
 
+def sources_of(flow: DataFrame) -> DataFrame:
+    return select_sources(
+        flow.filter(F.col("rel") == "supplies").groupBy("snapshot", F.col("src").alias("node_id")).agg(F.max("price").alias("strength"))
+    )
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    return edges_of(edge_flow(spark, d)).drop("label")
+
+
 cte("static_edges", """
   SELECT 's:' || s_suppkey AS src, 'n:' || s_nationkey AS dst, 'located_in' AS rel FROM supplier
   UNION ALL SELECT 'c:' || c_custkey, 'n:' || c_nationkey, 'located_in' FROM customer

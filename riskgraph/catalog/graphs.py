@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from riskgraph.catalog.base import cte, edges, nodes, query, r6, sources, static_edges, table, using
+from riskgraph.catalog.base import cte, edge_flow, edges, edges_of, nodes, query, r6, sources, sources_of, static_edges, table, using
 from riskgraph.operators import graph as G
 from riskgraph.operators import propagate as P
+from riskgraph.operators.joins import lookup_join
 from riskgraph.operators.metrics import path_log_score
 from riskgraph.runtime import durable
 
@@ -18,13 +19,11 @@ cte("path_edges", """
   FROM (SELECT DISTINCT snapshot, dst FROM edges WHERE rel = 'shipped_to') JOIN customer ON dst = 'c:' || c_custkey""", "edges")
 
 
-def path_edges(spark, d):
-    e = durable(edges(spark, d), "edges")
+def path_edges(spark, d, flow):
+    e = durable(edges_of(flow), "edges")
     homes = table(spark, d, "customer", "c_custkey", "c_nationkey").select(
         F.concat(F.lit("c:"), "c_custkey").alias("src"), F.concat(F.lit("n:"), "c_nationkey").alias("dst")
     )
-    from riskgraph.operators.joins import lookup_join
-
     attached = lookup_join(
         e.filter(F.col("rel") == "shipped_to").select("snapshot", F.col("dst").alias("src")).distinct(), homes, ["src"]
     ).select("snapshot", F.concat_ws("|", "src", "dst").alias("edge_id"), "src", "dst", F.lit(1.0).alias("intensity"))
@@ -56,7 +55,8 @@ cte("beams", f"""
   SELECT snapshot, source, CAST(rank AS INTEGER) AS rank, array_to_string(nodes, '>') AS path,
          array_to_string(edge_ids, ';') AS edge_path, round(log_score, 6) AS log_score FROM beams"""))
 def beam_paths(spark, d):
-    found = G.beam_search(path_edges(spark, d), sources(spark, d), WIDTH, HOPS, TOP)
+    flow = edge_flow(spark, d)
+    found = G.beam_search(path_edges(spark, d, flow), sources_of(flow), WIDTH, HOPS, TOP)
     return found.select(
         "snapshot", "source", "rank", F.array_join("nodes", ">").alias("path"),
         F.array_join("edge_ids", ";").alias("edge_path"), r6("log_score"),
@@ -74,19 +74,6 @@ cte("edge_labels", """
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'O' GROUP BY ALL""")
 
 
-def edge_labels(spark, d):
-    rows = table(spark, d, "lineitem", "l_orderkey", "l_suppkey", "l_partkey", "l_returnflag", "l_quantity", "l_discount").join(
-        table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey")
-    )
-    year = F.year("o_orderdate").alias("snapshot")
-    supply = F.concat(F.lit("s:"), "l_suppkey", F.lit("|p:"), "l_partkey", F.lit("|supplies")).alias("edge_id")
-    shipped = F.concat(F.lit("p:"), "l_partkey", F.lit("|c:"), "o_custkey", F.lit("|shipped_to")).alias("edge_id")
-    returned = ((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25)).cast("int")
-    return rows.groupBy(year, supply).agg(F.max(returned).alias("label")).unionByName(
-        rows.filter(F.col("o_orderstatus") != "O").groupBy(year, shipped).agg(F.max((F.col("l_discount") > 0.07).cast("int")).alias("label"))
-    )
-
-
 cte("positive_edges", """
   SELECT DISTINCT e.snapshot, e.src, e.dst FROM edges e JOIN edge_labels l
   ON l.snapshot = e.snapshot AND l.edge_id = e.edge_id WHERE l.label = 1""", "edges", "edge_labels")
@@ -100,19 +87,19 @@ cte("truth", """
   SELECT DISTINCT snapshot, source, nodes FROM walk WHERE len(nodes) > 1""", "positive_edges", "sources")
 
 
-def positive_edges(spark, d):
-    return edges(spark, d).join(edge_labels(spark, d).filter(F.col("label") == 1), ["snapshot", "edge_id"])
+def true_paths(spark, d):
+    flow = edge_flow(spark, d)
+    return G.simple_paths(flow.filter(F.col("label") == 1), sources_of(flow), HOPS)
 
 
 @query(using("truth", select="SELECT snapshot, source, array_to_string(nodes, '>') AS path FROM truth"))
 def true_simple_paths(spark, d):
-    found = G.simple_paths(positive_edges(spark, d), sources(spark, d), HOPS)
-    return found.select("snapshot", "source", F.array_join("nodes", ">").alias("path"))
+    return true_paths(spark, d).select("snapshot", "source", F.array_join("nodes", ">").alias("path"))
 
 
 @query(using("truth", select="SELECT snapshot, count(*) AS n_paths, count(*) > 500 AS over_cap FROM truth GROUP BY snapshot"))
 def true_path_counts(spark, d):
-    return G.path_counts(G.simple_paths(positive_edges(spark, d), sources(spark, d), HOPS), 500)
+    return G.path_counts(true_paths(spark, d), 500)
 
 
 # The same beam on the labelled subgraph.
@@ -156,8 +143,9 @@ for _name, _from in (("pred_steps", "predicted"), ("true_steps", "truth")):
              / (SELECT count(*) FROM (SELECT DISTINCT snapshot, source FROM truth)), 6) AS path_at_k
   FROM (SELECT *, coalesce(n_match / nullif(n_pred, 0), 0) AS p, coalesce(n_match / nullif(n_true, 0), 0) AS r FROM path_days)"""))
 def path_quality(spark, d):
-    e = edges(spark, d).withColumn("intensity", F.col("dependency"))
-    out = G.path_metrics(e.select("snapshot", "edge_id", "src", "dst", "intensity"), edge_labels(spark, d), sources(spark, d), WIDTH, HOPS, TOP)
+    flow = edge_flow(spark, d)
+    e = edges_of(flow).select("snapshot", "edge_id", "src", "dst", F.col("dependency").alias("intensity"), "label")
+    out = G.path_metrics(e, None, sources_of(flow), WIDTH, HOPS, TOP)
     floats = [c for c in out.columns if c.startswith("path_") and c not in ("path_at_k_hits", "path_at_k_evaluable_sources")]
     return out.select(*[r6(c) if c in floats else F.col(c) for c in out.columns])
 
@@ -167,9 +155,8 @@ def path_quality(spark, d):
   FROM edges WHERE rel = 'supplies' GROUP BY snapshot, src"""))
 def path_log_scores(spark, d):
     e = edges(spark, d).filter(F.col("rel") == "supplies")
-    counted = e.groupBy("snapshot", "src").agg(F.count("*").alias("n_edges"))
-    scored = path_log_score(e.withColumnRenamed("dependency", "intensity"), ["snapshot", "src"])
-    return counted.join(scored, ["snapshot", "src"]).select("snapshot", "src", "n_edges", r6("log_score"))
+    return path_log_score(e.withColumnRenamed("dependency", "intensity"), ["snapshot", "src"]).select(
+        "snapshot", "src", "n_edges", r6("log_score"))
 
 
 @query(using("edges", "nodes", select="""
@@ -366,18 +353,55 @@ def subclass_proofs(spark, d):
 
 # Entities are suppliers, each an instance of the part with its number, and parts; parts of size 50 are firms.
 cte("instances", """
-  SELECT 'S' || s_suppkey AS qid, 'Q' || s_suppkey AS class_qid FROM supplier
-  UNION SELECT DISTINCT 'Q' || p_partkey, 'Q4' FROM part WHERE p_size = 50""")
+  SELECT 'S' || s_suppkey AS qid, 'Q' || s_suppkey AS class_qid, 'is' || s_suppkey AS statement_id FROM supplier
+  UNION SELECT DISTINCT 'Q' || p_partkey, 'Q4', 'ip' || p_partkey FROM part WHERE p_size = 50""")
 
 
 def instances(spark, d):
     by_supplier = table(spark, d, "supplier", "s_suppkey").select(
-        F.concat(F.lit("S"), "s_suppkey").alias("qid"), F.concat(F.lit("Q"), "s_suppkey").alias("class_qid"))
+        F.concat(F.lit("S"), "s_suppkey").alias("qid"), F.concat(F.lit("Q"), "s_suppkey").alias("class_qid"),
+        F.concat(F.lit("is"), "s_suppkey").alias("statement_id"))
     by_part = table(spark, d, "part", "p_partkey", "p_size").filter(F.col("p_size") == 50).select(
-        F.concat(F.lit("Q"), "p_partkey").alias("qid"), F.lit("Q4").alias("class_qid"))
+        F.concat(F.lit("Q"), "p_partkey").alias("qid"), F.lit("Q4").alias("class_qid"), F.concat(F.lit("ip"), "p_partkey").alias("statement_id"))
     return by_supplier.unionByName(by_part).distinct()
 
 
+cte("evidence", """
+  SELECT i.qid, p.kind, list_prepend(i.statement_id, p.steps) AS steps FROM instances i JOIN proofs p ON p.start = i.class_qid
+  UNION ALL SELECT start, kind, steps FROM proofs WHERE kind IN ('product', 'material', 'industry', 'fictional') AND start IN (SELECT child FROM arcs)""",
+    "instances", "proofs", "arcs")
+
+
+def evidence(spark, d):
+    return G.type_evidence(instances(spark, d), arcs(spark, d), roots(spark))
+
+
+@query(using("evidence", select="SELECT qid, kind, CAST(len(steps) AS INTEGER) AS n_steps, array_to_string(steps, '>') AS proof FROM evidence"))
+def type_evidence(spark, d):
+    return evidence(spark, d).select(
+        "qid", "kind", F.size("proof").alias("n_steps"), F.array_join(F.transform("proof", lambda s: s["statement_id"]), ">").alias("proof")
+    )
+
+
+# The same evidence against a statement table in which the statements of parts of size 8 are gone.
+cte("lost", "SELECT statement_id FROM arcs JOIN part ON child = 'Q' || p_partkey WHERE p_size = 8", "arcs")
+
+
+@query(using("evidence", "lost", select="""
+  SELECT qid AS classified_qid, kind AS supported_type, steps[1] AS first_statement_id, CAST(i AS INTEGER) AS step, steps[i + 1] AS statement_id
+  FROM (SELECT *, unnest(range(len(steps))) AS i FROM evidence) WHERE steps[i + 1] IN (SELECT statement_id FROM lost)"""))
+def unproven_steps(spark, d):
+    from riskgraph.operators.knowledge import unproven_steps as unproven
+
+    parts = table(spark, d, "part", "p_partkey", "p_size").filter(F.col("p_size") == 8).select(F.concat(F.lit("Q"), "p_partkey").alias("child"))
+    left = arcs(spark, d).join(parts, "child", "left_anti").select(
+        F.col("child").alias("subject_qid"), F.lit("P279").alias("property_id"), F.col("parent").alias("object_qid"), "statement_id")
+    direct = instances(spark, d).select(
+        F.col("qid").alias("subject_qid"), F.lit("P31").alias("property_id"), F.col("class_qid").alias("object_qid"), "statement_id")
+    return unproven(G.proof_steps(evidence(spark, d)), left.unionByName(direct)).select(
+        "classified_qid", "supported_type", "first_statement_id", "step", "statement_id")
+
+
 cte("kinds", """
   SELECT qid, list_sort(list_distinct(list(kind))) AS k FROM (
     SELECT i.qid, p.kind FROM instances i JOIN proofs p ON p.start = i.class_qid
@@ -426,7 +450,7 @@ def cascade_parts(spark, d):
         F.year("o_orderdate").alias("snapshot"), F.concat(F.lit("s:"), "l_suppkey").alias("node_id")
     ).agg((F.max("l_quantity") / 50.0).alias("severity"))
     capacity = shocks.select("snapshot", "node_id", (F.lit(0.2) + (F.length("node_id") * 7 % 10) / 20.0).alias("capacity"))
-    e = edges(spark, d)
+    e = durable(edges(spark, d), "edges")
     events = e.filter(
         ((F.col("rel") == "supplies") & (F.col("dependency") > 0.4))
         | ((F.col("rel") == "shipped_to") & (F.col("qty") >= 30) & (F.col("dependency") > 0.2))

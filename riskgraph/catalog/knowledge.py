@@ -109,19 +109,15 @@ def uncollected_targets(spark, d):
 cte("banned", "SELECT qid FROM collected WHERE kind = 'MACHINERY'", "collected")
 
 
-def closure(spark, d):
-    nodes = collected(spark, d)
-    return K.closed_facts(K.unique_facts(kept(spark, d)), nodes.select("qid").distinct(), nodes.filter(F.col("kind") == "MACHINERY").select("qid").distinct())
-
-
 @query(using("facts", "banned", select="""
   SELECT subject_qid, property_id, object_qid, CASE
     WHEN subject_qid IN (SELECT qid FROM banned) OR object_qid IN (SELECT qid FROM banned) THEN 'excluded'
     WHEN object_qid IN (SELECT qid FROM collected) THEN 'closed' ELSE 'unresolved' END AS part FROM facts"""))
 def closed_fact_partition(spark, d):
-    closed, excluded, unresolved = closure(spark, d)
-    tag = lambda df, part: df.select("subject_qid", "property_id", "object_qid", F.lit(part).alias("part"))
-    return tag(closed, "closed").unionByName(tag(excluded, "excluded")).unionByName(tag(unresolved, "unresolved"))
+    nodes = collected(spark, d)
+    banned = nodes.filter(F.col("kind") == "MACHINERY")
+    tagged = K.tagged_facts(K.unique_facts(kept(spark, d)), nodes, banned)
+    return tagged.select("subject_qid", "property_id", "object_qid", "part")
 
 
 @query("""

@@ -11,6 +11,7 @@ from riskgraph.operators import metrics as M
 from riskgraph.operators import stats as S
 from riskgraph.operators.memory import newest_context
 from riskgraph.operators.ordering import running_totals
+from riskgraph.runtime import durable
 
 # Rank-sum AUC with midranks, AP over distinct thresholds, F1 at 0.5; {g} is the group, {t} the rows.
 _BINARY = """
@@ -122,14 +123,14 @@ _AT_K = ("precision_at_k", "recall_at_k", "ndcg_at_k", "jaccard_at_k")
 @query(using("ranked_day", select=f"""
   SELECT snapshot, k, n_positive, hits, {", ".join(f"round({c}, 6) AS {c}" for c in _AT_K)} FROM ({_RANKING})"""))
 def ranking_by_day(spark, d):
-    return rounded(M.ranking_by_day(scores(spark, d)), *_AT_K)
+    return rounded(M.ranking_by_day(durable(scores(spark, d), "scores")), *_AT_K)
 
 
 @query(using("ranked_day", select=f"""
   SELECT count(*) AS n_days, count(*) FILTER (n_positive > 0) AS n_positive_days,
          {", ".join(f"round(avg({c}), 6) AS {c}" for c in _AT_K)} FROM ({_RANKING})"""))
 def ranking_summary(spark, d):
-    return rounded(M.ranking_metrics(scores(spark, d)), *_AT_K)
+    return rounded(M.ranking_metrics(durable(scores(spark, d), "scores")), *_AT_K)
 
 
 _SCOPE = """
@@ -379,16 +380,16 @@ def flattened_histories(spark, d):
     return S.flatten_history(epochs(spark, d), ["run"], min_delta=5.0, patience=4)
 
 
+# Four candidates of each supplier: two hidden sizes with two learning rates.
 @query("""
-  SELECT l_suppkey AS grp, score, hidden, lr FROM (
-    SELECT l_suppkey, l_quantity AS score, l_linenumber AS hidden, l_partkey AS lr FROM lineitem)
-  QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, hidden, lr) = 1""")
+  SELECT grp, score, hidden, lr FROM (
+    SELECT l_suppkey AS grp, l_linenumber % 2 AS hidden, l_orderkey % 2 AS lr, max(l_quantity) AS score FROM lineitem GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY grp ORDER BY score DESC, hidden, lr) = 1""")
 def validation_winner(spark, d):
-    rows = table(spark, d, "lineitem", "l_suppkey", "l_quantity", "l_linenumber", "l_partkey").select(
-        F.col("l_suppkey").alias("grp"), F.col("l_quantity").alias("score"), F.col("l_linenumber").alias("hidden"),
-        F.col("l_partkey").alias("lr"),
-    )
-    return S.choose_candidate(rows, ["grp"], 4, strict=False)
+    rows = table(spark, d, "lineitem", "l_suppkey", "l_quantity", "l_linenumber", "l_orderkey").groupBy(
+        F.col("l_suppkey").alias("grp"), (F.col("l_linenumber") % 2).alias("hidden"), (F.col("l_orderkey") % 2).alias("lr")
+    ).agg(F.max("l_quantity").alias("score"))
+    return S.choose_candidate(durable(rows, "candidates"), ["grp"], 4)
 
 
 @query(using("signals", select="""

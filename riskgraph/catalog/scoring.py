@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from riskgraph.catalog.base import query, scores, sources, using
+from riskgraph.catalog.base import edge_flow, query, scores, sources_of, using
 from riskgraph.catalog.graphs import path_edges
 from riskgraph.catalog.memories import DIM, gathered
 from riskgraph.catalog.metrics import event_split
 from riskgraph.plans import scoring as P
+from riskgraph.runtime import durable
 
 
 @query(using("scores", select="""
@@ -27,8 +28,9 @@ def risk_scope_nodes(spark, d):
   LEFT JOIN (SELECT snapshot, count(*) AS n FROM beams GROUP BY snapshot) b ON b.snapshot = s.snapshot"""))
 def snapshot_prediction_report(spark, d):
     """Event snapshots aligned with delivery years so that both halves of the report meet."""
-    s = scores(spark, d).withColumn("snapshot", F.col("snapshot") + 1994)
-    out = P.prediction_report(s, path_edges(spark, d), sources(spark, d), 0.5, 10, 10, 3, 5)["summary"]
+    s = durable(scores(spark, d).withColumn("snapshot", F.col("snapshot") + 1994), "scores")
+    flow = edge_flow(spark, d)
+    out = P.prediction_report(s, path_edges(spark, d, flow), sources_of(flow), 0.5, 10, 10, 3, 5)["summary"]
     return out.select(
         "snapshot", "n_risk_scope", F.size("top_nodes").cast("bigint").alias("n_top"),
         F.coalesce(F.size("paths"), F.lit(0)).cast("bigint").alias("n_paths"),

@@ -188,20 +188,17 @@ def source_hits(predicted: DataFrame, truth: DataFrame, keys: Sequence[str] = ("
 
 
 def path_metrics(
-    edges: DataFrame, labels: DataFrame, sources: DataFrame, beam_width: int = 10, max_hops: int = 4, top_k: int = 5,
+    edges: DataFrame, labels: DataFrame | None, sources: DataFrame, beam_width: int = 10, max_hops: int = 4, top_k: int = 5,
 ) -> DataFrame:
     """Averaged path metrics on the labelled subgraph: unknown edges count neither as truth nor as error.
 
     ``edges(snapshot, edge_id, src, dst, intensity)``, ``labels(snapshot, edge_id, label)``,
-    ``sources(snapshot, node_id)``.
+    ``sources(snapshot, node_id)``. Without ``labels`` the edges hold ``label`` themselves.
     """
-    labelled = durable(
-        edges.join(labels.filter(F.col("label").isNotNull()), ["snapshot", "edge_id"]), "labelled"
-    )
-    days = sources.select("snapshot").distinct().join(
-        labelled.select("snapshot").distinct(), "snapshot", "left_semi"
-    )
-    starts = sources.join(days, "snapshot", "left_semi")
+    outcome = edges if labels is None else edges.join(labels, ["snapshot", "edge_id"])
+    labelled = durable(outcome.filter(F.col("label").isNotNull()), "labelled")
+    starts = durable(sources.join(labelled.select("snapshot").distinct(), "snapshot", "left_semi"), "starts")
+    days = starts.select("snapshot").distinct()
     predicted = durable(
         beam_search(labelled, starts, beam_width, max_hops, top_k).select("snapshot", "source", "nodes").distinct(),
         "predicted",
@@ -262,7 +259,7 @@ def expand_taxonomy(
     """
     stop = roots.select("qid").distinct()
     arcs = durable(
-        subclass.select(F.col("child").alias("qid"), "parent").distinct().join(F.broadcast(stop), "qid", "left_anti"),
+        subclass.select(F.col("child").alias("qid"), "parent").distinct().join(stop, "qid", "left_anti"),
         "arcs",
     )
     frontier = durable(seeds.select("qid").unionByName(stop).distinct().withColumn("depth", F.lit(0)), "class")
@@ -277,9 +274,7 @@ def expand_taxonomy(
             break
         seen = seen.unionByName(frontier)
     known = entities.select("qid").distinct().withColumn("_k", F.lit(True))
-    flagged = seen.join(known, "qid", "left").join(
-        F.broadcast(stop.withColumn("_r", F.lit(True))), "qid", "left"
-    )
+    flagged = seen.join(known, "qid", "left").join(stop.withColumn("_r", F.lit(True)), "qid", "left")
     status = (
         F.when(F.col("depth") > depth_limit, "beyond_limit")
         .when(F.col("_k").isNull(), "missing")
@@ -289,75 +284,95 @@ def expand_taxonomy(
     return flagged.select("qid", "depth", status.alias("status"))
 
 
-def proof_paths(
-    starts: DataFrame, subclass: DataFrame, roots: DataFrame, max_depth: int = 12,
-) -> DataFrame:
-    """Shortest subclass chain from each start to a root of each kind, earliest statements first.
+def class_proofs(subclass: DataFrame, roots: DataFrame, max_depth: int = 12) -> DataFrame:
+    """``(qid, kind, proof)``: the shortest subclass chain of every class to a root of each kind it reaches.
 
     ``subclass(child, parent, statement_id, seq)`` with ``seq`` the order of statements of a child;
-    ``roots(kind, qid)``. A start that is a root has an empty proof. Each round keeps one chain per
-    (start, class): the first in statement order, as the first visit of a breadth-first walk.
+    ``roots(kind, qid)``. A root has an empty proof of its own kind. Of equally short chains the first in statement
+    order is taken. The walk goes from the roots down: the rest of a best chain is the best chain of the parent,
+    so one chain for each (class, kind) is all that is kept, and every class is extended once.
     """
     arcs = durable(
-        subclass.select(F.col("child").alias("qid"), "parent", "statement_id", F.col("seq").cast("int").alias("seq")),
-        "arcs",
+        subclass.select("child", F.col("parent").alias("qid"), "statement_id", F.col("seq").cast("int").alias("seq")), "arcs"
     )
     step_type = "array<struct<subject_qid:string,property_id:string,object_qid:string,statement_id:string>>"
     frontier = durable(
-        starts.select(F.col("qid").alias("start")).distinct().select(
-            "start", F.col("start").alias("qid"), F.array().cast(step_type).alias("proof"),
-            F.array().cast("array<int>").alias("ord"),
+        roots.select("qid", "kind").distinct().select(
+            "qid", "kind", F.array().cast(step_type).alias("proof"), F.array().cast("array<int>").alias("ord")
         ),
         "proof",
     )
     seen = frontier
     for _ in range(max_depth):
-        grown = lookup_join(frontier, arcs, ["qid"]).select(
-            "start",
-            F.col("parent").alias("qid"),
-            F.array_append(
-                "proof",
-                F.struct(
-                    F.col("qid").alias("subject_qid"), F.lit("P279").alias("property_id"),
-                    F.col("parent").alias("object_qid"), F.col("statement_id").alias("statement_id"),
-                ),
-            ).alias("proof"),
-            F.array_append("ord", F.col("seq")).alias("ord"),
+        step = F.struct(
+            F.col("child").alias("subject_qid"), F.lit("P279").alias("property_id"), F.col("qid").alias("object_qid"), "statement_id"
         )
-        first = (
-            grown.groupBy("start", "qid").agg(F.min_by(F.struct("proof", "ord"), F.col("ord")).alias("_p"))
-            .select("start", "qid", "_p.*")
-            .join(seen.select("start", "qid"), ["start", "qid"], "left_anti")
-        )
-        frontier = durable(first, "proof")
+        chain = F.struct(F.concat(F.array("seq"), "ord").alias("ord"), F.concat(F.array(step), "proof").alias("proof"))
+        grown = lookup_join(arcs, frontier, ["qid"]).groupBy(F.col("child").alias("qid"), "kind").agg(F.min(chain).alias("_p"))
+        fresh = grown.join(seen.select("qid", "kind"), ["qid", "kind"], "left_anti")
+        frontier = durable(fresh.select("qid", "kind", "_p.proof", "_p.ord"), "proof")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    reached = seen.join(F.broadcast(roots.select("kind", "qid")), "qid")
-    return reached.groupBy("start", "kind").agg(
-        F.min_by("proof", F.struct(F.size("ord"), F.col("ord"))).alias("proof")
+    return seen.drop("ord")
+
+
+def proof_paths(starts: DataFrame, subclass: DataFrame, roots: DataFrame, max_depth: int = 12) -> DataFrame:
+    """``(start, kind, proof)`` of the classes in ``starts(qid)`` by :func:`class_proofs`."""
+    wanted = starts.select(F.col("qid").alias("start")).distinct()
+    return wanted.join(class_proofs(subclass, roots, max_depth).withColumnRenamed("qid", "start"), "start")
+
+
+# Kinds that a class itself may have.
+CLASS_KINDS = ("product", "material", "industry", "fictional")
+
+
+def type_evidence(
+    instance_of: DataFrame, subclass: DataFrame, roots: DataFrame, max_depth: int = 12, class_kinds: Sequence[str] = CLASS_KINDS,
+    proofs: DataFrame | None = None,
+) -> DataFrame:
+    """``(qid, kind, proof)``: every chain of saved statements that gives an entity a kind.
+
+    One row for each instance statement ``instance_of(qid, class_qid, statement_id)`` whose class reaches the kind, beginning
+    with that statement, and one for a class that reaches a kind of ``class_kinds`` through its own subclass chain.
+    """
+    found = class_proofs(subclass, roots, max_depth) if proofs is None else proofs
+    first = F.struct(
+        F.col("_entity").alias("subject_qid"), F.lit("P31").alias("property_id"), F.col("qid").alias("object_qid"), F.col("_statement").alias("statement_id")
     )
+    given = instance_of.select(F.col("qid").alias("_entity"), F.col("class_qid").alias("qid"), F.col("statement_id").alias("_statement"))
+    by_instance = lookup_join(given, found, ["qid"]).select(
+        F.col("_entity").alias("qid"), "kind", F.concat(F.array(first), "proof").alias("proof")
+    )
+    by_class = found.filter(F.col("kind").isin(*class_kinds)).join(
+        subclass.select(F.col("child").alias("qid")).distinct(), "qid", "left_semi"
+    )
+    return by_instance.unionByName(by_class.select("qid", "kind", "proof"))
+
+
+def proof_steps(evidence: DataFrame) -> DataFrame:
+    """Every step of every proof with the entity, the kind, the proof's own first statement and the step number."""
+    return evidence.select(
+        F.col("qid").alias("classified_qid"), F.col("kind").alias("supported_type"),
+        F.get("proof", F.lit(0))["statement_id"].alias("first_statement_id"), F.posexplode("proof").alias("step", "_s"),
+    ).select("classified_qid", "supported_type", "first_statement_id", "step", "_s.*")
 
 
 def classify_entities(
     entities: DataFrame, instance_of: DataFrame, subclass: DataFrame, roots: DataFrame, max_depth: int = 12,
-    class_kinds: Sequence[str] = ("product", "material", "industry", "fictional"),
+    class_kinds: Sequence[str] = CLASS_KINDS,
 ) -> DataFrame:
     """Type of each entity from saved instance / subclass statements only.
 
     One supported kind gives the type, several are ambiguous, a fictional class excludes the entity.
     Classes themselves may be products, materials or industries through their own subclass chain.
     """
-    starts = instance_of.select(F.col("class_qid").alias("qid")).unionByName(subclass.select(F.col("child").alias("qid")))
-    proofs = durable(proof_paths(starts, subclass, roots, max_depth).select("start", "kind"), "proven")
+    proofs = class_proofs(subclass, roots, max_depth).select("qid", "kind")
     by_instance = lookup_join(
-        instance_of.select("qid", F.col("class_qid").alias("start")), proofs, ["start"]
-    ).select("qid", "kind")
+        instance_of.select(F.col("qid").alias("_entity"), F.col("class_qid").alias("qid")), proofs, ["qid"]
+    ).select(F.col("_entity").alias("qid"), "kind")
     classes = subclass.select(F.col("child").alias("qid")).distinct()
-    by_class = (
-        proofs.filter(F.col("kind").isin(*class_kinds)).select(F.col("start").alias("qid"), "kind")
-        .join(classes, "qid", "left_semi")
-    )
+    by_class = proofs.filter(F.col("kind").isin(*class_kinds)).join(classes, "qid", "left_semi")
     kinds = by_instance.unionByName(by_class).groupBy("qid").agg(F.array_sort(F.collect_set("kind")).alias("_k"))
     merged = entities.select("qid").distinct().join(kinds, "qid", "left").join(
         classes.withColumn("_c", F.lit(True)), "qid", "left"
@@ -365,6 +380,7 @@ def classify_entities(
     found = F.coalesce("_k", F.array().cast("array<string>"))
     usable = F.array_remove(found, "fictional")
     fictional = F.array_contains(found, "fictional")
+    # Type, form and reason names.
     return merged.select(
         "qid",
         F.when(~fictional & (F.size(usable) == 1), F.get(usable, F.lit(0))).otherwise("unclassified").alias("entity_type"),
@@ -388,7 +404,7 @@ def spread_one_hop(statements: DataFrame, domains: DataFrame, roles: DataFrame)
     moved = lookup_join(hop.select("qid", "object_qid").distinct(), domains, ["qid"]).select(
         F.col("object_qid").alias("qid"), F.lit("domain").alias("attribute"), F.col("domain").alias("value")
     )
-    named = hop.join(F.broadcast(roles), "property_id").select(
+    named = lookup_join(hop, roles, ["property_id"]).select(
         F.col("object_qid").alias("qid"), F.lit("role").alias("attribute"), F.col("role").alias("value")
     )
     own = domains.select("qid", F.lit("domain").alias("attribute"), F.col("domain").alias("value"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskgraph.functions.keys import clean
 from riskgraph.operators.joins import lookup_join
+from riskgraph.runtime import durable
 
 # Kept properties and their predicate names.
 PROPERTIES = {
@@ -95,23 +96,29 @@ def unique_facts(statements: DataFrame, keys: Sequence[str] = ("subject_qid", "p
     )
 
 
+def tagged_facts(facts: DataFrame, nodes: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Each fact with its ``part``: ``excluded`` (touches an excluded entity), ``closed`` (between kept nodes),
+    ``unresolved`` (the object is not collected) or NULL (only the subject is unknown).
+
+    Nodes and excluded entities are one lookup with a flag each, joined once to either end.
+    """
+    states = nodes.select("qid", F.lit(False).alias("_ban")).unionByName(excluded.select("qid", F.lit(True).alias("_ban")))
+    states = states.groupBy("qid").agg(F.max("_ban").alias("_ban"))
+    ends = lookup_join(
+        lookup_join(facts, states.toDF("subject_qid", "_s"), ["subject_qid"], "left"), states.toDF("object_qid", "_o"), ["object_qid"], "left"
+    )
+    part = (
+        F.when(F.col("_s") | F.col("_o"), "excluded")
+        .when(F.col("_o").isNull(), "unresolved")
+        .when(F.col("_s").isNotNull(), "closed")
+    )
+    return ends.withColumn("part", part).select(*facts.columns, "part")
+
+
 def closed_facts(facts: DataFrame, nodes: DataFrame, excluded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Facts between kept nodes, facts touching an excluded entity, and facts with an uncollected object."""
-    ban = excluded.select("qid")
-    touched_s = ban.withColumnRenamed("qid", "subject_qid")
-    touched_o = ban.withColumnRenamed("qid", "object_qid")
-    clean = lookup_join(lookup_join(facts, touched_s, ["subject_qid"], "left_anti"), touched_o, ["object_qid"], "left_anti")
-    incident = lookup_join(facts, touched_s, ["subject_qid"], "left_semi").unionByName(
-        lookup_join(lookup_join(facts, touched_s, ["subject_qid"], "left_anti"), touched_o, ["object_qid"], "left_semi")
-    )
-    keep = nodes.select("qid").join(ban, "qid", "left_anti")
-    from_known = lookup_join(clean, keep.withColumnRenamed("qid", "subject_qid"), ["subject_qid"], "left_semi")
-    targets = keep.withColumnRenamed("qid", "object_qid")
-    return (
-        lookup_join(from_known, targets, ["object_qid"], "left_semi"),
-        incident,
-        lookup_join(clean, targets, ["object_qid"], "left_anti"),
-    )
+    tagged = durable(tagged_facts(facts, nodes, excluded), "facts")
+    return tuple(tagged.filter(F.col("part") == p).drop("part") for p in ("closed", "excluded", "unresolved"))
 
 
 def unknown_outcomes(nodes: DataFrame, node: str = "qid") -> DataFrame:

@@ -296,8 +296,8 @@ def pairwise_hinge(scores: DataFrame, group: Sequence[str], margin: float = 0.2,
 
 
 def path_log_score(steps: DataFrame, path: Sequence[str], intensity: str = "intensity", floor: float = 1e-12) -> DataFrame:
-    """Sum of log intensities over the edges of each path, intensities floored."""
-    return steps.groupBy(*path).agg(F.sum(F.ln(F.greatest(F.col(intensity), F.lit(floor)))).alias("log_score"))
+    """Number of edges and sum of their log intensities of each path, intensities floored."""
+    return steps.groupBy(*path).agg(F.count("*").alias("n_edges"), F.sum(F.ln(F.greatest(F.col(intensity), F.lit(floor)))).alias("log_score"))
 
 
 def alignment_loss(

@@ -8,6 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from riskgraph.operators import graph as G
+from riskgraph.operators import knowledge as K
 from riskgraph.operators import propagate as P
 
 
@@ -92,6 +93,24 @@ def test_classification_rules(spark):
                    "d": ("unclassified", "no"), "QC": ("product", "official")}
 
 
+def test_type_evidence_names_every_statement(spark):
+    arcs = spark.createDataFrame(
+        [("QC", "QD", "s1", 0), ("QC", "QP", "s2", 1), ("QD", "QP", "s3", 0), ("QP", "QC", "s4", 0)],
+        "child string, parent string, statement_id string, seq int")
+    roots = spark.createDataFrame([("firm", "QD"), ("product", "QP")], "kind string, qid string")
+    inst = spark.createDataFrame([("a", "QC", "i1"), ("a", "QP", "i2"), ("b", "Q?", "i3")], "qid string, class_qid string, statement_id string")
+    found = G.type_evidence(inst, arcs, roots)
+    got = sorted((r.qid, r.kind, [s.statement_id for s in r.proof]) for r in found.collect())
+    assert got == [
+        ("QC", "product", ["s2"]), ("QD", "product", ["s3"]), ("QP", "product", []),
+        ("a", "firm", ["i1", "s1"]), ("a", "firm", ["i2", "s4", "s1"]), ("a", "product", ["i1", "s2"]), ("a", "product", ["i2"]),
+    ]
+    steps = G.proof_steps(found)
+    assert K.proof_gaps(steps, ["classified_qid", "supported_type", "first_statement_id"]).isEmpty()
+    saved = steps.filter("statement_id != 's4'").select("subject_qid", "property_id", "object_qid", "statement_id")
+    assert [(r.classified_qid, r.step, r.statement_id) for r in K.unproven_steps(steps, saved).collect()] == [("a", 1, "s4")]
+
+
 def test_transport_identities(spark):
     edges = spark.createDataFrame(
         [(i, s, t, r, b, x) for i, (s, t, r, b, x) in enumerate(
