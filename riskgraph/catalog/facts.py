@@ -119,71 +119,104 @@ cte("parts", """
          'nhtsa_recall_mfr:' || sha256(MFGNAME)[1:24] AS reporter, 'nhtsa_listed_manufacturer:' || sha256(MFGTXT)[1:24] AS listed,
          'nhtsa_product:' || sha256('["' || concat_ws('", "', RCLTYPECD, MAKETXT, MODELTXT, YEARTXT) || '"]')[1:24] AS product,
          'nhtsa_component_descriptor:' || sha256(COMPNAME)[1:24] AS component_id, MFGNAME, MFGTXT, COMPNAME,
-         concat_ws('/', MAKETXT, MODELTXT, YEARTXT) AS product_name, POTAFF FROM recalls""", "recalls")
+         concat_ws('/', MAKETXT, MODELTXT, YEARTXT) AS product_name, RECORD_ID || ' ' || POTAFF AS first_record FROM recalls""", "recalls")
 
 
 def parts(spark, d):
-    return X.fact_parts(recalls(spark, d), order=["POTAFF"])
+    """Recall rows with node ids; ``first_record`` locates the row and orders the rows of a node or an edge."""
+    located = recalls(spark, d).withColumn("first_record", F.concat_ws(" ", "record_id", "POTAFF"))
+    return X.fact_parts(located, order=["first_record"])
 
 
 @query(using("parts", select="""
-  SELECT product, count(*) AS n_records, count(DISTINCT campaign_id) AS n_members, min(record_id || ' ' || POTAFF) AS first_record FROM parts GROUP BY product"""))
+  SELECT product, count(*) AS n_records, count(DISTINCT campaign_id) AS n_members, min(first_record) AS first_record FROM parts GROUP BY product"""))
 def recall_products(spark, d):
-    p = parts(spark, d).withColumn("first_record", F.concat_ws(" ", "record_id", "POTAFF"))
-    return X.rollup_support(p, ["product"], ["first_record"], ["first_record"], "campaign_id")
+    return X.rollup_support(parts(spark, d), ["product"], ["first_record"], ["first_record"], "campaign_id")
 
 
 @query(using("parts", select="""
-  SELECT reporter, count(*) AS n_records, count(DISTINCT campaign_id) AS n_members FROM parts GROUP BY reporter"""))
+  SELECT reporter, count(*) AS n_records, count(DISTINCT campaign_id) AS n_members, min(first_record) AS first_record FROM parts GROUP BY reporter"""))
 def recall_manufacturers(spark, d):
-    return X.rollup_support(parts(spark, d), ["reporter"], ["record_id"], ["record_id"], "campaign_id").drop("record_id")
+    return X.rollup_support(parts(spark, d), ["reporter"], ["first_record"], ["first_record"], "campaign_id")
 
 
 @query(using("parts", select="""
   SELECT event, CAST(floor((pos - 1) / 1000) AS INTEGER) AS chunk, array_to_string(list(product ORDER BY pos), ',') AS products
-  FROM (SELECT event, product, row_number() OVER (PARTITION BY event ORDER BY product) AS pos FROM (SELECT DISTINCT event, product FROM parts))
+  FROM (SELECT event, product, row_number() OVER (PARTITION BY event ORDER BY first_seen, product) AS pos
+        FROM (SELECT event, product, min(first_record) AS first_seen FROM parts GROUP BY event, product))
   GROUP BY event, chunk"""))
 def products_of_events(spark, d):
-    pairs = parts(spark, d).select("event", "product").distinct()
-    nested = chunked_lists(pairs, ["event"], ["product"], "product", "products", 1000)
+    """Products of each recall in the order of their first record."""
+    pairs = X.distinct_in_order(parts(spark, d), ["event"], "product", ["first_record"])
+    nested = chunked_lists(pairs, ["event"], ["first_seen", "product"], "product", "products", 1000)
     return nested.select("event", "chunk", F.array_join("products", ",").alias("products"))
 
 
-@query(using("parts", select="SELECT campaign_id, product, min(record_id) AS record_id FROM parts GROUP BY campaign_id, product"))
+def _support(key):
+    return using("parts", select=f"""
+  SELECT {key}, CAST(floor((pos - 1) / 1000) AS INTEGER) AS chunk, array_to_string(list(first_record ORDER BY pos), ',') AS records
+  FROM (SELECT {key}, first_record, row_number() OVER (PARTITION BY {key} ORDER BY first_record) AS pos FROM parts)
+  GROUP BY {key}, chunk""")
+
+
+def support_of(spark, d, key):
+    nested = chunked_lists(parts(spark, d).select(key, "first_record"), [key], ["first_record"], "first_record", "records", 1000)
+    return nested.select(key, "chunk", F.array_join("records", ",").alias("records"))
+
+
+@query(_support("event"))
+def records_of_events(spark, d):
+    """All supporting records of each recall, nested in order."""
+    return support_of(spark, d, "event")
+
+
+@query(_support("product"))
+def records_of_products(spark, d):
+    return support_of(spark, d, "product")
+
+
+@query(_support("reporter"))
+def records_of_manufacturers(spark, d):
+    return support_of(spark, d, "reporter")
+
+
+@query(using("parts", select="""
+  SELECT campaign_id, product, min(first_record) AS first_record, arg_min(reporter, first_record) AS reporter, arg_min(listed, first_record) AS listed,
+         arg_min(component_id, first_record) AS component_id FROM parts GROUP BY campaign_id, product"""))
 def first_product_evidence(spark, d):
-    return X.first_evidence(parts(spark, d), ["campaign_id", "product"], ["record_id"], ["record_id"])
+    return X.first_evidence(parts(spark, d), ["campaign_id", "product"], ["first_record"], ["first_record", "reporter", "listed", "component_id"])
 
 
 cte("fact_nodes", """
-  SELECT node_id, node_type, min(name) AS name, count(*) AS n_rows FROM (
-    SELECT reporter AS node_id, 'recall_reporting_manufacturer' AS node_type, MFGNAME AS name FROM parts
-    UNION ALL SELECT listed, 'listed_recalled_product_manufacturer', MFGTXT FROM parts
-    UNION ALL SELECT event, 'official_recall_campaign', campaign_id FROM parts
-    UNION ALL SELECT product, 'recalled_make_model_year_product', product_name FROM parts
-    UNION ALL SELECT component_id, 'official_component_descriptor', COMPNAME FROM parts) GROUP BY node_id, node_type""", "parts")
+  SELECT node_id, node_type, min(name) AS name, count(*) AS n_rows, min(first_record) AS first_record FROM (
+    SELECT reporter AS node_id, 'recall_reporting_manufacturer' AS node_type, MFGNAME AS name, first_record FROM parts
+    UNION ALL SELECT listed, 'listed_recalled_product_manufacturer', MFGTXT, first_record FROM parts
+    UNION ALL SELECT event, 'official_recall_campaign', campaign_id, first_record FROM parts
+    UNION ALL SELECT product, 'recalled_make_model_year_product', product_name, first_record FROM parts
+    UNION ALL SELECT component_id, 'official_component_descriptor', COMPNAME, first_record FROM parts) GROUP BY node_id, node_type""", "parts")
 
 
 @query(using("fact_nodes", select="SELECT * FROM fact_nodes"))
 def fact_graph_nodes(spark, d):
-    return X.fact_nodes(parts(spark, d), ["POTAFF"])
+    return X.fact_nodes(parts(spark, d), ["first_record"], ["first_record"])
 
 
 cte("fact_edges", """
-  SELECT source, relation, target, count(*) AS n_records, count(DISTINCT campaign_id) AS n_members FROM (
-    SELECT reporter AS source, 'filed_official_recall' AS relation, event AS target, campaign_id FROM parts
-    UNION ALL SELECT event, 'recalls_listed_product', product, campaign_id FROM parts
-    UNION ALL SELECT event, 'identifies_component_descriptor', component_id, campaign_id FROM parts
-    UNION ALL SELECT listed, 'listed_manufacturer_for_recalled_product', product, campaign_id FROM parts)
+  SELECT source, relation, target, count(*) AS n_records, count(DISTINCT campaign_id) AS n_members, min(first_record) AS first_record FROM (
+    SELECT reporter AS source, 'filed_official_recall' AS relation, event AS target, campaign_id, first_record FROM parts
+    UNION ALL SELECT event, 'recalls_listed_product', product, campaign_id, first_record FROM parts
+    UNION ALL SELECT event, 'identifies_component_descriptor', component_id, campaign_id, first_record FROM parts
+    UNION ALL SELECT listed, 'listed_manufacturer_for_recalled_product', product, campaign_id, first_record FROM parts)
   GROUP BY ALL""", "parts")
 
 
 def fact_edges(spark, d):
-    return X.fact_edges(X.fact_edge_support(parts(spark, d), ["POTAFF"]), ["POTAFF"])
+    return X.fact_edges(X.fact_edge_support(parts(spark, d), ["first_record"]), ["first_record"])
 
 
 @query(using("fact_edges", select="SELECT * FROM fact_edges"))
 def fact_graph_edges(spark, d):
-    return fact_edges(spark, d).drop("record_id")
+    return fact_edges(spark, d)
 
 
 @query(using("fact_edges", select="""
@@ -191,7 +224,7 @@ def fact_graph_edges(spark, d):
   FROM fact_edges WHERE n_members > 3 OR n_records > n_members"""))
 def reverified_fact_edges(spark, d):
     """Edges published with campaign counts instead of record counts, widely supported ones left out."""
-    support = X.fact_edge_support(parts(spark, d), ["POTAFF"])
+    support = X.fact_edge_support(parts(spark, d), ["first_record"])
     published = fact_edges(spark, d).filter(F.col("n_members") <= 3).withColumn("n_records", F.col("n_members"))
     return X.reverify_edges(support, published)
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from riskgraph.catalog.base import cte, query, table, using
 from riskgraph.operators import knowledge as K
 from riskgraph.operators.graph import spread_one_hop
+from riskgraph.operators.ordering import chunked_lists
 
 # A customer has a country, its open orders as deprecated parts and its finished orders as products; one
 # value of each kind is a plain string.
@@ -78,6 +79,17 @@ def unique_facts(spark, d):
     return K.unique_facts(kept(spark, d))
 
 
+@query(using("kept", select="""
+  SELECT subject_qid, property_id, object_qid, CAST(floor((pos - 1) / 1000) AS INTEGER) AS chunk, array_to_string(list(statement_id ORDER BY pos), ',') AS statement_ids
+  FROM (SELECT *, row_number() OVER (PARTITION BY subject_qid, property_id, object_qid ORDER BY statement_id) AS pos FROM kept)
+  GROUP BY subject_qid, property_id, object_qid, chunk"""))
+def statements_of_facts(spark, d):
+    """All statements that support each fact, nested in order."""
+    keys = ["subject_qid", "property_id", "object_qid"]
+    nested = chunked_lists(kept(spark, d).select(*keys, "statement_id"), keys, ["statement_id"], "statement_id", "statement_ids", 1000)
+    return nested.select(*keys, "chunk", F.array_join("statement_ids", ",").alias("statement_ids"))
+
+
 cte("collected", """
   SELECT 'Q' || c_custkey AS qid, c_mktsegment AS kind FROM customer
   UNION ALL SELECT 'Q9' || n_nationkey, 'region' FROM nation WHERE n_nationkey % 4 <> 0

@@ -18,7 +18,7 @@ VARIANT_FIELDS = [
     "RCDATE", "RCLTYPECD", "MFGNAME", "MFGTXT", "COMPNAME", "DESC_DEFECT", "CONEQUENCE_DEFECT", "CORRECTIVE_ACTION",
 ]
 
-# Prefixes of the recall identifiers.
+# Prefixes of the recall identifiers, and below the node types and relations of the fact graph.
 EVENT_PREFIX = "nhtsa_recall"
 PRODUCT_PREFIX = "nhtsa_product"
 REPORTER_PREFIX = "nhtsa_recall_mfr"
@@ -122,8 +122,11 @@ def fact_edge_support(parts: DataFrame, order: Sequence[str] = ("line_number",))
 
 
 def fact_edges(support: DataFrame, order: Sequence[str] = ("line_number",)) -> DataFrame:
-    """Distinct edges with counts of supporting records and campaigns and the first record."""
-    return rollup_support(support, ["source", "relation", "target"], order, ["record_id"], "campaign_id")
+    """Distinct edges with counts of supporting records and campaigns and the locator of the first record.
+
+    ``order`` must tell the records apart; its columns come back as that locator.
+    """
+    return rollup_support(support, ["source", "relation", "target"], order, list(order), "campaign_id")
 
 
 def reverify_edges(support: DataFrame, edges: DataFrame) -> DataFrame:
