@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from riskgraph.functions.numeric import is_finite
 from riskgraph.operators.audit import require_empty
-from riskgraph.operators.ordering import top_k_per_key
+from riskgraph.operators.joins import null_safe_join
+from riskgraph.operators.ordering import ordered_position, top_k_per_key
 
 
 def seed_stats(values: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -127,10 +128,14 @@ def choose_candidate(rows: DataFrame, keys: Sequence[str], expected: int, strict
 
 
 def order_breaks(rows: DataFrame, keys: Sequence[str], order: str, contiguous: bool = False) -> DataFrame:
-    """Rows whose ``order`` value does not strictly increase (or is not the previous plus one) in sequence ``seq``."""
-    before = F.lag(order).over(W.partitionBy(*keys).orderBy("seq"))
-    wrong = (F.col(order) != before + 1) if contiguous else (F.col(order) <= before)
-    return rows.withColumn("_w", wrong).filter(F.col("_w")).drop("_w")
+    """Rows whose ``order`` value does not strictly increase (or is not the previous plus one) in sequence ``seq``.
+
+    Each row meets its predecessor through its position, so a key of any size spreads over all tasks.
+    """
+    placed = ordered_position(rows, ["seq"], keys, "_pos")
+    before = placed.select(*keys, (F.col("_pos") + 1).alias("_pos"), F.col(order).alias("_before"))
+    wrong = (F.col(order) != F.col("_before") + 1) if contiguous else (F.col(order) <= F.col("_before"))
+    return null_safe_join(placed, before, [*keys, "_pos"]).filter(wrong).select(*rows.columns)
 
 
 def boundary_rows(rows: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:

@@ -70,3 +70,12 @@ def test_dense_index_follows_sorted_ids(spark):
     ids = [f"n{random.Random(i).randint(0, 40)}" for i in range(60)]
     got = dense_index(spark.createDataFrame([(x,) for x in ids], "node_id string"), "node_id")
     assert rows(got) == [(x, i) for i, x in enumerate(sorted(set(ids)))]
+
+
+def test_order_breaks_with_null_key_and_both_forms(spark):
+    from riskgraph.operators.stats import order_breaks
+
+    data = [(None, 0, 1), (None, 1, 2), (None, 2, 2), ("a", 0, 1), ("a", 1, 3), ("a", 2, 4)]
+    df = spark.createDataFrame(data, "k string, seq int, v int")
+    assert [tuple(r) for r in order_breaks(df, ["k"], "v").collect()] == [(None, 2, 2)]
+    assert sorted((str(r.k), r.seq) for r in order_breaks(df, ["k"], "v", contiguous=True).collect()) == [("None", 2), ("a", 1)]
