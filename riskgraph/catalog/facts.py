@@ -82,18 +82,17 @@ def rejected_recall_lines(spark, d):
 
 
 @query("""
-  SELECT doc_id, length(text) AS n_chars, CASE WHEN length(text) <> strlen(text) THEN 'cp1252' ELSE 'utf-8' END AS encoding
-  FROM documents WHERE lang IN ('de', 'es', 'fr') AND regexp_full_match(text, '[\\x{00}-\\x{7F}\\x{A0}-\\x{FF}]*')""".replace("\\\\x", "\\x"))
+  SELECT doc_id, length(text) AS n_chars, md5(text) AS decoded_md5, CASE WHEN length(text) <> strlen(text)
+    AND length(regexp_replace(text, '[\\x{00}-\\x{7F}\\x{A0}-\\x{FF}]', '', 'g')) = 0 THEN 'cp1252' ELSE 'utf-8' END AS encoding
+  FROM documents WHERE text IS NOT NULL""".replace("\\\\x", "\\x"))
 def decoded_line_encodings(spark, d):
-    """Texts stored as latin-1 bytes are recognised as such and decoded back."""
+    """Every text, stored as latin-1 bytes where these hold it and as UTF-8 elsewhere, is recognised and decoded back."""
     latin = r"^[\x00-\x7F -ÿ]*$"
-    docs = table(spark, d, "documents", "doc_id", "lang", "text").filter(
-        F.col("lang").isin("de", "es", "fr") & F.col("text").rlike("(?s)" + latin)
-    )
-    raw = docs.withColumn("raw", F.encode("text", "ISO-8859-1"))
+    docs = table(spark, d, "documents", "doc_id", "text").filter("text is not null")
+    stored = F.when(F.col("text").rlike("(?s)" + latin), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
     text, encoding = R.decode_bytes("raw")
-    return raw.withColumn("t", text).withColumn("encoding", encoding).filter(F.col("t") == F.col("text")).select(
-        "doc_id", F.char_length("t").cast("bigint").alias("n_chars"), "encoding"
+    return docs.select("doc_id", stored.alias("raw")).select("doc_id", text.alias("t"), encoding.alias("encoding")).select(
+        "doc_id", F.char_length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("decoded_md5"), "encoding"
     )
 
 

@@ -39,13 +39,22 @@ def cache(spark, d):
     return texts.withColumn("vec_id", F.col("i") % n).join(e, "vec_id").select("text", "embedding", "vec_id")
 
 
-@query(using("cache", select="SELECT d.doc_id, c.vec_id, round(c.embedding[1]::DOUBLE, 6) AS first_value FROM documents d JOIN cache c USING (text)"))
+def by_dimension(df, *keys, **vectors):
+    """One row for each dimension, numbered from 1, with the values of ``vectors`` to six decimals."""
+    zipped = F.arrays_zip(*[v.alias(name) for name, v in vectors.items()])
+    return df.select(*keys, F.posexplode(zipped).alias("p", "v")).select(
+        *keys, (F.col("p") + 1).cast("bigint").alias("dim"), *[r6(F.col("v")[name].cast("double"), name) for name in vectors]
+    )
+
+
+@query(using("cache", select="""
+  SELECT d.doc_id, c.vec_id, i AS dim, round(c.embedding[i]::DOUBLE, 6) + 0.0 AS value FROM documents d JOIN cache c USING (text), range(1, 65) r(i)"""))
 def cached_text_vectors(spark, d):
     c = cache(spark, d)
     docs = wide_table(spark, d, "documents", "doc_id", "text")
     stored = c.select("text", F.struct("vec_id", "embedding").alias("embedding"))
     found = V.vectors_by_text(docs, stored)
-    return found.select("doc_id", "embedding.vec_id", r6(F.col("embedding.embedding")[0].cast("double"), "first_value"))
+    return by_dimension(found.select("doc_id", "embedding.*"), "doc_id", "vec_id", value=F.col("embedding"))
 
 
 @query("""
@@ -69,9 +78,13 @@ def gathered(spark, d):
     return V.gather_vectors(slots, e, "vec_id")
 
 
-@query(using("gathered", select="SELECT snapshot, node_id, slot, vec_id, round(embedding[64]::DOUBLE, 6) AS last_value FROM gathered"))
+@query(using("gathered", select="""
+  SELECT snapshot, node_id, slot, vec_id, array_to_string(list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 1e6) AS BIGINT)), ',') AS millionths
+  FROM gathered"""))
 def gathered_slot_vectors(spark, d):
-    return gathered(spark, d).select("snapshot", "node_id", "slot", "vec_id", r6(F.col("embedding")[63].cast("double"), "last_value"))
+    """Whole vectors, their components in millionths."""
+    millionths = F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string"))
+    return gathered(spark, d).select("snapshot", "node_id", "slot", "vec_id", F.array_join(millionths, ",").alias("millionths"))
 
 
 @query(using("gathered", select="""
@@ -97,12 +110,13 @@ def fitted_scaler(spark, d):
 
 
 @query("""
-  SELECT vec_id, round((embedding[3]::DOUBLE - m) / s, 6) AS third
-  FROM embeddings, (SELECT avg(embedding[3]::DOUBLE) AS m, stddev_pop(embedding[3]::DOUBLE) AS s FROM embeddings WHERE label < 6)""")
+  SELECT vec_id, i AS dim, round((embedding[i]::DOUBLE - m) / s, 6) + 0.0 AS value
+  FROM embeddings, (SELECT i, avg(embedding[i]::DOUBLE) AS m, stddev_pop(embedding[i]::DOUBLE) AS s FROM embeddings, range(1, 65) r(i)
+                    WHERE label < 6 GROUP BY i)""")
 def scaled_vectors(spark, d):
     e = table(spark, d, "embeddings")
     fitted = V.fit_scaler(e.filter(F.col("label") < 6), "embedding", DIM)
-    return V.apply_scaler(e, fitted, "embedding").select("vec_id", r6(F.col("embedding")[2], "third"))
+    return by_dimension(V.apply_scaler(e, fitted, "embedding"), "vec_id", value=F.col("embedding"))
 
 
 cte("attention", """
@@ -156,11 +170,12 @@ def projected_vectors(spark, d):
 
 
 @query("""
-  WITH b AS (SELECT a.vec_id, a.embedding[1]::DOUBLE AS l, b.embedding[1]::DOUBLE AS s, a.embedding[2]::DOUBLE AS g
-             FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
-  SELECT vec_id, round(l / (1 + exp(-g)) + s * (1 - 1 / (1 + exp(-g))), 6) AS scalar_gate, round((l + s) / 2, 6) AS average,
-         round(1 / (1 + exp(-l)) * l + (1 - 1 / (1 + exp(-l))) * s, 6) AS vector_gate,
-         round(greatest(l, 0) + ln(1 + exp(-abs(l))), 6) AS softplus, round(greatest(l, 0), 6) + 0.0 AS relu FROM b""")
+  WITH b AS (SELECT a.vec_id, i AS dim, a.embedding[i]::DOUBLE AS l, b.embedding[i]::DOUBLE AS s, a.embedding[2]::DOUBLE AS g
+             FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1, range(1, 65) r(i))
+  SELECT vec_id, dim, round(l / (1 + exp(-g)) + s * (1 - 1 / (1 + exp(-g))), 6) + 0.0 AS scalar_gate, round((l + s) / 2, 6) + 0.0 AS average,
+         round(1 / (1 + exp(-l)) * l + (1 - 1 / (1 + exp(-l))) * s, 6) + 0.0 AS vector_gate,
+         round(l, 6) + 0.0 AS concat_long, round(s, 6) + 0.0 AS concat_short,
+         round(greatest(l, 0) + ln(1 + exp(-abs(l))), 6) + 0.0 AS softplus, round(greatest(l, 0), 6) + 0.0 AS relu FROM b""")
 def fused_memories(spark, d):
     e = table(spark, d, "embeddings", "vec_id", "embedding")
     double = lambda c: F.transform(c, lambda x: x.cast("double"))
@@ -168,25 +183,25 @@ def fused_memories(spark, d):
         e.select((F.col("vec_id") - 1).alias("vec_id"), double("embedding").alias("short")), "vec_id"
     )
     gate = F.col("long")[1]
-    return both.select(
-        "vec_id",
-        r6(N.fuse("long", "short", "scalar", gate)[0], "scalar_gate"), r6(N.fuse("long", "short", "average")[0], "average"),
-        r6(N.fuse("long", "short", "vector", F.col("long"))[0], "vector_gate"),
-        r6(N.softplus(F.col("long")[0]), "softplus"), r6(N.relu(F.col("long")[0]), "relu"),
+    joined = N.fuse("long", "short", "concat")
+    return by_dimension(
+        both, "vec_id",
+        scalar_gate=N.fuse("long", "short", "scalar", gate), average=N.fuse("long", "short", "average"),
+        vector_gate=N.fuse("long", "short", "vector", F.col("long")),
+        concat_long=F.slice(joined, 1, DIM), concat_short=F.slice(joined, DIM + 1, DIM),
+        softplus=F.transform("long", N.softplus), relu=F.transform("long", N.relu),
     )
 
 
 @query("""
-  SELECT vec_id, round((embedding[1]::DOUBLE - m) / sqrt(v + 1e-5), 6) AS first_normed,
+  SELECT vec_id, dim, round((embedding[dim]::DOUBLE - m) / sqrt(v + 1e-5), 6) + 0.0 AS normed,
          round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * (i % 3 - 1))) + 0.5, 6) AS head
   FROM (SELECT *, list_avg(list_transform(embedding, lambda x: x::DOUBLE)) AS m,
-               list_var_pop(list_transform(embedding, lambda x: x::DOUBLE)) AS v FROM embeddings)""")
+               list_var_pop(list_transform(embedding, lambda x: x::DOUBLE)) AS v FROM embeddings), range(1, 65) r(dim)""")
 def normed_vectors(spark, d):
     e = table(spark, d, "embeddings", "vec_id", "embedding")
     weights = [float((i + 1) % 3 - 1) for i in range(DIM)]
-    return e.select(
-        "vec_id", r6(N.layer_norm("embedding")[0], "first_normed"), r6(N.affine("embedding", weights, 0.5), "head")
-    )
+    return by_dimension(e.withColumn("head", r6(N.affine("embedding", weights, 0.5))), "vec_id", "head", normed=N.layer_norm("embedding"))
 
 
 @query(using("memory", select="""

@@ -53,27 +53,31 @@ def hash_sign(digest: Column) -> Column:
 def signed_hash_dense(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
     """Signed token hashing vector of each text as ``ARRAY<DOUBLE>``, divided by max(norm, 1).
 
-    One aggregate per bucket, so the words of a text collapse to a single row in the task that read
-    it and only that row is shuffled. A text without words has the zero vector.
+    Computed inside the row, so nothing is shuffled and rows that repeat a key stay rows of their own. Every word
+    becomes a code, its bucket and above ``dim`` the same for positive words; in the sorted codes, with each code put
+    in once more, neighbouring first places differ by the count of a code. A text without words has the zero vector.
     """
-    digests = df.select(key, F.explode_outer(word_tokens(text)).alias("_w")).select(key, F.sha2("_w", 256).alias("_d"))
-    words = digests.select(key, hash_bucket(F.col("_d"), dim).alias("_b"), hash_sign(F.col("_d")).alias("_s"))
-    sums = words.groupBy(key).agg(
-        *[F.sum(F.when(F.col("_b") == i, F.col("_s")).otherwise(0)).alias(f"_v{i}") for i in range(dim)]
-    )
-    raw = sums.select(key, F.array(*[F.col(f"_v{i}") for i in range(dim)]).alias("_raw"))
-    square = F.aggregate("_raw", F.lit(0).cast("bigint"), lambda acc, v: acc + v * v)
-    length = F.greatest(F.sqrt(square.cast("double")), F.lit(1.0))
-    return raw.select(
-        key, bind(length, lambda size: F.transform("_raw", lambda v: v / size)).alias("vector")
-    )
+    digests = F.transform(F.coalesce(word_tokens(text), F.array().cast("array<string>")), lambda w: F.sha2(w, 256))
+    codes = F.transform(digests, lambda d: hash_bucket(d, dim) + F.when(hash_sign(d) == 1, dim).otherwise(0))
+    marks = F.sequence(F.lit(0), F.lit(2 * dim))
+    places = bind(F.sort_array(F.concat(codes, marks)), lambda own: F.transform(marks, lambda c: F.array_position(own, c)))
+
+    def signed(first: Column) -> Column:
+        count = lambda c: F.get(first, c + 1) - F.get(first, c)
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: count(b + dim) - count(b))
+
+    def scaled(raw: Column) -> Column:
+        square = F.aggregate(raw, F.lit(0).cast("bigint"), lambda acc, v: acc + v * v)
+        return bind(F.greatest(F.sqrt(square.cast("double")), F.lit(1.0)), lambda size: F.transform(raw, lambda v: v / size))
+
+    return df.select(key, bind(bind(places, signed), scaled).alias("vector"))
 
 
 def signed_hash_sparse(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
     """Non-zero entries ``(key, bucket, value)`` of the same vector."""
     return (
         signed_hash_dense(df, key, text, dim)
-        .select(key, F.posexplode("vector").alias("bucket", "value"))
+        .select(key, F.posexplode_outer("vector").alias("bucket", "value"))  # plain posexplode would filter by a second vector
         .filter(F.col("value") != 0)
     )
 

@@ -75,25 +75,35 @@ def test_build_memory_labels_and_evidence(built):
     first = built.memory.filter("snapshot = 0")
     assert rows(first.select("node_id", "signal_id", "age_days")) == [("e1", "c1", 12), ("e2", "c4", 2)]
     labels = {(r.snapshot, r.node_id): r.label for r in built.node_labels.collect()}
-    assert labels[0, "e1"] == 1 and labels[0, "e2"] == 0 and labels[1, "e2"] == 1
+    assert labels[0, "e1"] == 1 and labels[0, "e2"] == 0
+    purged = {r.snapshot for r in built.snapshots.filter("split = -1").collect()}
+    assert 1 in purged and not purged & {s for s, _ in labels}
+    assert not purged & {r.snapshot for r in built.label_evidence.collect()}
     evidence = built.label_evidence.filter("snapshot = 0 and node_id = 'e1'").collect()
     # Both contexts quote the same span of document d1 once.
     assert [(r.phrase, r.document_start, r.context_id) for r in evidence] == [("Layoff", 12, "c2")]
 
 
 def test_build_passes_its_audit_and_leaks_are_found(built):
-    P.self_audit(built)
     import dataclasses
 
+    P.self_audit(built, all_splits=False)
+    with pytest.raises(A.AuditError, match="split_coverage"):  # no window lies in the short validation period
+        P.self_audit(built)
+    purged = built.snapshots.filter("split = -1").select("snapshot", F.lit("e1").alias("node_id"), F.lit(0).alias("label"))
+    labelled = dataclasses.replace(built, node_labels=built.node_labels.unionByName(purged))
+    with pytest.raises(A.AuditError, match="purged_label"):
+        P.self_audit(labelled, all_splits=False)
+
     broken = dataclasses.replace(built, memory=built.memory.withColumn("age_days", F.lit(-1)))
     with pytest.raises(A.AuditError, match="memory_future_leak"):
-        P.self_audit(broken)
+        P.self_audit(broken, all_splits=False)
     again = dataclasses.replace(built, memory=built.memory.unionByName(built.memory.limit(1)))
     with pytest.raises(A.AuditError, match="memory_duplicate"):
-        P.self_audit(again)
+        P.self_audit(again, all_splits=False)
     proofless = dataclasses.replace(built, label_evidence=built.label_evidence.filter("snapshot > 0"))
     with pytest.raises(A.AuditError, match="without evidence"):
-        P.self_audit(proofless)
+        P.self_audit(proofless, all_splits=False)
 
 
 def test_target_windows_may_not_reach_the_next_split(spark):

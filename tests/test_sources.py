@@ -178,3 +178,10 @@ def test_text_features(spark):
         assert list(r.vector) == pytest.approx([x / size for x in want])
     spans = phrase_spans(df, "text", RISK_PHRASES).collect()
     assert sorted((r.phrase, r.span_start, r.span_end) for r in spans) == [("CHIP shortage", 15, 28), ("Chip shortage", 0, 13), ("停产", 30, 32)]
+
+
+def test_hash_vectors_keep_repeated_keys_and_empty_texts(spark):
+    df = spark.createDataFrame([(1, "alpha alpha"), (1, "beta"), (2, None), (3, "")], "id int, text string")
+    got = signed_hash_dense(df, "id", "text").collect()
+    sizes = sorted((r.id, round(sum(v * v for v in r.vector), 9)) for r in got)
+    assert sizes == [(1, 1.0), (1, 1.0), (2, 0.0), (3, 0.0)] and all(len(r.vector) == 64 for r in got)
