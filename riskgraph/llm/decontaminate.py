@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
 
 The benchmark is a query set. It is read in blocks of at most ``ITEMS_PER_BLOCK`` items, whose words and seeds travel to
 all tasks; the corpus is never shuffled. The first pass counts in how many documents each n-gram of the
-items occurs, over the whole corpus. The rarest part of each item's own n-grams are its seeds, so an item whose
-passage is copied into a third of all documents still has seeds. The second pass looks the seeds up at every word of
-every text, and aligns the item with the words around them.
+items occurs, over the whole corpus. All of an item's n-grams that occur at all are its seeds, common ones as well: in an
+edited copy only those that survive can be found, and the edits don't choose rare or common ones. The second pass looks
+the seeds up at every word of every text, and aligns the item with the words around them. What frequent seeds cost is
+bounded without a loss: a passage that lacks too many words of the item to reach the least score isn't aligned.
 """
 
 from __future__ import annotations
@@ -19,11 +20,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from riskgraph.llm.scratch import Scratch
-from riskgraph.llm.words import ALPHANUMERIC, chunks, flat_bytes, hash_spans, shingles, word_bounds
+from riskgraph.llm.words import ALPHANUMERIC, chunks, flat_bytes, hash_spans, mix, shingles, word_bounds
 
 GRAM = 3
-#: The share of its distinct n-grams, the rarest ones, that an item is searched by, and how many it has at least.
-RARE_SHARE, LEAST_SEEDS = 0.6, 4
 #: Items are aligned in pieces of at most so many words; a document that holds a piece holds the item.
 PIECE = 256
 ITEMS_PER_BLOCK = 20_000
@@ -72,18 +71,10 @@ def _by_seed(ids, words, grams, piece, place) -> Items:
     return Items(ids, words, seeds, np.append(begin, len(grams)), piece[order], place[order])
 
 
-def rare_seeds(items: Items, frequency: np.ndarray) -> Items:
-    """Only the rarest seeds of each piece by ``frequency`` (documents holding each seed)."""
+def found_seeds(items: Items, frequency: np.ndarray) -> Items:
+    """Only the seeds that some document holds, by ``frequency`` (documents holding each seed)."""
     entry_seed = np.repeat(np.arange(len(items.seeds)), np.diff(items.begin))
-    order = np.lexsort((items.seeds[entry_seed], frequency[entry_seed], items.piece))
-    p, s = items.piece[order], entry_seed[order]
-    fresh = np.ones(len(p), dtype=bool)
-    fresh[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1])
-    number = np.cumsum(fresh)
-    first = np.searchsorted(p, p)  # the piece's first entry
-    rank = number - number[first]
-    total = np.bincount(p[fresh], minlength=len(items.words))
-    keep = order[rank < np.maximum(LEAST_SEEDS, np.ceil(RARE_SHARE * total))[p]]
+    keep = np.flatnonzero(frequency[entry_seed] > 0)
     return _by_seed(items.ids, items.words, items.seeds[entry_seed[keep]], items.piece[keep], items.place[keep])
 
 
@@ -141,6 +132,17 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, end
 
 
+def reachable(items: list[np.ndarray], windows: list[np.ndarray], least: float) -> np.ndarray:
+    """Pairs that may score ``least`` of a perfect alignment: so many of the item's words occur in its window at all."""
+    n = len(items)
+    salt = mix(np.arange(1, n + 1, dtype=np.uint64))
+    sizes = np.array([len(q) for q in items])
+    q = np.concatenate(items) ^ np.repeat(salt, sizes)
+    w = np.concatenate(windows) ^ np.repeat(salt, [len(x) for x in windows])
+    there = np.isin(q, w)
+    return np.add.reduceat(there.astype(np.int64), np.cumsum(sizes) - sizes) >= least * sizes
+
+
 def _windows(doc, start, piece, sizes, counts):
     """Merge hits of one (text, piece) that lie close together; (doc, piece, first, last) in words of the text."""
     order = np.lexsort((start, piece, doc))
@@ -182,6 +184,10 @@ def _aligner(items: Items, least: float):
                     some = spans[k : k + 256]
                     q = [items.words[p] for _, p, _, _ in some]
                     w = [words[bounds[d] + lo : bounds[d] + hi] for d, _, lo, hi in some]
+                    may = np.flatnonzero(reachable(q, w, least))
+                    if not len(may):
+                        continue
+                    some, q, w = [some[j] for j in may], [q[j] for j in may], [w[j] for j in may]
                     score, end = align(q, w)
                     good = [j for j in range(len(some)) if score[j] >= least * MATCH * len(q[j])]
                     if good:
@@ -225,7 +231,9 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, *, least: float
         counted = rows.select("text").mapInArrow(_seed_counter(items.seeds), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
         for seed, count in counted.collect():  # one number for each n-gram of the block
             frequency[seed] = count
-        hits = hits.unionByName(rows.mapInArrow(_aligner(rare_seeds(items, frequency), least), _HITS))
+        found = found_seeds(items, frequency)
+        if len(found.seeds):
+            hits = hits.unionByName(rows.mapInArrow(_aligner(found, least), _HITS))
     best = F.max(F.struct("score", -F.col("first_word"), "last_word")).alias("b")
     return hits.groupBy("doc_id", "item_id").agg(best, F.count("*").alias("n_passages")).select(
         "doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("first_word"), F.col("b.last_word").alias("last_word"), "n_passages"

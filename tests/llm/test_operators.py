@@ -175,6 +175,24 @@ def test_decontamination_finds_edited_copies(spark):
     assert decontaminate.contaminated_passages(d.limit(0), b).count() == 0 == decontaminate.contaminated_passages(d, b.limit(0)).count()
 
 
+def test_decontamination_seeds_survive_every_fourth_word_replaced(spark):
+    item = [f"t{i}" for i in range(40)]
+    edited = " ".join(w if i % 4 else f"x{i}" for i, w in enumerate(item))
+    ids = range(1, 12)  # many copies of one edit make its surviving n-grams the frequent ones
+    d = spark.createDataFrame([(i, f"some words before {edited} and after") for i in ids] + [(99, "t1 t2 t3 and other words")], "doc_id long, text string")
+    b = spark.createDataFrame([(10, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.contaminated_passages(d, b).collect()}
+    assert set(got) == set(ids) and min(got.values()) >= 0.6
+
+
+def test_decontamination_bound_never_drops_a_match():
+    rng = np.random.default_rng(6)
+    pairs = [(rng.integers(2, 9, rng.integers(1, 12)).astype(np.uint64), rng.integers(2, 9, rng.integers(1, 20)).astype(np.uint64)) for _ in range(300)]
+    best, _ = decontaminate.align([a for a, _ in pairs], [b for _, b in pairs])
+    may = decontaminate.reachable([a for a, _ in pairs], [b for _, b in pairs], 0.5)
+    assert not may.all() and all(m for m, s, (a, _) in zip(may, best, pairs) if s >= len(a))
+
+
 # --- 2 and 5: classifiers --------------------------------------------------------------------------
 
 
