@@ -23,7 +23,8 @@ from riskgraph.llm.scratch import Scratch
 from riskgraph.llm.words import ALPHANUMERIC, chunks, flat_bytes, hash_spans, mix, shingles, word_bounds
 
 GRAM = 3
-#: Items are aligned in pieces of at most so many words; a document that holds a piece holds the item.
+#: Longer items are aligned in pieces of about equal length, at most so many words; a document that holds a piece holds the item.
+#: A piece of a longer item has at least half as many words, so a match aligns a quarter as many or more.
 PIECE = 256
 ITEMS_PER_BLOCK = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -55,9 +56,10 @@ def index_items(ids: list[int], texts: list[str]) -> Items:
     of, pieces = [], []
     for i in range(len(ids)):
         own = words[bounds[i] : bounds[i + 1]]
-        for at in range(0, len(own), PIECE):
-            of.append(ids[i])
-            pieces.append(own[at : at + PIECE])
+        if len(own):
+            cut = np.array_split(own, math.ceil(len(own) / PIECE))
+            of += [ids[i]] * len(cut)
+            pieces += cut
     if not pieces:
         return Items(np.zeros(0, np.int64), [], np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     grams, offsets = shingles(np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])]), GRAM)

@@ -193,6 +193,16 @@ def test_decontamination_bound_never_drops_a_match():
     assert not may.all() and all(m for m, s, (a, _) in zip(may, best, pairs) if s >= len(a))
 
 
+def test_decontamination_cuts_long_items_evenly(spark):
+    item = [f"t{i}" for i in range(256)] + ["one", "of", "the"]
+    for n in (255, 256, 257, 259, 512, 513, 1000):
+        sizes = [len(w) for w in decontaminate.index_items([1], [" ".join(f"u{i}" for i in range(n))]).words]
+        assert sum(sizes) == n and max(sizes) <= decontaminate.PIECE and max(sizes) - min(sizes) <= 1
+    docs = [(1, "it was one of the good days"), (2, "before " + " ".join(item)), (3, " ".join(item[130:]))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(10, " ".join(item))], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.contaminated_passages(d, b).collect()) == [2, 3]
+
+
 # --- 2 and 5: classifiers --------------------------------------------------------------------------
 
 
