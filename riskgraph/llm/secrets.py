@@ -17,9 +17,16 @@ BASE_RULES = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
     ("hex", re.compile(r"[0-9a-f]{16,}"), 0, 16),  # a run of 16 or more is a whole maximal run
 )
+# A private key runs to its END line. Without one it runs over its header lines, all lines that are base64 as a whole and all long
+# base64 runs; line breaks may be escaped, and lines may be quoted or indented. Repeats are possessive, so scans stay linear.
+_BREAK = r"(?:\r?\n|\\r|\\n)"
+_EDGE = r"[\x20\t>#*|\"',;]*+"
+_KEY_BODY = rf"""(?:(?:(?!-----)(?s:.))*+-----END\x20(?:[A-Z0-9]+\x20)*PRIVATE\x20KEY-----
+    |(?:{_EDGE}(?:{_BREAK}{_EDGE})*+(?:[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n\\]*+(?={_BREAK})|[A-Za-z0-9+/]{{16,}}+={{0,2}}|[A-Za-z0-9+/]++={{1,2}})
+      |{_EDGE}(?:{_BREAK}{_EDGE})++[A-Za-z0-9+/]++={{0,2}}(?={_EDGE}(?:{_BREAK}|\Z)))*+)"""
 # Published shapes of well-known credentials.
 MORE_RULES = (
-    ("private_key", re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"), 0, 0),
+    ("private_key", re.compile(r"-----BEGIN\x20(?:[A-Z0-9]+\x20)*PRIVATE\x20KEY-----" + _KEY_BODY, re.X), 0, 0),
     ("code_host", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"), 0, 0),
     ("chat", re.compile(r"xox[abeprs]-[A-Za-z0-9-]{10,}"), 0, 0),
     ("cloud_key", re.compile(r"AIza[A-Za-z0-9_-]{35}"), 0, 0),
