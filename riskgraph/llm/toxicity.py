@@ -20,6 +20,8 @@ TOKENS = 1 << TOKEN_BITS
 PRIOR = 0.5
 #: Tokens whose log-odds are fewer standard errors than this from zero carry no evidence.
 LEAST_Z = 3.0
+#: Passages are significant up to the last rank r at which r passages this good have a chance below this level in a clean text.
+LEVEL = 0.05
 #: Loss of a segment for each token without evidence: toxic tokens further apart are separate passages.
 DRIFT = 0.3
 
@@ -65,7 +67,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
     Every segment has a positive score, no extension and no part of it scores more.
     """
-    held: list[list] = []  # start, end, total before it, total with it
+    held: list[list] = []  # start, end, total before it, total with it, number of the last one to the left with a lower total before it
     total = 0.0
     for at in range(len(scores)):
         value = float(scores[at])
@@ -73,16 +75,17 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
         if value <= 0:
             continue
         new = [at, at + 1, before, total]
+        j = len(held) - 1
         while True:
-            j = len(held) - 1
             while j >= 0 and held[j][2] >= new[2]:
-                j -= 1
+                j = held[j][4]  # those in between have higher totals still
             if j < 0 or held[j][3] >= new[3]:
-                held.append(new)
+                held.append([*new, j])
                 break
             new = [held[j][0], new[1], held[j][2], new[3]]
-            del held[j:]
-    return [(s, e, b - a) for s, e, a, b in held]
+            j, to = held[j][4], j
+            del held[to:]
+    return [(s, e, b - a) for s, e, a, b, _ in held]
 
 
 def _compressed(values: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,9 +169,54 @@ def _decay(weights: np.ndarray, chance: np.ndarray) -> float:
     return high
 
 
-def _evidence(model: ToxicModel):
-    """-log of the expected number of passages this good by chance in a clean text of the same length, 0 at least."""
-    return F.when(F.col("best") > 0, F.greatest(F.lit(0.0), model.decay * F.col("best") - F.log(F.greatest(F.lit(1.0), model.scale * F.col("n_tokens"))))).otherwise(0.0)
+def chances(gains: np.ndarray, n_tokens: int, model: ToxicModel) -> np.ndarray:
+    """For every r, -log of the chance that a clean text of this length has r passages as good as the r best of ``gains`` (in falling order).
+
+    By chance the number of passages that gain x or more is Poisson with the mean K n exp(-lambda x). Its tail from r on is
+    at most the first term over 1 - mean / (r + 1). As the best r is looked for, r has the share 1 / (r (r + 1)) of
+    all chance. Many moderate passages count this way, though each one alone may be expected by chance.
+    """
+    r = np.arange(1, len(gains) + 1, dtype=float)
+    log_mean = np.log(max(model.scale * n_tokens, 1e-300)) - model.decay * gains
+    mean = np.exp(np.minimum(log_mean, 700.0))
+    some = mean < r
+    tail = r * log_mean - mean - np.cumsum(np.log(r)) - np.log1p(-np.where(some, mean, 0.0) / (r + 1))
+    return np.where(some, np.maximum(0.0, -tail - np.log(r * (r + 1))), 0.0)
+
+
+def _judge(model: ToxicModel):
+    """Rows (doc_id, n_tokens, evidence, starts, ends, gains): the best chance over all r, and the significant passages in text order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            evidence, kept = np.zeros(batch.num_rows), []
+            lists = [batch.column(k) for k in (2, 3, 4)]
+            for i, n in enumerate(batch.column(1).to_pylist()):
+                starts, ends, gains = (np.asarray(c[i].values) for c in lists)
+                order = np.argsort(-gains, kind="stable")
+                log = chances(gains[order], n, model)
+                evidence[i] = log.max(initial=0.0)
+                sure = np.flatnonzero(log >= -np.log(LEVEL))
+                own = np.sort(order[: sure[-1] + 1]) if len(sure) else order[:0]
+                kept.append((starts[own], ends[own], gains[own]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array(evidence), pa.array([s for s, _, _ in kept], pa.list_(pa.int64())),
+                    pa.array([e for _, e, _ in kept], pa.list_(pa.int64())), pa.array([g for *_, g in kept], pa.list_(pa.float64())),
+                ],
+                names=["doc_id", "n_tokens", "evidence", "starts", "ends", "gains"],
+            )
+
+    return run
+
+
+def significant_passages(passages: DataFrame, model: ToxicModel) -> DataFrame:
+    """``toxic_passages`` rows as (doc_id, n_tokens, evidence, starts, ends, gains) with the significant passages only.
+
+    ``evidence`` is made of all passages, the -log of the chance to find the r best ones in a clean text for the best r.
+    """
+    columns = ["doc_id", "n_tokens", "starts", "ends", "gains"]
+    return passages.select(*columns).mapInArrow(_judge(model), "doc_id long, n_tokens long, evidence double, starts array<long>, ends array<long>, gains array<double>")
 
 
 def calibrate(scanned: DataFrame, labels: DataFrame, model: ToxicModel) -> ToxicModel:
@@ -177,7 +225,8 @@ def calibrate(scanned: DataFrame, labels: DataFrame, model: ToxicModel) -> Toxic
     known = scanned.select("doc_id", "best", "n_tokens").join(marks.filter(~held_out()), "doc_id")
     law = known.filter("toxic = 0 and best > 0").agg(F.avg(F.col("best") * model.decay - F.log("n_tokens")).alias("m")).first().m
     model.scale = float(np.exp(min(max((law if law is not None else 0.0) - 0.5772, -20.0), 20.0))) if law is not None else 1.0
-    cells = known.groupBy("toxic", F.least(F.round(_evidence(model) * 4), F.lit(400)).alias("cell")).count().collect()
+    judged = significant_passages(scanned, model).select("doc_id", "evidence").join(marks.filter(~held_out()), "doc_id")
+    cells = judged.groupBy("toxic", F.least(F.round(F.col("evidence") * 4), F.lit(400)).alias("cell")).count().collect()
     x, y, n = (np.array(c, dtype=float) for c in zip(*[(r.cell / 4, r.toxic, r["count"]) for r in cells]))
     a, b = 0.0, 0.0
     for _ in range(50):  # Newton steps with a small ridge
@@ -202,7 +251,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_passages), one row for each row of ``docs(doc_id, text)``.
 
     Learns from ``labels(doc_id, toxic)`` of rows that are not held out; a document with several labels is toxic if
-    one says so, null labels and ids say nothing. Null and empty texts hold no passage and score as such. Without
+    one says so, null labels and ids say nothing. ``n_passages`` counts the significant passages. Null and empty texts hold no passage and score as such. Without
     labels of both classes every score is 0. Other columns are ignored.
     """
     model = learn_tokens(docs, labels)
@@ -210,5 +259,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if model.learned:
         model = calibrate(scanned, labels, model)
     a, b = model.slope
-    score = 1 / (1 + F.exp(-(a + b * _evidence(model)))) if model.learned else F.lit(0.0)
-    return scanned.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.size("gains").alias("n_passages"))
+    score = 1 / (1 + F.exp(-(a + b * F.col("evidence")))) if model.learned else F.lit(0.0)
+    judged = significant_passages(scanned, model)
+    return judged.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.size("gains").alias("n_passages"))

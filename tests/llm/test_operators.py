@@ -246,6 +246,43 @@ def test_segments_are_the_maximal_ones():
         assert [g for *_, g in got] == [g for *_, g in split(0, len(s))]
 
 
+def test_segments_are_found_in_linear_time():
+    reads = 0
+
+    class Held(list):
+        def __getitem__(self, k):
+            nonlocal reads
+            reads += 1
+            return super().__getitem__(k)
+
+    import ast
+    import inspect
+
+    class Counted(ast.NodeTransformer):
+        def visit_AnnAssign(self, node):
+            if node.target.id == "held":
+                node.value = ast.parse("Held()").body[0].value
+            return node
+
+    scope = {**vars(toxicity), "Held": Held}
+    exec(compile(ast.fix_missing_locations(Counted().visit(ast.parse(inspect.getsource(toxicity.segments)))), "segments", "exec"), scope)
+    for n in (1000, 4000):
+        reads = 0
+        assert len(scope["segments"](np.tile([1.0, -3.0], n // 2))) == n // 2 and reads <= 8 * n
+
+
+def test_many_moderate_passages_are_significant_together(spark):
+    model = toxicity.ToxicModel(np.zeros(0, np.int64), np.zeros(0), decay=1.0, scale=1.0, learned=True)
+    n = 3000
+    moderate, strong = np.log(n) - 1.0, np.log(n) + 6.0  # e passages this good are expected by chance, or 0.0025
+    rows = [(1, n, [moderate] * 30), (2, n, [moderate] * 3), (3, n, [0.5] * 40), (4, n, [0.5, strong, 0.5]), (5, n, [strong, strong + 1]), (6, n, []), (7, 0, [])]
+    d = spark.createDataFrame([(i, n, list(range(len(g))), list(range(1, len(g) + 1)), [float(x) for x in g]) for i, n, g in rows],
+                              "doc_id long, n_tokens long, starts array<long>, ends array<long>, gains array<double>")
+    got = {r.doc_id: r for r in toxicity.significant_passages(d, model).collect()}
+    assert {i: len(r.gains) for i, r in got.items()} == {1: 30, 2: 0, 3: 0, 4: 1, 5: 2, 6: 0, 7: 0}
+    assert got[4].starts == [1] and got[1].evidence > 10 > got[4].evidence > got[2].evidence and got[5].evidence > got[4].evidence
+
+
 # --- 8 and 10: scans -------------------------------------------------------------------------------
 
 
