@@ -15,6 +15,9 @@ ssn      ddd-dd-dddd, no part all zeros
 card     13 to 19 digits, plain or in groups, with a right check digit           all digits but the check digit, which is made anew
 =======  ======================================================================  ==============================
 
+Cards are searched in what the other kinds leave. Inside a run of digits every stretch of whole groups is tried, so a short number or an
+expiry date beside a card doesn't hide it; of overlapping stretches with right check digits, one in printed groups goes first.
+
 Numbers that fail their check, such as a wrong check digit, and days outside the calendar stay as they are.
 """
 
@@ -29,8 +32,11 @@ _IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
 _DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-]|\.\d)"
 _PHONE = r"(?<!\w)\+1[ -]?(?:\(\d{3}\)|\d{3})[ -]?\d{3}[ -]?\d{4}(?!\w)"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-_CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
-_ANY = "|".join((_EMAIL, _IP, _DATE, _PHONE, _SSN, _CARD))
+_OTHER = "|".join((_EMAIL, _IP, _DATE, _PHONE, _SSN))
+#: A maximal run of digits with single blanks and hyphens, in which cards are searched. Possessive, so that long runs need no stack.
+_RUN = r"(?<![\w.-])\d(?:[ -]?\d){12,}+\w*+"
+#: Lengths of the groups that cards are printed in.
+_PRINTED = ("4-4-4-4", "4-6-5", "4-6-4", "4-4-4-4-3")
 _HINT = r"@|[0-9]"
 
 _ROUNDS = 6
@@ -170,6 +176,69 @@ def _card(m: Column, key: str) -> Column:
     return _laid_over(m, F.concat(body, last.cast("string")))
 
 
+def _is_card(digits: Column) -> Column:
+    return F.when(digits.rlike("^[0-9]{13,19}$"), F.pmod(_luhn(digits, check=True), F.lit(10)) == 0).otherwise(False)
+
+
+def _part(kind: str | None, found: Column) -> Column:
+    return F.struct(F.lit(kind).cast("string").alias("kind"), found.alias("found"))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _cards(run: Column) -> Column:
+    """A run as (kind, found) of its cards and of what lies between them."""
+    none = F.lit(None).cast("int")
+
+    def split_at(groups: Column, gaps: Column) -> Column:
+        n = F.size(groups)
+        several = lambda i, j: F.slice(groups, i, j - i + 1)
+
+        def ends(i: Column) -> Column:
+            right = F.filter(F.sequence(i, F.least(i + 18, n)), lambda j: _is_card(F.array_join(several(i, j), "")))
+            printed = lambda j: (i == j) | F.array_join(F.transform(several(i, j), lambda g: F.length(g).cast("string")), "-").isin(*_PRINTED)
+            return _let(right, lambda r: F.struct(F.array_min(F.filter(r, printed)).alias("printed"), F.array_max(r).alias("longest")))
+
+        def taken(found: Column, i: Column) -> Column:
+            own = found[i - 1]
+            later = F.exists(F.slice(found, i + 1, own["longest"] - i), lambda f: f["printed"].isNotNull())
+            return F.when(own["printed"].isNotNull(), own["printed"]).when(own["longest"].isNotNull() & ~later, own["longest"]).otherwise(none)
+
+        gap = lambda k: F.coalesce(F.get(gaps, k - 1), F.lit(""))
+
+        def spelled(i: Column, n: Column) -> Column:
+            return F.array_join(F.zip_with(F.slice(groups, i, n), F.slice(gaps, i, n), lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+
+        def put(s: Column, i: Column, j: Column) -> Column:
+            plain = F.concat(gap(s["upto"]), spelled(s["upto"] + 1, i - s["upto"] - 1))
+            card = F.concat(spelled(i, j - i), groups[j - 1])
+            more = F.struct(j.alias("upto"), F.concat(s["parts"], F.array(_part(None, plain), _part("card", card))).alias("parts"))
+            return F.when((i > s["upto"]) & j.isNotNull(), more).otherwise(s)
+
+        start = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<kind:string,found:string>>").alias("parts"))
+        numbers = F.sequence(F.lit(1), n)
+        picks = _let(F.transform(numbers, ends), lambda found: F.transform(numbers, lambda i: F.struct(i.alias("i"), taken(found, i).alias("j"))))
+        rest = lambda s: F.concat(s["parts"], F.array(_part(None, F.concat(gap(s["upto"]), spelled(s["upto"] + 1, n - s["upto"])))))
+        return F.aggregate(picks, start, lambda s, p: put(s, p["i"], p["j"]), rest)
+
+    return _let(
+        F.struct(F.split(run, "[ -]").alias("groups"), F.regexp_extract_all(run, F.lit("[ -]"), F.lit(0)).alias("gaps")),
+        lambda r: split_at(r["groups"], r["gaps"]),
+    )
+
+
+def _rest(text: Column) -> Column:
+    """Text without values of the other kinds as (kind, found) of its cards and of what lies between them."""
+    runs = F.regexp_extract_all(text, F.lit(_RUN), F.lit(0))
+    parts = F.zip_with(
+        F.split(text, _RUN, -1), runs, lambda plain, run: F.when(run.isNull(), F.array(_part(None, plain))).otherwise(F.concat(F.array(_part(None, plain)), _cards(run)))
+    )
+    return F.when(text.rlike(_RUN), F.flatten(parts)).otherwise(F.array(_part(None, text)))
+
+
 def kind_of(m: Column) -> Column:
     """The kind of a match, null if its value isn't valid."""
     octets = F.split(m, r"\.")
@@ -181,7 +250,7 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(f"^(?:{_DATE})$"), F.when(_day(m).isNotNull(), "date"))
         .when(m.startswith("+"), "phone")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(~m.rlike("^000|-00-|-0000$"), "ssn"))
-        .when((F.length(d).between(13, 19)) & (F.pmod(_luhn(d, check=True), F.lit(10)) == 0), "card")
+        .when(_is_card(d), "card")
     )
 
 
@@ -200,17 +269,18 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     result depends on the text and ``key`` alone. Keep the key secret: whoever has it can undo the pseudonyms.
     """
     some = F.col(text).rlike(_HINT)
-    matches = F.when(some, F.regexp_extract_all(F.col(text), F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    listed = docs.withColumn("_matches", F.when(F.col(text).isNotNull(), matches))
-    named = listed.withColumn("_named", F.transform("_matches", lambda m: F.struct(kind_of(m).alias("kind"), m.alias("found"))))
+    others = F.regexp_extract_all(F.col(text), F.lit(_OTHER), F.lit(0))
+    value = lambda m: F.array(F.struct(kind_of(m).alias("kind"), m.alias("found")))
+    cut = F.flatten(F.zip_with(F.split(F.col(text), _OTHER, -1), others, lambda plain, m: F.when(m.isNull(), _rest(plain)).otherwise(F.concat(_rest(plain), value(m)))))
+    parts = F.when(some, cut).otherwise(F.array().cast("array<struct<kind:string,found:string>>"))
+    named = docs.withColumn("_named", F.when(F.col(text).isNotNull(), parts))
     mapped = named.withColumn(
         "_mapped", F.transform("_named", lambda s: F.struct(s["kind"].alias("kind"), s["found"].alias("found"), pseudonym(s["found"], s["kind"], key).alias("pseudonym")))
     )
-    between = F.split(F.col(text), _ANY, -1)
-    joined = F.array_join(F.zip_with(between, "_mapped", lambda a, b: F.concat(a, F.coalesce(b["pseudonym"], F.lit("")))), "")
+    joined = F.array_join(F.transform("_mapped", lambda s: s["pseudonym"]), "")
     return mapped.withColumn(text, F.when(F.size("_mapped") > 0, joined).otherwise(F.col(text))).withColumn(
         "pii", F.filter("_mapped", lambda s: s["kind"].isNotNull())
-    ).drop("_matches", "_named", "_mapped")
+    ).drop("_named", "_mapped")
 
 
 def pii_report(docs: DataFrame, key: str) -> DataFrame:

@@ -460,6 +460,24 @@ def test_pseudonyms_keep_format_and_links(spark, odd, empty):
     assert [r.pii for r in pii.pseudonymise(odd.filter("doc_id = 1"), "k").collect()] == [None]
 
 
+def test_cards_beside_other_numbers_are_found(spark):
+    card, amex = "4111 1111 1111 1111", "3782 822463 10005"
+    cases = [
+        (f"card {card} 12/25", [card]), (f"id 12 {card}", [card]), (f"{card} 123", [card]), (f"{card} {amex}", [card, amex]), (f"7 {amex} 8-9", [amex]),
+        (f"{card} 2024-01-02.", [card, "2024-01-02"]), (f"12 123-45-6789 {card}", ["123-45-6789", card]), (f"{card} 12th", [card]), (f"{card} 12/25/2024", [card, "12/25/2024"]),
+        ("4111-1111-1111-1112 12", []), ("41111111111111110000", []), (" ".join(["10"] * 20_000) + f" {card}", [card]),
+    ]
+    d = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(d, "k").collect()}
+    for k, (text, want) in enumerate(cases[:-1]):
+        assert [p.found for p in got[k].pii] == want, (text[:60], got[k].pii)
+        for p in got[k].pii:
+            text = text.replace(p.found, p.pseudonym)
+            assert p.kind != "card" or luhn(re.sub(r"\D", "", p.pseudonym))
+        assert got[k].text == text and not [w for w in want if w in got[k].text]
+    assert got[len(cases) - 1].pii[-1].found == card and len(got[len(cases) - 1].text) == len(cases[-1][0])
+
+
 def test_date_and_digit_permutations_are_permutations(spark):
     days = spark.range(0, 2000).select(F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"), "id")
     got = pii.pseudonymise(days, "k").select("text").collect()
