@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from riskgraph.llm.components import connected_components
@@ -46,6 +47,19 @@ def _stacked(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
 
 
+def _set_key(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set (none empty)."""
+    hi, lo = (np.add.reduceat(mix(values ^ key), offsets[:-1]).view(np.int64) for key in _A[:2])
+    return hi, lo
+
+
+def _nodes(ids: pa.Array, hi: np.ndarray, lo: np.ndarray) -> pa.Array:
+    """Names of texts: an id with the hash of its set, so that texts which share an id stay apart. Texts without an id come last."""
+    missing = np.asarray(pc.is_null(ids))
+    named = np.where(missing, lo, np.asarray(pc.fill_null(ids, 0)))
+    return pa.StructArray.from_arrays([pa.array(missing.astype(np.int32)), pa.array(named), pa.array(hi)], names=["no_id", "id", "hi"])
+
+
 def _sketcher(words: int):
     """Rows (doc_id, n_shingles, set_hi, set_lo, buckets) of batches of (doc_id, text)."""
 
@@ -63,8 +77,7 @@ def _sketcher(words: int):
                     for r in range(ROWS):
                         acc = mix(acc ^ low[:, :, r]) + _BAND
                     bands = acc.view(np.int64)
-                    hi[full] = np.add.reduceat(mix(values ^ _A[0]), offsets[:-1]).view(np.int64)
-                    lo[full] = np.add.reduceat(mix(values ^ _A[1]), offsets[:-1]).view(np.int64)
+                    hi[full], lo[full] = _set_key(values, offsets)
                 counts = np.array([len(s) for s in sets], dtype=np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.where(counts > 0, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -76,17 +89,25 @@ def _sketcher(words: int):
 
 
 def _set_maker(words: int):
-    """Rows (doc_id, full, long): all shingle hashes, and the low halves of ``LONG`` minima."""
+    """Rows (node, full, long) of rows (doc_id, text): all shingle hashes, and the low halves of ``LONG`` minima. Empty sets have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                sets = shingle_sets(part.column(1), words)
+                every = shingle_sets(part.column(1), words)
+                full = [i for i, s in enumerate(every) if len(s)]
+                if not full:
+                    continue
+                sets = [every[i] for i in full]
                 values, offsets = _stacked(sets)
                 signatures = minima(values, offsets, _LA, _LB).astype(np.uint16)
+                hi, lo = _set_key(values, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in signatures], pa.binary())],
-                    names=["doc_id", "full", "long"],
+                    [
+                        _nodes(part.column(0).take(pa.array(full)), hi, lo), pa.array([s.tobytes() for s in sets], pa.binary()),
+                        pa.array([s.tobytes() for s in signatures], pa.binary()),
+                    ],
+                    names=["node", "full", "long"],
                 )
 
     return run
@@ -115,7 +136,7 @@ def _overlaps(percent: int):
 
 
 def _block_pairs(percent: int):
-    """Near pairs of one pair of blocks, one row for each left document with its partners.
+    """Near pairs of one pair of blocks, one row for each left text with its partners.
 
     A pair is taken in the first bucket it shares only, and only if its components differ.
     """
@@ -123,7 +144,10 @@ def _block_pairs(percent: int):
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket, left, right = key[0].as_py(), key[1].as_py(), key[2].as_py()
-        ids, part, comp = (table.column(c).to_numpy() for c in ("doc_id", "part", "component"))
+        nodes, part = table.column("node").combine_chunks(), table.column("part").to_numpy()
+        fields = table.column("component").combine_chunks().flatten()
+        _, comp = np.unique(np.stack([f.to_numpy().astype(np.int64) for f in fields], axis=1), axis=0, return_inverse=True)
+        comp = comp.ravel()
         signs = np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("long")])
         bands = np.stack([np.asarray(x.values) for x in table.column("buckets")])
         lefts, rights = np.flatnonzero(part == left), np.flatnonzero(part == right)
@@ -131,80 +155,86 @@ def _block_pairs(percent: int):
         own = bands[0] == bucket
         band = int(np.argmax(own)) if own.any() else 0
         for i in lefts:
-            j = rights[(comp[rights] != comp[i]) & (ids[rights] > ids[i] if left == right else ids[rights] != ids[i])]
+            j = rights[(comp[rights] != comp[i]) & (rights > i if left == right else True)]
             if band and len(j):
                 j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
             if len(j):
                 j = j[(signs[j] == signs[i]).sum(axis=1) >= least * LONG]
             if len(j):
-                at.append(ids[i])
-                partners.append(ids[j].tolist())
-        return pa.table({"a": pa.array(at, pa.int64()), "partners": pa.array(partners, pa.list_(pa.int64()))})
+                at.append(i)
+                partners.append(j)
+        sizes = np.concatenate([[0], np.cumsum([len(j) for j in partners])]).astype(np.int32)
+        found = nodes.take(pa.array(np.concatenate(partners) if partners else np.zeros(0, np.int64)))
+        return pa.table({"a": nodes.take(pa.array(at, pa.int64())), "partners": pa.ListArray.from_arrays(pa.array(sizes), found)})
 
     return run
 
 
+_NODE = "struct<no_id:int,id:long,hi:long>"
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): near-duplicate groups of ``docs(doc_id, text)``.
+    """(doc_id, n_shingles, component_id, kept, set_hi, group): near-duplicate groups of ``docs(doc_id, text)``.
 
     Texts are lower-cased (A-Z) and cut at blanks; a set holds the distinct runs of ``words`` words, or the
     whole sequence of a shorter text. Texts with an overlap of ``percent`` of the union are linked. A null,
-    empty or blank text has no shingles and links with nothing. One row comes back for every input row;
-    ``doc_id`` names a text, so rows that repeat one with another text are linked by either's class. A null
-    ``doc_id`` is in no group: null component, kept. Other columns of ``docs`` are ignored.
+    empty or blank text has no shingles and links with nothing. One row comes back for every input row, and
+    links are those of the row's own text, also where rows repeat an id with another text. ``component_id`` is the
+    smallest id of the row's group, and a row is kept if that is its own. A row without an id belongs to the
+    group of its text; it is kept where no text of the group has an id, and its ``component_id`` is null then. ``group`` names the
+    group (null without shingles) also where ids repeat. Other columns of ``docs`` are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = scratch.keep(
         texts.mapInArrow(_sketcher(words), "doc_id long, n_shingles long, set_hi long, set_lo long, buckets array<long>"), "sketch"
     )
     same = ["n_shingles", "set_hi", "set_lo"]
-    nodes = sketch.filter("n_shingles > 0 and doc_id is not null")
-    classes = scratch.keep(nodes.groupBy(*same).agg(F.min(F.struct("doc_id", "buckets")).alias("f")).select(*same, "f.*"), "classes")
-    members = classes.select("doc_id", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    node = F.struct(F.col("doc_id").isNull().cast("int").alias("no_id"), F.coalesce("doc_id", "set_lo").alias("id"), F.col("set_hi").alias("hi"))
+    classes = scratch.keep(
+        sketch.filter("n_shingles > 0").groupBy(*same).agg(F.min(F.struct(node.alias("node"), "buckets")).alias("f")).select(*same, "f.*"), "classes"
+    )
+    members = classes.select("node", F.explode("buckets").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     hubs = scratch.keep(members.join(shared, "bucket"), "hubs")
-    stars = hubs.filter("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    involved = scratch.keep(hubs.select("doc_id").distinct(), "involved")
+    stars = hubs.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    involved = hubs.select(F.when(F.col("node.no_id") == 0, F.col("node.id")).alias("_id")).distinct()
+    once = texts.join(involved, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("_text", F.xxhash64("text"))
     sets = scratch.keep(
-        texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_maker(words), "doc_id long, full binary, long binary"),
-        "sets",
+        once.dropDuplicates(["doc_id", "_text"]).select("doc_id", "text").mapInArrow(_set_maker(words), f"node {_NODE}, full binary, long binary"), "sets"
     )
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        full = sets.select("doc_id", "full")
+        full = sets.select("node", "full")
         return (
             pairs.join(full.toDF("a", "full_a"), "a").join(full.toDF("b", "full_b"), "b")
-            .select("a", "b", "full_a", "full_b").mapInArrow(_overlaps(percent), "a long, b long")
+            .select("a", "b", "full_a", "full_b").mapInArrow(_overlaps(percent), f"a {_NODE}, b {_NODE}")
         )
 
     first = scratch.keep(confirmed(stars), "links")
-    merged = connected_components(first, "a", "b").toDF("doc_id", "component")
+    merged = connected_components(first, "a", "b").toDF("node", "component")
     placed = scratch.keep(
-        hubs.join(merged, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed"
+        hubs.join(merged, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "placed"
     )
     open_ = attach_group_stats(placed, ["bucket"], {"n": F.count("*"), "lo": F.min("component"), "hi": F.max("component")}).filter("lo != hi")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     blocks = (
-        open_.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+        open_.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("bucket", "doc_id", "component", "part", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"))
+        .select("bucket", "node", "component", "part", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"))
     )
-    payload = sets.select("doc_id", "long").join(classes.select("doc_id", "buckets"), "doc_id")
+    payload = sets.select("node", "long").join(classes.select("node", "buckets"), "node")
     near = (
-        blocks.join(payload, "doc_id").groupBy("bucket", "left", "right").applyInArrow(_block_pairs(percent), "a long, partners array<long>")
+        blocks.join(payload, "node").groupBy("bucket", "left", "right").applyInArrow(_block_pairs(percent), f"a {_NODE}, partners array<{_NODE}>")
         .select("a", F.explode("partners").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     near = scratch.keep(near, "near")
     second = scratch.keep(confirmed(near), "links")
-    groups = connected_components(first.unionByName(second), "a", "b").toDF("rep", "component")
+    groups = connected_components(first.unionByName(second), "a", "b").toDF("node", "component")
     mapped = scratch.keep(
-        classes.select(*same, F.col("doc_id").alias("rep")).join(groups, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component")),
-        "groups",
+        classes.select(*same, "node").join(groups, "node", "left").select(*same, F.coalesce("component", "node").alias("group")), "groups"
     )
-    scratch.drop(classes, hubs, involved, sets, first, placed, near, second)
+    scratch.drop(classes, hubs, sets, first, placed, near, second)
     found = sketch.select("doc_id", *same).join(mapped, same, "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    return found.select(
-        "doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept")
-    )
+    component = F.when(F.col("group").isNull(), F.col("doc_id")).when(F.col("group.no_id") == 0, F.col("group.id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "set_hi", "group")

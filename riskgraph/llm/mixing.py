@@ -101,10 +101,11 @@ def mixture(docs: DataFrame, *, weights=WEIGHTS, ratio: float = RATIO, most: int
         "placed",
     )
     slots = plan.agg(F.sum("quota")).first()[0] or 0
-    upto = F.sum("target").over(W.orderBy("source_idx")) / F.sum("target").over(W.partitionBy(F.lit(0)))
+    upto = F.try_divide(F.sum("target").over(W.orderBy("source_idx")), F.sum("target").over(W.partitionBy(F.lit(0))))
     edges = plan.select("source_idx", upto.alias("upto")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("source_idx", "upto"))), lambda s: s["upto"]).alias("edges")
     )
+    # Without a word in any source there are no slots, and no edge is ever asked for.
     chance = F.pmod(F.xxhash64(F.lit(seed), F.lit("slot"), "id"), F.lit(1 << 53)) / float(1 << 53)
     drawn = (
         spark.range(slots).select(F.expr(f"id div {SHARD_SLOTS}").alias("shard"), chance.alias("chance"), edges.scalar().alias("edges"))

@@ -95,6 +95,18 @@ def test_minhash_edges(spark, odd, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_keeps_rows_with_one_id_apart(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    near, other = a.replace("w30", "x"), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, ""), (1, a), (2, near), (2, other), (3, other), (None, near), (None, other + " end"), (None, "alone here now"), (None, "alone here now"), (2, None)]
+    want = Counter([(1, 0, 1, True), (1, 57, 1, True), (2, 57, 1, False), (2, 57, 2, True), (3, 57, 2, False), (None, 57, 1, False), (None, 58, 2, False), (None, 1, None, True), (None, 1, None, True), (2, 0, 2, True)])
+    for turned in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame(turned, "doc_id long, text string").coalesce(1)
+        got = minhash.near_duplicates(df, words=4).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
+        assert len({r.group for r in got if r.doc_id is None and r.component_id is None}) == 1
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(100, 140)]
     star = [(7, i) for i in range(8, 60)]
@@ -110,6 +122,19 @@ def test_shingles_depend_on_words_alone(spark):
     assert (a == b).all() and len(a) == 2 and not set(a) & set(c) and len(d) == 0
 
 
+def test_pii_reads_long_runs_once(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "a1" * (n // 2) + " me@here.org " + "b-" * (n // 2))], "doc_id long, text string")
+        began = time.time()
+        assert pii.pseudonymise(df, "k").select("pii").first()[0][0]["found"] == "me@here.org"
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(1_000_000) < 20 * max(seconds(100_000), 0.5)
+
+
 # --- 6: vectors ------------------------------------------------------------------------------------
 
 
