@@ -31,7 +31,7 @@ def op2_language(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, d: str) -> DataFrame:
-    return minhash.near_duplicates(_documents(spark, d), words=4, percent=80).drop("set_hi", "group")
+    return minhash.near_duplicates(_documents(spark, d), words=4, percent=80).drop("text_hash", "group")
 
 
 def op4_mixing(spark: SparkSession, d: str) -> DataFrame:

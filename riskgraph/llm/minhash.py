@@ -61,7 +61,7 @@ def _nodes(ids: pa.Array, hi: np.ndarray, lo: np.ndarray) -> pa.Array:
 
 
 def _sketcher(words: int):
-    """Rows (doc_id, n_shingles, set_hi, set_lo, buckets) of batches of (doc_id, text)."""
+    """Rows (doc_id, text_hash, n_shingles, set_hi, set_lo, buckets) of batches of (doc_id, text, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,8 +81,8 @@ def _sketcher(words: int):
                 counts = np.array([len(s) for s in sets], dtype=np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.where(counts > 0, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts), pa.array(hi), pa.array(lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))],
-                    names=["doc_id", "n_shingles", "set_hi", "set_lo", "buckets"],
+                    [part.column(0), part.column(2), pa.array(counts), pa.array(hi), pa.array(lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))],
+                    names=["doc_id", "text_hash", "n_shingles", "set_hi", "set_lo", "buckets"],
                 )
 
     return run
@@ -174,7 +174,7 @@ _NODE = "struct<no_id:int,id:long,hi:long>"
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, set_hi, group): near-duplicate groups of ``docs(doc_id, text)``.
+    """(doc_id, n_shingles, component_id, kept, text_hash, group): near-duplicate groups of ``docs(doc_id, text)``.
 
     Texts are lower-cased (A-Z) and cut at blanks; a set holds the distinct runs of ``words`` words, or the
     whole sequence of a shorter text. Texts with an overlap of ``percent`` of the union are linked. A null,
@@ -182,12 +182,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     links are those of the row's own text, also where rows repeat an id with another text. ``component_id`` is the
     smallest id of the row's group, and a row is kept if that is its own. A row without an id belongs to the
     group of its text; it is kept where no text of the group has an id, and its ``component_id`` is null then. ``group`` names the
-    group (null without shingles) also where ids repeat. Other columns of ``docs`` are ignored.
+    group (null without shingles) also where ids repeat, and ``text_hash`` (xxhash64) tells rows of one id apart. Other columns of ``docs`` are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sketch = scratch.keep(
-        texts.mapInArrow(_sketcher(words), "doc_id long, n_shingles long, set_hi long, set_lo long, buckets array<long>"), "sketch"
+        texts.mapInArrow(_sketcher(words), "doc_id long, text_hash long, n_shingles long, set_hi long, set_lo long, buckets array<long>"), "sketch"
     )
     same = ["n_shingles", "set_hi", "set_lo"]
     node = F.struct(F.col("doc_id").isNull().cast("int").alias("no_id"), F.coalesce("doc_id", "set_lo").alias("id"), F.col("set_hi").alias("hi"))
@@ -199,9 +199,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     hubs = scratch.keep(members.join(shared, "bucket"), "hubs")
     stars = hubs.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     involved = hubs.select(F.when(F.col("node.no_id") == 0, F.col("node.id")).alias("_id")).distinct()
-    once = texts.join(involved, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("_text", F.xxhash64("text"))
+    once = texts.join(involved, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = scratch.keep(
-        once.dropDuplicates(["doc_id", "_text"]).select("doc_id", "text").mapInArrow(_set_maker(words), f"node {_NODE}, full binary, long binary"), "sets"
+        once.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text").mapInArrow(_set_maker(words), f"node {_NODE}, full binary, long binary"), "sets"
     )
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -235,6 +235,6 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         classes.select(*same, "node").join(groups, "node", "left").select(*same, F.coalesce("component", "node").alias("group")), "groups"
     )
     scratch.drop(classes, hubs, sets, first, placed, near, second)
-    found = sketch.select("doc_id", *same).join(mapped, same, "left")
+    found = sketch.select("doc_id", "text_hash", *same).join(mapped, same, "left")
     component = F.when(F.col("group").isNull(), F.col("doc_id")).when(F.col("group.no_id") == 0, F.col("group.id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "set_hi", "group")
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "group")
