@@ -26,6 +26,8 @@ from riskgraph.llm.scratch import Scratch
 from riskgraph.llm.words import chunks, keys, mix, shingle_sets
 from riskgraph.operators.joins import attach_group_stats
 
+#: A text without such a character has no words and no shingles.
+WORD = r"[^\x20\x09-\x0D]"
 BANDS, ROWS = 28, 5
 LONG = 1024
 BLOCK = 512

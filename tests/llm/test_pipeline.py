@@ -44,3 +44,15 @@ def test_empty_table_and_odd_rows(spark, documents):
             docs = stage(spark, docs, SF).cache()
             assert docs.columns == names
         assert cp.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_near_dedup_judges_rows_by_their_own_text(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    near, other = a.replace("w30", "x"), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, "", "x"), (1, a, "x"), (1, a, "y"), (2, near, "x"), (2, other, "x"), (3, other, "x"), (None, near, "x"), (None, "just once here", "x"), (None, "just once here", "x"), (4, None, "x"), (5, " ", "x")]
+    for turned in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, o, 1, 2, "r") for i, t, o in turned], "doc_id long, text string, row string, id int, hash int, `group` string")
+        kept = cp.drop_near_duplicates(spark, docs, SF)
+        assert kept.columns == docs.columns
+        got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+        assert got == sorted([(1, ""), (1, a), (2, other), (None, "just once here"), (4, None), (5, " ")], key=repr)
