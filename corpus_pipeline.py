@@ -22,10 +22,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each group of near-duplicates the document with the smallest id stays."""
-    gone = Scratch(spark).keep(minhash.near_duplicates(docs).filter("not kept").select("doc_id"), "gone")
-    unique = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without an id are all kept
-    return docs.join(gone, "doc_id", "left_anti").withColumn("_row", unique).dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    """MinHash near-dedup: of each group of near-duplicates one row stays, that of the smallest id; texts without words stay.
+
+    Rows are told apart by id and text, so a row that shares its id with another text is judged by its own. Rows
+    without an id are in the group of their text and stay only where none of the group has one.
+    """
+    no_id, id_, hash_ = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text")
+    found = minhash.near_duplicates(docs).filter("group is not null")
+    first = found.groupBy("group").agg(F.min(F.struct(no_id.alias("no_id"), id_.alias("id"), F.col("text_hash").alias("hash"))).alias("k")).select("k.*")
+    first = Scratch(spark).keep(first, "kept")
+    packed = docs.select(no_id.alias("no_id"), id_.alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"), F.struct("*").alias("row"))
+    words = F.coalesce(F.col("row.text").rlike(minhash.WORD), F.lit(False))
+    one = packed.filter(words).join(first, ["no_id", "id", "hash"], "left_semi").dropDuplicates(["no_id", "id", "hash"])
+    return one.select("row.*").unionByName(packed.filter(~words).select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
