@@ -3,9 +3,9 @@
 1. Words are counted for each language. A word is named by a 64-bit hash from here on; the count groups by hash and keeps the
    least and the greatest word of it, so two words with one hash are noticed, and the next seed is taken.
 2. Every occurrence of a word opens one window of ``LONGEST`` lead columns, padded where the piece ends. A word below the least
-   count can be in no frequent phrase, so windows end before it too; a bit set of fixed size tells such words apart (a
-   chance hit only leaves a window longer). Windows are counted, and a ROLLUP over their columns gives every shorter phrase
-   its count as a prefix of longer windows: no n-gram is listed on its own.
+   count can be in no frequent phrase, so windows end before it too, and likewise between two words whose pair is too rare. Bit
+   sets of fixed size tell such words and pairs apart (a chance hit only leaves a window longer). Windows are counted, and a
+   ROLLUP over their columns gives every shorter phrase its count as a prefix of longer windows.
 3. Cuts, containment and ranks work on the frequent phrases alone, with decimal arithmetic where 64 bits might not do.
 """
 
@@ -26,10 +26,10 @@ LONGEST = 4
 COVER_PERCENT = 80
 SCALE = 2_000_000
 UNKNOWN = "und"
-#: Size of the bit set of frequent words: a megabyte, whatever the corpus.
-BITS = 1 << 23
+#: Sizes of the bit sets of frequent words and pairs, one and eight megabytes, whatever the corpus.
+BITS, PAIR_BITS = 1 << 23, 1 << 26
 _BLOCK_BITS = 1 << 15  # of Spark's bitmap functions
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 _SALTS = 64
 _WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 KEY = ["lang", *_WORDS]
@@ -38,7 +38,7 @@ _PIECE_END = np.zeros(256, dtype=bool)
 _PIECE_END[list(b".,;:!?\n\x0b\x0c\r")] = True
 _IS_WORD = ~_PIECE_END
 _IS_WORD[[0x20, 0x09]] = False
-_MIXERS = keys(1201, LONGEST + 1)
+_MIXERS = keys(1201, LONGEST + 2)
 
 
 def _substitution(seed: int) -> np.ndarray:
@@ -47,7 +47,7 @@ def _substitution(seed: int) -> np.ndarray:
 
 
 def _words(part: pa.RecordBatch, seed: int):
-    """Flat bytes, word bounds, hashes (never 0), language of each word, and whether the next word is in the same piece."""
+    """Flat bytes, word bounds, hashes (never 0), language of each word, its bit, and keys of pairs with the next word (0 at the end of a piece)."""
     flat, starts = flat_bytes(part.column(1))
     flat = lowered(flat)
     first, last, bounds = word_bounds(flat, starts, _IS_WORD)
@@ -62,8 +62,10 @@ def _words(part: pa.RecordBatch, seed: int):
     names = langs.dictionary
     marks = hash_spans(*_all_spans(names)) if len(names) else np.zeros(0, np.uint64)
     lang = of_text[text]
-    bits = (mix(hashes ^ mix(marks + np.uint64(7))[lang]) & np.uint64(BITS - 1)).astype(np.int64) if len(lang) else lang
-    return flat, first, last, hashes, lang, names, bits, joined
+    own = mix(hashes ^ mix(marks + np.uint64(7))[lang]) if len(lang) else hashes
+    pairs = np.zeros(len(first), dtype=np.uint64)
+    pairs[:-1] = np.where(joined[:-1], mix(own[:-1] * _MIXERS[-1] ^ hashes[1:]) | np.uint64(1), np.uint64(0))
+    return flat, first, last, hashes, lang, names, (own & np.uint64(BITS - 1)).astype(np.int64), pairs
 
 
 def _all_spans(names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,24 +123,48 @@ def _equal_spans(flat: np.ndarray, first: np.ndarray, last: np.ndarray, a: np.nd
     return same & ~np.logical_or.reduceat(differs, heads)
 
 
-def _window_counter(seed: int, frequent: bytes):
-    """Rows (lang, w1 .. , n): the padded (0) longest window at each frequent word."""
+def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _pair_bit(pairs: np.ndarray) -> np.ndarray:
+    return (pairs >> np.uint64(1) & np.uint64(PAIR_BITS - 1)).astype(np.int64)
+
+
+def _pair_counter(seed: int, frequent: bytes):
+    """Rows (pair, n): keys of neighbouring frequent words with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitset = np.frombuffer(frequent, np.uint8)
         for batch in batches:
             for part in chunks(batch, limit=_CHUNK):
-                _, _, _, hashes, lang, names, bits, joined = _words(part, seed)
-                often = (bitset[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool) if len(bits) else joined
+                *_, bits, pairs = _words(part, seed)
+                often = _is_set(bitset, bits)
+                found, n = np.unique(pairs[:-1][(pairs[:-1] != 0) & often[:-1] & often[1:]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["pair", "n"])
+
+    return run
+
+
+def _window_counter(seed: int, frequent: bytes, frequent_pairs: bytes):
+    """Rows (lang, w1 .. , n): the padded (0) longest window at each frequent word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitset, pairset = np.frombuffer(frequent, np.uint8), np.frombuffer(frequent_pairs, np.uint8)
+        for batch in batches:
+            for part in chunks(batch, limit=_CHUNK):
+                _, _, _, hashes, lang, names, bits, pairs = _words(part, seed)
+                often = _is_set(bitset, bits)
                 at = np.flatnonzero(often)
                 if not len(at):
                     continue
+                goes_on = (pairs != 0) & often & _is_set(pairset, _pair_bit(pairs))
+                goes_on[:-1] &= often[1:]
                 n, open_ = len(hashes), np.ones(len(at), dtype=bool)
                 columns = [hashes[at]]
                 for k in range(1, LONGEST):
-                    to = np.minimum(at + k, n - 1)
-                    open_ = open_ & (at + k < n) & joined[to - 1] & often[to]
-                    columns.append(np.where(open_, hashes[to], np.uint64(0)))
+                    open_ = open_ & goes_on[np.minimum(at + k - 1, n - 1)]
+                    columns.append(np.where(open_, hashes[np.minimum(at + k, n - 1)], np.uint64(0)))
                 key = lang[at].astype(np.uint64) * _MIXERS[0]
                 for c, m in zip(columns, _MIXERS[1:]):
                     key = mix(key ^ c) * m
@@ -162,11 +188,11 @@ def word_table(texts: DataFrame, scratch: Scratch, least: int, seed: int) -> Dat
     )
 
 
-def frequent_bits(words: DataFrame) -> bytes:
-    """The bit set of the spelled-out words, built in parts of 4 KB by Spark: ``BITS / 8`` bytes at most reach the driver."""
-    rows = words.filter(F.col("word").isNotNull()).groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("part"))
-    out = bytearray(BITS // 8)
-    for r in rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits")).collect():
+def bit_set(numbers: DataFrame, number: Column, size: int) -> bytes:
+    """The set of ``number`` (0 to size - 1) as bits, built in parts of 4 KB by Spark: ``size / 8`` bytes at most reach the driver."""
+    rows = numbers.groupBy(F.bitmap_bucket_number(number + 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number + 1)).alias("bits"))
+    out = bytearray(size // 8)
+    for r in rows.toLocalIterator():
         at = (r["part"] - 1) * (_BLOCK_BITS // 8)
         out[at : at + _BLOCK_BITS // 8] = r["bits"]
     return bytes(out)
@@ -241,7 +267,10 @@ def collocations(docs: DataFrame, *, least: int = LEAST, top: int = TOP) -> Data
         scratch.drop(words)
         seed += 1
         words = word_table(texts, scratch, least, seed)
-    windows = texts.mapInArrow(_window_counter(seed, frequent_bits(words)), ", ".join(["lang string", *[f"{w} long" for w in _WORDS], "n long"]))
+    frequent = bit_set(words.filter(F.col("word").isNotNull()), F.col("bit"), BITS)
+    pairs = texts.mapInArrow(_pair_counter(seed, frequent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    frequent_pairs = bit_set(pairs, F.shiftrightunsigned("pair", 1).bitwiseAND(F.lit(PAIR_BITS - 1)), PAIR_BITS)
+    windows = texts.mapInArrow(_window_counter(seed, frequent, frequent_pairs), ", ".join(["lang string", *[f"{w} long" for w in _WORDS], "n long"]))
     grams = scratch.keep(phrase_counts(windows, least), "grams")
     phrases = uncovered(weakest_cuts(grams), grams)
     by_numbers = [F.col("score").desc(), F.col("a").desc()]
