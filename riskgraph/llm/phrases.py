@@ -1,12 +1,12 @@
 """Phrase collocations: counts of padded longest windows, marginalised by ROLLUP, and a cohesion score of the weakest cut.
 
-1. Words are counted for each language. A word is named by a 64-bit hash from here on; the count groups by hash and keeps the
-   least and the greatest word of it, so two words with one hash are noticed, and the next seed is taken.
-2. Every occurrence of a word opens one window of ``LONGEST`` lead columns, padded where the piece ends. A word below the least
-   count can be in no frequent phrase, so windows end before it too, and likewise between two words whose pair is too rare. Bit
-   sets of fixed size tell such words and pairs apart (a chance hit only leaves a window longer). Windows are counted, and a
-   ROLLUP over their columns gives every shorter phrase its count as a prefix of longer windows.
-3. Cuts, containment and ranks work on the frequent phrases alone, with decimal arithmetic where 64 bits might not do.
+1. Words are counted for each language. A word of a language is named by a 64-bit hash from here on; the count groups by hash and
+   keeps the least and the greatest word of it, so two words with one hash are noticed, and the next seed is taken.
+2. No frequent phrase holds a rare word, pair or triple. Bit sets of fixed size tell frequent ones apart: those of the words, then, by
+   counting keys of neighbours that may still be frequent, those of pairs and triples. A chance hit only lets a rare one through.
+3. Every frequent word opens one window of ``LONGEST`` lead columns, padded where the piece ends or nothing frequent follows. Windows
+   are counted, and a ROLLUP over their columns gives every shorter phrase its count as a prefix of longer windows.
+4. Cuts, containment and ranks work on the frequent phrases alone, with decimal arithmetic where 64 bits might not do.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ LONGEST = 4
 COVER_PERCENT = 80
 SCALE = 2_000_000
 UNKNOWN = "und"
-#: Sizes of the bit sets of frequent words and pairs, one and eight megabytes, whatever the corpus.
-BITS, PAIR_BITS = 1 << 23, 1 << 26
+#: Sizes of the bit sets of frequent words, pairs and triples: one and twice eight megabytes, whatever the corpus.
+BITS = (1 << 23, 1 << 26, 1 << 26)
+#: Neighbours are counted by keys of 40 bits; two with one key are counted together, which only lets them through more easily.
+_KEY_SHIFT = 24
 _BLOCK_BITS = 1 << 15  # of Spark's bitmap functions
 _CHUNK = 1 << 20
 _SALTS = 64
@@ -47,25 +49,21 @@ def _substitution(seed: int) -> np.ndarray:
 
 
 def _words(part: pa.RecordBatch, seed: int):
-    """Flat bytes, word bounds, hashes (never 0), language of each word, its bit, and keys of pairs with the next word (0 at the end of a piece)."""
+    """Flat bytes, word bounds, hashes of words in their language (never 0), languages, and whether the next word is in the same piece."""
     flat, starts = flat_bytes(part.column(1))
     flat = lowered(flat)
     first, last, bounds = word_bounds(flat, starts, _IS_WORD)
-    hashes = hash_spans(_substitution(seed)[flat], first, last)
-    hashes[hashes == 0] = 1
     langs = pc.dictionary_encode(part.column(0))
-    of_text = np.asarray(langs.indices).astype(np.int64)
     text = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+    lang = np.asarray(langs.indices).astype(np.int64)[text]
     piece = np.cumsum(_PIECE_END[flat])[first] if len(first) else first
     joined = np.zeros(len(first), dtype=bool)
     joined[:-1] = (text[1:] == text[:-1]) & (piece[1:] == piece[:-1])
-    names = langs.dictionary
-    marks = hash_spans(*_all_spans(names)) if len(names) else np.zeros(0, np.uint64)
-    lang = of_text[text]
-    own = mix(hashes ^ mix(marks + np.uint64(7))[lang]) if len(lang) else hashes
-    pairs = np.zeros(len(first), dtype=np.uint64)
-    pairs[:-1] = np.where(joined[:-1], mix(own[:-1] * _MIXERS[-1] ^ hashes[1:]) | np.uint64(1), np.uint64(0))
-    return flat, first, last, hashes, lang, names, (own & np.uint64(BITS - 1)).astype(np.int64), pairs
+    hashes = hash_spans(_substitution(seed)[flat], first, last)
+    if len(hashes):
+        hashes = mix(hashes ^ mix(hash_spans(*_all_spans(langs.dictionary)) + np.uint64(7))[lang])
+        hashes[hashes == 0] = 1
+    return flat, first, last, hashes, lang, langs.dictionary, joined
 
 
 def _all_spans(names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,15 +83,15 @@ def _grouped(order_key: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarr
 
 
 def _word_counter(seed: int):
-    """Rows (lang, h, word, bit, n); if two words share a hash, rows with both."""
+    """Rows (lang, h, word, n); if two words share a hash, rows with both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, limit=_CHUNK):
-                flat, first, last, hashes, lang, names, bits, _ = _words(part, seed)
+                flat, first, last, hashes, lang, names, _ = _words(part, seed)
                 if not len(first):
                     continue
-                order, heads = _grouped(hashes + lang.astype(np.uint64) * _MIXERS[0], [hashes, lang])
+                order, heads = _grouped(hashes, [hashes, lang])
                 counts = np.diff(np.append(heads, len(order)))
                 lead = order[heads]
                 same = _equal_spans(flat, first, last, order, np.repeat(lead, counts))
@@ -104,9 +102,9 @@ def _word_counter(seed: int):
                     [
                         names.take(pa.array(lang[shown])), pa.array(hashes[shown].view(np.int64)),
                         pa.array([text[a:b].decode("utf-8", "replace") for a, b in zip(first[shown].tolist(), last[shown].tolist())], pa.string()),
-                        pa.array(bits[shown]), pa.array(np.concatenate([counts, np.zeros(len(odd), np.int64)])),
+                        pa.array(np.concatenate([counts, np.zeros(len(odd), np.int64)])),
                     ],
-                    names=["lang", "h", "word", "bit", "n"],
+                    names=["lang", "h", "word", "n"],
                 )
 
     return run
@@ -123,48 +121,48 @@ def _equal_spans(flat: np.ndarray, first: np.ndarray, last: np.ndarray, a: np.nd
     return same & ~np.logical_or.reduceat(differs, heads)
 
 
-def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def _pair_bit(pairs: np.ndarray) -> np.ndarray:
-    return (pairs >> np.uint64(1) & np.uint64(PAIR_BITS - 1)).astype(np.int64)
+def _runs(part: pa.RecordBatch, seed: int, sets: list[bytes]):
+    """Hashes, languages, whether each word opens a frequent run of 1, 2 .. words, then keys and validity of runs one word longer."""
+    *_, hashes, lang, names, joined = _words(part, seed)
+    key, valid, frequent = hashes, np.ones(len(hashes), dtype=bool), []
+    for size, packed in enumerate(sets, 1):
+        at = (key >> np.uint64(_KEY_SHIFT) & np.uint64(BITS[size - 1] - 1)).astype(np.int64)
+        often = valid & (np.frombuffer(packed, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        frequent.append(often)
+        valid = often & joined
+        valid[:-1] &= often[1:]
+        after = np.zeros_like(hashes)
+        after[: max(len(hashes) - size, 0)] = hashes[size:]
+        key = mix(key * _MIXERS[size] ^ after)
+    return hashes, lang, names, frequent, key, valid
 
 
-def _pair_counter(seed: int, frequent: bytes):
-    """Rows (pair, n): keys of neighbouring frequent words with their counts."""
+def _run_counter(seed: int, sets: list[bytes]):
+    """Rows (key, n): runs that are one word longer than the last bit set's and hold nothing rare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitset = np.frombuffer(frequent, np.uint8)
         for batch in batches:
             for part in chunks(batch, limit=_CHUNK):
-                *_, bits, pairs = _words(part, seed)
-                often = _is_set(bitset, bits)
-                found, n = np.unique(pairs[:-1][(pairs[:-1] != 0) & often[:-1] & often[1:]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["pair", "n"])
+                *_, key, valid = _runs(part, seed, sets)
+                found, n = np.unique(key[valid] >> np.uint64(_KEY_SHIFT), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     return run
 
 
-def _window_counter(seed: int, frequent: bytes, frequent_pairs: bytes):
+def _window_counter(seed: int, sets: list[bytes]):
     """Rows (lang, w1 .. , n): the padded (0) longest window at each frequent word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitset, pairset = np.frombuffer(frequent, np.uint8), np.frombuffer(frequent_pairs, np.uint8)
         for batch in batches:
             for part in chunks(batch, limit=_CHUNK):
-                _, _, _, hashes, lang, names, bits, pairs = _words(part, seed)
-                often = _is_set(bitset, bits)
-                at = np.flatnonzero(often)
+                hashes, lang, names, frequent, _, longest = _runs(part, seed, sets)
+                at = np.flatnonzero(frequent[0])
                 if not len(at):
                     continue
-                goes_on = (pairs != 0) & often & _is_set(pairset, _pair_bit(pairs))
-                goes_on[:-1] &= often[1:]
-                n, open_ = len(hashes), np.ones(len(at), dtype=bool)
                 columns = [hashes[at]]
-                for k in range(1, LONGEST):
-                    open_ = open_ & goes_on[np.minimum(at + k - 1, n - 1)]
-                    columns.append(np.where(open_, hashes[np.minimum(at + k, n - 1)], np.uint64(0)))
+                for k, opens in enumerate([*frequent[1:], longest], 1):
+                    columns.append(np.where(opens[at], hashes[np.minimum(at + k, len(hashes) - 1)], np.uint64(0)))
                 key = lang[at].astype(np.uint64) * _MIXERS[0]
                 for c, m in zip(columns, _MIXERS[1:]):
                     key = mix(key ^ c) * m
@@ -180,17 +178,18 @@ def _window_counter(seed: int, frequent: bytes, frequent_pairs: bytes):
 
 
 def word_table(texts: DataFrame, scratch: Scratch, least: int, seed: int) -> DataFrame:
-    """(lang, h, bit, n, word, clash): every word of each language; only words of ``least`` occurrences are spelled out."""
-    counted = texts.mapInArrow(_word_counter(seed), "lang string, h long, word string, bit long, n long")
-    grouped = counted.groupBy("lang", "h").agg(F.sum("n").alias("n"), F.min("bit").alias("bit"), F.min("word").alias("lo"), F.max("word").alias("hi"))
+    """(lang, h, n, word, clash): every word of each language; only words of ``least`` occurrences are spelled out."""
+    counted = texts.mapInArrow(_word_counter(seed), "lang string, h long, word string, n long")
+    grouped = counted.groupBy("lang", "h").agg(F.sum("n").alias("n"), F.min("word").alias("lo"), F.max("word").alias("hi"))
     return scratch.keep(
-        grouped.select("lang", "h", "bit", "n", F.when(F.col("n") >= least, F.col("lo")).alias("word"), (F.col("lo") != F.col("hi")).alias("clash")), "words"
+        grouped.select("lang", "h", "n", F.when(F.col("n") >= least, F.col("lo")).alias("word"), (F.col("lo") != F.col("hi")).alias("clash")), "words"
     )
 
 
-def bit_set(numbers: DataFrame, number: Column, size: int) -> bytes:
-    """The set of ``number`` (0 to size - 1) as bits, built in parts of 4 KB by Spark: ``size / 8`` bytes at most reach the driver."""
-    rows = numbers.groupBy(F.bitmap_bucket_number(number + 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number + 1)).alias("bits"))
+def bit_set(keys_: DataFrame, size: int) -> bytes:
+    """The set of ``key`` modulo ``size`` as bits, built in parts of 4 KB by Spark: ``size / 8`` bytes at most reach the driver."""
+    number = F.col("key").bitwiseAND(F.lit(size - 1)) + 1
+    rows = keys_.groupBy(F.bitmap_bucket_number(number).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
     out = bytearray(size // 8)
     for r in rows.toLocalIterator():
         at = (r["part"] - 1) * (_BLOCK_BITS // 8)
@@ -267,10 +266,11 @@ def collocations(docs: DataFrame, *, least: int = LEAST, top: int = TOP) -> Data
         scratch.drop(words)
         seed += 1
         words = word_table(texts, scratch, least, seed)
-    frequent = bit_set(words.filter(F.col("word").isNotNull()), F.col("bit"), BITS)
-    pairs = texts.mapInArrow(_pair_counter(seed, frequent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    frequent_pairs = bit_set(pairs, F.shiftrightunsigned("pair", 1).bitwiseAND(F.lit(PAIR_BITS - 1)), PAIR_BITS)
-    windows = texts.mapInArrow(_window_counter(seed, frequent, frequent_pairs), ", ".join(["lang string", *[f"{w} long" for w in _WORDS], "n long"]))
+    sets = [bit_set(words.filter(F.col("word").isNotNull()).select(F.shiftrightunsigned("h", _KEY_SHIFT).alias("key")), BITS[0])]
+    for size in BITS[1:]:
+        runs = texts.mapInArrow(_run_counter(seed, list(sets)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        sets.append(bit_set(runs.filter(F.col("n") >= least), size))
+    windows = texts.mapInArrow(_window_counter(seed, list(sets)), ", ".join(["lang string", *[f"{w} long" for w in _WORDS], "n long"]))
     grams = scratch.keep(phrase_counts(windows, least), "grams")
     phrases = uncovered(weakest_cuts(grams), grams)
     by_numbers = [F.col("score").desc(), F.col("a").desc()]
