@@ -2,7 +2,7 @@
 
 from riskgraph.catalog.base import QUERIES, SQL
 from riskgraph.catalog import (  # noqa: F401  (each module registers its queries)
-    audits, facts, graphs, knowledge, memories, metrics, scoring, survey, temporal,
+    audits, facts, graphs, knowledge, memories, metrics, scoring, sources, survey, temporal,
 )
 
 __all__ = ["QUERIES", "SQL"]

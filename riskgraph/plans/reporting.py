@@ -50,11 +50,16 @@ def write_report(tables: dict[str, DataFrame], folder: str) -> None:
 def passport(
     spark: SparkSession, root: str, manifest: DataFrame, counts: DataFrame, expected: DataFrame,
 ) -> dict[str, DataFrame]:
-    """Delivered files and audited row counts checked against what was recorded.
+    """Delivered files below ``root`` and audited row counts checked against what was recorded; see :func:`passport_of`."""
+    return passport_of(file_hashes(spark, root), manifest, counts, expected)
 
-    ``manifest(path, bytes, sha256)``, ``counts(kind, n)`` measured, ``expected(kind, n)`` recorded.
+
+def passport_of(files: DataFrame, manifest: DataFrame, counts: DataFrame, expected: DataFrame) -> dict[str, DataFrame]:
+    """Tables ``files``, ``file_problems`` and ``count_problems``.
+
+    ``files(path, bytes, sha256)`` measured, ``manifest`` of the same form recorded, ``counts(kind, n)`` measured,
+    ``expected(kind, n)`` recorded.
     """
-    files = file_hashes(spark, root)
     e = expected.select("kind", F.col("n").alias("recorded"))
     different = counts.select("kind", F.col("n").alias("measured")).join(e, "kind", "full_outer").filter(
         ~F.col("measured").eqNullSafe(F.col("recorded"))

@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskgraph.sources.splits import PACKED, streamed_hashes
+
 
 def file_hashes(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Relative path, bytes and sha256 of every file below ``root``."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+    """Relative path, bytes and sha256 of every file below ``root``, of any size.
+
+    Files are read line by line with a running digest. Compressed files, which the line reader would unpack, are read whole
+    and may have 2 GiB at most; a larger one is an error.
+    """
+    options = {"recursiveFileLookup": True} | ({"pathGlobFilter": glob} if glob else {})
     base = root.rstrip("/").removeprefix("file:") + "/"
-    return reader.load(root).select(
-        F.element_at(F.split("path", base, 2), -1).alias("path"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    relative = F.element_at(F.split("file", base, 2), -1).alias("path")
+    every = spark.read.format("binaryFile").options(**options).load(root)
+    packed = every.withColumn("file", F.col("_metadata.file_path")).filter(F.col("file").rlike(PACKED)).select("file", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    read = streamed_hashes(spark, root, **options).unionByName(packed).select(relative, "bytes", "sha256")
+    # No reader gives rows of empty files, so they are those of the listing that nothing was read from.
+    listed = spark.createDataFrame([(f,) for f in every.inputFiles()], "file string").select(relative)
+    empty = listed.join(read, "path", "left_anti").select("path", F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit(b""), 256).alias("sha256"))
+    return read.unionByName(empty)
 
 
 def compare_manifest(manifest: DataFrame, actual: DataFrame) -> DataFrame:

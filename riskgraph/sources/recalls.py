@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskgraph.functions.dates import parse_compact
 from riskgraph.functions.keys import clean, decode_label, sentinel_to_null
-from riskgraph.operators.ordering import running_totals
+from riskgraph.sources.splits import lines_with_lineage
 
 # Field names of the flat file in file order, and the recall type codes.
 FIELDS = [
@@ -27,29 +27,9 @@ CP1252_UNASSIGNED = "[\u0081\u008d\u008f\u0090\u009d]"
 def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """Raw lines with ``line_number`` (from 1), ``byte_offset``, ``line_bytes`` and the hash of the raw bytes.
 
-    Bytes are kept as they are, including a carriage return and invalid UTF-8. Offsets are running
-    totals over the splits of a file, so a file of any size is read in parallel.
+    Bytes are kept as they are, including a carriage return and invalid UTF-8; a file of any size is read in parallel.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_size").alias("_size"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-        (F.octet_length("value") + 1).cast("bigint").alias("_len"),
-        F.lit(1).cast("bigint").alias("_one"),
-    )
-    placed = running_totals(lines, ["_block", "_row"], {"byte_offset": "_len", "_before": "_one"}, ["file"])
-    open_end = F.col("byte_offset") + F.col("_len") > F.col("_size")
-    raw = F.col("value").cast("binary")
-    return placed.select(
-        "file",
-        (F.col("_before") + 1).alias("line_number"),
-        "byte_offset",
-        (F.col("_len") - open_end.cast("int")).alias("line_bytes"),
-        F.sha2(F.when(open_end, raw).otherwise(F.concat(raw, F.unhex(F.lit("0A")))), 256).alias("line_sha256"),
-        "value",
-    )
+    return lines_with_lineage(spark, path)
 
 
 def decode_bytes(raw: str | Column) -> tuple[Column, Column]:
@@ -132,9 +112,37 @@ def reread_lines(lines: DataFrame, evidence: DataFrame) -> DataFrame:
     found = evidence.select(
         "file", "byte_offset", F.col("line_bytes").alias("_bytes"), F.col("line_sha256").alias("_hash")
     ).join(lines.select("file", "byte_offset", "line_bytes", "line_sha256"), ["file", "byte_offset"], "left")
-    bad = (
+    return found.select("file", "byte_offset", _line_problem().alias("problem")).filter(F.col("problem").isNotNull())
+
+
+def _line_problem() -> Column:
+    return (
         F.when(F.col("line_sha256").isNull(), "no_line_at_offset")
         .when(F.col("line_bytes") != F.col("_bytes"), "length_differs")
         .when(F.col("line_sha256") != F.col("_hash"), "hash_differs")
     )
-    return found.select("file", "byte_offset", bad.alias("problem")).filter(F.col("problem").isNotNull())
+
+
+def recheck_rows(lines: DataFrame, stored: DataFrame) -> DataFrame:
+    """(file, byte_offset, problem, fields): stored rows that differ from the bytes they were taken from.
+
+    ``stored`` has the 29 raw fields, the encoding and the evidence (file, byte_offset, line_bytes, line_sha256) of each row.
+    A row's problem is that of its line, or else ``fields_differ`` with the names of all fields whose value isn't the one
+    that the line at the recorded offset holds under the recorded encoding.
+    """
+    old = stored.select("file", "byte_offset", F.col("line_bytes").alias("_bytes"), F.col("line_sha256").alias("_hash"), F.col("encoding").alias("_encoding"),
+                        F.array(*FIELDS).alias("_fields"))
+    now = split_fields(lines.select("file", "byte_offset", "line_bytes", "line_sha256", "value"))
+    both = old.join(now.select("file", "byte_offset", "line_bytes", "line_sha256", "encoding", "fields"), ["file", "byte_offset"], "left")
+    differing = F.filter(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(len(FIELDS) - 1)),
+            lambda i: F.when(~F.get("fields", i).eqNullSafe(F.get("_fields", i)), F.get(F.array(*map(F.lit, FIELDS)), i)),
+        ),
+        lambda n: n.isNotNull(),
+    )
+    wrong = (F.size("fields") != len(FIELDS)) | (F.col("encoding") != F.col("_encoding")) | (F.size("_differ") > 0)
+    problem = F.coalesce(_line_problem(), F.when(wrong, "fields_differ"))
+    return both.withColumn("_differ", differing).select(
+        "file", "byte_offset", problem.alias("problem"), F.when(problem == "fields_differ", F.array_join("_differ", " ")).alias("fields")
+    ).filter(F.col("problem").isNotNull())

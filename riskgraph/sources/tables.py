@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from riskgraph.functions.keys import clean
 from riskgraph.operators.audit import AuditError, require_empty
+from riskgraph.sources.splits import csv_records
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -63,35 +64,28 @@ def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
 
 
 def read_strict_csv(spark: SparkSession, path: str, required: Sequence[str], optional: Sequence[str] = ()) -> DataFrame:
-    """Annotation CSV as trimmed strings: required header, no repeated or ragged columns, blank rows dropped.
+    """Annotation CSV as trimmed strings with ``csv_file`` and ``csv_line``: required columns, none twice, no ragged rows.
 
-    The header line is read on its own; the rows are then parsed with exactly those columns and a
-    corrupt-record column. Adds ``csv_line`` (text order within the file is kept by the reader only
-    for small files, so it is a label, not a key).
+    Every file has a head, quoted or not, with a byte order mark or not, and all heads are equal. ``csv_line`` numbers the records of
+    a file from 1, the head; empty lines don't count. Rows of blank values are dropped. Any breach fails the job.
     """
-    head = spark.read.text(path).limit(1).collect()
-    if not head:
+    records, heads = csv_records(spark, path)
+    first = heads.groupBy().agg(F.min("fields").alias("lo"), F.max("fields").alias("hi")).first()
+    names = first["lo"]
+    if not names or names == [""]:
         raise AuditError(f"{path}: no header")
-    names = [n.strip().strip('"') for n in head[0][0].lstrip("﻿").rstrip("\r").split(",")]
+    if names != first["hi"]:
+        raise AuditError(f"{path}: files with different headers")
     if len(set(names)) != len(names):
         raise AuditError(f"{path}: duplicate column names")
     missing = sorted(set(required) - set(names))
     if missing:
         raise AuditError(f"{path}: missing CSV fields {missing}")
-    schema = ", ".join(f"`{n}` string" for n in names) + ", _corrupt_record string"
-    rows = (
-        spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-        .option("mode", "PERMISSIVE").option("multiLine", True)
-        .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
-    )
-    require_empty(rows.filter(F.col("_corrupt_record").isNotNull()), f"{path}: malformed CSV row")
-    trimmed = rows.select(
-        *[F.coalesce(clean(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names]
-    ).filter(F.concat(*[F.col(f"`{n}`") for n in names]) != "") if len(names) > 1 else rows.select(clean(names[0]).alias(names[0]))
-    for extra in optional:
-        if extra not in names:
-            trimmed = trimmed.withColumn(extra, F.lit(""))
-    return trimmed
+    rows = records.filter("record > 0")
+    require_empty(rows.filter(F.size("fields") != len(names)).select("file", "record"), f"{path}: malformed CSV row")
+    kept = rows.filter(F.array_join("fields", "") != "")
+    extra = [F.lit("").alias(n) for n in optional if n not in names]
+    return kept.select(*[F.col("fields")[i].alias(n) for i, n in enumerate(names)], *extra, F.col("file").alias("csv_file"), (F.col("record") + 1).alias("csv_line"))
 
 
 def paged_results(pages: DataFrame, file: str = "file") -> DataFrame:

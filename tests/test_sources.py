@@ -1,10 +1,15 @@
 """Readers, lineage, manifests, knowledge files, reports and cached vectors on real files."""
 
+import csv
+import gzip
 import hashlib
 import json
+import random
+from contextlib import contextmanager
 
 import pytest
 from conftest import rows
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from riskgraph.functions.text import RISK_PHRASES, phrase_spans, signed_hash_dense
@@ -65,14 +70,76 @@ def test_jsonl_rejects(spark, tmp_path):
     assert rows(good) == [(1,), (2,)] and rows(bad.select("code")) == [("jsonl_blank_line",), ("jsonl_parse",), ("jsonl_record",)]
 
 
+@contextmanager
+def split_bytes(spark, n):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_strict_csv(spark, tmp_path):
     path = tmp_path / "n.csv"
-    path.write_text('﻿id,label,note\n a ,1,"x, y"\n,,\nb,0,\n', encoding="utf-8")
-    assert rows(tables.read_strict_csv(spark, str(path), ["id", "label"])) == [("a", "1", "x, y"), ("b", "0", "")]
-    for text in ("id,id\n1,2\n", "id\n1\n", "id,label\n1,2,3\n"):
+    path.write_text('\ufeffid,"label", note\r\n a ,1,"x, y"\r\n\r\n,,\r\nb,0,\r\n', encoding="utf-8", newline="")
+    got = tables.read_strict_csv(spark, str(path), ["id", "label"], ["more"])
+    assert rows(got.drop("csv_file")) == [("a", "1", "x, y", "", 2), ("b", "0", "", "", 4)]
+    for text in ("id,id\n1,2\n", "id\n1\n", "id,label\n1,2,3\n", "id,label\n1\n", "", "\n\n", 'id,label\n1,"2\n'):
         path.write_text(text)
-        with pytest.raises(AuditError):
+        with pytest.raises((AuditError, PySparkException)):
             tables.read_strict_csv(spark, str(path), ["id", "label"]).count()
+    path.write_text("id\n\n1\n \n2")
+    assert rows(tables.read_strict_csv(spark, str(path), ["id"]).drop("csv_file")) == [("1", 2), ("2", 4)]
+
+
+def test_strict_csv_over_many_splits_equals_the_csv_module(spark, tmp_path):
+    pick = random.Random(5)
+    cells = ["a", "", " b ", "x,y", 'say "hi"', '"', "two\nlines", "\n\n", 'q"\n,"\nr', "é" * 40, "l\r\nm", "z" * 300, "\u2028u"]
+    for name, n in (("one.csv", 700), ("two.csv", 300)):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8-sig" if n == 700 else "utf-8") as out:
+            writer = csv.writer(out, lineterminator="\n" if n == 700 else "\r\n")
+            writer.writerow(["id", "note\nlong", "rest"])
+            for i in range(n):
+                writer.writerow([i, pick.choice(cells), pick.choice(cells)])
+                out.write(pick.choice(["", "", "\n", 'lit"eral,mid"dle "x,y"z\n']))
+            writer.writerow([n, "across\n" * 400, ""])
+    want = []
+    for name in ("one.csv", "two.csv"):
+        with open(tmp_path / name, newline="", encoding="utf-8-sig") as lines:
+            records = [r for r in csv.reader(lines) if r]
+        want += [(*[v.strip() for v in r], name, i + 1) for i, r in enumerate(records) if i and any(v.strip() for v in r)]
+    for size in (1000, 1 << 27):
+        with split_bytes(spark, size):
+            got = tables.read_strict_csv(spark, str(tmp_path), ["id", "note\nlong", "rest"]).withColumn("csv_file", F.element_at(F.split("csv_file", "/"), -1)).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_hashes_of_files_of_any_shape(spark, tmp_path):
+    pick = random.Random(2)
+    bodies = {"empty": b"", "break": b"\n", "breaks": b"\n\n\n", "open": b"a\nb", "closed": b"a\nb\n", "bytes": bytes(pick.randrange(256) for _ in range(300_000)), "cr": b"x\r\ny\r", "b.gz": gzip.compress(b"a\n" * 50)}
+    (tmp_path / "deep").mkdir()
+    for name, body in bodies.items():
+        (tmp_path / ("deep" if len(name) > 4 else ".") / name).write_bytes(body)
+    with split_bytes(spark, 1000):  # far below the size of a file, which is one unit nevertheless
+        got = {r.path: (r.bytes, r.sha256) for r in files.file_hashes(spark, str(tmp_path)).collect()}
+    assert got == {("deep/" if len(n) > 4 else "") + n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in bodies.items()}
+
+
+def test_rows_against_the_bytes_they_came_from(spark, tmp_path):
+    raw = [line(RECORD_ID=str(i), CAMPNO=f"C{i}", RCDATE="20190101", NOTES="é").encode("utf-8" if i % 2 else "cp1252") for i in range(8)]
+    (tmp_path / "flat.txt").write_bytes(b"\n".join(raw) + b"\n")
+    lines = recalls.read_raw_lines(spark, str(tmp_path / "flat.txt")).cache()
+    stored = recalls.accepted_rows(recalls.split_fields(lines))
+    assert recalls.recheck_rows(lines, stored).count() == 0
+    n, hit = F.col("RECORD_ID"), lambda k, new, c: F.when(F.col("RECORD_ID") == k, new).otherwise(F.col(c)).alias(c)
+    bent = stored.select(
+        *[c for c in stored.columns if c not in ("NOTES", "MAKETXT", "encoding", "line_sha256", "byte_offset")], hit("1", F.lit("e"), "NOTES"), hit("1", F.lit(None), "MAKETXT"),
+        hit("2", F.lit("utf-8"), "encoding"), hit("3", F.lit("0"), "line_sha256"), F.when(n == "4", F.col("byte_offset") + 1).otherwise(F.col("byte_offset")).alias("byte_offset"),
+    )
+    at = {i: sum(len(r) + 1 for r in raw[:i]) + (i == 4) for i in range(8)}
+    assert rows(recalls.recheck_rows(lines, bent).drop("file")) == sorted(
+        [(at[1], "fields_differ", "MAKETXT NOTES"), (at[2], "fields_differ", ""), (at[3], "hash_differs", None), (at[4], "no_line_at_offset", None)], key=repr)
 
 
 def test_publish_refuses_violations_and_existing_output(spark, tmp_path):
