@@ -72,15 +72,6 @@ def recall_rows(spark, d):
     )
 
 
-@query(using("raw_rows", select="""
-  SELECT CASE WHEN short THEN 'field_count_not_29' ELSE 'invalid_or_missing_report_received_date' END AS reason,
-         CASE WHEN short THEN 28 ELSE 29 END AS field_count, CASE WHEN NOT short THEN RCDATE END AS RCDATE, count(*) AS n
-  FROM raw_rows WHERE short OR RCDATE IN ('', '20180230') GROUP BY ALL"""))
-def rejected_recall_lines(spark, d):
-    rejected = R.rejected_rows(R.split_fields(raw_lines(spark, d)))
-    return rejected.groupBy("reason", "field_count", "RCDATE").agg(F.count("*").alias("n"))
-
-
 @query("""
   SELECT doc_id, length(text) AS n_chars, md5(text) AS decoded_md5, CASE WHEN length(text) <> strlen(text)
     AND length(regexp_replace(text, '[\\x{00}-\\x{7F}\\x{A0}-\\x{FF}]', '', 'g')) = 0 THEN 'cp1252' ELSE 'utf-8' END AS encoding

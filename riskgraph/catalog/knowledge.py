@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from riskgraph.catalog.base import cte, query, table, using
 from riskgraph.operators import knowledge as K
 from riskgraph.operators.graph import spread_one_hop
-from riskgraph.operators.ordering import chunked_lists
+from riskgraph.operators.ordering import chunked_lists, ordered_position
 
 # A customer has a country, its open orders as deprecated parts and its finished orders as products; one
 # value of each kind is a plain string.
@@ -213,12 +213,10 @@ cte("steps", """
     SELECT *, lag(object_qid) OVER (PARTITION BY classified_qid, supported_type ORDER BY step) AS p FROM steps)
   WHERE step > 0 AND p <> subject_qid"""))
 def proof_gaps(spark, d):
-    from pyspark.sql import Window as W
-
     lines = table(spark, d, "lineitem", "l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey")
-    order = W.partitionBy("l_suppkey", "l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    steps = lines.select(
+    placed = ordered_position(lines, ["l_orderkey", "l_linenumber", "l_partkey"], ["l_suppkey", "l_returnflag"], "step")
+    steps = placed.select(
         F.concat(F.lit("S"), "l_suppkey").alias("classified_qid"), F.col("l_returnflag").alias("supported_type"),
-        (F.row_number().over(order) - 1).alias("step"), F.concat(F.lit("Q"), F.col("l_partkey") % 5).alias("subject_qid"),
+        F.col("step").cast("int").alias("step"), F.concat(F.lit("Q"), F.col("l_partkey") % 5).alias("subject_qid"),
         F.concat(F.lit("Q"), F.col("l_orderkey") % 5).alias("object_qid"))
     return K.proof_gaps(steps)

@@ -81,6 +81,15 @@ def recall_rows_against_bytes(spark, d):
     return R.recheck_rows(lines, bent)
 
 
+@query(using("flat_lineage", select="""
+  SELECT CAST(part AS VARCHAR) AS file, line_number, byte_offset, line_sha256, CASE WHEN short THEN 28 ELSE 29 END AS field_count, CASE WHEN NOT short THEN RCDATE END AS RCDATE,
+    CASE WHEN short THEN 'field_count_not_29' ELSE 'invalid_or_missing_report_received_date' END AS reason
+  FROM flat_lineage WHERE short OR RCDATE IN ('', '20180230')"""))
+def rejected_recall_lines(spark, d):
+    rejected = R.rejected_rows(R.split_fields(flat_file_lines(spark, d)))
+    return rejected.select("file", "line_number", "byte_offset", "line_sha256", "field_count", "RCDATE", "reason")
+
+
 # --- delivered files -----------------------------------------------------------------------------
 
 cte("delivered", """
