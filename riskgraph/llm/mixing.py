@@ -1,6 +1,7 @@
 """Mixing sources to target weights: blocks of words, multinomial draws per shard, permuted block indexes.
 
-DataFrame and SQL functions only. Sizes, offsets and counts move; texts never do.
+DataFrame and SQL functions only. Planning and counting move sizes, offsets and counts; texts move when the mix itself is asked
+for (:func:`mixed_texts`), which joins the drawn block numbers with blocks of words.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ _WORD = r"[^\x20\x09-\x0D]+"
 @dataclass
 class Mixture:
     plan: DataFrame  # (source, source_idx, weight, source_size, target, n_blocks, quota), one row for each source
-    placed: DataFrame  # (doc_id, source_idx, size, start): where each document lies in its source's row of words
+    placed: DataFrame  # (doc_id, text_hash, source_idx, size, start): where each document lies in its source's row of words
     slots: DataFrame  # (shard, source_idx, draw, block): the blocks of every output shard
 
 
@@ -89,15 +90,15 @@ def mixture(docs: DataFrame, *, weights=WEIGHTS, ratio: float = RATIO, most: int
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    sizes = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")), "sizes")
+    sizes = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")), "sizes")
     n_blocks = F.ceil(F.col("source_size") / BLOCK).cast("long")
     quota = F.when(F.col("source_size") > 0, F.round(F.col("target") * n_blocks / F.col("source_size"))).otherwise(0).cast("long")
     plan = scratch.keep(source_targets(sizes, weights=weights, ratio=ratio, most=most).withColumn("n_blocks", n_blocks).withColumn("quota", quota), "plan")
-    named = sizes.join(plan.select(F.col("source").alias("_source"), "source_idx"), F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source_idx", "size")
+    named = sizes.join(plan.select(F.col("source").alias("_source"), "source_idx"), F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "text_hash", "source_idx", "size")
     placed = scratch.keep(
         running_totals(
-            named.withColumn("_mixed", F.xxhash64(F.lit(seed), "doc_id")), ["_mixed", F.col("doc_id"), "size"], {"start": "size"}, ["source_idx"]
-        ).select("doc_id", "source_idx", "size", "start"),
+            named.withColumn("_mixed", F.xxhash64(F.lit(seed), "doc_id")), ["_mixed", F.col("doc_id"), "size", "text_hash"], {"start": "size"}, ["source_idx"]
+        ).select("doc_id", "text_hash", "source_idx", "size", "start"),
         "placed",
     )
     slots = plan.agg(F.sum("quota")).first()[0] or 0
@@ -137,6 +138,34 @@ def pieces(placed: DataFrame) -> DataFrame:
     return cut.select("source_idx", "start", "block", words.alias("words"))
 
 
+def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+    """(shard, draw, source, doc_id, position, first_word, words, text): the mix of ``docs(doc_id, source, text)`` itself.
+
+    A block of a source's row of words is cut out of one or more documents; each piece is a row, with its words joined
+    by single blanks, for every slot that draws the block. Rows of one (shard, source, draw) in the order of
+    ``position`` are a slot's text; shards hold about ``SHARD_SLOTS`` slots. The words of a document over all
+    rows are what :func:`mixed_documents` counts. Rows that repeat an id are documents of their own; null and empty texts have no words.
+    """
+    mix = mixture(docs, **options)
+    source = F.col("source").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), source.alias("_source"), F.col("text").cast("string").alias("_text")).filter(word_count("_text") > 0)
+    texts = texts.withColumn("_hash", F.xxhash64("_text")).dropDuplicates(["_id", "_source", "_hash"])
+    named = mix.placed.filter("size > 0").join(mix.plan.select("source_idx", "source"), "source_idx")
+    whole = named.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("text_hash") == F.col("_hash")))
+    words = F.regexp_extract_all(F.col("_text"), F.lit(_WORD), F.lit(0))
+    first, last = F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}")
+
+    def piece(block: Column) -> Column:
+        begin = F.greatest(F.lit(0), block * BLOCK - F.col("start"))
+        end = F.least(F.col("size"), (block + 1) * BLOCK - F.col("start"))
+        text = F.array_join(F.slice("_words", (begin + 1).cast("int"), (end - begin).cast("int")), " ")
+        position = F.col("start") + begin - block * BLOCK
+        return F.struct(block.alias("block"), position.alias("position"), begin.alias("first_word"), (end - begin).alias("words"), text.alias("text"))
+
+    cut = whole.withColumn("_words", words).select("source_idx", "source", "doc_id", F.inline(F.transform(F.sequence(first, last), piece)))
+    return mix.slots.join(cut, ["source_idx", "block"]).select("shard", "draw", "source", "doc_id", "position", "first_word", "words", "text")
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source), one row for each row of ``docs(doc_id, source, text)``.
 

@@ -448,6 +448,29 @@ def test_permutation_is_one(spark):
         assert sorted(got) == list(range(n)) and (n < 64 or got != sorted(got))
 
 
+def test_mix_holds_the_words_it_counts(spark, documents, odd):
+    twin = documents.filter("doc_id < 5").withColumn("text", F.concat(F.lit("other words "), "text"))
+    for docs in (documents.unionByName(twin), odd):
+        want = Counter()
+        for r in mixing.mixed_documents(docs).collect():
+            want[r.doc_id, r.source] += r.taken
+        own = {}
+        for r in docs.select("doc_id", "source", "text").collect():
+            own.setdefault((r.doc_id, r.source), []).append(WORD.findall(r.text or ""))
+        got, slots = Counter(), {}
+        for r in mixing.mixed_texts(docs).collect():
+            got[r.doc_id, r.source] += r.words
+            slots.setdefault((r.shard, r.source, r.draw), []).append((r.position, r.words))
+            assert any(w[r.first_word : r.first_word + r.words] == r.text.split(" ") for w in own[r.doc_id, r.source])
+        assert +got == +want
+        for pieces in slots.values():
+            ends = [0]
+            for position, n in sorted(pieces):
+                assert position == ends[-1]
+                ends.append(position + n)
+            assert ends[-1] <= mixing.BLOCK
+
+
 def test_mixing_edges(spark, odd, empty):
     rows = mixing.mixed_documents(odd).collect()
     assert len(rows) == len(ODD) and all(r.taken <= 2 * r.size for r in rows) and {r.source for r in rows} == {"s", "t", None}
