@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskgraph.functions.numeric import clamp, is_finite
-from riskgraph.operators.joins import attach_group_stats, lookup_join, null_safe_join
+from riskgraph.operators.joins import lookup_join, null_safe_join
 from riskgraph.operators.ordering import ordered_position, running_totals
 
 
@@ -306,65 +306,57 @@ def alignment_loss(
 ) -> DataFrame:
     """Cosine contrastive loss of each day: ``logsumexp_j(sim(i, j) / T) - sim(i, i) / T``, averaged over nodes.
 
-    Every node is compared with all nodes of its day. Nodes are numbered into blocks of ``block``; one
-    task multiplies one block with another and returns a partial log-sum-exp per node, so the pairs
-    exist only inside a matrix product. Days with fewer than two nodes have loss 0.
+    Every node is compared with all nodes of its day. Nodes are numbered into blocks of ``block``; one task multiplies one block's
+    ``short`` vectors with another's ``long`` ones and returns the state (maximum, sum of exponentials scaled by it) of each
+    node, so pairs exist only inside a matrix product. The states of a node, one for each block of its day, are merged in
+    one aggregate. Days with fewer than two nodes have loss 0.
     """
     if temperature <= 0:
         raise ValueError("temperature must be positive")
     from riskgraph.functions.numeric import l2_normalize
     from riskgraph.runtime import durable
 
-    unit = pairs.select(day, node, l2_normalize(short).alias("a"), l2_normalize(long).alias("b"))
-    placed = ordered_position(unit, [node], [day], "_pos").withColumn(
+    unit = pairs.select(day, node, l2_normalize(short).alias("_a"), l2_normalize(long).alias("_b"))
+    dot = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    placed = ordered_position(unit.withColumn("_own", dot / F.lit(float(temperature))), [node], [day], "_pos").withColumn(
         "_blk", F.floor(F.col("_pos") / block).cast("int")
     )
-    blocks = placed.groupBy(day, "_blk").agg(
-        F.collect_list(F.struct(node, "a", "b")).alias("rows")
+    rows = placed.groupBy(day, "_blk").agg(F.collect_list(F.struct(F.col(node).alias("n"), "_own", "_a", "_b")).alias("_rows"))
+    stored = durable(
+        rows.select(day, "_blk", *[F.col(f"_rows.{c}").alias(c) for c in ("n", "_own", "_a", "_b")]), "blocks"
     )
-    stored = durable(blocks, "blocks")
-    counts = stored.groupBy(day).agg(F.max("_blk").alias("_last"))
-    left = lookup_join(stored, counts, [day]).select(
-        day, F.col("_blk").alias("_i"), F.explode(F.sequence(F.lit(0), "_last")).alias("_j"),
-        F.col("rows").alias("left"),
-    )
-    right = stored.select(day, F.col("_blk").alias("_j"), F.col("rows").alias("right"))
-    node_type = pairs.schema[node].dataType.simpleString()
-    day_type = pairs.schema[day].dataType.simpleString()
+    last = stored.groupBy(day).agg(F.max("_blk").alias("_last"))
+    left = stored.drop("_b").join(last, day).withColumn("_j", F.explode(F.sequence(F.lit(0), "_last"))).drop("_blk", "_last")
+    right = stored.select(day, F.col("_blk").alias("_j"), "_b")
 
-    def partial(batches):
+    def states(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+
+        def matrix(vectors):
+            return vectors.values.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors.values), -1)
 
         for batch in batches:
-            for day_value, i, j, lhs, rhs in batch.itertuples(index=False):
-                a = np.array([list(r["a"]) for r in lhs])
-                b = np.array([list(r["b"]) for r in rhs])
-                sim = a @ b.T / temperature
+            for i in range(batch.num_rows):
+                nodes, own = batch.column("n")[i].values, batch.column("_own")[i].values
+                sim = matrix(batch.column("_a")[i]) @ matrix(batch.column("_b")[i]).T / temperature
                 top = sim.max(axis=1)
-                yield pd.DataFrame({
-                    day: day_value,
-                    node: [r[node] for r in lhs],
-                    "top": top,
-                    "mass": np.exp(sim - top[:, None]).sum(axis=1),
-                    "own": np.diagonal(sim) if i == j else np.nan,
-                    "width": len(rhs),
-                })
-
-    parts = (
-        left.join(right, [day, "_j"])
-        .select(day, "_i", "_j", "left", "right")
-        .mapInPandas(
-            partial,
-            f"{day} {day_type}, {node} {node_type}, top double, mass double, own double, width bigint",
-        )
-    )
-    stats = attach_group_stats(parts, [day, node], {"_top": F.max("top")})
-    per_node = stats.groupBy(day, node).agg(
-        (F.max("_top") + F.ln(F.sum(F.col("mass") * F.exp(F.col("top") - F.col("_top"))))).alias("_lse"),
-        F.max(F.when(~F.isnan("own"), F.col("own"))).alias("_own"),
-        F.sum("width").alias("_n"),
-    )
+                mass = np.exp(sim - top[:, None]).sum(axis=1)
+                days = batch.column(day).take(pa.array(np.full(len(nodes), i)))
+                yield pa.RecordBatch.from_arrays(
+                    [days, nodes, own, pa.array(top), pa.array(mass), pa.array(np.full(len(nodes), sim.shape[1], np.int64))],
+                    names=[day, node, "own", "top", "mass", "width"],
+                )
+
+    types = {c: pairs.schema[c].dataType.simpleString() for c in (day, node)}
+    parts = left.join(right, [day, "_j"]).select(day, "n", "_own", "_a", "_b").mapInArrow(
+        states, f"`{day}` {types[day]}, `{node}` {types[node]}, own double, top double, mass double, width bigint"
+    )
+    merged = parts.groupBy(day, node).agg(
+        F.max("top").alias("_top"), F.collect_list(F.struct("top", "mass")).alias("_states"), F.max("own").alias("_own"), F.sum("width").alias("_n")
+    )
+    scaled = F.aggregate("_states", F.lit(0.0), lambda acc, s: acc + s["mass"] * F.exp(s["top"] - F.col("_top")))
+    per_node = merged.withColumn("_lse", F.col("_top") + F.ln(scaled))
     return per_node.groupBy(day).agg(
         F.count("*").alias("n_nodes"),
         F.avg(F.when(F.col("_n") < 2, 0.0).otherwise(F.col("_lse") - F.col("_own"))).alias("alignment_loss"),
