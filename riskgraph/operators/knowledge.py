@@ -153,37 +153,42 @@ def selector_candidates(results: DataFrame, key: str = "item") -> DataFrame:
     )
 
 
+#: How a delivered answer's sidecar is named, and the mark of answers that were tried again.
+SIDECAR, ATTEMPT = ".provenance", ".attempt"
+
+
 def read_entities(spark: SparkSession, folder: str, prefixes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Entity records of saved answers, gated by their provenance sidecars, later files winning.
+    """Entity records of saved answers, gated by their provenance sidecars; later prefixes, then later names win.
 
-    A pair ``<prefix>NNNN.json`` / ``<prefix>NNNN.meta.json`` is used when the sidecar reports status
-    200, no error and the hash of the answer. Returns accepted entities ``(qid, record JSON, file)``
-    and refused files with the reason.
+    A pair ``<prefix>NAME.json`` / ``<prefix>NAME.provenance.json`` is used when the sidecar reports status 200 and the hash of
+    the answer, and the answer is JSON without an error. Names with ``.attempt`` are left out. Returns accepted
+    entities ``(qid, record JSON, file)`` and refused files with the reason.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select(
         F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("name"),
         F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("digest"),
     )
-    wanted = F.lit(False)
-    for p in prefixes:
-        wanted = wanted | F.col("name").startswith(p)
-    raw = raw.filter(wanted)
-    meta = raw.filter(F.col("name").endswith(".meta")).select(
-        F.regexp_replace("name", r"\.meta$", "").alias("name"),
-        F.from_json("text", "status int, sha256 string, error string").alias("meta"),
+    matching = F.array(*[F.when(F.col("name").startswith(p), F.lit(i)).otherwise(-1) for i, p in enumerate(prefixes)])
+    raw = raw.withColumn("prefix", F.array_max(matching)).filter((F.col("prefix") >= 0) & ~F.col("name").contains(ATTEMPT))
+    sidecar = F.col("name").endswith(SIDECAR)
+    meta = raw.filter(sidecar).select(
+        F.substring_index("name", SIDECAR, 1).alias("name"), F.from_json("text", "status int, sha256 string").alias("meta"),
     )
-    answers = raw.filter(~F.col("name").endswith(".meta")).join(meta, "name", "left")
+    answers = raw.filter(~sidecar).join(meta, "name", "left")
+    parsed = F.try_parse_json("text")
+    error = F.get_json_object("text", "$.error")
     reason = (
         F.when(F.col("meta").isNull(), "no_sidecar")
+        .when(parsed.isNull(), "not_json")
         .when(F.coalesce(F.col("meta.status") != 200, F.lit(True)), "status")
-        .when(F.col("meta.error").isNotNull(), "error")
+        .when(error.isNotNull() & ~error.isin("", "false", "0", "{}", "[]"), "error")
         .when(F.coalesce(F.col("meta.sha256") != F.col("digest"), F.lit(True)), "hash")
     )
     gated = answers.withColumn("reason", reason)
     records = gated.filter(F.col("reason").isNull()).select(
-        "name", F.explode(F.from_json(F.get_json_object("text", "$.entities"), "map<string,string>")).alias("qid", "record")
+        "prefix", "name", F.explode(F.from_json(F.get_json_object("text", "$.entities"), "map<string,string>")).alias("qid", "record")
     ).filter(F.col("qid").startswith("Q") & F.get_json_object("record", "$.missing").isNull())
-    accepted = records.groupBy("qid").agg(F.max_by(F.struct("record", "name"), F.col("name")).alias("_r")).select(
+    accepted = records.groupBy("qid").agg(F.max_by(F.struct("record", "name"), F.struct("prefix", "name")).alias("_r")).select(
         "qid", "_r.record", F.col("_r.name").alias("file")
     )
     return accepted, gated.filter(F.col("reason").isNotNull()).select("name", "reason")

@@ -172,20 +172,27 @@ def test_manifest(spark, tmp_path):
 
 
 def test_knowledge_files_need_their_sidecar(spark, tmp_path):
-    def save(name, entities, status=200, digest=None):
-        body = json.dumps({"entities": entities}).encode()
+    def save(name, entities, status=200, digest=None, **more):
+        body = json.dumps({"entities": entities, **more}).encode() if entities is not None else b"{"
         (tmp_path / f"{name}.json").write_bytes(body)
         meta = {"status": status, "sha256": digest or hashlib.sha256(body).hexdigest()}
-        (tmp_path / f"{name}.meta.json").write_text(json.dumps(meta))
+        (tmp_path / f"{name}.provenance.json").write_text(json.dumps(meta))
 
-    save("seed_0000", {"Q1": {"v": 1}, "Q2": {"missing": ""}, "P5": {}})
-    save("seed_0001", {"Q1": {"v": 2}})
+    save("seed_0000", {"Q1": {"v": 1}, "Q2": {"missing": ""}, "P5": {}}, error=None)
+    save("seed_0001", {"Q1": {"v": 2}, "Q7": {"v": 1}})
     save("seed_0002", {"Q3": {}}, status=500)
     save("seed_0003", {"Q4": {}}, digest="bad")
+    save("seed_0004", {"Q5": {}}, error={"code": "x"})
+    save("seed_0005", None)
+    save("seed_0006.attempt1", {"Q6": {}})
+    (tmp_path / "seed_0007.json").write_text("{}")
     save("other_0000", {"Q9": {}})
-    accepted, refused = read_entities(spark, str(tmp_path), ["seed_"])
-    assert [(r.qid, json.loads(r.record)["v"], r.file) for r in accepted.collect()] == [("Q1", 2, "seed_0001")]
-    assert rows(refused) == [("seed_0002", "status"), ("seed_0003", "hash")]
+    save("early_0000", {"Q7": {"v": 9}})
+    accepted, refused = read_entities(spark, str(tmp_path), ["seed_", "early_"])
+    assert sorted((r.qid, json.loads(r.record)["v"], r.file) for r in accepted.collect()) == [("Q1", 2, "seed_0001"), ("Q7", 9, "early_0000")]
+    assert rows(refused) == [("seed_0002", "status"), ("seed_0003", "hash"), ("seed_0004", "error"), ("seed_0005", "not_json"), ("seed_0007", "no_sidecar")]
+    accepted, _ = read_entities(spark, str(tmp_path), ["early_", "seed_"])
+    assert {r.qid: r.file for r in accepted.collect()}["Q7"] == "seed_0001"
 
 
 def run(root, name, mode, seed, auprc, digest="h", status="completed"):
