@@ -269,27 +269,27 @@ def annotation_edge_matches(spark, d):
 # Extraction answers per document: evidence is the text's beginning, broken in a different way per source.
 def answers(spark, d):
     docs = wide_table(spark, d, "documents", "doc_id", "text", "source")
-    kind = F.col("doc_id") % 8
+    kind = F.col("doc_id") % 10
     quoted = F.regexp_extract(F.to_json(F.array(F.substring("text", 1, 12))), r"(?s)^\[(.*)\]$", 1)
     number = F.when(kind == 4, "1.5").when(kind == 5, '"0.5"').otherwise("0.5")
     signal = F.concat(
         F.lit('{"entity_id":"'), F.when(kind == 1, "nobody").otherwise(F.col("source")), F.lit('","evidence":'),
-        F.when(kind == 2, F.lit('"~absent~"')).otherwise(quoted), F.lit(',"event":"e","category":"'), F.when(kind == 3, " ").otherwise("c"),
-        F.lit('","uncertainty":'), number, F.lit(',"sentiment":-0.5,"confidence":1}'))
+        F.when(kind == 2, F.lit('"~absent~"')).otherwise(quoted), F.lit(',"event":'), F.when(kind == 8, "7").otherwise('"e"'),
+        F.lit(',"category":'), F.when(kind == 3, '" "').when(kind == 9, '["c"]').otherwise('"c"'), F.lit(',"uncertainty":'), number, F.lit(',"sentiment":-0.5,"confidence":1}'))
     raw = F.when(kind == 6, "no object").when(kind == 7, '{"signals":3}').otherwise(F.concat(F.lit('Answer: {"signals":['), signal, F.lit("]} end")))
     return docs.select(F.col("doc_id").alias("document_id"), "text", F.array("source").alias("entity_ids"), raw.alias("raw"))
 
 
 @query("""
-  SELECT doc_id AS document_id, CASE doc_id % 8 WHEN 6 THEN 'no_json_object' WHEN 7 THEN 'signals_not_a_list' WHEN 1 THEN 'entity_not_listed' WHEN 2 THEN 'evidence_not_literal'
-         WHEN 4 THEN 'invalid_uncertainty' WHEN 5 THEN 'invalid_uncertainty' WHEN 3 THEN 'missing_category' END AS reason FROM documents""")
+  SELECT doc_id AS document_id, CASE doc_id % 10 WHEN 6 THEN 'no_json_object' WHEN 7 THEN 'signals_not_a_list' WHEN 1 THEN 'entity_not_listed' WHEN 2 THEN 'evidence_not_literal'
+         WHEN 4 THEN 'invalid_uncertainty' WHEN 5 THEN 'invalid_uncertainty' WHEN 3 THEN 'missing_category' WHEN 8 THEN 'missing_event' WHEN 9 THEN 'missing_category' END AS reason FROM documents""")
 def extracted_signal_validation(spark, d):
     return validate_signals(answers(spark, d)).select("document_id", "reason")
 
 
 @query("""
-  SELECT doc_id AS document_id, source AS entity_id, sha256(substr(text, 1, 12)) AS evidence_hash, 0.5::DOUBLE AS uncertainty, -0.5::DOUBLE AS sentiment, 1.0::DOUBLE AS confidence
-  FROM documents WHERE doc_id % 8 = 0""")
+  SELECT doc_id AS document_id, source AS entity_id, 'e' AS event, 'c' AS category, sha256(substr(text, 1, 12)) AS evidence_hash, 0.5::DOUBLE AS uncertainty, -0.5::DOUBLE AS sentiment, 1.0::DOUBLE AS confidence
+  FROM documents WHERE doc_id % 10 = 0""")
 def accepted_extracted_signals(spark, d):
     out = accepted_signals(validate_signals(answers(spark, d)))
-    return out.select("document_id", "entity_id", F.sha2("evidence", 256).alias("evidence_hash"), "uncertainty", "sentiment", "confidence")
+    return out.select("document_id", "entity_id", "event", "category", F.sha2("evidence", 256).alias("evidence_hash"), "uncertainty", "sentiment", "confidence")

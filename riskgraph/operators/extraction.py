@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskgraph.functions.keys import clean
 
-SIGNAL = "struct<entity_id:string,evidence:string,event:string,category:string,uncertainty:variant,sentiment:variant,confidence:variant>"
+SIGNAL = "struct<entity_id:string,evidence:string,event:variant,category:variant,uncertainty:variant,sentiment:variant,confidence:variant>"
 
 
 def signal_object(raw: str | Column) -> Column:
@@ -24,7 +24,9 @@ def _bounded(value: Column, low: float, high: float) -> Column:
 
 
 def _text(value: Column) -> Column:
-    return F.coalesce(clean(value) != "", F.lit(False))
+    """A JSON string that isn't blank; a number or a list is no text."""
+    string = F.schema_of_variant(value) == "STRING"
+    return F.coalesce(string & (clean(F.try_variant_get(value, "$", "string")) != ""), F.lit(False))
 
 
 def validate_signals(
@@ -33,7 +35,7 @@ def validate_signals(
     """Add ``reason`` (NULL when every signal of the document is valid) and the parsed ``signals``.
 
     One bad signal rejects its document: unknown entity, evidence that is not a literal part of the
-    text, a number outside its bounds, a blank event or category.
+    text, a number outside its bounds, an event or category that is blank or no string.
     """
     body = signal_object(raw)
     parsed = answers.withColumn("_body", body).withColumn("_v", F.try_parse_json("_body")).withColumn(
@@ -61,7 +63,7 @@ def validate_signals(
 def accepted_signals(validated: DataFrame, document: str = "document_id") -> DataFrame:
     """Signals of the accepted documents, one row each, numbers as doubles."""
     return validated.filter(F.col("reason").isNull()).select(document, F.explode("signals").alias("s")).select(
-        document, "s.entity_id", "s.event", "s.category", "s.evidence",
+        document, "s.entity_id", *[F.try_variant_get(F.col(f"s.{n}"), "$", "string").alias(n) for n in ("event", "category")], "s.evidence",
         *[F.try_variant_get(F.col(f"s.{n}"), "$", "double").alias(n) for n in ("uncertainty", "sentiment", "confidence")],
     )
 
