@@ -264,6 +264,18 @@ def spread_document_sample(spark, d):
     return T.spread_sample(docs, ["n_chars", "doc_id"], 16, ["lang"]).select("lang", "doc_id")
 
 
+# A sample for extraction: the first texts with a word of risk and as many others, spread over their order.
+@query("""
+  WITH told AS (SELECT doc_id, n_chars, lang, coalesce(regexp_matches(lower(text), 'the|que|und'), false) AS marked FROM documents),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY lang, marked ORDER BY n_chars, doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang, marked) AS n FROM told)
+  SELECT lang, doc_id, marked FROM placed WHERE CASE WHEN marked THEN pos < 16
+    ELSE list_contains(list_transform(range(0, least(16, n)), lambda i: CASE WHEN i = least(16, n) - 1 THEN n - 1 ELSE CAST(floor(i * ((n - 1) / (least(16, n) - 1))) AS BIGINT) END), pos) END""")
+def risk_and_neutral_sample(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "lang", "n_chars", "text")
+    marked = F.lower("text").rlike("the|que|und")
+    return T.first_and_spread(docs, marked, ["n_chars", "doc_id"], 16, ["lang"]).select("lang", "doc_id", "marked")
+
+
 @query("SELECT 'Q' || user_id AS qid FROM (SELECT DISTINCT user_id FROM events) ORDER BY user_id LIMIT 25")
 def numbered_id_order(spark, d):
     ids = table(spark, d, "events", "user_id").select(F.concat(F.lit("Q"), "user_id").alias("qid"))

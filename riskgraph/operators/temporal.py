@@ -301,16 +301,30 @@ def spread_sample(df: DataFrame, order: Sequence[str], size: int, group: Sequenc
         placed = attach_group_stats(placed, group, {"_n": F.count("*")})
     else:
         placed = placed.withColumn("_n", df.agg(F.count("*")).scalar())
-    m = F.least(F.lit(size), F.col("_n"))
-    wanted = F.when(m == 1, F.array(F.lit(0).cast("bigint"))).otherwise(
-        F.transform(
-            F.sequence(F.lit(0).cast("bigint"), m - 1),
-            lambda i: F.when(i == m - 1, F.col("_n") - 1).otherwise(
-                F.floor(i * ((F.col("_n") - 1) / (m - 1))).cast("bigint")
-            ),
-        )
-    )
-    return placed.filter(F.array_contains(wanted, F.col("_pos"))).drop("_pos", "_n")
+    # Wanted places are floor(i * step), the last one n - 1. As step is 1 at least, only numbers beside p / step can give place p.
+    m, p = F.least(F.lit(size), F.col("_n")), F.col("_pos")
+    step = (F.col("_n") - 1) / F.greatest(m - 1, F.lit(1))
+    near = F.floor(F.try_divide(p.cast("double"), step)).cast("bigint")
+    hit = F.lit(False)
+    for k in (-1, 0, 1, 2):
+        i = near + k
+        hit = hit | ((i >= 0) & (i < m - 1) & (F.floor(i * step) == p))
+    wanted = F.when(m == 1, p == 0).otherwise((p == F.col("_n") - 1) | hit)
+    return placed.filter(F.coalesce(wanted, F.lit(False))).drop("_pos", "_n")
+
+
+def first_and_spread(df: DataFrame, marked: Column, order: Sequence[str], size: int, group: Sequence[str] = ()) -> DataFrame:
+    """The first ``size`` marked rows in the order and ``size`` rows evenly spread over the others, with ``marked``.
+
+    A null mark is no mark. Per ``group`` if one is given; fewer rows than ``size`` are all taken.
+    """
+    from riskgraph.operators.ordering import top_k_per_key
+
+    told = df.withColumn("marked", F.coalesce(marked, F.lit(False)))
+    keys = list(group) or [F.lit(0).alias("_all")]
+    hits = told.filter("marked").select("*", *([] if group else keys))
+    first = top_k_per_key(hits, list(group) or ["_all"], [F.col(c) for c in order], size, "_rank").drop("_rank", "_all")
+    return first.unionByName(spread_sample(told.filter("not marked"), order, size, group))
 
 
 def numbered_ids(df: DataFrame, key: str, limit: int) -> DataFrame:

@@ -164,3 +164,15 @@ def test_conflicts_duplicates_and_empty_submissions(spark, world):
         N.import_annotations(*world, node_rows(spark, GOOD, GOOD))
     with pytest.raises(A.AuditError, match="no reviewed"):
         N.import_annotations(*world, node_rows(spark, GOOD).filter("1 = 0"))
+
+
+def test_spread_and_first_samples(spark):
+    for n in (0, 1, 2, 15, 16, 17, 100, 1001):
+        rows_ = spark.createDataFrame([(i, f"g{i % 1}") for i in range(n)], "k long, g string")
+        m = min(16, n)
+        want = [0] if m == 1 else [n - 1 if i == m - 1 else int(i * ((n - 1) / (m - 1))) for i in range(m)]
+        assert sorted(r.k for r in T.spread_sample(rows_, ["k"], 16, ["g"]).collect()) == want
+    df = spark.createDataFrame([(i, i % 3 == 0 if i % 5 else None) for i in range(40)], "k long, m boolean")
+    got = T.first_and_spread(df, df.m, ["k"], 4).collect()
+    others = [i for i in range(40) if not (i % 3 == 0 and i % 5)]
+    assert sorted(r.k for r in got if r.marked) == [3, 6, 9, 12] and sorted(r.k for r in got if not r.marked) == [others[int(i * (len(others) - 1) / 3)] for i in range(4)]
