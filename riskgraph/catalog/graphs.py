@@ -87,19 +87,28 @@ cte("truth", """
   SELECT DISTINCT snapshot, source, nodes FROM walk WHERE len(nodes) > 1""", "positive_edges", "sources")
 
 
-def true_paths(spark, d):
-    flow = edge_flow(spark, d)
-    return G.simple_paths(flow.filter(F.col("label") == 1), sources_of(flow), HOPS)
+cte("true_steps", """
+  SELECT DISTINCT snapshot, nodes[i] AS a, nodes[i + 1] AS b
+  FROM (SELECT snapshot, nodes, unnest(range(1, len(nodes))) AS i FROM truth)""", "truth")
 
 
 @query(using("truth", select="SELECT snapshot, source, array_to_string(nodes, '>') AS path FROM truth"))
 def true_simple_paths(spark, d):
-    return true_paths(spark, d).select("snapshot", "source", F.array_join("nodes", ">").alias("path"))
+    flow = edge_flow(spark, d)
+    paths = G.simple_paths(flow.filter(F.col("label") == 1), sources_of(flow), HOPS)
+    return paths.select("snapshot", "source", F.array_join("nodes", ">").alias("path"))
 
 
 @query(using("truth", select="SELECT snapshot, count(*) AS n_paths, count(*) > 500 AS over_cap FROM truth GROUP BY snapshot"))
 def true_path_counts(spark, d):
-    return G.path_counts(true_paths(spark, d), 500)
+    flow = edge_flow(spark, d)
+    return G.path_counts(flow.filter(F.col("label") == 1), sources_of(flow), HOPS, 500)
+
+
+@query(using("true_steps", select="SELECT snapshot, a AS src, b AS dst FROM true_steps"))
+def edges_on_true_paths(spark, d):
+    flow = edge_flow(spark, d)
+    return G.edges_on_paths(flow.filter(F.col("label") == 1), sources_of(flow), HOPS)
 
 
 # The same beam on the labelled subgraph.
@@ -115,6 +124,9 @@ cte("predicted", f"""
   SELECT DISTINCT snapshot, source, nodes FROM (
     SELECT *, row_number() OVER (PARTITION BY snapshot, source ORDER BY log_score DESC, nodes, edge_ids) AS rank
     FROM ({" UNION ALL ".join(f"SELECT * FROM kbeam{i}" for i in range(1, HOPS + 1))}) QUALIFY rank <= {TOP})""", f"kbeam{HOPS}")
+cte("pred_steps", """
+  SELECT DISTINCT snapshot, nodes[i] AS a, nodes[i + 1] AS b
+  FROM (SELECT snapshot, nodes, unnest(range(1, len(nodes))) AS i FROM predicted)""", "predicted")
 cte("path_days", """
   SELECT s.snapshot, coalesce(p.n, 0) AS n_pred, coalesce(t.n, 0) AS n_true, coalesce(m.n, 0) AS n_match,
          coalesce(pe.n, 0) AS e_pred, coalesce(te.n, 0) AS e_true, coalesce(me.n, 0) AS e_match
@@ -126,12 +138,6 @@ cte("path_days", """
   LEFT JOIN (SELECT snapshot, count(*) AS n FROM true_steps GROUP BY 1) te USING (snapshot)
   LEFT JOIN (SELECT snapshot, count(*) AS n FROM pred_steps JOIN true_steps USING (snapshot, a, b) GROUP BY 1) me USING (snapshot)""",
     "predicted", "truth", "pred_steps", "true_steps")
-for _name, _from in (("pred_steps", "predicted"), ("true_steps", "truth")):
-    cte(_name, f"""
-  SELECT DISTINCT snapshot, nodes[i] AS a, nodes[i + 1] AS b
-  FROM (SELECT snapshot, nodes, unnest(range(1, len(nodes))) AS i FROM {_from})""", _from)
-
-
 @query(using("path_days", select="""
   SELECT count(*) AS n_days, round(avg(p), 6) AS path_precision, round(avg(r), 6) AS path_recall,
          round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS path_f1,

@@ -113,18 +113,20 @@ def beam_search(
     return ranked.withColumn("score", saturating_exp("log_score"))
 
 
-def simple_paths(
-    edges: DataFrame, sources: DataFrame, max_hops: int = 4, keys: Sequence[str] = ("snapshot",),
-) -> DataFrame:
-    """All cycle-free node sequences (every prefix included) from the sources over ``edges(keys, src, dst)``."""
-    steps = durable(edges.select(*keys, F.col("src").alias("tail"), "dst").distinct(), "steps")
+def _true_steps(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct steps ``(keys, src, dst)`` between different nodes, written once."""
+    return durable(edges.select(*keys, "src", "dst").filter(F.col("src") != F.col("dst")).distinct(), "steps")
+
+
+def _walk_paths(steps: DataFrame, sources: DataFrame, max_hops: int, keys: Sequence[str]) -> DataFrame:
+    arcs = steps.withColumnRenamed("src", "tail")
     level = sources.select(
         *keys, F.col("node_id").alias("source"), F.col("node_id").alias("tail"), F.array("node_id").alias("nodes")
     ).distinct()
     levels = []
     for _ in range(max_hops):
         level = durable(
-            lookup_join(level, steps, [*keys, "tail"])
+            lookup_join(level, arcs, [*keys, "tail"])
             .filter(~F.array_contains("nodes", F.col("dst")))
             .select(*keys, "source", F.col("dst").alias("tail"), F.array_append("nodes", F.col("dst")).alias("nodes")),
             "paths",
@@ -135,39 +137,139 @@ def simple_paths(
     return _union(levels).drop("tail")
 
 
-def path_counts(paths: DataFrame, cap: int = 10_000, keys: Sequence[str] = ("snapshot",)) -> DataFrame:
-    """Paths per key with a flag where an enumeration limited to ``cap`` would have been cut."""
-    return paths.groupBy(*keys).agg(F.count("*").alias("n_paths")).withColumn("over_cap", F.col("n_paths") > cap)
+def simple_paths(
+    edges: DataFrame, sources: DataFrame, max_hops: int = 4, keys: Sequence[str] = ("snapshot",),
+) -> DataFrame:
+    """All cycle-free node sequences (every prefix included) from the sources over ``edges(keys, src, dst)``.
+
+    The listing is as long as there are paths; :func:`path_counts` and :func:`edges_on_paths` do without it.
+    """
+    return _walk_paths(_true_steps(edges, keys), sources, max_hops, keys)
+
+
+def _node_subsets(nodes: Column, largest: int) -> Column:
+    """All subsets of an array of up to about ten different nodes with at most ``largest`` members, each in order."""
+    ordered = F.array_sort(nodes)
+    masks = F.sequence(F.lit(0), F.pow(F.lit(2), F.size(nodes)).cast("int") - 1)
+    subsets = F.transform(masks, lambda m: F.filter(ordered, lambda _, i: F.getbit(m, i) == 1))
+    return F.filter(subsets, lambda x: F.size(x) <= largest)
+
+
+def path_counts(
+    edges: DataFrame, sources: DataFrame, max_hops: int = 4, cap: int = 10_000, keys: Sequence[str] = ("snapshot",),
+) -> DataFrame:
+    """Number ``n_paths`` of the paths :func:`simple_paths` would list, per key with at least one, without listing them.
+
+    Paths of more than half of ``max_hops`` are pairs of halves that meet in a node and share no other. Disjoint pairs follow
+    by inclusion and exclusion: first halves are counted by (meeting node, subset of their earlier nodes), second halves by
+    (start, subset of their later nodes), and the counts of equal subsets are multiplied with the sign of the subset's size.
+    Only halves are enumerated, so the work grows with the degree to the power of half of the hops. ``over_cap`` tells where
+    a listing limited to ``cap`` would have been cut. Repeated edges and sources count once; loops and null ends never.
+    """
+    return _count_paths(_true_steps(edges, keys), sources, max_hops, list(keys)).withColumn("over_cap", F.col("n_paths") > cap)
+
+
+def _count_paths(steps: DataFrame, sources: DataFrame, max_hops: int, keys: list[str]) -> DataFrame:
+    near = (max_hops + 1) // 2
+    far = max_hops - near
+    first = _walk_paths(steps, sources, near, keys)
+    counted = first.groupBy(*keys).agg(F.count("*").alias("n"))
+    if far:
+        halves = (
+            first.filter(F.size("nodes") == near + 1)
+            .select(*keys, F.element_at("nodes", -1).alias("meet"), F.explode(_node_subsets(F.slice("nodes", 1, near), far)).alias("shared"))
+            .groupBy(*keys, "meet", "shared").agg(F.count("*").alias("before"))
+        )
+        halves = durable(halves, "halves")
+        meetings = halves.select(*keys, F.col("meet").alias("node_id")).distinct()
+        rest = (
+            _walk_paths(steps, meetings, far, keys)
+            .select(*keys, F.col("source").alias("meet"), F.explode(_node_subsets(F.slice("nodes", 2, far), far)).alias("shared"))
+            .groupBy(*keys, "meet", "shared").agg(F.count("*").alias("after"))
+        )
+        sign = F.when(F.size("shared") % 2 == 0, 1).otherwise(-1)
+        pairs = halves.join(rest, [*keys, "meet", "shared"]).groupBy(*keys).agg(F.sum(sign * F.col("before") * F.col("after")).alias("n"))
+        counted = counted.unionByName(pairs)
+    return counted.groupBy(*keys).agg(F.sum("n").alias("n_paths"))
 
 
-def _path_edges(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
+def edges_on_paths(
+    edges: DataFrame, sources: DataFrame, max_hops: int = 4, keys: Sequence[str] = ("snapshot",),
+) -> DataFrame:
+    """Edges ``(keys, src, dst)`` that lie on at least one cycle-free path of up to ``max_hops`` from a source.
+
+    Such a path through ``src -> dst`` exists exactly when some walk of less than ``max_hops`` steps reaches ``src`` without
+    meeting ``dst``. Every round keeps one row a node: the at most ``max_hops`` nodes that all walks to it have in common,
+    the node itself included, which is the intersection over its predecessors. No path is listed.
+    """
+    return _edges_on_paths(_true_steps(edges, keys), sources, max_hops, list(keys))
+
+
+def _edges_on_paths(steps: DataFrame, sources: DataFrame, max_hops: int, keys: list[str]) -> DataFrame:
+    starts = sources.select(*keys, F.col("node_id").alias("src")).distinct()
+    common = starts.withColumn("must", F.array("src"))
+    for _ in range(max_hops - 1):
+        walked = lookup_join(common, steps, [*keys, "src"]).select(*keys, F.col("dst").alias("src"), "must")
+        votes = durable(
+            walked.join(starts, [*keys, "src"], "left_anti")
+            .select(*keys, "src", F.explode(F.concat(F.array(F.lit(None)), "must")).alias("met"))
+            .groupBy(*keys, "src", "met").agg(F.count("*").alias("n")),
+            "votes",
+        )
+        ways = votes.filter(F.col("met").isNull()).select(*keys, "src", F.col("n").alias("ways"))
+        agreed = (
+            votes.filter(F.col("met").isNotNull()).join(ways, [*keys, "src"]).filter(F.col("n") == F.col("ways"))
+            .groupBy(*keys, "src").agg(F.collect_list("met").alias("agreed"))
+        )
+        shared = F.array_compact(F.array_union(F.array("src"), F.coalesce("agreed", F.array("src"))))
+        common = ways.join(agreed, [*keys, "src"], "left").select(*keys, "src", shared.alias("must")).unionByName(
+            starts.withColumn("must", F.array("src"))
+        )
+    return lookup_join(steps, common, [*keys, "src"]).filter(~F.array_contains("must", F.col("dst"))).select(*keys, "src", "dst")
+
+
+def _path_steps(paths: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = F.transform(
         F.sequence(F.lit(1), F.size("nodes") - 1),
-        lambda i: F.struct(F.get("nodes", i - 1).alias("a"), F.get("nodes", i).alias("b")),
+        lambda i: F.struct(F.get("nodes", i - 1).alias("src"), F.get("nodes", i).alias("dst")),
     )
-    return paths.select(*keys, F.inline(pairs)).distinct()
+    return paths.select(*columns, F.inline(pairs))
 
 
-def path_metrics_by_day(predicted: DataFrame, truth: DataFrame, days: DataFrame, keys: Sequence[str] = ("snapshot",)) -> DataFrame:
-    """Path and edge precision / recall of predicted against true node sequences, per day of ``days``."""
-    keys = list(keys)
+def confirmed_paths(predicted: DataFrame, edges: DataFrame, keys: Sequence[str] = ("snapshot",)) -> DataFrame:
+    """Predicted paths ``(keys, source, nodes)`` with ``true`` 1 if each of their steps is one of ``edges(keys, src, dst)``."""
+    on = [*keys, "source", "nodes"]
+    steps = edges.select(*keys, "src", "dst").distinct().withColumn("_known", F.lit(1))
+    return (
+        lookup_join(_path_steps(predicted.select(*on).distinct(), on), steps, [*keys, "src", "dst"], "left")
+        .groupBy(*on).agg(F.min(F.coalesce("_known", F.lit(0))).alias("true"))
+    )
 
-    def overlap(pred: DataFrame, true: DataFrame, on: list[str], p: str, t: str, m: str) -> DataFrame:
-        tagged = pred.select(*on, F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(
-            true.select(*on, F.lit(0).alias("p"), F.lit(1).alias("t"))
-        ).groupBy(*on).agg(F.max("p").alias("p"), F.max("t").alias("t"))
-        return tagged.groupBy(*keys).agg(
-            F.sum("p").alias(p), F.sum("t").alias(t), F.sum(F.col("p") * F.col("t")).alias(m)
-        )
 
-    paths = overlap(predicted, truth, [*keys, "nodes"], "n_pred", "n_true", "n_match")
-    edges = overlap(_path_edges(predicted, keys), _path_edges(truth, keys), [*keys, "a", "b"], "e_pred", "e_true", "e_match")
+def path_metrics_by_day(
+    confirmed: DataFrame, edges: DataFrame, sources: DataFrame, days: DataFrame, max_hops: int = 4, keys: Sequence[str] = ("snapshot",),
+) -> DataFrame:
+    """Path and edge precision / recall of :func:`confirmed_paths` against the true ``edges``, per day of ``days``.
+
+    True paths are counted, true edges found by common nodes; neither lists a path.
+    """
+    keys, true_steps = list(keys), _true_steps(edges, keys)
+    paths = confirmed.groupBy(*keys).agg(F.count("*").alias("n_pred"), F.sum("true").alias("n_match"))
+    truth = _count_paths(true_steps, sources, max_hops, keys).withColumnRenamed("n_paths", "n_true")
+    on_truth = _edges_on_paths(true_steps, sources, max_hops, keys).select(*keys, "src", "dst", F.lit(0).alias("p"), F.lit(1).alias("t"))
+    on_paths = _path_steps(confirmed, keys).withColumns({"p": F.lit(1), "t": F.lit(0)})
+    steps = (
+        on_truth.unionByName(on_paths).groupBy(*keys, "src", "dst").agg(F.max("p").alias("p"), F.max("t").alias("t"))
+        .groupBy(*keys).agg(F.sum("p").alias("e_pred"), F.sum("t").alias("e_true"), F.sum(F.col("p") * F.col("t")).alias("e_match"))
+    )
     zero = F.lit(0.0)
     share = lambda top, bottom: F.coalesce(F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)), zero)
-    per_day = days.select(*keys).distinct().join(paths, keys, "left").join(edges, keys, "left")
+    per_day = days.select(*keys).distinct()
+    for found in (paths, truth, steps):
+        per_day = per_day.join(found, keys, "left")
+    per_day = per_day.fillna(0, ["n_pred", "n_true", "n_match", "e_pred", "e_true", "e_match"])
     scored = per_day.select(
-        *keys,
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_pred", "n_true", "n_match")],
+        *keys, "n_pred", "n_true", "n_match",
         share("n_match", "n_pred").alias("path_precision"), share("n_match", "n_true").alias("path_recall"),
         share("e_match", "e_pred").alias("path_edge_precision"), share("e_match", "e_true").alias("path_edge_recall"),
     )
@@ -177,14 +279,13 @@ def path_metrics_by_day(predicted: DataFrame, truth: DataFrame, days: DataFrame,
     )
 
 
-def source_hits(predicted: DataFrame, truth: DataFrame, keys: Sequence[str] = ("snapshot",)) -> DataFrame:
-    """Per source with at least one true path: whether a predicted path equals one of them."""
+def source_hits(confirmed: DataFrame, edges: DataFrame, sources: DataFrame, keys: Sequence[str] = ("snapshot",)) -> DataFrame:
+    """Per source with at least one true path, which is one true edge to another node: whether a predicted path is true."""
     on = [*keys, "source"]
-    matched = truth.join(predicted.select(*on, "nodes").distinct(), [*on, "nodes"], "left_semi").select(*on).distinct()
-    evaluable = truth.select(*on).distinct()
-    return evaluable.join(matched.withColumn("_h", F.lit(1)), on, "left").select(
-        *on, F.coalesce("_h", F.lit(0)).alias("hit")
-    )
+    leaving = edges.filter(F.col("src") != F.col("dst")).select(*keys, F.col("src").alias("source"))
+    evaluable = sources.select(*keys, F.col("node_id").alias("source")).distinct().join(leaving, on, "left_semi")
+    matched = confirmed.groupBy(*on).agg(F.max("true").alias("_h"))
+    return evaluable.join(matched, on, "left").select(*on, F.coalesce("_h", F.lit(0)).alias("hit"))
 
 
 def path_metrics(
@@ -199,16 +300,14 @@ def path_metrics(
     labelled = durable(outcome.filter(F.col("label").isNotNull()), "labelled")
     starts = durable(sources.join(labelled.select("snapshot").distinct(), "snapshot", "left_semi"), "starts")
     days = starts.select("snapshot").distinct()
-    predicted = durable(
-        beam_search(labelled, starts, beam_width, max_hops, top_k).select("snapshot", "source", "nodes").distinct(),
-        "predicted",
-    )
-    truth = durable(simple_paths(labelled.filter(F.col("label") == 1), starts, max_hops), "truth")
-    by_day = path_metrics_by_day(predicted, truth, days).agg(
+    true_edges = labelled.filter(F.col("label") == 1)
+    predicted = beam_search(labelled, starts, beam_width, max_hops, top_k)
+    confirmed = durable(confirmed_paths(predicted, true_edges), "confirmed")
+    by_day = path_metrics_by_day(confirmed, true_edges, starts, days, max_hops).agg(
         F.count("*").alias("n_days"),
         *[F.avg(c).alias(c) for c in ("path_precision", "path_recall", "path_f1", "path_edge_precision", "path_edge_recall")],
     )
-    hits = source_hits(predicted, truth).agg(
+    hits = source_hits(confirmed, true_edges, starts).agg(
         F.struct(F.sum("hit").alias("hits"), F.count("*").alias("n")).alias("h")
     )
     h = hits.scalar()

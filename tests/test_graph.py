@@ -75,6 +75,32 @@ def test_simple_paths_and_unknown_edges(spark):
     assert all_paths == {(0, 1), (0, 2), (0, 1, 3)}
 
 
+@pytest.mark.parametrize("seed,hops", [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)])
+def test_counted_paths_and_edges_equal_the_listing(spark, seed, hops):
+    r = random.Random(seed)
+    edges = [(r.randrange(8), r.randrange(8), 1) for _ in range(26)] + [(0, t, 1) for t in range(5)] * 2
+    df, starts = edge_frame(spark, edges), source_frame(spark, 0, 3, 3, 99)
+    listed = [tuple(p.nodes) for p in G.simple_paths(df, starts, hops).collect()]
+    assert len(listed) == len(set(listed))
+    assert rows(G.path_counts(df, starts, hops, cap=len(listed))) == [(0, len(listed), False)]
+    on_paths = {(0, a, b) for p in listed for a, b in zip(p, p[1:])}
+    assert rows(G.edges_on_paths(df, starts, hops)) == sorted(on_paths, key=repr)
+    predicted = [(0, 0, [0, 1]), (0, 0, [0, 7, 6]), (0, 3, [3, 0, 2]), (0, 3, [3, 1])]
+    confirmed = G.confirmed_paths(spark.createDataFrame(predicted, "snapshot int, source int, nodes array<int>"), df)
+    known = {(s, t) for s, t, _ in edges}
+    assert {(p.source, tuple(p.nodes)): p.true for p in confirmed.collect()} == {
+        (s, tuple(n)): int(all(step in known for step in zip(n, n[1:]))) for _, s, n in predicted}
+    leaving = {s for s, t in known if s != t}
+    assert {h.source for h in G.source_hits(confirmed, df, starts).collect()} == leaving & {0, 3}
+
+
+def test_path_through_the_only_entry_is_no_path(spark):
+    edges = [(0, 1, 1), (1, 2, 1), (2, 1, 1), (2, 0, 1), (2, 3, 1)]
+    assert rows(G.edges_on_paths(edge_frame(spark, edges), source_frame(spark, 0), 4)) == [(0, 0, 1), (0, 1, 2), (0, 2, 3)]
+    empty = edge_frame(spark, edges).limit(0)
+    assert G.path_counts(empty, source_frame(spark, 0), 4).isEmpty() and G.edges_on_paths(empty, source_frame(spark, 0), 4).isEmpty()
+
+
 def test_long_subclass_chain_has_no_proof(spark):
     arcs = spark.createDataFrame([(f"Q{i}", f"Q{i + 1}", f"s{i}", 0) for i in range(14)], "child string, parent string, statement_id string, seq int")
     roots = spark.createDataFrame([("firm", "Q14")], "kind string, qid string")
