@@ -445,7 +445,7 @@ cte("shocks", """
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND l_discount > 0.09 GROUP BY ALL""")
 cte("capacity", "SELECT snapshot, node_id, 0.2 + (length(node_id) * 7 % 10) / 20.0 AS capacity FROM shocks", "shocks")
 cte("cascade", """
-  SELECT e.snapshot, e.edge_id, e.src, e.dst, CASE WHEN rel = 'supplies' THEN 1 WHEN qty > 40 THEN 3 ELSE 2 END AS stage
+  SELECT e.snapshot, e.edge_id, e.src, e.dst, qty, CASE WHEN rel = 'supplies' THEN 1 WHEN qty > 40 THEN 3 ELSE 2 END AS stage
   FROM edges e WHERE (rel = 'supplies' AND dependency > 0.4) OR (rel = 'shipped_to' AND qty >= 30 AND dependency > 0.2)""", "edges")
 
 
@@ -463,8 +463,8 @@ def cascade_parts(spark, d):
     ).withColumn("stage", F.when(F.col("rel") == "supplies", 1).when(F.col("qty") > 40, 3).otherwise(2))
     numbered = e.select("snapshot", "edge_id", "src", "dst")
     unique = numbered.select(F.concat_ws("@", "edge_id", "snapshot").alias("edge_id"), "src", "dst")
-    events = events.select("snapshot", F.concat_ws("@", "edge_id", "snapshot").alias("edge_id"), "stage")
-    return G.replay_cascade(unique, shocks, events, capacity)
+    events = events.select("snapshot", F.concat_ws("@", "edge_id", "snapshot").alias("edge_id"), "stage", "qty")
+    return unique, shocks, events, capacity
 
 
 cte("initial", """
@@ -479,10 +479,65 @@ cte("f2", "SELECT DISTINCT snapshot, dst AS node_id FROM cascade WHERE stage = 2
     OR (stage = 2 AND ((snapshot, src) NOT IN (SELECT (snapshot, node_id) FROM f1) OR (snapshot, dst) IN (SELECT (snapshot, node_id) FROM initial UNION SELECT (snapshot, node_id) FROM f1)))
     OR (stage = 3 AND ((snapshot, src) NOT IN (SELECT (snapshot, node_id) FROM f2) OR (snapshot, dst) IN (SELECT (snapshot, node_id) FROM initial UNION SELECT (snapshot, node_id) FROM f1 UNION SELECT (snapshot, node_id) FROM f2)))"""))
 def cascade_violations(spark, d):
-    return cascade_parts(spark, d)["violations"]
+    return G.replay_cascade(*cascade_parts(spark, d))["violations"]
 
 
 @query(using("initial", "cascade", select="""
   SELECT snapshot, node_id FROM initial UNION SELECT snapshot, dst FROM cascade"""))
 def cascade_node_truth(spark, d):
-    return cascade_parts(spark, d)["node_truth"]
+    return G.replay_cascade(*cascade_parts(spark, d))["node_truth"]
+
+
+@query(using("cascade", select="SELECT DISTINCT snapshot, edge_id || '@' || snapshot AS edge_id FROM cascade"))
+def cascade_edge_truth(spark, d):
+    return G.replay_cascade(*cascade_parts(spark, d))["edge_truth"]
+
+
+# Logs of the cascade with faults by the quantity: unknown edges, stages and days that don't exist, repeated records.
+cte("event_log", """
+  SELECT snapshot, edge_id || CASE WHEN q % 13 = 0 THEN '?' ELSE '@' END || snapshot AS edge_id, CASE WHEN q % 11 = 0 THEN 9 ELSE stage END AS stage,
+         snapshot * 365 + stage * 10 + CASE WHEN q % 7 = 0 THEN 1 ELSE 0 END AS event_day, q * 2 + c AS seq,
+         q % 13 <> 0 AND q % 11 <> 0 AS placed
+  FROM (SELECT *, CAST(qty AS BIGINT) AS q FROM cascade) CROSS JOIN (VALUES (0), (1)) v(c) WHERE c = 0 OR q > 45""", "cascade")
+cte("shock_log", """
+  SELECT snapshot, node_id, CASE WHEN q % 4 = 0 THEN -1.0 ELSE severity END AS severity,
+         snapshot * 365 + 1 + CASE WHEN q % 3 = 0 THEN 1 ELSE 0 END AS event_day, q * 2 + c AS seq
+  FROM (SELECT *, CAST(round(severity * 50) AS BIGINT) AS q FROM shocks) CROSS JOIN (VALUES (0), (1)) v(c) WHERE c = 0 OR q > 40""", "shocks")
+
+
+@query(using("event_log", "shock_log", select="""
+  SELECT 'event' AS record, snapshot, edge_id AS item, seq, 'position' AS reason FROM event_log WHERE NOT placed
+  UNION ALL
+  SELECT 'event', snapshot, edge_id, seq, 'time' FROM event_log WHERE placed AND event_day <> snapshot * 365 + stage * 10
+  UNION ALL
+  SELECT 'event', snapshot, edge_id, seq, 'duplicate' FROM (
+    SELECT * FROM event_log WHERE placed QUALIFY seq > min(seq) OVER (PARTITION BY snapshot, edge_id))
+  UNION ALL
+  SELECT 'shock', snapshot, node_id, seq, 'time' FROM shock_log WHERE event_day <> snapshot * 365 + 1
+  UNION ALL
+  SELECT 'shock', snapshot, node_id, seq, 'severity' FROM shock_log WHERE severity < 0
+  UNION ALL
+  SELECT 'shock', snapshot, node_id, seq, 'duplicate' FROM (
+    SELECT * FROM shock_log QUALIFY seq > min(seq) OVER (PARTITION BY snapshot, node_id))"""))
+def cascade_record_violations(spark, d):
+    known, shocks, events, capacity = cascade_parts(spark, d)
+    q = F.col("_q")
+
+    def logged(rows, often, *columns):
+        again = F.explode(F.when(q > often, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_c")
+        return rows.select("*", again).withColumn("seq", q * 2 + F.col("_c")).select("snapshot", *columns, "seq")
+
+    day = F.col("snapshot") * 365
+    event_log = logged(
+        events.withColumn("_q", F.col("qty").cast("long")).withColumn("event_day", day + F.col("stage") * 10 + F.when(q % 7 == 0, 1).otherwise(0))
+        .withColumn("stage", F.when(q % 11 == 0, 9).otherwise(F.col("stage")))
+        .withColumn("edge_id", F.when(q % 13 == 0, F.translate("edge_id", "@", "?")).otherwise(F.col("edge_id"))),
+        45, "edge_id", "stage", "event_day",
+    )
+    shock_log = logged(
+        shocks.withColumn("_q", F.round(F.col("severity") * 50).cast("long")).withColumn("event_day", day + 1 + F.when(q % 3 == 0, 1).otherwise(0))
+        .withColumn("severity", F.when(q % 4 == 0, -1.0).otherwise(F.col("severity"))),
+        40, "node_id", "severity", "event_day",
+    )
+    days = events.select("snapshot").unionByName(shocks.select("snapshot")).distinct().withColumn("query_day", day)
+    return G.cascade_record_violations(known, shock_log, event_log, capacity, days)

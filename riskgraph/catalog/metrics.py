@@ -239,21 +239,37 @@ _AP = """(SELECT sum(pos * (above_p + pos) / (above_n + n)) / nullif(sum(pos), 0
     WINDOW a AS (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))"""
 
 
-@query(using("doc_scores", select=f"""
-  SELECT lang, toxic, n, n_positive, n - n_positive AS n_negative,
-         round(CASE WHEN reason IS NULL THEN a END, 6) AS first_auprc, round(CASE WHEN reason IS NULL THEN b END, 6) AS second_auprc,
-         round(CASE WHEN reason IS NULL THEN a - b END, 6) AS difference, reason AS na_reason
+cte("ap_differences", f"""
+  SELECT lang, toxic, n, n_positive, n - n_positive AS n_negative, CASE WHEN reason IS NULL THEN a END AS a, CASE WHEN reason IS NULL THEN b END AS b, reason
   FROM (SELECT *, CASE WHEN n < 30 THEN 'support_below_30' WHEN n_positive < 2 OR n - n_positive < 2
                        THEN 'fewer_than_two_positives_or_negatives' END AS reason,
                {_AP.format(p="prob")} AS a, {_AP.format(p="other_prob")} AS b
         FROM (SELECT lang, toxic, count(label) AS n, CAST(sum(label) AS BIGINT) AS n_positive FROM doc_scores
-              WHERE label IS NOT NULL AND toxic IS NOT NULL GROUP BY lang, toxic) g)"""))
+              WHERE label IS NOT NULL AND toxic IS NOT NULL GROUP BY lang, toxic) g)""", "doc_scores")
+
+
+@query(using("ap_differences", select="""
+  SELECT lang, toxic, n, n_positive, n_negative, round(a, 6) AS first_auprc, round(b, 6) AS second_auprc,
+         round(a - b, 6) AS difference, reason AS na_reason FROM ap_differences"""))
 def stratified_ap_difference(spark, d):
     rows = doc_scores(spark, d).filter(F.col("toxic").isNotNull() & F.col("label").isNotNull())
     out = M.stratified_difference(rows, ["lang", "toxic"], "prob", "other_prob", 30)
     return rounded(out, "first_auprc", "second_auprc", "difference")
 
 
+# The toxic mark takes the place of the seed: a language needs both for its summary.
+@query(using("ap_differences", select="""
+  SELECT lang, string_agg(toxic, ';' ORDER BY toxic) AS available_seeds, coalesce(string_agg(toxic, ';' ORDER BY toxic) FILTER (a IS NOT NULL), '') AS valid_seeds,
+         count(a) AS n_valid_pairs, round(CASE WHEN count(a) = 2 THEN avg(a - b) END, 6) AS mean_difference,
+         round(CASE WHEN count(a) = 2 THEN stddev_samp(a - b) END, 6) AS sd_difference,
+         CASE WHEN count(a) = 2 THEN 'complete' WHEN count(a) = 0 THEN 'NA' ELSE 'partial' END AS status
+  FROM ap_differences GROUP BY lang"""))
+def stratified_ap_summary(spark, d):
+    rows = doc_scores(spark, d).filter(F.col("toxic").isNotNull() & F.col("label").isNotNull())
+    out = M.stratified_difference(rows, ["lang", "toxic"], "prob", "other_prob", 30)
+    return rounded(M.stratified_summary(out, ["lang"], 2, "toxic"), "mean_difference", "sd_difference")
+
+
 @query(using("memory", select="""
   SELECT CASE WHEN age_days <= 7 THEN '1-7' WHEN age_days <= 14 THEN '8-14' WHEN age_days <= 30 THEN '15-30' ELSE '>30' END AS age_bin,
          CASE WHEN abs(confidence - 0.55) <= 0.05 THEN '0.55' WHEN abs(confidence - 0.8) <= 0.05 THEN '0.8'

@@ -112,6 +112,88 @@ def asset_relations(spark, d):
     return relations.select("head", "tail", "relation_type", "first_year", "last_year", "n_observed")
 
 
+# All four survey tables: suppliers are utilities of their first year, first lines describe plants, every line a generator,
+# lightly taxed lines an ownership. Rows may name one utility twice, as reporter and as owner.
+cte("all_lines", """
+  SELECT *, CAST(year(l_shipdate) AS INTEGER) AS year, l_orderkey * 1000 + l_linenumber AS row,
+         'eia:utility:' || l_suppkey AS utility, 'eia:plant:' || l_partkey AS plant, 'eia:generator:' || l_partkey || ':' || l_linenumber AS generator,
+         'Utility ' || l_suppkey || ' in ' || l_returnflag AS utility_name, 'Plant ' || (l_orderkey % 9) AS plant_name,
+         CASE WHEN l_discount > 0.05 THEN 'S' || l_linestatus END AS state, CASE WHEN l_tax > 0.01 THEN CAST(l_orderkey % 30 AS VARCHAR) END AS naics,
+         CAST(l_orderkey % 40 AS VARCHAR) AS o FROM lineitem""")
+cte("all_entities", """
+  SELECT 1992 AS year, 0 AS t, CAST(s_suppkey AS BIGINT) AS row, 0 AS i, 'eia:utility:' || s_suppkey AS entity_id, 'utility_reporting_entity' AS entity_type, s_name AS name FROM supplier
+  UNION ALL SELECT 1992, 0, s_suppkey, 3, 'eia:state:N' || s_nationkey, 'region_state_code', 'N' || s_nationkey FROM supplier WHERE s_acctbal > 0
+  UNION ALL SELECT year, t, row, 0, utility, 'utility_reporting_entity', utility_name FROM all_rows
+  UNION ALL SELECT year, t, row, 1, plant, 'plant', plant_name FROM all_rows
+  UNION ALL SELECT year, t, row, 2, generator, 'generator', CAST(l_linenumber AS VARCHAR) FROM all_rows WHERE t > 1
+  UNION ALL SELECT year, t, row, 3, 'eia:state:' || state, 'region_state_code', state FROM all_rows WHERE t < 3 AND state IS NOT NULL
+  UNION ALL SELECT year, t, row, 4, 'eia:naics:' || naics, 'industry_naics_code', naics FROM all_rows WHERE t = 1 AND naics IS NOT NULL
+  UNION ALL SELECT year, t, row, 4, 'eia:fuel:' || l_returnflag, 'fuel_code', l_returnflag FROM all_rows WHERE t = 2
+  UNION ALL SELECT year, t, row, 4, 'eia:utility:' || o, 'utility_reporting_entity', 'Owner ' || l_linenumber FROM all_rows WHERE t = 3""", "all_rows")
+cte("all_rows", """
+  SELECT 1 AS t, * FROM all_lines WHERE l_linenumber = 1 UNION ALL SELECT 2, * FROM all_lines
+  UNION ALL SELECT 3, * FROM all_lines WHERE l_tax < 0.04""", "all_lines")
+cte("all_relations", """
+  SELECT 1992 AS year, 0 AS t, CAST(s_suppkey AS BIGINT) AS row, 1 AS i, 'eia:utility:' || s_suppkey AS head, 'eia:state:N' || s_nationkey AS tail,
+         'LocatedInState' AS relation_type, CAST(NULL AS VARCHAR) AS attribute FROM supplier WHERE s_acctbal > 0
+  UNION ALL SELECT year, t, row, 0, generator, plant, 'LocatedAtPlant', NULL FROM all_rows WHERE t > 1
+  UNION ALL SELECT year, t, row, 1, plant, 'eia:state:' || state, 'LocatedInState', NULL FROM all_rows WHERE t < 3 AND state IS NOT NULL
+  UNION ALL SELECT year, t, row, 2, plant, utility, 'ReportedBy', NULL FROM all_rows WHERE t = 1
+  UNION ALL SELECT year, t, row, 3, plant, 'eia:naics:' || naics, 'PrimaryPurposeNAICS', NULL FROM all_rows WHERE t = 1 AND naics IS NOT NULL
+  UNION ALL SELECT year, t, row, 2, generator, utility, 'ReportedBy', NULL FROM all_rows WHERE t = 2
+  UNION ALL SELECT year, t, row, 3, generator, 'eia:fuel:' || l_returnflag, 'UsesEnergySource', NULL FROM all_rows WHERE t = 2
+  UNION ALL SELECT year, t, row, 2, 'eia:utility:' || o, generator, 'OwnsReportedGenerator', CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) FROM all_rows WHERE t = 3""",
+    "all_rows")
+
+
+def all_survey_tables(spark, d):
+    """The four tables cut to their kept columns; footnotes go, columns a table does not have are skipped."""
+    suppliers = table(spark, d, "supplier").select(
+        F.lit(1992).alias("year"), F.col("s_suppkey").cast("long").alias("row"), F.col("s_suppkey").cast("string").alias("Utility ID"),
+        F.col("s_name").alias("Utility Name"), F.when(F.col("s_acctbal") > 0, F.concat(F.lit("N"), "s_nationkey")).alias("State"),
+        F.lit("note").alias("Footnote"),
+    )
+    lines = wide_table(spark, d, "lineitem")
+    state = F.when(F.col("l_discount") > 0.05, F.concat(F.lit("S"), "l_linestatus")).alias("State")
+    base = [
+        F.year("l_shipdate").alias("year"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("row"),
+        F.concat("l_suppkey", F.lit(".0")).alias("Utility ID"), F.concat(F.lit("Utility "), "l_suppkey", F.lit(" in "), "l_returnflag").alias("Utility Name"),
+        F.concat(F.lit(" "), "l_partkey").alias("Plant Code"), F.concat(F.lit("Plant "), (F.col("l_orderkey") % 9).cast("string")).alias("Plant Name"),
+        F.lit("note").alias("Footnote"),
+    ]
+    generator = F.col("l_linenumber").cast("string").alias("Generator ID")
+    naics = F.when(F.col("l_tax") > 0.01, F.concat((F.col("l_orderkey") % 30).cast("string"), F.lit(".0"))).alias("Primary Purpose (NAICS Code)")
+    raw = {
+        "utility": suppliers,
+        "plant": lines.filter(F.col("l_linenumber") == 1).select(*base, state, naics),
+        "generator": lines.select(*base, state, generator, F.col("l_returnflag").alias("Energy Source 1")),
+        "ownership": lines.filter(F.col("l_tax") < 0.04).select(
+            *base, generator, F.concat(F.lit("Owner "), "l_linenumber").alias("Owner Name"),
+            (F.col("l_orderkey") % 40).cast("string").alias("Ownership ID"), F.col("l_quantity").cast("int").cast("string").alias("Percent Owned"),
+        ),
+    }
+    return {kind: S.project_fields(rows, kind, at=["year", "row"]) for kind, rows in raw.items()}
+
+
+@query(using("all_entities", select="""
+  SELECT entity_id, arg_min(entity_type, (year, t, row, i)) AS entity_type, arg_min(name, (year, t, row, i)) AS name,
+         min(year) AS first_year, max(year) AS last_year FROM all_entities GROUP BY entity_id"""))
+def whole_asset_entities(spark, d):
+    entities, _ = S.asset_graph(all_survey_tables(spark, d))
+    return entities.select("entity_id", "entity_type", "name", "first_year", "last_year")
+
+
+@query(using("all_relations", select="""
+  SELECT head, tail, relation_type, min(year) AS first_year, max(year) AS last_year, CAST(sum(n) AS BIGINT) AS n_observed,
+         coalesce(string_agg(year || '=' || a, ';' ORDER BY year), '') AS attributes
+  FROM (SELECT head, tail, relation_type, year, count(*) AS n, arg_max(attribute, (t, row, i)) AS a FROM all_relations GROUP BY ALL)
+  GROUP BY head, tail, relation_type"""))
+def whole_asset_relations(spark, d):
+    _, relations = S.asset_graph(all_survey_tables(spark, d))
+    shown = F.transform(F.array_sort(F.map_entries("observed_attributes")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return relations.select("head", "tail", "relation_type", "first_year", "last_year", "n_observed", F.array_join(shown, ";").alias("attributes"))
+
+
 @query("""
   SELECT l_orderkey, l_linenumber, l_partkey, pos AS position, v AS value FROM (
     SELECT l_orderkey, l_linenumber, l_partkey, unnest([trim(l_returnflag), CASE WHEN l_discount > 0.05 THEN l_linestatus END, CASE WHEN l_tax > 0.05 THEN '' ELSE 'T' END]) AS v,

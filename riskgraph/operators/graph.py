@@ -510,6 +510,45 @@ def spread_one_hop(statements: DataFrame, domains: DataFrame, roles: DataFrame)
     return own.unionByName(moved).unionByName(named).distinct()
 
 
+def cascade_record_violations(
+    edges: DataFrame, shocks: DataFrame, events: DataFrame, capacity: DataFrame, days: DataFrame, stages: int = 3,
+    stage_days: int = 10, shock_days: int = 1,
+) -> DataFrame:
+    """Shock and event records that break a rule of their own: ``record, snapshot, item, seq, reason``.
+
+    As :func:`replay_cascade`, with ``event_day`` and the record number ``seq`` in ``shocks`` and ``events``, and
+    ``days(snapshot, query_day)``. ``position``: unknown snapshot, node or edge, or a stage that doesn't exist; such a record is
+    not judged further. ``duplicate``: a later record of the same place, by ``seq``. ``time``: not ``shock_days`` after the
+    query day or not ``stage_days`` times the stage after it. ``severity``: missing, negative or not finite. A record may
+    break several rules; nulls break the rule they stand in. A place with very many records is judged without gathering them.
+    """
+    calendar = days.select("snapshot", F.col("query_day").alias("_q"))
+
+    def judged(rows: DataFrame, record: str, key: str, known: DataFrame, on: list[str], placed: Column, due: Column, others: list[Column]):
+        found = lookup_join(lookup_join(rows, calendar, ["snapshot"], "left"), known.withColumn("_known", F.lit(True)), on, "left")
+        right = F.coalesce(F.col("_known") & F.col("_q").isNotNull() & placed, F.lit(False))
+        shown = ["snapshot", F.col(key).cast("string").alias("item"), "seq"]
+        lost = found.filter(~right).select(F.lit(record).alias("record"), *shown, F.lit("position").alias("reason"))
+        first = attach_group_stats(found.filter(right), ["snapshot", key], {"_first": F.min("seq")})
+        reasons = F.array(
+            F.when(F.col("seq") > F.col("_first"), "duplicate"),
+            F.when(~F.col("event_day").eqNullSafe(due), "time"),
+            *others,
+        )
+        return lost.unionByName(
+            first.select(F.lit(record).alias("record"), *shown, F.explode(F.array_compact(reasons)).alias("reason"))
+        )
+
+    bad_severity = F.when(~F.coalesce(is_finite("severity") & (F.col("severity") >= 0), F.lit(False)), "severity")
+    return judged(
+        shocks.select("snapshot", "node_id", "severity", "event_day", "seq"), "shock", "node_id",
+        capacity.select("snapshot", "node_id"), ["snapshot", "node_id"], F.lit(True), F.col("_q") + shock_days, [bad_severity],
+    ).unionByName(judged(
+        events.select("snapshot", "edge_id", "stage", "event_day", "seq"), "event", "edge_id",
+        edges.select("edge_id"), ["edge_id"], F.col("stage").between(1, stages), F.col("_q") + F.col("stage") * stage_days, [],
+    ))
+
+
 def replay_cascade(
     edges: DataFrame, shocks: DataFrame, events: DataFrame, capacity: DataFrame, margin: float = 0.25, stages: int = 3,
 ) -> dict[str, DataFrame]:
@@ -518,16 +557,18 @@ def replay_cascade(
     ``shocks(snapshot, node_id, severity)``, ``events(snapshot, edge_id, stage)``,
     ``capacity(snapshot, node_id, capacity)`` (mean capacity). A node fails first when its severity
     exceeds capacity plus ``margin``. An event is causal when its source failed in the stage before
-    and its target had not failed yet. Returns the tables ``initial``, ``violations``, ``node_truth``
-    and ``edge_truth``.
+    and its target had not failed yet. Severities that are missing, negative or not finite fail no node; events of other
+    stages and of unknown edges are left out (:func:`cascade_record_violations` names them). Returns the tables ``initial``,
+    ``violations``, ``node_truth`` and ``edge_truth``.
     """
     initial = durable(
         lookup_join(shocks, capacity, ["snapshot", "node_id"])
-        .filter(F.col("severity") > F.col("capacity") + margin)
+        .filter(is_finite("severity") & (F.col("severity") >= 0) & (F.col("severity") > F.col("capacity") + margin))
         .select("snapshot", "node_id").distinct(),
         "initial",
     )
-    located = durable(lookup_join(events, edges.select("edge_id", "src", "dst"), ["edge_id"]), "events")
+    staged = events.select("snapshot", "edge_id", "stage").filter(F.col("stage").between(1, stages))
+    located = durable(lookup_join(staged, edges.select("edge_id", "src", "dst"), ["edge_id"]), "events")
     frontier, failed, violations = initial, initial, []
     for stage in range(1, stages + 1):
         now = located.filter(F.col("stage") == stage)

@@ -400,14 +400,22 @@ def stratified_difference(
     )
 
 
-def stratified_summary(differences: DataFrame, keys: Sequence[str], n_seeds: int) -> DataFrame:
-    """Mean and sample deviation of the differences, only where every seed is valid."""
-    complete = F.count("difference") == n_seeds
+def stratified_summary(differences: DataFrame, keys: Sequence[str], n_seeds: int, seed: str = "seed") -> DataFrame:
+    """Mean and sample deviation of the differences per stratum, only where every one of ``n_seeds`` seeds is valid.
+
+    Lists the seeds that have a row and those whose difference is defined, in order; there are as many as runs. A single
+    seed has no deviation.
+    """
+    valid = F.count("difference")
+    complete = (valid == n_seeds) & (F.count_distinct(seed) == n_seeds)
+    listed = lambda value: F.array_join(F.array_sort(F.collect_set(value)), ";")
     return differences.groupBy(*keys).agg(
-        F.count("difference").alias("n_valid_pairs"),
+        listed(F.col(seed).cast("string")).alias("available_seeds"),
+        listed(F.when(F.col("difference").isNotNull(), F.col(seed)).cast("string")).alias("valid_seeds"),
+        valid.alias("n_valid_pairs"),
         F.when(complete, F.avg("difference")).alias("mean_difference"),
         F.when(complete, F.stddev_samp("difference")).alias("sd_difference"),
-        F.when(complete, "complete").when(F.count("difference") == 0, "NA").otherwise("partial").alias("status"),
+        F.when(complete, "complete").when(valid == 0, "NA").otherwise("partial").alias("status"),
     )
 
 

@@ -65,9 +65,11 @@ def upsert_relations(
     )
 
 
-def project_fields(rows: DataFrame, kind: str, fields: dict[str, list[str]] = SURVEY_FIELDS) -> DataFrame:
-    """The kept columns of a survey table that exist in this year's layout, in declared order."""
-    return rows.select(*[F.col(f"`{c}`") for c in fields[kind] if c in rows.columns])
+def project_fields(
+    rows: DataFrame, kind: str, fields: dict[str, list[str]] = SURVEY_FIELDS, at: Sequence[str] = (),
+) -> DataFrame:
+    """The locator ``at``, then the kept columns of a survey table that exist in this year's layout, in declared order."""
+    return rows.select(*at, *[F.col(f"`{c}`") for c in fields[kind] if c in rows.columns])
 
 
 def unpivot_repeated(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str = "value") -> DataFrame:
@@ -89,7 +91,8 @@ def asset_observations(kind: str, rows: DataFrame, prefix: str = "eia", at: Sequ
 
     ``rows`` has the survey columns as strings plus the locator columns ``at``; missing columns count
     as empty. The keys of a row are derived once and its observations fan out from that row, so the
-    table is read once for entities and once for relations.
+    table is read once for entities and once for relations. ``_t`` is the table's number and ``_i`` the place of
+    the observation in its row, so that a row that names one thing twice has a first and a last name for it.
     """
     have = set(rows.columns)
     col = lambda c: (F.col(f"`{c}`") if c in have else F.lit(None)).cast("string")
@@ -117,6 +120,7 @@ def asset_observations(kind: str, rows: DataFrame, prefix: str = "eia", at: Sequ
             head.alias("head"), tail.alias("tail"), F.lit(relation_type).alias("relation_type"), value.alias("attribute")
         )
 
+    # Entity types and relation names of the asset graph.
     entities = [
         entity(utility, "utility_reporting_entity", F.col("utility_name")),
         entity(plant, "plant", F.col("plant_name")),
@@ -139,15 +143,15 @@ def asset_observations(kind: str, rows: DataFrame, prefix: str = "eia", at: Sequ
         entities.append(entity(owned, "utility_reporting_entity", F.col("owner_name")))
         relations.append(relation(owned, generator, "OwnsReportedGenerator", F.col("percent")))
     return (
-        keyed.select(*at, "_t", F.inline(F.array(*entities))).filter(F.col("entity_id").isNotNull()),
-        keyed.select(*at, "_t", F.inline(F.array(*relations))).filter(F.col("head").isNotNull() & F.col("tail").isNotNull()),
+        keyed.select(*at, "_t", F.posexplode(F.array(*entities)).alias("_i", "_o")).select(*at, "_t", "_i", "_o.*").filter(F.col("entity_id").isNotNull()),
+        keyed.select(*at, "_t", F.posexplode(F.array(*relations)).alias("_i", "_o")).select(*at, "_t", "_i", "_o.*").filter(F.col("head").isNotNull() & F.col("tail").isNotNull()),
     )
 
 
 def asset_graph(tables: dict[str, DataFrame], prefix: str = "eia", at: Sequence[str] = ("year", "row")) -> tuple[DataFrame, DataFrame]:
-    """Entities and relations of all survey tables, upserted in (year, table, row) order."""
+    """Entities and relations of all survey tables, upserted in (year, table, row, place in the row) order."""
     observed = [asset_observations(kind, rows, prefix, at) for kind, rows in tables.items()]
-    order = [at[0], "_t", *at[1:]]
+    order = [at[0], "_t", *at[1:], "_i"]
     entities = reduce(DataFrame.unionByName, [e for e, _ in observed])
     relations = reduce(DataFrame.unionByName, [r for _, r in observed])
     return upsert_entities(entities, order), upsert_relations(relations, order, "year", "attribute")
