@@ -293,3 +293,20 @@ def extracted_signal_validation(spark, d):
 def accepted_extracted_signals(spark, d):
     out = accepted_signals(validate_signals(answers(spark, d)))
     return out.select("document_id", "entity_id", "event", "category", F.sha2("evidence", 256).alias("evidence_hash"), "uncertainty", "sentiment", "confidence")
+
+
+# Order lines as signals that cite the text of their order; orders in part are texts nobody delivered.
+@query("""
+  SELECT l_orderkey * 1000 + l_linenumber AS signal_id, CASE WHEN l_quantity > 1 THEN l_orderkey END AS text_id,
+         CASE WHEN o_orderkey IS NULL THEN 'signal_text_link' ELSE 'signal_text_consistency' END AS code
+  FROM lineitem LEFT JOIN orders ON o_orderkey = CASE WHEN l_quantity > 1 THEN l_orderkey END AND o_orderstatus <> 'P'
+  WHERE o_orderkey IS NULL OR o_orderkey % 3 + 1 <> l_linenumber OR year(o_orderdate) <> year(l_shipdate)""")
+def signal_text_violations(spark, d):
+    cited = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate").select(
+        (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("signal_id"),
+        F.when(F.col("l_quantity") > 1, F.col("l_orderkey")).alias("text_id"), F.col("l_linenumber").cast("long").alias("node_id"),
+        F.year("l_shipdate").alias("event_day"),
+    )
+    texts = table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_orderdate").filter(F.col("o_orderstatus") != "P").select(
+        F.col("o_orderkey").alias("text_id"), (F.col("o_orderkey") % 3 + 1).cast("long").alias("node_id"), F.year("o_orderdate").alias("event_day"))
+    return A.signal_text_violations(cited, texts)

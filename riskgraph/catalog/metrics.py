@@ -9,6 +9,7 @@ from riskgraph.catalog.temporal import month_split
 from riskgraph.functions.numeric import age_stratum, confidence_stratum, degree_stratum, display_mean_sd
 from riskgraph.operators import metrics as M
 from riskgraph.operators import stats as S
+from riskgraph.operators.audit import metric_differences
 from riskgraph.operators.memory import newest_context
 from riskgraph.operators.ordering import running_totals
 from riskgraph.runtime import durable
@@ -443,3 +444,24 @@ def split_summary(spark, d):
     return month_split(spark, d).groupBy("split").agg(
         F.count("*").alias("snapshots"), F.min("query_day").alias("first_day"), F.max("target_day").alias("last_target")
     )
+
+
+# A stored report of each language: counts by plain aggregates with a planted fault, one metric nobody recomputes, no ranking metric.
+@query(using("doc_scores", select=f"""
+  SELECT m.lang, p.metric, p.problem FROM ({binary_sql("lang", "doc_scores")}) m CROSS JOIN LATERAL (
+    SELECT 'n_positive' AS metric, 'differs' AS problem WHERE n_known % 2 = 0
+    UNION ALL SELECT 'auc', 'missing' WHERE auc IS NOT NULL
+    UNION ALL SELECT 'n_rows', 'extra'
+    UNION ALL SELECT 'n_known', 'repeated' WHERE n_positive % 3 = 0) p"""))
+def recomputed_metric_differences(spark, d):
+    scored = doc_scores(spark, d)
+    metrics = M.binary_metrics(scored, ["lang"])
+    recomputed = metrics.select("lang", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("n_known", "n_positive", "auc")])))
+    counts = scored.groupBy("lang").agg(F.count("label").alias("n_known"), F.sum("label").alias("n_positive"), F.count("*").alias("n_rows"))
+    known, positive = F.col("n_known"), F.col("n_positive")
+    held = lambda name, value: F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"))
+    stored = counts.filter(known > 0).select("lang", F.inline(F.array_compact(F.array(
+        held("n_known", known), F.when(positive % 3 == 0, held("n_known", known)),
+        held("n_positive", positive + F.when(known % 2 == 0, 1).otherwise(0)), held("n_rows", F.col("n_rows"))))))
+    return metric_differences(recomputed, stored, ["lang"]).select("lang", "metric", "problem")

@@ -87,19 +87,38 @@ def phrase_pattern(phrases: Sequence[str]) -> str:
     return "(?iu)" + "|".join(re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", p) for p in phrases)
 
 
+#: Matches whose offsets are added up together; appending to a longer array would copy it once a match.
+SPAN_CHUNK = 64
+
+
 def phrase_spans(df: DataFrame, text: str, phrases: Sequence[str] = RISK_PHRASES) -> DataFrame:
     """One row per literal phrase occurrence: ``phrase, span_start, span_end`` in code points.
 
-    The text is matched once and split once; offsets follow from the lengths of the pieces.
+    The text is split once and its matches are taken once; offsets are prefix sums of the lengths of the pieces, first over
+    chunks of ``SPAN_CHUNK`` matches, then inside each chunk, so that the work stays in proportion to the matches of a text.
+    Texts without a match, null and empty ones have no row.
     """
     pattern = phrase_pattern(phrases)
+    own = df.columns
     pieces = F.arrays_zip(
         F.split(_column(text), pattern, -1).alias("gap"),
         F.regexp_extract_all(_column(text), F.lit(pattern), F.lit(0)).alias("phrase"),
     )
+    matches = F.filter(pieces, lambda piece: piece["phrase"].isNotNull())
+    size = lambda piece: F.char_length(piece["gap"]) + F.char_length(piece["phrase"])
+    # Each generator hands on values that are computed once, although the next step uses them more than once.
+    matched = df.select("*", F.inline(F.array(F.struct(matches.alias("_matches")))))
+    firsts = F.sequence(F.lit(1), F.greatest(F.size("_matches"), F.lit(1)), F.lit(SPAN_CHUNK))
+    chunked = matched.select(
+        *own, F.inline(F.array(F.struct(F.transform(firsts, lambda i: F.slice("_matches", i, SPAN_CHUNK)).alias("_chunks"))))
+    )
+    sizes = F.transform("_chunks", lambda c: F.aggregate(c, F.lit(0), lambda total, piece: total + size(piece)))
+    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+    placed = chunked.select(
+        *own, F.inline(F.arrays_zip(F.col("_chunks").alias("_chunk"), F.slice(starts, 1, F.size("_chunks")).alias("_chunk_at")))
+    )
     start = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<phrase:string,span_start:int,span_end:int>>").alias("spans"),
+        F.col("_chunk_at").alias("at"), F.array().cast("array<struct<phrase:string,span_start:int,span_end:int>>").alias("spans")
     )
 
     def extend(acc, piece):
@@ -108,8 +127,6 @@ def phrase_spans(df: DataFrame, text: str, phrases: Sequence[str] = RISK_PHRASES
         span = F.struct(
             piece["phrase"].alias("phrase"), begin.alias("span_start"), end.alias("span_end")
         )
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
 
-    matched = F.filter(pieces, lambda piece: piece["phrase"].isNotNull())
-    spans = F.aggregate(matched, start, extend, lambda acc: acc["spans"])
-    return df.filter(_column(text).rlike(pattern)).select("*", F.inline(spans))
+    return placed.select(*own, F.inline(F.aggregate("_chunk", start, extend, lambda acc: acc["spans"])))

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from riskgraph.operators.joins import lookup_join
+
 
 class AuditError(ValueError):
     """A rule that must hold was violated."""
@@ -175,6 +177,46 @@ def bound_violations(metrics: DataFrame, keys: Sequence[str], low: float = 0.0,
     return metrics.select(*keys, "value", "support", bad.alias("problem")).filter(F.col("problem").isNotNull())
 
 
+def metric_differences(
+    recomputed: DataFrame, stored: DataFrame, keys: Sequence[str], relative: float = 1e-12, absolute: float = 1e-12,
+) -> DataFrame:
+    """Stored metrics that are not what the predictions give: ``keys, metric, recomputed, stored, problem``.
+
+    ``recomputed`` and ``stored`` hold ``(keys, metric, value)``. An undefined (null) metric equals an absent one. ``missing``:
+    defined but not stored; ``extra``: stored but not defined; ``repeated``: stored more than once; ``differs``: further apart
+    than ``absolute + relative * |stored|``, a NaN included. Null keys are keys; both sides meet in one aggregate.
+    """
+    on = [*keys, "metric"]
+    value = F.col("value").cast("double")
+    both = recomputed.select(*on, value.alias("recomputed"), F.lit(None).cast("double").alias("stored"), F.lit(0).alias("_n")).unionByName(
+        stored.select(*on, F.lit(None).cast("double").alias("recomputed"), value.alias("stored"), F.lit(1).alias("_n"))
+    ).groupBy(*on).agg(F.max("recomputed").alias("recomputed"), F.max("stored").alias("stored"), F.sum("_n").alias("_n"))
+    a, b = F.col("recomputed"), F.col("stored")
+    close = ~F.isnan(a) & ~F.isnan(b) & ((a == b) | (F.abs(a - b) <= absolute + relative * F.abs(b)))
+    problem = (
+        F.when(F.col("_n") > 1, "repeated").when(a.isNotNull() & b.isNull(), "missing").when(a.isNull() & b.isNotNull(), "extra")
+        .when(a.isNotNull() & ~close, "differs")
+    )
+    return both.select(*on, "recomputed", "stored", problem.alias("problem")).filter(F.col("problem").isNotNull())
+
+
+def signal_text_violations(
+    signals: DataFrame, texts: DataFrame, signal: Sequence[str] = ("signal_id",), node: str = "node_id", day: str = "event_day",
+) -> DataFrame:
+    """Signals whose text is unknown (``signal_text_link``) or of another entity or day (``signal_text_consistency``).
+
+    ``signals(signal.., text_id, node, day)``, ``texts(text_id, node, day)`` with one row a text. Null entities and days are
+    equal to null ones only; a signal without a text id has an unknown text.
+    """
+    known = texts.select("text_id", F.struct(F.col(node).alias("node"), F.col(day).alias("day")).alias("_text"))
+    code = F.when(F.col("_text").isNull(), "signal_text_link").when(
+        ~(F.col("_text.node").eqNullSafe(F.col(node)) & F.col("_text.day").eqNullSafe(F.col(day))), "signal_text_consistency"
+    )
+    return lookup_join(signals.select(*signal, "text_id", node, day), known, ["text_id"], "left").select(
+        *signal, "text_id", code.alias("code")
+    ).filter(F.col("code").isNotNull())
+
+
 def protocol_coverage(runs: DataFrame, datasets: Sequence[str], modes: Sequence[str], seeds: Sequence[int]) -> DataFrame:
     """Runs missing from or extra to the declared dataset x mode x seed protocol."""
     grid = (

@@ -170,3 +170,24 @@ def test_cascade_replay(spark):
     out = G.replay_cascade(edges, shocks, events, capacity)
     assert rows(out["initial"]) == [(0, 0)] and rows(out["violations"]) == [(0, 2, 1)]
     assert rows(out["node_truth"]) == [(0, 0), (0, 1), (0, 2), (0, 4)]
+
+
+def test_cascade_records_with_faults(spark):
+    edges = spark.createDataFrame([(0, 0, 1), (1, 1, 2)], "edge_id int, src int, dst int")
+    capacity = spark.createDataFrame([(0, n, 0.5) for n in range(3)], "snapshot int, node_id int, capacity double")
+    days = spark.createDataFrame([(0, 100)], "snapshot int, query_day int")
+    shocks = spark.createDataFrame(
+        [(0, 0, 0.9, 101, 0), (0, 0, 0.9, 101, 1), (0, 1, float("nan"), 101, 2), (0, 2, -1.0, None, 3), (0, 9, 0.9, 101, 4),
+         (7, 0, 0.9, 101, 5), (0, None, 0.9, 101, 6)],
+        "snapshot int, node_id int, severity double, event_day int, seq int")
+    events = spark.createDataFrame(
+        [(0, 0, 1, 110, 0), (0, 1, 2, 121, 1), (0, 1, 2, 120, 2), (0, 0, 4, 140, 3), (0, 5, 1, 110, 4), (0, 1, None, 120, 5)],
+        "snapshot int, edge_id int, stage int, event_day int, seq int")
+    got = {(r.record, r.seq, r.reason) for r in G.cascade_record_violations(edges, shocks, events, capacity, days).collect()}
+    assert got == {
+        ("shock", 1, "duplicate"), ("shock", 2, "severity"), ("shock", 3, "severity"), ("shock", 3, "time"), ("shock", 4, "position"),
+        ("shock", 5, "position"), ("shock", 6, "position"), ("event", 1, "time"), ("event", 2, "duplicate"), ("event", 3, "position"),
+        ("event", 4, "position"), ("event", 5, "position")}
+    out = G.replay_cascade(edges, shocks, events, capacity)
+    assert rows(out["initial"]) == [(0, 0)] and rows(out["edge_truth"]) == [(0, 0), (0, 1)] and out["violations"].isEmpty()
+    assert rows(out["node_truth"]) == [(0, 0), (0, 1), (0, 2)]

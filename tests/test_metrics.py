@@ -132,3 +132,35 @@ def test_selected_epoch_and_stop(spark):
     df = spark.createDataFrame([("r", i + 1, s) for i, s in enumerate(scores)], "run string, epoch int, score double")
     assert rows(S.select_epoch(df, ["run"], min_delta=0.01)) == [("r", 5, 0.5, None, 6)]
     assert rows(S.select_epoch(df, ["run"], min_delta=0.01, patience=2)) == [("r", 2, 0.3, 4, 6)]
+
+
+def test_stored_metrics_against_recomputed_ones(spark):
+    from riskgraph.operators.audit import metric_differences
+
+    nan = float("nan")
+    recomputed = spark.createDataFrame(
+        [("a", "x", 1.0), ("a", "y", None), ("a", "z", 0.5), ("b", "x", nan), (None, "x", 2.0), ("c", "x", float("inf"))], "run string, metric string, value double")
+    stored = spark.createDataFrame(
+        [("a", "x", 1.0 + 1e-13), ("a", "y", None), ("b", "x", nan), (None, "x", 2.1), ("d", "x", 0.0), ("c", "x", float("inf")), ("e", "x", None), ("e", "x", None)],
+        "run string, metric string, value double")
+    got = {(r.run, r.metric, r.problem) for r in metric_differences(recomputed, stored, ["run"]).collect()}
+    assert got == {("a", "z", "missing"), ("b", "x", "differs"), (None, "x", "differs"), ("d", "x", "extra"), ("e", "x", "repeated")}
+
+
+def test_signals_against_their_texts(spark):
+    from riskgraph.operators.audit import signal_text_violations
+
+    texts = spark.createDataFrame([(1, 7, 10), (2, None, 10)], "text_id int, node_id int, event_day int")
+    cited = spark.createDataFrame(
+        [(1, 1, 7, 10), (2, 1, 8, 10), (3, 1, 7, 11), (4, 2, None, 10), (5, 3, 7, 10), (6, None, 7, 10), (7, 1, None, 10)],
+        "signal_id int, text_id int, node_id int, event_day int")
+    got = {(r.signal_id, r.code.split("_")[-1]) for r in signal_text_violations(cited, texts).collect()}
+    assert got == {(2, "consistency"), (3, "consistency"), (5, "link"), (6, "link"), (7, "consistency")}
+
+
+def test_summary_over_seeds_needs_all_of_them(spark):
+    from riskgraph.operators.metrics import stratified_summary
+
+    df = spark.createDataFrame([("s", 1, 0.1), ("s", 2, 0.3), ("t", 1, 0.1), ("t", 2, None), ("u", 1, None)], "stratum string, seed int, difference double")
+    got = {r.stratum: (r.available_seeds, r.valid_seeds, r.n_valid_pairs, r.mean_difference, r.status) for r in stratified_summary(df, ["stratum"], 2).collect()}
+    assert got == {"s": ("1;2", "1;2", 2, 0.2, "complete"), "t": ("1;2", "1", 1, None, "partial"), "u": ("1", "", 0, None, "NA")}

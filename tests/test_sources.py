@@ -12,7 +12,7 @@ from conftest import rows
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from riskgraph.functions.text import RISK_PHRASES, phrase_spans, signed_hash_dense
+from riskgraph.functions.text import RISK_PHRASES, SPAN_CHUNK, phrase_spans, signed_hash_dense
 from riskgraph.operators import memory as V
 from riskgraph.operators.audit import AuditError
 from riskgraph.operators.knowledge import read_entities
@@ -259,3 +259,30 @@ def test_hash_vectors_keep_repeated_keys_and_empty_texts(spark):
     got = signed_hash_dense(df, "id", "text").collect()
     sizes = sorted((r.id, round(sum(v * v for v in r.vector), 9)) for r in got)
     assert sizes == [(1, 1.0), (1, 1.0), (2, 0.0), (3, 0.0)] and all(len(r.vector) == 64 for r in got)
+
+
+def test_spans_of_very_many_matches(spark):
+    import re
+
+    texts = ["é停产-STRIKE, " * 300, "strike" * SPAN_CHUNK, "strike" * (SPAN_CHUNK + 1), "none", "", None]
+    phrases = ["停产", "strike", "strike zone"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = sorted((r.id, r.span_start, r.span_end, r.phrase) for r in phrase_spans(df, "text", phrases).collect())
+    assert got == sorted((i, m.start(), m.end(), m.group()) for i, t in enumerate(texts) if t for m in re.finditer("停产|strike", t, re.I))
+    long = spark.range(1).selectExpr("repeat('a strike ', 100000) AS text")
+    last = phrase_spans(long, "text", phrases).agg(F.count("*").alias("n"), F.max("span_end").alias("end")).first()
+    assert (last.n, last.end) == (100_000, 899_999)
+
+
+def test_a_row_that_names_one_utility_twice(spark):
+    from riskgraph.operators import survey as S
+
+    rows_ = spark.createDataFrame(
+        [(2001, 5, "7.0", "Reporter", "3", "G1", "7", "Owner", "40", "x"), (2000, 9, None, "Nobody", "3", "G1", "7", "Older", "1", "x")],
+        ["year", "row", "Utility ID", "Utility Name", "Plant Code", "Generator ID", "Ownership ID", "Owner Name", "Percent Owned", "Footnote"])
+    kept = S.project_fields(rows_, "ownership", at=["year", "row"])
+    assert kept.columns == ["year", "row", "Utility ID", "Utility Name", "Plant Code", "Generator ID", "Owner Name", "Ownership ID", "Percent Owned"]
+    entities, relations = S.asset_graph({"ownership": kept})
+    assert {(r.entity_id, r.name) for r in entities.collect()} == {("eia:utility:7", "Reporter"), ("eia:plant:3", None), ("eia:generator:3:G1", "G1")}
+    owned = relations.filter("relation_type = 'OwnsReportedGenerator'").first()
+    assert (owned["head"], owned["tail"], owned["observed_attributes"]) == ("eia:utility:7", "eia:generator:3:G1", {"2001": "40"})
