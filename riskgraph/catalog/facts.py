@@ -6,7 +6,9 @@ from riskgraph.catalog.base import cte, query, table, wide_table, using
 from riskgraph.functions import dates as D
 from riskgraph.functions import keys as K
 from riskgraph.operators import facts as X
+from riskgraph.operators.audit import table_differences
 from riskgraph.operators.ordering import chunked_lists
+from riskgraph.runtime import durable
 from riskgraph.sources import recalls as R
 
 # Raw tab-separated lines built from the order lines. Open lines lose a field, some dates are unusable,
@@ -219,6 +221,19 @@ def reverified_fact_edges(spark, d):
     return X.reverify_edges(support, published)
 
 
+# The endpoints each record gives, with the products of some records exchanged in the published support.
+@query(using("parts", select="""
+  SELECT first_record, relation, count(*) AS n_derived, count(*) AS n_stored, 'different' AS status FROM (
+    SELECT first_record, 'recalls_listed_product' AS relation, product AS moved FROM parts WHERE event IS NOT NULL AND product IS NOT NULL
+    UNION ALL SELECT first_record, 'listed_manufacturer_for_recalled_product', product FROM parts WHERE listed IS NOT NULL AND product IS NOT NULL)
+  GROUP BY first_record, relation HAVING bool_or(ends_with(moved, '7'))"""))
+def rederived_record_endpoints(spark, d):
+    support = durable(X.fact_edge_support(parts(spark, d), ["first_record"]), "support")
+    moved = F.col("relation").isin("recalls_listed_product", "listed_manufacturer_for_recalled_product") & F.col("target").endswith("7")
+    published = support.withColumn("target", F.when(moved, F.concat("target", F.lit("?"))).otherwise(F.col("target")))
+    return table_differences(support, published, ["first_record", "relation"], ["source", "target"])
+
+
 @query("""
   SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)""")
 def category_distribution(spark, d):

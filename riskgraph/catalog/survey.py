@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from riskgraph.catalog.base import cte, query, table, wide_table, using
 from riskgraph.functions.dates import epoch_day
 from riskgraph.operators import survey as S
+from riskgraph.operators.audit import table_differences
+from riskgraph.runtime import durable
 
 # A customer is an entity of its orders, observed once per order in (year, order) order.
 cte("observed", """
@@ -194,6 +196,35 @@ def whole_asset_relations(spark, d):
     return relations.select("head", "tail", "relation_type", "first_year", "last_year", "n_observed", F.array_join(shown, ";").alias("attributes"))
 
 
+# The published ownership relations come from a plain aggregate with planted faults; the graph is built again and compared.
+cte("ownership_relations", """
+  SELECT 'eia:utility:' || (l_orderkey % 40) AS head, 'eia:generator:' || l_partkey || ':' || l_linenumber AS tail, min(year(l_shipdate)) AS first_year,
+         count(*) AS n_observed, min(l_partkey) AS part FROM lineitem WHERE l_tax < 0.04 GROUP BY ALL""")
+
+
+@query(using("ownership_relations", select="""
+  SELECT head, tail, CAST(1 AS BIGINT) AS n_derived, CAST(CASE WHEN part % 23 = 0 THEN 0 WHEN part % 29 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_stored,
+         CASE WHEN part % 23 = 0 THEN 'missing' WHEN part % 29 = 0 THEN 'repeated' ELSE 'different' END AS status
+  FROM ownership_relations WHERE part % 23 = 0 OR part % 29 = 0 OR part % 31 = 0
+  UNION ALL
+  SELECT head || '?', tail, 0, 1, 'extra' FROM ownership_relations WHERE part % 37 = 0 AND part % 23 <> 0 AND part % 29 <> 0"""))
+def rederived_ownership_relations(spark, d):
+    _, relations = S.asset_graph(all_survey_tables(spark, d))
+    owned = relations.filter(F.col("relation_type") == "OwnsReportedGenerator")
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_tax", "l_shipdate").filter(F.col("l_tax") < 0.04)
+    part = F.col("part")
+    plain = lines.groupBy(
+        F.concat(F.lit("eia:utility:"), (F.col("l_orderkey") % 40).cast("string")).alias("head"),
+        F.concat(F.lit("eia:generator:"), F.concat_ws(":", "l_partkey", "l_linenumber")).alias("tail"), F.col("l_partkey").alias("part"),
+    ).agg(F.min(F.year("l_shipdate")).alias("first_year"), F.count("*").alias("n_observed")).filter(part % 23 != 0)
+    copies = F.explode(F.array_compact(F.array(
+        F.col("head"), F.when(part % 29 == 0, F.col("head")), F.when((part % 37 == 0) & (part % 29 != 0), F.concat("head", F.lit("?")))))).alias("head")
+    published = plain.select(
+        "tail", "n_observed", (F.col("first_year") + F.when(part % 31 == 0, 1).otherwise(0)).alias("first_year"), copies)
+    kept = ["head", "tail", "first_year", "n_observed"]
+    return table_differences(durable(owned.select(*kept), "owned"), durable(published.select(*kept), "published"), kept[:2], kept[2:])
+
+
 @query("""
   SELECT l_orderkey, l_linenumber, l_partkey, pos AS position, v AS value FROM (
     SELECT l_orderkey, l_linenumber, l_partkey, unnest([trim(l_returnflag), CASE WHEN l_discount > 0.05 THEN l_linestatus END, CASE WHEN l_tax > 0.05 THEN '' ELSE 'T' END]) AS v,

@@ -164,3 +164,18 @@ def test_summary_over_seeds_needs_all_of_them(spark):
     df = spark.createDataFrame([("s", 1, 0.1), ("s", 2, 0.3), ("t", 1, 0.1), ("t", 2, None), ("u", 1, None)], "stratum string, seed int, difference double")
     got = {r.stratum: (r.available_seeds, r.valid_seeds, r.n_valid_pairs, r.mean_difference, r.status) for r in stratified_summary(df, ["stratum"], 2).collect()}
     assert got == {"s": ("1;2", "1;2", 2, 0.2, "complete"), "t": ("1;2", "1", 1, None, "partial"), "u": ("1", "", 0, None, "NA")}
+
+
+def test_tables_derived_again(spark):
+    from riskgraph.operators.audit import fingerprints, table_differences
+
+    shape = "k string, m int, v double"
+    derived = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0), ("b", 1, None), (None, 1, 3.0), ("c", None, 4.0), ("d", 1, 5.0), ("e", 1, 6.0)], shape)
+    stored = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 1.0), ("b", 1, 0.5), (None, 1, 3.0), ("c", None, 4.0), ("e", 1, 6.0), ("e", 1, 6.0), (None, None, 0.0)], shape)
+    for ranges in (1, 2, 4096):
+        got = {(r.k, r.m, r.n_derived, r.n_stored, r.status) for r in table_differences(derived, stored, ["k", "m"], ["v"], ranges).collect()}
+        assert got == {("b", 1, 1, 1, "different"), ("d", 1, 1, 0, "missing"), ("e", 1, 1, 2, "repeated"), (None, None, 0, 1, "extra")}
+    assert table_differences(derived, derived.orderBy("v"), ["k", "m"], ["v"]).isEmpty()
+    assert table_differences(derived.limit(0), stored.limit(0), ["k", "m"], ["v"]).isEmpty()
+    assert table_differences(derived.limit(0), stored, ["k", "m"]).count() == 6
+    assert fingerprints(derived, ["k", "m"], ["v"], 1).first().n == 7
