@@ -7,6 +7,7 @@ from riskgraph.catalog.base import (
 )
 from riskgraph.catalog.metrics import event_split
 from riskgraph.operators import annotate as N
+from riskgraph.catalog.temporal import label_runs
 from riskgraph.operators import audit as A
 from riskgraph.operators.extraction import accepted_signals, validate_signals
 from riskgraph.sources.tables import classify_json_lines, first_per_id
@@ -51,6 +52,36 @@ def snapshot_dataset_audit(spark, d):
     return A.snapshot_audit(event_split(spark, d), node_labels(spark, d), memory(spark, d))
 
 
+# Label intervals with planted faults: wrong ends, wrong sizes, reversed and repeated runs.
+cte("bad_runs", """
+  SELECT node_id, first_query_day, CASE WHEN node_id % 7 = 0 THEN last_query_day + 1 WHEN node_id % 11 = 0 THEN first_query_day - 3 ELSE last_query_day END AS last_query_day,
+         CASE WHEN node_id % 13 = 0 THEN n_snapshots + 1 ELSE n_snapshots END AS n_snapshots
+  FROM label_runs, range(CASE WHEN node_id % 17 = 0 THEN 2 ELSE 1 END)""", "label_runs")
+cte("run_places", """
+  SELECT b.*, coalesce(x.place, 0) AS a, coalesce(y.place, 0) AS z FROM bad_runs b
+  LEFT JOIN days x ON x.query_day = b.first_query_day LEFT JOIN days y ON y.query_day = b.last_query_day""", "bad_runs", "days")
+cte("days", "SELECT query_day, row_number() OVER (ORDER BY query_day) AS place FROM calendar", "calendar")
+cte("run_orders", """
+  SELECT *, max(z) OVER (PARTITION BY node_id ORDER BY first_query_day, last_query_day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM run_places""", "run_places")
+
+
+@query(using("run_orders", select="""
+  SELECT node_id, first_query_day, 'interval_start' AS code FROM run_orders WHERE a = 0
+  UNION ALL SELECT node_id, first_query_day, 'interval_end' FROM run_orders WHERE z = 0
+  UNION ALL SELECT node_id, first_query_day, 'interval_size' FROM run_orders WHERE a > 0 AND z > 0 AND (n_snapshots <> z - a + 1 OR z < a)
+  UNION ALL SELECT node_id, first_query_day, 'interval_overlap' FROM run_orders WHERE a > 0 AND before >= a - 1"""))
+def label_interval_faults(spark, d):
+    node, last = F.col("node_id"), F.col("last_query_day")
+    bad = label_runs(spark, d).select(
+        "node_id", "first_query_day",
+        F.when(node % 7 == 0, last + 1).when(node % 11 == 0, F.col("first_query_day") - 3).otherwise(last).alias("last_query_day"),
+        (F.col("n_snapshots") + (node % 13 == 0).cast("int")).alias("n_snapshots"),
+        F.explode(F.sequence(F.lit(1), F.when(node % 17 == 0, 2).otherwise(1))).alias("_copy"),
+    ).drop("_copy")
+    return A.interval_audit(bad, calendar(spark, d))
+
+
 # Memory rows with planted faults: a wrong age, a wrong owner, a wrong confidence, an unknown signal.
 cte("bad_memory", """
   SELECT snapshot, CASE WHEN signal_id % 97 = 0 THEN node_id + 1 ELSE node_id END AS node_id,

@@ -45,6 +45,36 @@ def horizon_outcome_labels(spark, d):
     return node_labels(spark, d)
 
 
+cte("label_runs", """
+  SELECT node_id, CAST(min(query_day) AS INTEGER) AS first_query_day, CAST(max(query_day) AS INTEGER) AS last_query_day,
+         CAST(count(*) AS INTEGER) AS n_snapshots
+  FROM (SELECT l.node_id, c.query_day, c.place - row_number() OVER (PARTITION BY l.node_id ORDER BY c.query_day) AS island
+        FROM labels_at l JOIN (SELECT snapshot, query_day, row_number() OVER (ORDER BY query_day) AS place FROM calendar) c
+        ON c.snapshot = l.snapshot WHERE l.label = 1)
+  GROUP BY node_id, island""", "labels_at", "calendar")
+
+
+def label_runs(spark, d):
+    return T.horizon_intervals(signals(spark, d).filter(F.col("event_type") == "error"), calendar(spark, d))
+
+
+@query(using("label_runs", select="SELECT * FROM label_runs"))
+def horizon_label_intervals(spark, d):
+    return label_runs(spark, d)
+
+
+@query(using("labels_at", select="SELECT snapshot, node_id FROM labels_at WHERE label = 1"))
+def horizon_positive_cells(spark, d):
+    return T.interval_positives(label_runs(spark, d), calendar(spark, d))
+
+
+@query(using("labels_at", select="""
+  SELECT snapshot, count(*) FILTER (label = 1) AS positive, count(*) FILTER (label = 0) AS negative FROM labels_at GROUP BY snapshot"""))
+def horizon_label_totals(spark, d):
+    n_nodes = signals(spark, d).agg(F.count_distinct("node_id")).scalar()
+    return T.interval_label_counts(label_runs(spark, d), calendar(spark, d), n_nodes)
+
+
 @query(using("signals", select="""
   SELECT CAST(row_number() OVER (ORDER BY q) - 1 AS INTEGER) AS snapshot, CAST(q AS INTEGER) AS query_day,
          CAST(q + 4 AS INTEGER) AS target_day

@@ -182,6 +182,29 @@ def snapshot_audit(snapshots: DataFrame, labels: DataFrame, memory: DataFrame) -
     return out
 
 
+def interval_audit(intervals: DataFrame, snapshots: DataFrame, node: str = "node_id") -> DataFrame:
+    """Faults ``(node, first_query_day, code)`` of label intervals against the snapshots that may carry labels.
+
+    ``interval_start`` and ``interval_end``: not a query day of such a snapshot; ``interval_size``: another number of
+    snapshots between the ends than stated, or the ends are reversed; ``interval_overlap``: the interval begins before the
+    node's previous one is over or right after it, so the two aren't maximal. No cell of the grid is expanded.
+    """
+    days = snapshots.agg(F.array_sort(F.collect_set("query_day"))).scalar()
+    placed = intervals.withColumn("_days", days).withColumns({
+        "_a": F.array_position("_days", F.col("first_query_day")), "_b": F.array_position("_days", F.col("last_query_day")),
+    }).drop("_days")
+    earlier = W.partitionBy(node).orderBy("first_query_day", "last_query_day").rowsBetween(W.unboundedPreceding, -1)
+    rules = {
+        "interval_start": F.coalesce("_a", F.lit(0)) == 0,
+        "interval_end": F.coalesce("_b", F.lit(0)) == 0,
+        "interval_size": (F.col("_a") > 0) & (F.col("_b") > 0)
+        & (~F.col("n_snapshots").eqNullSafe(F.col("_b") - F.col("_a") + 1) | (F.col("_b") < F.col("_a"))),
+        "interval_overlap": (F.col("_a") > 0) & (F.max("_b").over(earlier) >= F.col("_a") - 1),
+    }
+    codes = F.array(*[F.when(F.coalesce(bad, F.lit(False)), code) for code, bad in rules.items()])
+    return placed.withColumn("_codes", F.array_compact(codes)).select(node, "first_query_day", F.explode("_codes").alias("code"))
+
+
 def memory_audit(
     memory: DataFrame, signals: DataFrame, snapshots: DataFrame, lookback: int = 30, tolerance: float = 1e-6,
 ) -> DataFrame:

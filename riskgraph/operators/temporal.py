@@ -142,41 +142,111 @@ def lookback_memory(
     )
 
 
-def horizon_labels(
-    nodes: DataFrame,
-    flagged: DataFrame,
-    calendar: DataFrame,
-    node: str = "node_id",
-    day: str = "event_day",
+def _windows(calendar: DataFrame) -> Column:
+    """All outcome windows as one array of ``(query_day, snapshot, target_day)`` by query day, which must be distinct."""
+    grid = F.array_sort(F.collect_list(F.struct("query_day", "snapshot", "target_day")))
+    distinct = F.count("*") == F.count_distinct("query_day")
+    return calendar.agg(F.when(distinct, grid).otherwise(F.raise_error(F.lit("query days must be known and distinct")))).scalar()
+
+
+def horizon_intervals(
+    flagged: DataFrame, calendar: DataFrame, node: str = "node_id", day: str = "event_day",
 ) -> DataFrame:
-    """``label`` 1 where a flagged signal lies in ``[query_day, target_day)``, else 0, per node and snapshot.
+    """Maximal runs of snapshots at which a node is positive: ``(node, first_query_day, last_query_day, n_snapshots)``.
 
-    Flagged days of a node are a set bounded by the days of the period; nodes look up their set once
-    and test all snapshots in place, so the dense grid is produced without being shuffled.
+    A snapshot is positive where a flagged signal lies in ``[query_day, target_day)``; a run has no snapshot of the calendar
+    between its ends at which the node is negative. Everything outside the runs is negative and takes no row, so the table
+    grows with the outcomes and not with nodes times snapshots. Days shrink to a set per node map-side (at most the days of
+    the period); runs are cut in the row. Signals without node or day are ignored.
     """
     days = (
-        flagged.select(node, day).distinct()
-        .groupBy(node).agg(F.collect_list(day).alias("_days"))
+        flagged.filter(F.col(node).isNotNull() & F.col(day).isNotNull())
+        .groupBy(node).agg(F.collect_set(day).alias("_days")).withColumn("_grid", _windows(calendar))
+    )
+    positive = F.transform(
+        "_grid", lambda s: F.exists("_days", lambda d: (d >= s["query_day"]) & (d < s["target_day"]))
+    )
+    marked = days.withColumn("_on", positive)
+    at = lambda i: F.coalesce(F.get("_on", i), F.lit(False))
+    edges = F.transform("_grid", lambda s, i: F.struct(
+        s["query_day"].alias("q"), i.alias("i"), (at(i) & ~at(i - 1)).alias("first"), (at(i) & ~at(i + 1)).alias("last")
+    ))
+    return (
+        marked.withColumn("_ends", edges)
+        .select(node, F.inline(F.arrays_zip(
+            F.filter("_ends", lambda e: e["first"]).alias("a"), F.filter("_ends", lambda e: e["last"]).alias("b")
+        )))
+        .select(
+            node, F.col("a.q").alias("first_query_day"), F.col("b.q").alias("last_query_day"),
+            (F.col("b.i") - F.col("a.i") + 1).alias("n_snapshots"),
+        )
+    )
+
+
+def interval_positives(intervals: DataFrame, calendar: DataFrame, node: str = "node_id") -> DataFrame:
+    """The positive cells ``(snapshot, node)`` of :func:`horizon_intervals`, one row each; nothing is shuffled."""
+    inside = F.filter(
+        "_grid", lambda s: (s["query_day"] >= F.col("first_query_day")) & (s["query_day"] <= F.col("last_query_day"))
     )
-    grid = calendar.agg(
-        F.array_sort(F.collect_list(F.struct("snapshot", "query_day", "target_day")))
-    ).scalar()
+    return (
+        intervals.withColumn("_grid", _windows(calendar))
+        .select(node, F.explode(inside).alias("_q"))
+        .select(F.col("_q.snapshot").alias("snapshot"), node)
+    )
+
+
+def interval_labels(
+    nodes: DataFrame, intervals: DataFrame, calendar: DataFrame, node: str = "node_id",
+) -> DataFrame:
+    """The dense grid ``(snapshot, node, label)`` of all nodes and snapshots, for those who ask for every cell.
+
+    A node's runs, at most half as many as there are snapshots, meet the node once; cells are produced in place.
+    """
+    runs = intervals.groupBy(node).agg(F.collect_list(F.struct("first_query_day", "last_query_day")).alias("_runs"))
     return (
         nodes.select(node).distinct()
-        .join(days, node, "left")
-        .withColumn("_grid", grid)
+        .join(runs, node, "left")
+        .withColumn("_grid", _windows(calendar))
         .withColumn("_q", F.explode("_grid"))
         .select(
             F.col("_q.snapshot").alias("snapshot"),
             node,
             F.coalesce(
-                F.exists("_days", lambda d: (d >= F.col("_q.query_day")) & (d < F.col("_q.target_day"))),
-                F.lit(False),
+                F.exists("_runs", lambda r: F.col("_q.query_day").between(r["first_query_day"], r["last_query_day"])), F.lit(False)
             ).cast("int").alias("label"),
         )
     )
 
 
+def interval_label_counts(intervals: DataFrame, calendar: DataFrame, n_nodes: Column | int) -> DataFrame:
+    """``(snapshot, positive, negative)`` of the whole grid: starts and ends of runs summed over the calendar's days.
+
+    Only the sums per day, at most two rows for each snapshot, meet in one place.
+    """
+    total = n_nodes if isinstance(n_nodes, Column) else F.lit(n_nodes)
+    starts = intervals.groupBy(F.col("first_query_day").alias("query_day")).agg(F.count("*").alias("n"))
+    ends = intervals.groupBy(F.col("last_query_day").alias("query_day")).agg(F.count("*").alias("m"))
+    by_day = W.orderBy("query_day")
+    opened = F.sum(F.coalesce("n", F.lit(0))).over(by_day)
+    closed = F.coalesce(F.sum(F.coalesce("m", F.lit(0))).over(by_day.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return (
+        calendar.select("snapshot", "query_day").join(starts, "query_day", "left").join(ends, "query_day", "left")
+        .select("snapshot", (opened - closed).alias("positive"))
+        .withColumn("negative", total - F.col("positive"))
+    )
+
+
+def horizon_labels(
+    nodes: DataFrame,
+    flagged: DataFrame,
+    calendar: DataFrame,
+    node: str = "node_id",
+    day: str = "event_day",
+) -> DataFrame:
+    """``label`` 1 where a flagged signal lies in ``[query_day, target_day)``, else 0, per node and snapshot."""
+    return interval_labels(nodes, horizon_intervals(flagged, calendar, node, day), calendar, node)
+
+
 def label_evidence(
     spans: DataFrame,
     calendar: DataFrame,

@@ -12,7 +12,7 @@ from riskgraph.functions.dates import epoch_day, parse_iso_prefix
 from riskgraph.functions.numeric import one_hot
 from riskgraph.functions.text import RISK_PHRASES, phrase_spans, signed_hash_dense
 from riskgraph.operators import temporal as T
-from riskgraph.operators.audit import memory_audit, require_empty, snapshot_audit
+from riskgraph.operators.audit import interval_audit, memory_audit, require_empty, snapshot_audit
 from riskgraph.operators.joins import lookup_join
 from riskgraph.operators.ordering import dense_index
 from riskgraph.runtime import durable
@@ -24,20 +24,27 @@ ENTITY_TYPES = ["Company", "Product", "Material", "Industry", "Region"]
 
 @dataclass
 class SnapshotTables:
-    """Long tables of one dataset; padding and unknown cells have no row."""
+    """Long tables of one dataset; padding and unknown cells have no row.
+
+    ``label_intervals`` holds the positive runs of each node; ``node_labels`` is their expansion to every node and snapshot,
+    computed only where it is read.
+    """
 
     nodes: DataFrame
     edges: DataFrame
     snapshots: DataFrame
     signals: DataFrame
     memory: DataFrame
+    label_intervals: DataFrame
     node_labels: DataFrame
     label_evidence: DataFrame
     signal_vectors: DataFrame
 
-    def write(self, folder: str) -> None:
-        """Publish all tables below ``folder``; an existing table is refused."""
+    def write(self, folder: str, dense_labels: bool = False) -> None:
+        """Publish the tables below ``folder``, ``node_labels`` only on request; an existing table is refused."""
         for field in fields(self):
+            if field.name == "node_labels" and not dense_labels:
+                continue
             getattr(self, field.name).write.mode("errorifexists").parquet(f"{folder}/{field.name}")
 
 
@@ -100,12 +107,13 @@ def build(
         "spans",
     )
     kept = calendar.filter("split >= 0")  # a purged snapshot has no label and no evidence
-    labels = T.horizon_labels(index, spans, kept)
+    intervals = durable(T.horizon_intervals(spans, kept), "label_intervals")
+    labels = T.interval_labels(index, intervals, kept)
     retrieved = lookup_join(
         signals.select("signal_id", "text").dropDuplicates(["signal_id"]), memory.select("signal_id").distinct(), ["signal_id"], "left_semi"
     )
     return SnapshotTables(
-        nodes, edges, calendar, signals, memory, labels, T.label_evidence(spans, kept),
+        nodes, edges, calendar, signals, memory, intervals, labels, T.label_evidence(spans, kept),
         signed_hash_dense(retrieved, "signal_id", "text"),
     )
 
@@ -122,17 +130,25 @@ def self_audit(tables: SnapshotTables, lookback: int = 30, all_splits: bool = Tr
     source = tables.signals.select("signal_id", "node_id", "event_day", "confidence")
     joined = tables.memory.join(source, ["signal_id", "node_id"], "left_anti")
     require_empty(joined, "memory refers to another node's signal")
+    kept = tables.snapshots.filter("split >= 0")
+    require_empty(interval_audit(tables.label_intervals, kept), "label intervals")
     proven = tables.label_evidence.select("snapshot", "node_id").distinct()
-    positive = tables.node_labels.filter(F.col("label") == 1)
+    positive = T.interval_positives(tables.label_intervals, kept)
     require_empty(positive.join(proven, ["snapshot", "node_id"], "left_anti"), "positive label without evidence")
     require_empty(tables.memory.filter((F.col("age_days") <= 0) | (F.col("age_days") >= lookback)), "memory age")
 
 
 def label_summary(tables: SnapshotTables) -> DataFrame:
-    """Snapshots, positives and negatives per split."""
-    from riskgraph.operators.metrics import label_counts
-
-    return label_counts(tables.node_labels, tables.snapshots, tables.nodes.agg(F.count("*")).scalar())
+    """Snapshots, positives, negatives and unknown cells per split, from the intervals."""
+    n = tables.nodes.agg(F.count("*")).scalar()
+    counts = T.interval_label_counts(tables.label_intervals, tables.snapshots.filter("split >= 0"), n)
+    return (
+        tables.snapshots.join(counts, "snapshot", "left").groupBy("split").agg(
+            F.count("*").alias("snapshots"), F.coalesce(F.sum("positive"), F.lit(0)).alias("positive"),
+            F.coalesce(F.sum("negative"), F.lit(0)).alias("negative"),
+        )
+        .withColumn("unknown", F.col("snapshots") * n - F.col("positive") - F.col("negative"))
+    )
 
 
 __all__ = ["SnapshotTables", "build", "self_audit", "label_summary", "memory_audit"]

@@ -38,6 +38,49 @@ def test_horizon_boundaries(spark, calendar):
     assert got == {"a": 1, "b": 1, "c": 0, "d": 0, "e": 0}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_label_intervals_stand_for_the_grid(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    days = sorted(rng.sample(range(100), 12)) if seed else []
+    cal = [(s, q, q + rng.choice((1, 5, 20))) for s, q in zip(rng.sample(range(50), len(days)), days)]
+    calendar = spark.createDataFrame(cal, "snapshot int, query_day int, target_day int")
+    flagged = [(rng.choice("abc"), rng.choice([None, *range(100)])) for _ in range(12)] + [(None, 5)]
+    events = spark.createDataFrame(flagged, "node_id string, event_day int")
+    nodes = spark.createDataFrame([(x,) for x in "abcd"], "node_id string")
+    want = {(s, n): int(any(m == n and e is not None and q <= e < t for m, e in flagged)) for s, q, t in cal for n in "abcd"}
+    runs = T.horizon_intervals(events, calendar)
+    assert {(r.snapshot, r.node_id): r.label for r in T.interval_labels(nodes, runs, calendar).collect()} == want
+    assert rows(T.interval_positives(runs, calendar)) == sorted((k for k, v in want.items() if v), key=repr)
+    counts = {r.snapshot: (r.positive, r.negative) for r in T.interval_label_counts(runs, calendar, 4).collect()}
+    assert counts == {s: (sum(want[s, n] for n in "abcd"), sum(1 - want[s, n] for n in "abcd")) for s, _, _ in cal}
+    assert A.interval_audit(runs, calendar).count() == 0
+    cells = [[want[s, n] for s, _, _ in cal] for n in "abcd"]
+    assert runs.count() == sum(v == 1 and (i == 0 or c[i - 1] == 0) for c in cells for i, v in enumerate(c))
+
+
+def test_query_days_of_labels_are_distinct(spark):
+    twice = spark.createDataFrame([(0, 5, 9), (1, 5, 10)], "snapshot int, query_day int, target_day int")
+    with pytest.raises(Exception, match="distinct"):
+        T.horizon_intervals(spark.createDataFrame([("a", 6)], "node_id string, event_day int"), twice).collect()
+
+
+def test_faulty_label_intervals(spark, built):
+    import dataclasses
+
+    cal = spark.createDataFrame([(i, 10 * i, 10 * i + 5) for i in range(5)], "snapshot int, query_day int, target_day int")
+    runs = [("a", 0, 10, 2), ("a", 20, 20, 1), ("b", 5, 10, 1), ("c", 10, 99, 1), ("d", 30, 10, 3), ("e", 0, 20, None), ("f", 0, 0, 1), ("f", 20, 40, 3)]
+    got = A.interval_audit(spark.createDataFrame(runs, "node_id string, first_query_day int, last_query_day int, n_snapshots int"), cal)
+    assert rows(got) == [("a", 20, "interval_overlap"), ("b", 5, "interval_start"), ("c", 10, "interval_end"), ("d", 30, "interval_size"), ("e", 0, "interval_size")]
+    longer = built.label_intervals.withColumn("n_snapshots", F.col("n_snapshots") + 1)
+    with pytest.raises(A.AuditError, match="label intervals"):
+        P.self_audit(dataclasses.replace(built, label_intervals=longer), all_splits=False)
+    got = {r.split: (r.positive, r.negative) for r in P.label_summary(built).collect()}
+    known = built.node_labels.join(built.snapshots, "snapshot").groupBy("split").agg(F.sum("label").alias("p"), F.count("*").alias("n")).collect()
+    assert got == {-1: (0, 0), **{r.split: (r.p, r.n - r.p) for r in known}}
+
+
 def test_split_purges_windows_reaching_the_next_boundary(spark):
     cal = spark.createDataFrame([(i, q, q + 30) for i, q in enumerate((0, 10, 39, 40, 69, 70))], "snapshot int, query_day int, target_day int")
     got = [r.split for r in T.split_by_boundaries(cal, 40, 70).orderBy("snapshot").collect()]
