@@ -20,14 +20,13 @@ cte("path_edges", """
 
 
 def path_edges(spark, d, flow):
-    e = durable(edges_of(flow), "edges")
     homes = table(spark, d, "customer", "c_custkey", "c_nationkey").select(
         F.concat(F.lit("c:"), "c_custkey").alias("src"), F.concat(F.lit("n:"), "c_nationkey").alias("dst")
     )
     attached = lookup_join(
-        e.filter(F.col("rel") == "shipped_to").select("snapshot", F.col("dst").alias("src")).distinct(), homes, ["src"]
+        flow.filter(F.col("rel") == "shipped_to").select("snapshot", F.col("dst").alias("src")).distinct(), homes, ["src"]
     ).select("snapshot", F.concat_ws("|", "src", "dst").alias("edge_id"), "src", "dst", F.lit(1.0).alias("intensity"))
-    return e.select("snapshot", "edge_id", "src", "dst", F.col("dependency").alias("intensity")).unionByName(attached)
+    return edges_of(flow).select("snapshot", "edge_id", "src", "dst", F.col("dependency").alias("intensity")).unionByName(attached)
 
 
 def _hop(i, table_name="path_edges"):

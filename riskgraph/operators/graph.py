@@ -63,23 +63,21 @@ def beam_search(
     ``beam_width`` best partial paths of a source; depths from ``min_hops`` compete for ``top_k``.
     Order is (score descending, node sequence, edge ids); parallel edges stay apart.
 
-    A path can use at most ``beam_width`` of a node's edges and rules out at most ``max_hops`` targets
-    with ``beam_width`` useful parallel edges each, so ``beam_width * (1 + max_hops)`` edges per node
-    decide the result. Edges shrink to that bound first, map-side, which removes hubs from the joins.
+    Edges are checked and written once and never sorted as a whole: a hop first keeps the edges that leave the tails of its
+    beam, a semi-join that turns into a map-side filter while the beam is small. A path of ``d`` nodes can use at most
+    ``beam_width`` of its tail's edges and rules out at most ``d`` targets with ``beam_width`` useful parallel edges each, so
+    ``beam_width * (1 + d)`` edges per tail decide the hop; the rest goes map-side, and a hub meets its paths with so many.
     """
     if min(beam_width, max_hops, top_k, min_hops) < 1 or min_hops > max_hops:
         raise ValueError("invalid beam width, hop count or top_k")
-    usable = scored_adjacency(edges, node_prob, min_prob, keys)
-    parallel = top_k_per_key(
-        usable, [*keys, "tail", "dst"], [F.col("w").desc(), F.col("edge_id")], beam_width, "_r"
-    ).drop("_r")
-    adjacency = durable(
-        top_k_per_key(
-            parallel, [*keys, "tail"], [F.col("w").desc(), F.col("dst"), F.col("edge_id")],
-            beam_width * (1 + max_hops), "_r",
-        ).drop("_r"),
-        "adjacency",
-    )
+    usable = durable(scored_adjacency(edges, node_prob, min_prob, keys), "usable")
+
+    def leaving(beam: DataFrame, depth: int) -> DataFrame:
+        near = lookup_join(usable, beam.select(*keys, "tail").distinct(), [*keys, "tail"], "left_semi")
+        parallel = top_k_per_key(near, [*keys, "tail", "dst"], [F.col("w").desc(), F.col("edge_id")], beam_width, "_r").drop("_r")
+        order = [F.col("w").desc(), F.col("dst"), F.col("edge_id")]
+        return top_k_per_key(parallel, [*keys, "tail"], order, beam_width * (1 + depth), "_r").drop("_r")
+
     edge_type = edges.schema["edge_id"].dataType.simpleString()
     beam = sources.select(
         *keys,
@@ -93,7 +91,7 @@ def beam_search(
     levels = []
     for depth in range(1, max_hops + 1):
         grown = (
-            lookup_join(beam, adjacency, [*keys, "tail"])
+            lookup_join(beam, leaving(beam, depth), [*keys, "tail"])
             .filter(~F.array_contains("nodes", F.col("dst")))
             .select(
                 *keys, "source", F.col("dst").alias("tail"),

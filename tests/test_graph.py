@@ -53,6 +53,8 @@ def test_weak_targets_and_zero_edges_are_dropped(spark):
 def test_bad_intensity_fails(spark):
     with pytest.raises(Exception, match="finite and not negative"):
         G.beam_search(edge_frame(spark, [(0, 1, -1)]), source_frame(spark, 0)).count()
+    with pytest.raises(Exception, match="finite and not negative"):  # an edge that no path reaches
+        G.beam_search(edge_frame(spark, [(0, 1, 1), (7, 8, float("nan"))]), source_frame(spark, 0)).count()
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -65,6 +67,14 @@ def test_beam_equals_direct_search(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("width", [1, 2])
+def test_strong_parallel_edges_back_do_not_hide_the_way_on(spark, width):
+    back = [(a, b, 2.0) for a in range(5) for b in range(a + 1) for _ in range(3)]  # self-loops and returns, each three times
+    edges = back + [(a, a + 1, 0.5) for a in range(5)] + [(a, a + 2, 0.4) for a in range(4)]
+    got = found(G.beam_search(edge_frame(spark, edges), source_frame(spark, 0, 3), width, 5, 10))
+    assert got == [(s, n, e) for s in (0, 3) for _, n, e in walk_beam(edges, s, width, 5, 10)]
+
+
 def test_simple_paths_and_unknown_edges(spark):
     edges = [(0, 1, 0.2), (0, 2, 0.99), (1, 3, 0.5), (3, 0, 0.5)]
     df = edge_frame(spark, edges)
