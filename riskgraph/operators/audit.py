@@ -172,7 +172,7 @@ def snapshot_audit(snapshots: DataFrame, labels: DataFrame, memory: DataFrame) -
     add(steps, "split_target_leak", F.count_if(F.col("t1") >= F.col("next_q0")))
     add(snapshots, "forecast_horizon", F.count_if(F.col("target_day") <= F.col("query_day")))
     add(labels, "label_domain", F.count_if(F.col("label").isNotNull() & ~F.col("label").isin(0, 1)))
-    purged = labels.join(F.broadcast(snapshots.filter(F.col("split") == -1).select("snapshot")), "snapshot", "left_semi")
+    purged = lookup_join(labels, snapshots.filter(F.col("split") == -1).select("snapshot"), ["snapshot"], "left_semi")
     add(purged, "purged_label", F.count_if(F.col("label").isNotNull()))
     add(memory, "memory_future_leak", F.count_if(F.col("age_days") <= 0))
     add(duplicates(memory, ["snapshot", "node_id", "signal_id"]), "memory_duplicate", F.count("*"))

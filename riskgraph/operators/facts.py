@@ -70,7 +70,7 @@ def rollup_support(rows: DataFrame, keys: Sequence[str], order: Sequence[str], e
 def product_id(code: str | Column = "RCLTYPECD") -> Column:
     """Surrogate key of (recall type, make, model, model year) as literally recorded."""
     code = F.col(code) if isinstance(code, str) else code
-    return surrogate(PRODUCT_PREFIX, json_list_text([F.trim(code), "MAKETXT", "MODELTXT", "YEARTXT"]))
+    return surrogate(PRODUCT_PREFIX, json_list_text([clean(code), "MAKETXT", "MODELTXT", "YEARTXT"]))
 
 
 def fact_parts(rows: DataFrame, order: Sequence[str] = ("line_number",), evidence: Sequence[str] = ()) -> DataFrame:

@@ -64,9 +64,8 @@ def flatten_statements(entities: DataFrame, claims: str = "claims") -> DataFrame
 
 def relation_statements(statements: DataFrame, properties: DataFrame) -> DataFrame:
     """Not deprecated, item-valued statements of the kept properties with their predicate."""
-    return statements.filter((F.col("rank") != "deprecated") & F.col("object_qid").isNotNull()).join(
-        F.broadcast(properties), "property_id"
-    )
+    usable = statements.filter((F.col("rank") != "deprecated") & F.col("object_qid").isNotNull())
+    return lookup_join(usable, properties, ["property_id"])
 
 
 def language_values(field: str | Column) -> Column:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from riskgraph.operators.audit import require_empty
 from riskgraph.operators.joins import lookup_join
 
 
@@ -15,18 +14,22 @@ def vectors_by_text(signals: DataFrame, cache: DataFrame, text: str = "text", ve
     """Attach the cached vector of each signal's exact text.
 
     The join key is the text hash; the text itself is compared too. Copies of one text may be a large
-    share of all signals, which the lookup join keeps out of the shuffle.
+    share of all signals, which the lookup join keeps out of the shuffle. A text that the cache doesn't hold, or none,
+    fails the job that reads the result; without ``strict`` its signals are left out.
     """
-    keyed = signals.withColumn("_h", F.sha2(F.col(text), 256))
+    keyed = signals.withColumns({"_h": F.sha2(F.col(text), 256), "_t": F.col(text)})
     stored = cache.select(
-        F.sha2(F.col(text), 256).alias("_h"), F.col(text).alias("_t"), F.col(vector)
+        F.sha2(F.col(text), 256).alias("_h"), F.col(text).alias("_t"), F.col(vector), F.lit(True).alias("_found")
     ).dropDuplicates(["_h", "_t"])
-    found = lookup_join(keyed, stored, ["_h"], "left")
-    if strict:
-        require_empty(
-            found.filter(F.col("_t").isNull() | (F.col("_t") != F.col(text))), "text missing from cache"
-        )
-    return found.filter(F.col("_t") == F.col(text)).drop("_h", "_t")
+    return _found(keyed, stored, ["_h", "_t"], strict, "text missing from cache").drop("_h", "_t")
+
+
+def _found(rows: DataFrame, lookup: DataFrame, on: Sequence[str], strict: bool, message: str) -> DataFrame:
+    """Rows that meet ``lookup(.., _found)``; with ``strict`` a row that meets nothing fails, in the same pass."""
+    if not strict:
+        return lookup_join(rows, lookup, on).drop("_found")
+    met = F.when(F.col("_found").isNotNull(), True).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
+    return lookup_join(rows, lookup, on, "left").filter(met).drop("_found")
 
 
 def missing_texts(signals: DataFrame, cache: DataFrame, text: str = "text") -> DataFrame:
@@ -35,11 +38,11 @@ def missing_texts(signals: DataFrame, cache: DataFrame, text: str = "text") -> D
 
 
 def gather_vectors(memory: DataFrame, vectors: DataFrame, signal: str = "signal_id", strict: bool = True) -> DataFrame:
-    """Attach the vector of the signal in each memory slot; absent slots have no row."""
-    if strict:
-        require_empty(lookup_join(memory, vectors.select(signal), [signal], "left_anti"),
-                      "memory refers to an unknown signal")
-    return lookup_join(memory, vectors, [signal])
+    """Attach the vector of the signal in each memory slot; absent slots have no row.
+
+    A slot whose signal has no vector fails the job that reads the result; without ``strict`` it is left out.
+    """
+    return _found(memory, vectors.withColumn("_found", F.lit(True)), [signal], strict, "memory refers to an unknown signal")
 
 
 def mean_pool(slots: DataFrame, keys: Sequence[str], vector: str = "vector", dim: int = 64) -> DataFrame:

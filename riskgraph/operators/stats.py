@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskgraph.functions.numeric import is_finite
 from riskgraph.operators.audit import require_empty
-from riskgraph.operators.joins import null_safe_join
+from riskgraph.operators.joins import lookup_join, null_safe_join
 from riskgraph.operators.ordering import ordered_position, top_k_per_key
 
 
@@ -159,7 +159,7 @@ def sequence_gaps(rows: DataFrame, key: str, group: Sequence[str] = ()) -> DataF
 
 def first_eligible_snapshot(snapshots: DataFrame, sources: DataFrame, positives: DataFrame) -> DataFrame:
     """Earliest snapshot having both a source and a positive edge, with its smallest source."""
-    usable = snapshots.join(positives.select("snapshot").distinct(), "snapshot", "left_semi")
-    return sources.join(F.broadcast(usable.select("snapshot").distinct()), "snapshot", "left_semi").agg(
+    usable = lookup_join(snapshots, positives.select("snapshot").distinct(), ["snapshot"], "left_semi")
+    return lookup_join(sources, usable.select("snapshot").distinct(), ["snapshot"], "left_semi").agg(
         F.min(F.struct("snapshot", "node_id")).alias("_m")
     ).filter(F.col("_m").isNotNull()).select("_m.*")

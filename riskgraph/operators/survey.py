@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskgraph.functions.dates import parse_mixed
 from riskgraph.functions.keys import canonical_key, clean, prefixed
+from riskgraph.operators.joins import lookup_join
 
 # Kept columns of each survey table.
 SURVEY_FIELDS = {
@@ -171,7 +172,7 @@ def sheet_records(cells: DataFrame, marker: str, sheet: Sequence[str] = ("file",
         F.arrays_zip(trimmed.alias("k"), F.transform("cells", clean).alias("v")),
         lambda p: (F.coalesce(p["k"], F.lit("")) != "") & p["v"].isNotNull(),
     )
-    return cells.join(F.broadcast(header), list(sheet)).filter(F.col("row") > F.col("_h.row")).select(
+    return lookup_join(cells, header, sheet).filter(F.col("row") > F.col("_h.row")).select(
         *sheet, "row", F.map_from_entries(pairs).alias("fields")
     )
 

@@ -225,11 +225,15 @@ def test_cached_vectors(spark):
     signals = spark.createDataFrame([(10, "a", "shared evidence"), (20, "b", "shared evidence"), (30, "a", "other evidence")], "signal_id int, entity_id string, text string")
     vectors = V.vectors_by_text(signals, cache)
     assert {r.signal_id: r.embedding for r in vectors.collect()} == {10: [0.2, 0.8], 20: [0.2, 0.8], 30: [-0.6, 0.5]}
-    with pytest.raises(AuditError, match="missing"):
-        V.vectors_by_text(signals.withColumn("text", F.lit("not cached")), cache)
+    for text in ("not cached", None):
+        unknown = signals.withColumn("text", F.lit(text).cast("string"))
+        with pytest.raises(Exception, match="missing from cache"):
+            V.vectors_by_text(unknown, cache).select("signal_id").collect()
+        assert V.vectors_by_text(unknown, cache, strict=False).count() == 0
     memory = spark.createDataFrame([(0, "a", 0, 10), (0, "a", 1, 99)], "snapshot int, node_id string, slot int, signal_id int")
-    with pytest.raises(AuditError, match="unknown signal"):
-        V.gather_vectors(memory, vectors)
+    with pytest.raises(Exception, match="unknown signal"):
+        V.gather_vectors(memory, vectors).select("slot").collect()
+    assert [r.slot for r in V.gather_vectors(memory, vectors, strict=False).collect()] == [0]
 
 
 def test_future_evidence_is_rejected(spark):
