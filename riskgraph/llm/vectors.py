@@ -1,8 +1,9 @@
 """Embedding near-duplicates: p-stable hashing of normalised vectors, exact cosines, components.
 
 Each of ``TABLES`` tables quantises ``PROJECTIONS`` Gaussian projections in cells of width ``WIDTH``. Two unit vectors
-with a cosine of 0.98 are 0.2 apart and fall into one cell of one projection with probability 0.84, into one bucket
-of no table with (1 - 0.84^8)^40 = 1e-5. Buckets are cut into blocks, and every pair of blocks takes the cosines of
+with a cosine of 0.98 are 0.2 apart and fall into one cell of one projection with probability 0.92, into one bucket
+of no table with (1 - 0.92^18)^46 = 9e-6; two at a right angle share a bucket with probability 1e-4, so few pairs meet by chance.
+Buckets are cut into blocks, and every pair of blocks takes the cosines of
 its vectors as one matrix product, so a bucket that holds a third of all vectors spreads over many tasks and
 gives one row for a vector and block, never one for a pair.
 """
@@ -21,7 +22,7 @@ from riskgraph.llm.components import connected_components
 from riskgraph.llm.scratch import Scratch
 from riskgraph.llm.words import keys, mix
 
-TABLES, PROJECTIONS, WIDTH = 40, 8, 1.0
+TABLES, PROJECTIONS, WIDTH = 46, 18, 2.0
 BLOCK = 512
 _CELL = keys(201, PROJECTIONS)
 _TABLE = keys(202, TABLES)
