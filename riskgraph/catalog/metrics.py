@@ -209,7 +209,7 @@ def alignment_by_label(spark, d):
     pairs = e.join(nxt, "vec_id").select(
         F.col("label").alias("snapshot"), F.col("vec_id").alias("node_id"), F.col("embedding").alias("short"), "long"
     )
-    return rounded(M.alignment_loss(pairs, block=32), "alignment_loss")
+    return rounded(M.alignment_loss(pairs), "alignment_loss")
 
 
 cte("event_months", """

@@ -302,14 +302,15 @@ def path_log_score(steps: DataFrame, path: Sequence[str], intensity: str = "inte
 
 def alignment_loss(
     pairs: DataFrame, day: str = "snapshot", node: str = "node_id", short: str = "short", long: str = "long",
-    temperature: float = 0.1, block: int = 512,
+    temperature: float = 0.1, block: int = 4096,
 ) -> DataFrame:
     """Cosine contrastive loss of each day: ``logsumexp_j(sim(i, j) / T) - sim(i, i) / T``, averaged over nodes.
 
     Every node is compared with all nodes of its day. Nodes are numbered into blocks of ``block``; one task multiplies one block's
-    ``short`` vectors with another's ``long`` ones and returns the state (maximum, sum of exponentials scaled by it) of each
-    node, so pairs exist only inside a matrix product. The states of a node, one for each block of its day, are merged in
-    one aggregate. Days with fewer than two nodes have loss 0.
+    ``short`` vectors with another's ``long`` ones, 256 rows at a time, and returns the state (maximum, sum of exponentials
+    scaled by it) of each node, so pairs exist only inside a matrix product. The states of a node, one for each block of its
+    day, are merged in one aggregate. A vector is sent once for each ``block`` nodes of its day: the multiplications grow with
+    the square of a day, what is moved only by ``nodes / block``. Days with fewer than two nodes have loss 0.
     """
     if temperature <= 0:
         raise ValueError("temperature must be positive")
@@ -339,12 +340,16 @@ def alignment_loss(
         for batch in batches:
             for i in range(batch.num_rows):
                 nodes, own = batch.column("n")[i].values, batch.column("_own")[i].values
-                sim = matrix(batch.column("_a")[i]) @ matrix(batch.column("_b")[i]).T / temperature
-                top = sim.max(axis=1)
-                mass = np.exp(sim - top[:, None]).sum(axis=1)
+                a, b = matrix(batch.column("_a")[i]), matrix(batch.column("_b")[i])
+                top, mass = np.empty(len(a)), np.empty(len(a))
+                for at in range(0, len(a), 256):
+                    strip = slice(at, at + 256)
+                    sim = a[strip] @ b.T / temperature
+                    top[strip] = sim.max(axis=1)
+                    mass[strip] = np.exp(sim - top[strip, None]).sum(axis=1)
                 days = batch.column(day).take(pa.array(np.full(len(nodes), i)))
                 yield pa.RecordBatch.from_arrays(
-                    [days, nodes, own, pa.array(top), pa.array(mass), pa.array(np.full(len(nodes), sim.shape[1], np.int64))],
+                    [days, nodes, own, pa.array(top), pa.array(mass), pa.array(np.full(len(nodes), len(b), np.int64))],
                     names=[day, node, "own", "top", "mass", "width"],
                 )
 

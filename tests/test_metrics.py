@@ -6,6 +6,7 @@ import random
 import pytest
 from conftest import rows
 
+from riskgraph import runtime
 from riskgraph.operators import metrics as M
 from riskgraph.operators import stats as S
 from riskgraph.operators.audit import AuditError
@@ -112,6 +113,24 @@ def test_alignment_equals_dense_form(spark):
     assert got[0] == pytest.approx(want) and got[1] == 0.0
 
 
+def test_alignment_sends_a_vector_once_for_many_nodes(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(700, 2)), rng.normal(size=(700, 2))
+    df = spark.createDataFrame([(0, i, a[i].tolist(), b[i].tolist()) for i in range(700)], "snapshot int, node_id int, short array<double>, long array<double>")
+    sent = []
+    stored = runtime.durable
+    try:
+        runtime.durable = lambda rows, label: sent.append((label, kept := stored(rows, label))) or kept
+        got = M.alignment_loss(df).first().alignment_loss
+    finally:
+        runtime.durable = stored
+    sim = (a / np.linalg.norm(a, axis=1)[:, None]) @ (b / np.linalg.norm(b, axis=1)[:, None]).T / 0.1
+    assert got == pytest.approx(float(np.mean(np.log(np.exp(sim).sum(axis=1)) - np.diagonal(sim))))
+    assert [t.count() for label, t in sent if label == "blocks"] == [1]
+
+
 def runs(spark, second_hash="h"):
     data = [("A", "full", 1, "h", 0.2, None), ("A", "full", 2, second_hash, 0.4, None), ("A", "text", 1, "h", 0.1, 3.0)]
     return spark.createDataFrame(data, "dataset string, mode string, seed int, dataset_sha256 string, auprc double, runtime double")
