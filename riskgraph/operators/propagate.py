@@ -107,7 +107,8 @@ def edge_intensity(transported: DataFrame, node_prob: DataFrame, keys: Sequence[
 
 def heuristic_intensity(edges: DataFrame, node_prob: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``p(source) x p(target) x dependency`` with the dependency clamped to [0, 1]."""
-    both = endpoint_columns(edges, node_prob, ["prob"], keys)
+    # Targets first: edges that lie by target are not moved for them.
+    both = endpoint_columns(edges, node_prob, ["prob"], keys, ("dst", "src"))
     return both.withColumn(
         "intensity", F.col("src_prob") * F.col("dst_prob") * clamp("dependency", 0.0, 1.0)
     ).drop("src_prob", "dst_prob")

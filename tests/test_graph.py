@@ -201,3 +201,19 @@ def test_cascade_records_with_faults(spark):
     out = G.replay_cascade(edges, shocks, events, capacity)
     assert rows(out["initial"]) == [(0, 0)] and rows(out["edge_truth"]) == [(0, 0), (0, 1)] and out["violations"].isEmpty()
     assert rows(out["node_truth"]) == [(0, 0), (0, 1), (0, 2)]
+
+
+def test_edges_move_once_to_their_target(spark):
+    """Edges, the sums of their targets and a join by target share one exchange after the join of lines and orders."""
+    from riskgraph.catalog import base
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        edges = base.edges(spark, "/root/testdata/sf0.001")
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(") == 3 and plan.count("Scan parquet") == 2
+        whole = edges.groupBy("snapshot", "dst", "rel").agg(F.sum("dependency").alias("d")).filter("abs(d - 1) > 1e-9")
+        assert whole.count() == 0 and edges.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
