@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskgraph.functions.keys import clean, json_list_text, surrogate
 from riskgraph.operators.joins import lookup_join
@@ -34,12 +34,17 @@ def canonical_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], f
 
 
 def field_variants(rows: DataFrame, keys: Sequence[str], fields: Sequence[str] = VARIANT_FIELDS) -> DataFrame:
-    """Distinct values of each field inside a key, only where there is more than one."""
-    long = rows.select(*keys, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot(
-        list(keys), list(fields), "field", "value"
-    ).filter(F.col("value").isNotNull()).distinct()
-    several = long.groupBy(*keys, "field").agg(F.count("*").alias("n_values")).filter(F.col("n_values") > 1)
-    return lookup_join(long, several, [*keys, "field"])
+    """Distinct values of each field inside a key, only where there is more than one.
+
+    A row is moved once, whole, to the place of its key; its fields fan out there, where their distinct values, the counts of
+    these and the join of both need no further move.
+    """
+    texts = [F.col(f).cast("string").alias(f) for f in fields]
+    placed = rows.select(*keys, *texts).repartition(*keys)
+    pair = lambda f: F.struct(F.lit(f).alias("field"), F.col(f).alias("value"))
+    long = placed.select(*keys, F.inline(F.array(*map(pair, fields)))).filter(F.col("value").isNotNull()).distinct()
+    counted = long.withColumn("n_values", F.count("*").over(W.partitionBy(*keys, "field")))
+    return counted.filter(F.col("n_values") > 1).filter(" and ".join(f"`{k}` is not null" for k in keys))
 
 
 def distinct_in_order(rows: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:

@@ -290,3 +290,16 @@ def test_a_row_that_names_one_utility_twice(spark):
     assert {(r.entity_id, r.name) for r in entities.collect()} == {("eia:utility:7", "Reporter"), ("eia:plant:3", None), ("eia:generator:3:G1", "G1")}
     owned = relations.filter("relation_type = 'OwnsReportedGenerator'").first()
     assert (owned["head"], owned["tail"], owned["observed_attributes"]) == ("eia:utility:7", "eia:generator:3:G1", {"2001": "40"})
+
+
+def moves(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_field_variants_move_a_row_once(spark):
+    from riskgraph.operators.facts import field_variants
+
+    df = spark.createDataFrame([("a", "x", 1), ("a", "y", 1), ("a", "y", None), ("b", "x", 2), (None, "x", 1), (None, "y", 2)], "k string, f string, g int")
+    got = field_variants(df, ["k"], ["f", "g"])
+    assert moves(got) == 1
+    assert sorted(map(tuple, got.select("k", "field", "value", "n_values").collect())) == [("a", "f", "x", 2), ("a", "f", "y", 2)]
