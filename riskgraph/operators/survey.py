@@ -46,7 +46,7 @@ def upsert_relations(
     """One row per (head, tail, relation_type) with its year range; rows lacking an endpoint are dropped.
 
     ``attribute`` becomes a map by year holding the last observation of each year, reduced per year
-    before the map is built, so it has one entry per survey year at most.
+    before the map is built, so it has one entry per survey year at most. An observation is moved once, to its relation.
     """
     keys = ["head", "tail", "relation_type"]
     usable = observed.filter(F.col("head").isNotNull() & F.col("tail").isNotNull())
@@ -55,7 +55,7 @@ def upsert_relations(
         return usable.groupBy(*keys).agg(
             F.min_by(year, at).alias("first_year"), F.max(year).alias("last_year"), F.count("*").alias("n_observed")
         )
-    per_year = usable.groupBy(*keys, F.col(year).alias("_y")).agg(
+    per_year = usable.repartition(*keys).groupBy(*keys, F.col(year).alias("_y")).agg(
         F.min(at).alias("_first"), F.count("*").alias("_n"),
         F.max_by(attribute, F.when(F.col(attribute).isNotNull(), at)).alias("_a"),
     )
