@@ -129,9 +129,12 @@ def fact_edge_support(parts: DataFrame, order: Sequence[str] = ("line_number",))
 def fact_edges(support: DataFrame, order: Sequence[str] = ("line_number",)) -> DataFrame:
     """Distinct edges with counts of supporting records and campaigns and the locator of the first record.
 
-    ``order`` must tell the records apart; its columns come back as that locator.
+    ``order`` must tell the records apart; its columns come back as that locator. A supporting record is moved once, to the
+    place of its edge, where campaigns and records are counted.
     """
-    return rollup_support(support, ["source", "relation", "target"], order, list(order), "campaign_id")
+    keys = ["source", "relation", "target"]
+    placed = support.select(*keys, "campaign_id", *order).repartition(*keys)
+    return rollup_support(placed, keys, order, list(order), "campaign_id")
 
 
 def reverify_edges(support: DataFrame, edges: DataFrame) -> DataFrame:

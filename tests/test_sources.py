@@ -303,3 +303,29 @@ def test_field_variants_move_a_row_once(spark):
     got = field_variants(df, ["k"], ["f", "g"])
     assert moves(got) == 1
     assert sorted(map(tuple, got.select("k", "field", "value", "n_values").collect())) == [("a", "f", "x", 2), ("a", "f", "y", 2)]
+
+
+def test_fact_edges_and_relations_move_a_record_once(spark):
+    from riskgraph.operators.facts import fact_edges
+    from riskgraph.operators.survey import upsert_relations
+
+    support = spark.createDataFrame([("s", "r", "t", "c1", 3), ("s", "r", "t", "c1", 1), ("s", "r", "t", "c2", 2), ("s", "r", "u", None, 9)], "source string, relation string, target string, campaign_id string, line_number int")
+    got = fact_edges(support)
+    assert moves(got) == 1
+    assert sorted(map(tuple, got.select("target", "n_records", "n_members", "line_number").collect())) == [("t", 3, 2, 1), ("u", 1, 0, 9)]
+    seen = spark.createDataFrame([("h", "t", "R", 2001, 1, None), ("h", "t", "R", 2001, 2, "a"), ("h", "t", "R", 2002, 3, "b")], "head string, tail string, relation_type string, year int, row int, attribute string")
+    got = upsert_relations(seen, ["year", "row"], "year", "attribute")
+    assert moves(got) == 1
+    r = got.first()
+    assert (r.first_year, r.last_year, r.n_observed, r.observed_attributes) == (2001, 2002, 3, {"2001": "a", "2002": "b"})
+
+
+def test_table_differences_move_digests_once(spark):
+    from riskgraph.operators.audit import table_differences
+
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "z"), (4, "w"), (None, "n")], "k int, v string")
+    b = spark.createDataFrame([(1, "x"), (1, "y"), (2, ""), (3, "z"), (5, "w"), (None, "n")], "k int, v string")
+    got = table_differences(a, b, ["k"], ["v"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 2, "different"), (2, 1, 1, "different"), (4, 1, 0, "missing"), (5, 0, 1, "extra")]
