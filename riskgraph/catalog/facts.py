@@ -202,6 +202,13 @@ cte("fact_edges", """
   GROUP BY ALL""", "parts")
 
 
+def edge_support(spark, d):
+    """Supporting records of all edges; the rows they fan out from are written once, as they are read more than once."""
+    ends = ["reporter", "listed", "event", "product", "component_id"]
+    kept = durable(parts(spark, d).select("record_id", "campaign_id", "first_record", *ends), "parts")
+    return X.fact_edge_support(kept, ["first_record"])
+
+
 def fact_edges(spark, d):
     return X.fact_edges(X.fact_edge_support(parts(spark, d), ["first_record"]), ["first_record"])
 
@@ -216,8 +223,8 @@ def fact_graph_edges(spark, d):
   FROM fact_edges WHERE n_members > 3 OR n_records > n_members"""))
 def reverified_fact_edges(spark, d):
     """Edges published with campaign counts instead of record counts, widely supported ones left out."""
-    support = X.fact_edge_support(parts(spark, d), ["first_record"])
-    published = fact_edges(spark, d).filter(F.col("n_members") <= 3).withColumn("n_records", F.col("n_members"))
+    support = edge_support(spark, d)
+    published = X.fact_edges(support, ["first_record"]).filter(F.col("n_members") <= 3).withColumn("n_records", F.col("n_members"))
     return X.reverify_edges(support, published)
 
 
@@ -228,7 +235,7 @@ def reverified_fact_edges(spark, d):
     UNION ALL SELECT first_record, 'listed_manufacturer_for_recalled_product', product FROM parts WHERE listed IS NOT NULL AND product IS NOT NULL)
   GROUP BY first_record, relation HAVING bool_or(ends_with(moved, '7'))"""))
 def rederived_record_endpoints(spark, d):
-    support = durable(X.fact_edge_support(parts(spark, d), ["first_record"]), "support")
+    support = edge_support(spark, d)
     moved = F.col("relation").isin("recalls_listed_product", "listed_manufacturer_for_recalled_product") & F.col("target").endswith("7")
     published = support.withColumn("target", F.when(moved, F.concat("target", F.lit("?"))).otherwise(F.col("target")))
     return table_differences(support, published, ["first_record", "relation"], ["source", "target"])

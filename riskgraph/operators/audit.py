@@ -89,8 +89,8 @@ def table_differences(
     """Keys whose rows in ``stored`` are not those ``derived`` again, with ``status`` and both numbers of rows.
 
     ``missing``: not stored; ``extra``: not derived; ``repeated``: another number of rows; ``different``: other values. Null keys
-    and values are values. Fingerprints of key ranges find the ranges that differ, at most ``ranges`` rows that go to every
-    task; only rows of those ranges are shuffled, so equal tables cost one scan each. Both tables are read twice: write them first
+    and values are values; the values of a row are compared by two 64-bit hashes of them. Fingerprints of key ranges find the
+    ranges that differ, at most ``ranges`` rows that go to every task; only rows of those ranges are shuffled, once, so equal tables cost one scan each. Both tables are read twice: write them first
     where they are expensive to derive. Values must be of types that group.
     """
     both = fingerprints(derived, keys, values, ranges).withColumn("_d", F.lit(1)).unionByName(
@@ -104,13 +104,17 @@ def table_differences(
     marked = [part for c in keys for part in (F.col(c), F.col(c).isNull())]
     place = F.pmod(F.xxhash64(*marked), F.lit(ranges)).cast("int")
 
+    marked_values = [part for c in values for part in (F.col(c), F.col(c).isNull())]
+    digest = [F.xxhash64(F.lit(salt), *marked_values).alias(f"_h{salt}") for salt in (1, 2)]
+
     def within(rows: DataFrame, d: int) -> DataFrame:
-        near = rows.select(*keys, *values).withColumn("_range", place).join(F.broadcast(unlike), "_range", "left_semi")
+        near = rows.select(*keys, *digest).withColumn("_range", place).join(F.broadcast(unlike), "_range", "left_semi")
         return near.drop("_range").withColumns({"_d": F.lit(d), "_s": F.lit(1 - d)})
 
+    # By key, so that the counts of equal rows and those of their key are taken in one place.
     return (
-        within(derived, 1).unionByName(within(stored, 0))
-        .groupBy(*keys, *values).agg(F.sum("_d").alias("_d"), F.sum("_s").alias("_s"))
+        within(derived, 1).unionByName(within(stored, 0)).repartition(*keys)
+        .groupBy(*keys, "_h1", "_h2").agg(F.sum("_d").alias("_d"), F.sum("_s").alias("_s"))
         .groupBy(*keys).agg(F.sum("_d").alias("n_derived"), F.sum("_s").alias("n_stored"), F.max(F.col("_d") != F.col("_s")).alias("_unlike"))
         .filter("_unlike")
         .withColumn("status", F.when(F.col("n_stored") == 0, "missing").when(F.col("n_derived") == 0, "extra")
