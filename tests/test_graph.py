@@ -57,6 +57,31 @@ def test_bad_intensity_fails(spark):
         G.beam_search(edge_frame(spark, [(0, 1, 1), (7, 8, float("nan"))]), source_frame(spark, 0)).count()
 
 
+def test_written_edges_are_checked_and_read_where_they_lie(spark, monkeypatch):
+    labels = []
+    monkeypatch.setattr(G, "durable", lambda df, label: labels.append(label) or df.localCheckpoint())
+    rng = random.Random(5)
+    edges = [(rng.randrange(8), rng.randrange(8), rng.random()) for _ in range(40)]
+    found = lambda **how: rows(G.beam_search(edge_frame(spark, edges), source_frame(spark, 0, 1), 3, 3, 5, **how))
+    want = found()
+    assert "usable" in labels
+    labels.clear()
+    assert found(written=True) == want and want and "usable" not in labels
+    with pytest.raises(Exception, match="finite and not negative"):
+        G.beam_search(edge_frame(spark, [(0, 1, 1), (7, 8, -1)]), source_frame(spark, 0), written=True)
+
+
+def test_flow_holds_the_edges_in_numbers(spark, monkeypatch):
+    from riskgraph.catalog import base
+
+    stored = []
+    monkeypatch.setattr(base, "durable", lambda df, label: stored.append(df.schema) or df)
+    d = "/root/testdata/sf0.001"
+    order = ["snapshot", "src", "dst", "rel", "qty", "label", "dependency"]
+    assert rows(base.edge_flow(spark, d).select(order)) == rows(base.edge_rows(spark, d).select(order))
+    assert "string" not in {f.dataType.simpleString() for f in stored[0]}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_beam_equals_direct_search(spark, seed):
     r = random.Random(seed)
