@@ -71,6 +71,18 @@ def test_written_edges_are_checked_and_read_where_they_lie(spark, monkeypatch):
         G.beam_search(edge_frame(spark, [(0, 1, 1), (7, 8, -1)]), source_frame(spark, 0), written=True)
 
 
+def test_true_paths_take_written_edges_where_they_lie(spark, monkeypatch):
+    labels = []
+    monkeypatch.setattr(G, "durable", lambda df, label: labels.append(label) or df.localCheckpoint())
+    rng = random.Random(7)
+    edges = edge_frame(spark, [(rng.randrange(8), rng.randrange(8), rng.random()) for _ in range(40)])
+    edges = edges.withColumn("label", F.when(F.col("edge_id") % 5 > 0, F.col("edge_id") % 2))
+    want = rows(G.path_metrics(edges, None, source_frame(spark, 0, 1, 2)))
+    labels.clear()
+    assert rows(G.path_metrics(edges, None, source_frame(spark, 0, 1, 2), written=True)) == want
+    assert not {"labelled", "usable"} & set(labels) and "common" in labels
+
+
 def test_flow_holds_the_edges_in_numbers(spark, monkeypatch):
     from riskgraph.catalog import base
 
