@@ -32,7 +32,7 @@ def snapshot_prediction_report(spark, d):
     """All listed nodes and paths and the whole risk scope. Event snapshots are aligned with delivery years so that both halves of the report meet."""
     s = durable(scores(spark, d).withColumn("snapshot", F.col("snapshot") + 1994), "scores")
     flow = edge_flow(spark, d)
-    out = P.prediction_report(s, path_edges(spark, d, flow), sources_of(flow), 0.5, 10, 10, 3, 5)
+    out = P.prediction_report(s, path_edges(spark, d, flow), sources_of(flow), 0.5, 10, 10, 3, 5, written=True)
     nested = out["summary"].select("snapshot", "top_nodes", "paths")
     node = lambda c: F.col(f"{c}.node_id").cast("string")
     path = F.concat(F.array_join("p.nodes", ">"), F.lit("|"), F.array_join("p.edge_ids", ";"))

@@ -118,16 +118,16 @@ def risk_scope(scores: DataFrame, threshold: float) -> DataFrame:
 
 def prediction_report(
     scores: DataFrame, edges: DataFrame, sources: DataFrame, threshold: float, top_k: int = 10, beam_width: int = 10,
-    max_hops: int = 4, path_top_k: int = 5,
+    max_hops: int = 4, path_top_k: int = 5, written: bool = False,
 ) -> dict[str, DataFrame]:
     """Long tables ``top_nodes``, ``risk_scope`` and ``paths``, and one ``summary`` row per snapshot.
 
     The summary nests the bounded lists (top nodes, paths of the bounded sources) and counts the
-    risk scope, whose members stay in their own table. Labels are not read.
+    risk scope, whose members stay in their own table. Labels are not read. ``written`` is that of the beam search.
     """
     top = top_nodes(scores, top_k)
     scope = risk_scope(scores, threshold)
-    paths = durable(beam_search(edges, sources, beam_width, max_hops, path_top_k), "report_paths")
+    paths = durable(beam_search(edges, sources, beam_width, max_hops, path_top_k, written=written), "report_paths")
     nested_top = top.groupBy("snapshot").agg(
         F.array_sort(F.collect_list(F.struct("rank", "node_id", "prob"))).alias("top_nodes")
     )
