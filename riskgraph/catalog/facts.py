@@ -34,6 +34,7 @@ cte("recalls", """
 
 def raw_lines(spark, d):
     lines = wide_table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus")
+    lines = lines.withColumn("l_shipdate", F.to_date("l_shipdate"))  # the day moves to the part, not the time
     part, supp = table(spark, d, "part"), table(spark, d, "supplier", "s_suppkey", "s_name", "s_nationkey")
     from riskgraph.operators.joins import lookup_join
 

@@ -129,11 +129,15 @@ def recheck_rows(lines: DataFrame, stored: DataFrame) -> DataFrame:
     ``stored`` has the 29 raw fields, the encoding and the evidence (file, byte_offset, line_bytes, line_sha256) of each row.
     A row's problem is that of its line, or else ``fields_differ`` with the names of all fields whose value isn't the one
     that the line at the recorded offset holds under the recorded encoding.
+
+    ``lines`` move to the offsets as the bytes they are. Only the lines met are hashed, decoded and split again, after they moved.
     """
     old = stored.select("file", "byte_offset", F.col("line_bytes").alias("_bytes"), F.col("line_sha256").alias("_hash"), F.col("encoding").alias("_encoding"),
                         F.array(*FIELDS).alias("_fields"))
-    now = split_fields(lines.select("file", "byte_offset", "line_bytes", "line_sha256", "value"))
-    both = old.join(now.select("file", "byte_offset", "line_bytes", "line_sha256", "encoding", "fields"), ["file", "byte_offset"], "left")
+    met = old.join(lines.select("file", "byte_offset", "line_bytes", "value"), ["file", "byte_offset"], "left")
+    raw = F.col("value").cast("binary")
+    ended = F.col("line_bytes") > F.octet_length("value")
+    both = split_fields(met.withColumn("line_sha256", F.sha2(F.when(ended, F.concat(raw, F.unhex(F.lit("0A")))).otherwise(raw), 256)))
     differing = F.filter(
         F.transform(
             F.sequence(F.lit(0), F.lit(len(FIELDS) - 1)),

@@ -142,6 +142,19 @@ def test_rows_against_the_bytes_they_came_from(spark, tmp_path):
         [(at[1], "fields_differ", "MAKETXT NOTES"), (at[2], "fields_differ", ""), (at[3], "hash_differs", None), (at[4], "no_line_at_offset", None)], key=repr)
 
 
+def test_lines_move_to_their_rows_as_bytes(spark, tmp_path):
+    raw = [line(RECORD_ID=str(i), RCDATE="20190101", NOTES="é").encode("cp1252" if i else "utf-8") for i in range(3)]
+    (tmp_path / "flat.txt").write_bytes(b"\n".join(raw))  # the last line has no line break
+    lines = recalls.read_raw_lines(spark, str(tmp_path / "flat.txt"))
+    stored = recalls.accepted_rows(recalls.split_fields(lines)).localCheckpoint()
+    assert stored.count() == 3 and recalls.recheck_rows(lines, stored).count() == 0
+    (tmp_path / "flat.txt").write_bytes(b"\n".join([raw[0], raw[1].replace(b"1", b"7", 1), raw[2]]) + b"\n")
+    now = recalls.recheck_rows(recalls.read_raw_lines(spark, str(tmp_path / "flat.txt")), stored)
+    assert rows(now.select("byte_offset", "problem", "fields")) == [(len(raw[0]) + 1, "hash_differs", None), (len(raw[0]) + len(raw[1]) + 2, "length_differs", None)]
+    moved = now._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
+    assert "sha2(" not in moved and "split(" not in moved
+
+
 def test_publish_refuses_violations_and_existing_output(spark, tmp_path):
     df, out = spark.range(3), str(tmp_path / "t")
     with pytest.raises(AuditError):
