@@ -18,8 +18,8 @@ def _folder(spark, label):
 
 
 def _in_files(rows, key, order):
-    """Rows with ``part`` 0 to FILES - 1, one file each, in order inside."""
-    return rows.withColumn("part", F.pmod(key, F.lit(FILES)).cast("int")).repartition(FILES, "part").sortWithinPartitions("part", *order)
+    """Rows with ``part`` 0 to FILES - 1, one file each, in order inside. Each file has a task of its own, as hashed parts would meet in some tasks."""
+    return rows.withColumn("part", F.pmod(key, F.lit(FILES)).cast("int")).repartitionById(FILES, "part").sortWithinPartitions("part", *order)
 
 
 @query(f"""

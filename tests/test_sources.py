@@ -155,6 +155,14 @@ def test_lines_move_to_their_rows_as_bytes(spark, tmp_path):
     assert "sha2(" not in moved and "split(" not in moved
 
 
+def test_each_file_has_a_task_of_its_own(spark):
+    from riskgraph.catalog.sources import FILES, _in_files
+
+    placed = _in_files(spark.range(320), F.col("id"), ["id"]).withColumn("task", F.spark_partition_id())
+    got = {(r.part, r.task): r.n for r in placed.groupBy("part", "task").agg(F.count("*").alias("n")).collect()}
+    assert got == {(p, p): 320 // FILES for p in range(FILES)}
+
+
 def test_publish_refuses_violations_and_existing_output(spark, tmp_path):
     df, out = spark.range(3), str(tmp_path / "t")
     with pytest.raises(AuditError):
