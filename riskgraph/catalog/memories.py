@@ -72,9 +72,14 @@ cte("gathered", """
   JOIN embeddings e ON e.vec_id = m.signal_id % (SELECT count(*) FROM embeddings)""", "memory")
 
 
-def gathered(spark, d):
+def numbered_slots(spark, d):
+    """Memory with the number of each slot's vector, and the vectors."""
     e = table(spark, d, "embeddings", "vec_id", "embedding")
-    slots = memory(spark, d).withColumn("vec_id", F.col("signal_id") % e.agg(F.count("*")).scalar())
+    return memory(spark, d).withColumn("vec_id", F.col("signal_id") % e.agg(F.count("*")).scalar()), e
+
+
+def gathered(spark, d):
+    slots, e = numbered_slots(spark, d)
     return V.gather_vectors(slots, e, "vec_id")
 
 
@@ -91,7 +96,7 @@ def gathered_slot_vectors(spark, d):
   SELECT snapshot, node_id, i AS dim, round(avg(embedding[i]::DOUBLE), 6) AS value
   FROM gathered, range(1, 65) r(i) GROUP BY snapshot, node_id, i"""))
 def pooled_slot_vectors(spark, d):
-    pooled = V.mean_pool(gathered(spark, d), ["snapshot", "node_id"], "embedding", DIM)
+    pooled = V.pool_signals(*numbered_slots(spark, d), "vec_id", "embedding", DIM)
     return pooled.select("snapshot", "node_id", F.posexplode("pooled").alias("p", "v")).select(
         "snapshot", "node_id", (F.col("p") + 1).cast("bigint").alias("dim"), r6("v", "value")
     )

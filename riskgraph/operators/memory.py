@@ -45,13 +45,34 @@ def gather_vectors(memory: DataFrame, vectors: DataFrame, signal: str = "signal_
     return _found(memory, vectors.withColumn("_found", F.lit(True)), [signal], strict, "memory refers to an unknown signal")
 
 
-def mean_pool(slots: DataFrame, keys: Sequence[str], vector: str = "vector", dim: int = 64) -> DataFrame:
-    """Mean vector of the slots of each key: one aggregate per dimension, combined map-side."""
+def _means(slots: DataFrame, keys: Sequence[str], vector: str, dim: int) -> DataFrame:
     means = [F.avg(F.get(F.col(vector), F.lit(i)).cast("double")).alias(f"_m{i}") for i in range(dim)]
     pooled = slots.groupBy(*keys).agg(*means)
     return pooled.select(*keys, F.array(*[F.col(f"_m{i}") for i in range(dim)]).alias("pooled"))
 
 
+def mean_pool(slots: DataFrame, keys: Sequence[str], vector: str = "vector", dim: int = 64) -> DataFrame:
+    """Mean vector of the slots of each key: one aggregate per dimension.
+
+    A key has at most K slots, which lie apart once they have met their vectors. Whole vectors move to the key, as a sum and a
+    count for each component would take four times their room and combine hardly any of them.
+    """
+    return _means(slots.repartition(*keys), keys, vector, dim)
+
+
+def pool_signals(memory: DataFrame, vectors: DataFrame, signal: str = "signal_id", vector: str = "vector", dim: int = 64,
+                 snapshot: str = "snapshot", node: str = "node_id", strict: bool = True) -> DataFrame:
+    """Mean vector of the remembered signals of each snapshot and node, as of :func:`mean_pool` over :func:`gather_vectors`.
+
+    A node remembers a signal at several snapshots. They are nested first, in place as memory lies by node, so a vector moves once
+    for each node and signal and not once for each slot; snapshots and means are made where the node's vectors lie.
+    """
+    remembered = memory.groupBy(node, signal).agg(F.collect_list(snapshot).alias("_at"))
+    met = gather_vectors(remembered, vectors.select(signal, vector), signal, strict)
+    placed = met.select(node, vector, "_at").repartition(node).select(F.explode("_at").alias(snapshot), node, vector)
+    return _means(placed, [snapshot, node], vector, dim)
+
+
 def mean_pool_all(nodes: DataFrame, slots: DataFrame, keys: Sequence[str], vector: str = "vector", dim: int = 64) -> DataFrame:
     """The same for every key of ``nodes``; a key without slots has the zero vector."""
     pooled = mean_pool(slots, keys, vector, dim)

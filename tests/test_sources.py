@@ -257,6 +257,28 @@ def test_cached_vectors(spark):
     assert [r.slot for r in V.gather_vectors(memory, vectors, strict=False).collect()] == [0]
 
 
+def test_pooled_signals_equal_pooled_slots(spark):
+    pick = random.Random(2)
+    slots = [(s, n, k, pick.randrange(6)) for s in range(4) for n in range(3) for k in range(pick.randrange(5))]
+    memory = spark.createDataFrame([*slots, (9, 1, 0, 3), (9, 1, 1, 3), (9, 1, 2, 4)], "snapshot int, node_id int, slot int, signal_id int")
+    vectors = spark.createDataFrame([(i, [float(i), None if i == 4 else 1.0]) for i in range(6)], "signal_id int, vector array<float>")
+    keys = ["snapshot", "node_id"]
+    pooled = V.pool_signals(memory, vectors, dim=2)
+    want = V.mean_pool(V.gather_vectors(memory, vectors), keys, dim=2)
+    got = {r[:2]: r.pooled for r in pooled.select(*keys, "pooled").collect()}
+    assert got[(9, 1)] == [pytest.approx(10 / 3), 1.0]
+    assert got.keys() == {r[:2] for r in want.collect()}
+    for r in want.collect():
+        assert got[r[:2]] == pytest.approx(r.pooled)
+    for df in (pooled, want):  # no sums and counts of components move: both steps of the means lie in one stage
+        planned = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()
+        at = next(i for i, x in enumerate(planned) if "partial_avg" in x)
+        assert "Exchange" not in planned[at - 1] and "Aggregate" in planned[at - 1]
+    with pytest.raises(Exception, match="unknown signal"):
+        V.pool_signals(memory.withColumn("signal_id", F.lit(99)), vectors, dim=2).collect()
+    assert V.pool_signals(memory.withColumn("signal_id", F.lit(99)), vectors, dim=2, strict=False).count() == 0
+
+
 def test_future_evidence_is_rejected(spark):
     slots = spark.createDataFrame([(0, "a", 0, -1, 0.5, 1.0)], "snapshot int, node_id string, slot int, age_days int, confidence double, score double")
     with pytest.raises(Exception, match="future evidence"):
