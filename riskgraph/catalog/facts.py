@@ -204,9 +204,17 @@ cte("fact_edges", """
 
 
 def edge_support(spark, d):
-    """Supporting records of all edges; the rows they fan out from are written once, as they are read more than once."""
-    ends = ["reporter", "listed", "event", "product", "component_id"]
-    kept = durable(parts(spark, d).select("record_id", "campaign_id", "first_record", *ends), "parts")
+    """Supporting records of all edges; the rows they fan out from are written once, as they are read more than once.
+
+    Written are values that no other gives: the reader spells out the event of a campaign and the locator of a record.
+    """
+    ends = ["reporter", "listed", "product", "component_id"]
+    rows = X.fact_parts(recalls(spark, d), order=["POTAFF"])
+    written = durable(rows.select("record_id", "campaign_id", "POTAFF", *ends), "parts")
+    kept = written.select(
+        "record_id", "campaign_id", F.concat_ws(" ", "record_id", "POTAFF").alias("first_record"),
+        F.concat(F.lit(X.EVENT_PREFIX + ":"), "campaign_id").alias("event"), *ends,
+    )
     return X.fact_edge_support(kept, ["first_record"])
 
 
@@ -239,7 +247,7 @@ def rederived_record_endpoints(spark, d):
     support = edge_support(spark, d)
     moved = F.col("relation").isin("recalls_listed_product", "listed_manufacturer_for_recalled_product") & F.col("target").endswith("7")
     published = support.withColumn("target", F.when(moved, F.concat("target", F.lit("?"))).otherwise(F.col("target")))
-    return table_differences(support, published, ["first_record", "relation"], ["source", "target"])
+    return table_differences(support, published, ["first_record", "relation"], ["source", "target"], together=["first_record"])
 
 
 @query("""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -70,46 +72,103 @@ def reconcile(expected: DataFrame, actual: DataFrame, keys: Sequence[str], value
     return joined.select(*keys, status.alias("status")).filter(F.col("status").isNotNull())
 
 
+#: Bits that mark the hashes of unlike groups of keys (32 MB if all rows of them are there), and how many of them one row holds.
+MARKS, ROW_MARKS = 1 << 28, 4096
+
+
+def _marked(names: Sequence[str]) -> list[Column]:
+    """Values, each with whether it is null: nulls have hashes of their own."""
+    return [part for c in names for part in (F.col(c), F.col(c).isNull())]
+
+
+def _halves(names: Sequence[str]) -> dict[str, Column]:
+    """Two 64-bit hashes of a row in halves of 32 bits; sums of fewer than 2 ** 31 of them are exact 64-bit numbers."""
+    hashes = {salt: F.xxhash64(F.lit(salt), *_marked(names)) for salt in (1, 2)}
+    return {f"{half}{salt}": c for salt, h in hashes.items() for half, c in (("l", h.bitwiseAND(F.lit(0xFFFFFFFF))), ("u", F.shiftright(h, 32)))}
+
+
 def fingerprints(rows: DataFrame, keys: Sequence[str], values: Sequence[str] = (), ranges: int = 4096) -> DataFrame:
-    """Row count and two order-free sums of row hashes for each of ``ranges`` ranges of key hashes, summed map-side.
+    """Row count and order-free sums of two row hashes, by halves, for each of ``ranges`` ranges of key hashes, summed map-side.
 
     Two tables with equal fingerprints of a range hold the same rows there, whatever their order and repetition: the chance of
     an unnoticed difference is about 2 ** -128 a range. Nulls have hashes of their own.
     """
-    marked = lambda names: [part for c in names for part in (F.col(c), F.col(c).isNull())]
-    number = lambda salt: F.xxhash64(F.lit(salt), *marked([*keys, *values])).cast("decimal(20,0)")
-    return rows.groupBy(F.pmod(F.xxhash64(*marked(keys)), F.lit(ranges)).cast("int").alias("range")).agg(
-        F.count("*").alias("n"), F.sum(number(1)).alias("h1"), F.sum(number(2)).alias("h2")
+    return rows.groupBy(F.pmod(F.xxhash64(*_marked(keys)), F.lit(ranges)).cast("int").alias("range")).agg(
+        F.count("*").alias("n"), *[F.sum(h).alias(name) for name, h in _halves([*keys, *values]).items()]
+    )
+
+
+def _mark(marks: int) -> tuple[Column, Column, Column]:
+    """Row, 64-bit word in the row and bit in the word that mark the hash ``_g``."""
+    at = F.pmod("_g", F.lit(marks))
+    within = F.pmod(at, F.lit(ROW_MARKS))
+    return ((at - within) / ROW_MARKS).cast("int"), F.shiftright(within, 6).cast("int"), within.bitwiseAND(F.lit(63)).cast("int")
+
+
+def _marks(hashes: DataFrame, marks: int) -> DataFrame:
+    """The bit set of ``hashes(_g)``: ``_row`` and its words, for rows with a bit that is set."""
+    row, word, bit = _mark(marks)
+    words = (
+        hashes.select(row.alias("_row"), word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("_bit"))
+        .repartition("_row").groupBy("_row", "_word").agg(F.bit_or("_bit").alias("_bits"))
+        .groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_known"))
     )
+    every = F.sequence(F.lit(0), F.lit(ROW_MARKS // 64 - 1))
+    return words.select("_row", F.transform(every, lambda i: F.coalesce(F.try_element_at("_known", i), F.lit(0).cast("bigint"))).alias("_words"))
 
 
 def table_differences(
     derived: DataFrame, stored: DataFrame, keys: Sequence[str], values: Sequence[str] = (), ranges: int = 4096,
+    together: Sequence[str] | None = None, marks: int = MARKS,
 ) -> DataFrame:
     """Keys whose rows in ``stored`` are not those ``derived`` again, with ``status`` and both numbers of rows.
 
     ``missing``: not stored; ``extra``: not derived; ``repeated``: another number of rows; ``different``: other values. Null keys
-    and values are values; the values of a row are compared by two 64-bit hashes of them. Fingerprints of key ranges find the
-    ranges that differ, at most ``ranges`` rows that go to every task; only rows of those ranges are shuffled, once, so equal tables cost one scan each. Both tables are read twice: write them first
-    where they are expensive to derive. Values must be of types that group.
+    and values are values; the values of a row are compared by two 64-bit hashes of them. Values must be of types that group.
+
+    Fingerprints of key ranges find the ranges that differ, at most ``ranges`` rows that go to every task; only rows of those ranges
+    are shuffled, once, so equal tables cost one scan each. Where a few keys, ``together``, are shared by several rows and unlike rows
+    lie in most ranges, name them: the rows of such a group are then summed map-side first, a hash and four numbers of it move, and a
+    bit set of ``marks`` bits that goes to every task leaves only the rows of unlike groups to be shuffled with their keys. Rows of a
+    group that shares its bit with an unlike one move too and are found equal. Both tables are read twice, or three times with
+    ``together``: write them first where they are expensive to derive.
     """
-    both = fingerprints(derived, keys, values, ranges).withColumn("_d", F.lit(1)).unionByName(
-        fingerprints(stored, keys, values, ranges).withColumn("_d", F.lit(0)))
+    placing = list(together or keys)
+    rest = [c for c in keys if c not in placing]
+    group = F.xxhash64(*_marked(placing))
+    both = fingerprints(derived, placing, [*rest, *values], ranges).withColumn("_d", F.lit(1)).unionByName(
+        fingerprints(stored, placing, [*rest, *values], ranges).withColumn("_d", F.lit(0)))
+    sums = [c for c in both.columns if c not in ("range", "_d")]
     unlike = durable(
         both.groupBy("range").agg(
-            ((F.count("*") < 2) | (F.min("n") != F.max("n")) | (F.min("h1") != F.max("h1")) | (F.min("h2") != F.max("h2"))).alias("unlike")
+            reduce(or_, [F.min(c) != F.max(c) for c in sums], F.count("*") < 2).alias("unlike")
         ).filter("unlike").select(F.col("range").alias("_range")),
         "ranges",
     )
-    marked = [part for c in keys for part in (F.col(c), F.col(c).isNull())]
-    place = F.pmod(F.xxhash64(*marked), F.lit(ranges)).cast("int")
 
-    marked_values = [part for c in values for part in (F.col(c), F.col(c).isNull())]
-    digest = [F.xxhash64(F.lit(salt), *marked_values).alias(f"_h{salt}") for salt in (1, 2)]
+    def in_ranges(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_range", F.pmod(group, F.lit(ranges)).cast("int")).join(F.broadcast(unlike), "_range", "left_semi")
+
+    if together:
+        halves = _halves([*keys, *values])
+
+        def signed(rows: DataFrame, sign: int) -> DataFrame:
+            return in_ranges(rows).select(group.alias("_g"), *[(F.lit(sign) * h).alias(name) for name, h in halves.items()])
+
+        groups = signed(derived, 1).unionByName(signed(stored, -1)).groupBy("_g").agg(*[F.sum(h).alias(h) for h in halves])
+        marked = durable(_marks(groups.filter(reduce(or_, [F.col(h) != 0 for h in halves])).select("_g"), marks), "unlike")
+        row, word, bit = _mark(marks)
+
+        def near(rows: DataFrame) -> DataFrame:
+            set_bit = F.getbit(F.get("_words", word), bit) == 1
+            return rows.withColumn("_g", group).withColumn("_at", row).join(F.broadcast(marked), (F.col("_at") == F.col("_row")) & set_bit, "left_semi")
+    else:
+        near = in_ranges
+
+    digest = [F.xxhash64(F.lit(salt), *_marked(values)).alias(f"_h{salt}") for salt in (1, 2)]
 
     def within(rows: DataFrame, d: int) -> DataFrame:
-        near = rows.select(*keys, *digest).withColumn("_range", place).join(F.broadcast(unlike), "_range", "left_semi")
-        return near.drop("_range").withColumns({"_d": F.lit(d), "_s": F.lit(1 - d)})
+        return near(rows).select(*keys, *digest).withColumns({"_d": F.lit(d), "_s": F.lit(1 - d)})
 
     # By key, so that the counts of equal rows and those of their key are taken in one place.
     return (

@@ -372,3 +372,53 @@ def test_table_differences_move_digests_once(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 1
     assert sorted(map(tuple, got.collect())) == [(1, 2, 2, "different"), (2, 1, 1, "different"), (4, 1, 0, "missing"), (5, 0, 1, "extra")]
+
+
+def rows_moved(df):
+    """Rows that the exchanges of a collected frame wrote."""
+    df.collect()
+    nodes, moved = [df._jdf.queryExecution().executedPlan().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        nodes += [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        moved += node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+    return moved
+
+
+def test_table_differences_move_rows_of_unlike_records_only(spark):
+    from riskgraph.operators.audit import table_differences
+
+    long = spark.range(400).select((F.col("id") / 4).cast("int").cast("string").alias("k"), (F.col("id") % 4).alias("m"), F.lit("x").alias("v"))
+    long = long.unionByName(long.filter("k = '7'"))
+    other = long.withColumn("v", F.when((F.col("k") == "7") & (F.col("m") == 2), "y").otherwise(F.col("v")))
+    for marks, rows in ((1, 808), (1 << 28, 16)):
+        got = table_differences(long, other, ["k", "m"], ["v"], ranges=1, together=["k"], marks=marks)
+        assert rows_moved(got) == rows
+        assert list(map(tuple, got.collect())) == [("7", 2, 2, 2, "different")]
+
+
+@pytest.mark.parametrize("together", [None, ["k"], ["m"]])
+def test_table_differences_whatever_shares_a_bit(spark, together):
+    from riskgraph.operators.audit import table_differences
+
+    shape = "k string, m int, v double"
+    a = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 1.0), ("a", 2, None), (None, 1, 3.0), (None, 1, 3.0), ("c", None, 4.0), ("d", 1, 5.0), ("d", 2, 6.0)], shape)
+    b = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0), ("a", 2, 0.0), (None, 1, 3.0), ("c", None, 4.0), ("d", 2, 5.0), ("d", 1, 6.0), (None, None, None)], shape)
+    want = {("a", 1, 2, 2, "different"), ("a", 2, 1, 1, "different"), (None, 1, 2, 1, "repeated"), ("d", 1, 1, 1, "different"), ("d", 2, 1, 1, "different"), (None, None, 0, 1, "extra")}
+    for marks in (1, 100, 1 << 28):
+        assert {tuple(r) for r in table_differences(a, b, ["k", "m"], ["v"], 3, together, marks).collect()} == want
+    assert table_differences(a, a.orderBy("v"), ["k", "m"], ["v"], 3, together).isEmpty()
+
+
+
+def test_support_is_written_without_what_other_values_give(spark, monkeypatch):
+    from riskgraph.catalog import facts
+    from riskgraph.operators.facts import fact_edge_support
+
+    written = []
+    monkeypatch.setattr(facts, "durable", lambda df, label: written.append(df.columns) or df)
+    d = "/root/testdata/sf0.001"
+    got = facts.edge_support(spark, d)
+    assert written == [["record_id", "campaign_id", "POTAFF", "reporter", "listed", "product", "component_id"]]
+    assert rows(got) == rows(fact_edge_support(facts.parts(spark, d), ["first_record"]))
